@@ -1,11 +1,575 @@
-"""The queries of the engine by name, and the SQL that gives the same rows."""
+"""The queries of the engine by name, and the SQL that gives the same rows.
+
+Floating results are rounded to six places on both sides before they are ranked, and every ranking ends in a unique key.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import evaluation, profiling, reference, review, selection, tabular, temporal, timeseries, vectors
+from ..sources import runs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+NUMERIC, CATEGORICAL = ["o_totalprice", "o_custkey"], ["o_orderstatus", "o_orderpriority"]
+
+
+def orders(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", *NUMERIC, *CATEGORICAL)
+
+
+def events(spark, d):
+    return table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+
+
+def vecs(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+# --- profiles -------------------------------------------------------------------------------------------------------
+
+PROFILED = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_totalprice", "numeric"), ("o_orderstatus", "categorical"), ("o_orderpriority", "categorical")]
+_PROFILE = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", sum(({c} IS NULL)::int)::bigint AS missing_count, count({c}) AS non_missing_count, count(DISTINCT {c}) AS unique_count, '{k}' AS detected_type, "
+    f"CASE WHEN '{k}' = 'categorical' AND count(DISTINCT {c}) > 50 THEN 'high_cardinality' ELSE '' END AS warning FROM orders"
+    for c, k in PROFILED
+)
+
+
+@query(_PROFILE)
+def tabular_profile(spark, d):
+    return profiling.tabular_profile(table(spark, d, "orders"), [c for c, _ in PROFILED])
+
+
+@query(f'SELECT "column", missing_count, non_missing_count FROM ({_PROFILE})')
+def missing_summary(spark, d):
+    return profiling.tabular_profile(table(spark, d, "orders"), [c for c, _ in PROFILED]).select("column", "missing_count", "non_missing_count")
+
+
+LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS scale FROM lineitem" for c in LINE))
+def tabular_numeric_stats(spark, d):
+    return profiling.numeric_stats(table(spark, d, "lineitem"), LINE).select("column", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS count FROM lineitem GROUP BY {c}" for c in ("l_returnflag", "l_linestatus")))
+def categorical_rarity(spark, d):
+    return profiling.categorical_frequency(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+_FEATURES = """s AS (SELECT avg(o_totalprice) AS a0, stddev_pop(o_totalprice) AS s0, avg(o_custkey) AS a1, stddev_pop(o_custkey) AS s1, count(*)::double AS n FROM orders),
+f AS (SELECT o_orderkey, (o_totalprice - a0) / s0 AS z0, (o_custkey - a1) / s1 AS z1,
+  1 - count(*) OVER (PARTITION BY o_orderstatus) / n AS r0, 1 - count(*) OVER (PARTITION BY o_orderpriority) / n AS r1 FROM orders, s)"""
+_NOVEL = f"""WITH {_FEATURES}, c AS (SELECT avg(z0) AS c0, avg(z1) AS c1, avg(r0) AS c2, avg(r1) AS c3 FROM f),
+g AS (SELECT o_orderkey, z0 - c0 AS d0, z1 - c1 AS d1, r0 - c2 AS d2, r1 - c3 AS d3 FROM f, c),
+v AS (SELECT o_orderkey, round(sqrt(d0 * d0 + d1 * d1 + d2 * d2 + d3 * d3), 6) AS score,
+  list_sort([{{'o': -abs(round(d0, 6)), 'i': 0, 'f': 'o_totalprice:z', 'd': round(d0, 6)}}, {{'o': -abs(round(d1, 6)), 'i': 2, 'f': 'o_custkey:z', 'd': round(d1, 6)}},
+   {{'o': -abs(round(d2, 6)), 'i': 4, 'f': 'o_orderstatus:rarity', 'd': round(d2, 6)}}, {{'o': -abs(round(d3, 6)), 'i': 6, 'f': 'o_orderpriority:rarity', 'd': round(d3, 6)}}]) AS devs FROM g),
+w AS (SELECT o_orderkey, score, devs, CASE WHEN devs[1].f LIKE '%:rarity' OR devs[2].f LIKE '%:rarity' THEN 'categorical_rarity' ELSE 'numeric_deviation' END AS reason FROM v),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey)::int AS rank FROM w)"""
+
+
+@query(f"WITH {_FEATURES} SELECT o_orderkey, round(z0, 6) AS price_z, round(z1, 6) AS cust_z, round(r0, 6) AS status_rarity, round(r1, 6) AS priority_rarity, 1.0::double AS completeness FROM f")
+def tabular_features(spark, d):
+    f, _ = tabular.tabular_features(orders(spark, d), NUMERIC, CATEGORICAL)
+    cols = {"o_totalprice:z": "price_z", "o_custkey:z": "cust_z", "o_orderstatus:rarity": "status_rarity", "o_orderpriority:rarity": "priority_rarity"}
+    return f.select("o_orderkey", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in cols.items()], "completeness")
+
+
+def _ranked(spark, d, k=100):
+    return tabular.tabular_novelty(orders(spark, d), "o_orderkey", NUMERIC, CATEGORICAL, k)
+
+
+@query(_NOVEL + " SELECT o_orderkey, rank, score, reason, 1.0::double AS completeness FROM r WHERE rank <= 100")
+def tabular_novelty(spark, d):
+    return _ranked(spark, d).select("o_orderkey", "rank", "score", "reason", "completeness")
+
+
+@query(_NOVEL + " SELECT o_orderkey, k::int AS position, devs[k].f AS feature, devs[k].d AS deviation FROM r, range(1, 4) t(k) WHERE rank <= 100")
+def tabular_top_deviations(spark, d):
+    return _ranked(spark, d).select("o_orderkey", F.posexplode(F.slice("deviations", 1, 3)).alias("p", "s")).select("o_orderkey", (F.col("p") + 1).alias("position"), "s.feature", "s.deviation")
+
+
+_GROUPS = """ , g2 AS (SELECT reason, min(rank) AS first, count(*) AS size, round(avg(score), 6) AS mean_score,
+  round(least(greatest(0.4 * least(1.0::double, avg(score)) + 0.3 * least(1.0::double, count(*) / 5.0) + 0.3 / (1 + stddev_pop(score)), 0), 1), 6) AS confidence FROM r WHERE rank <= 100 GROUP BY reason)
+ SELECT 'concept-' || lpad((row_number() OVER (ORDER BY first))::varchar, 4, '0') AS concept_id, reason, size, mean_score, confidence FROM g2 QUALIFY row_number() OVER (ORDER BY first) <= 5"""
+
+
+@query(_NOVEL + _GROUPS)
+def tabular_reason_groups(spark, d):
+    return tabular.reason_groups(_ranked(spark, d))
+
+
+@query(_NOVEL + " SELECT reason, count(*) AS size, round(least(greatest(0.4 * least(1.0::double, avg(score)) + 0.3 * least(1.0::double, count(*) / 5.0) + 0.3 / (1 + stddev_pop(score)), 0), 1), 6) AS confidence FROM w GROUP BY reason")
+def tabular_group_confidence(spark, d):
+    """Over all rows, not the top ones alone."""
+    f, names = tabular.tabular_features(orders(spark, d), NUMERIC, CATEGORICAL)
+    scored = tabular.with_distance(f, names).select("score", tabular.reason().alias("reason"))
+    return scored.groupBy("reason").agg(F.count("*").alias("size"), F.round(tabular.group_confidence(), 6).alias("confidence"))
+
+
+# --- time series ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS row_count, count(ts) AS valid_count, sum((value IS NULL)::int)::bigint AS missing_signal_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_time,
+ strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_time, count(DISTINCT user_id) AS entity_count, 1::bigint AS signal_count FROM events""")
+def ts_profile(spark, d):
+    return profiling.timeseries_profile(events(spark, d), "ts", ["value"], "user_id")
+
+
+@query("SELECT coalesce(sum(n - 1), 0)::bigint AS duplicate_count FROM (SELECT count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY user_id, ts HAVING count(*) > 1)")
+def ts_duplicates(spark, d):
+    return profiling.duplicate_keys(events(spark, d), "ts", "user_id")
+
+
+_GAPS = "g AS (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) / 1e6 AS gap FROM events WHERE ts IS NOT NULL QUALIFY lag(ts) OVER (ORDER BY ts) IS NOT NULL)"
+
+
+@query(f"WITH {_GAPS}, o AS (SELECT gap, row_number() OVER (ORDER BY gap) AS r, count(*) OVER () AS n FROM g) SELECT count(*) AS gap_count, min(gap) AS min_gap, min(gap) FILTER (WHERE r = n // 2 + 1) AS median_gap, max(gap) AS max_gap, max(gap) > min(gap) AS irregular FROM o")
+def ts_sampling_summary(spark, d):
+    return profiling.sampling_summary(events(spark, d), "ts")
+
+
+_BASE = f"{_GAPS}, b AS (SELECT gap AS base FROM (SELECT gap, row_number() OVER (ORDER BY gap) AS r, count(*) OVER () AS n FROM g WHERE gap > 0) WHERE r = n // 2 + 1)"
+
+
+@query(f"WITH {_BASE} SELECT base AS baseline_gap FROM b")
+def ts_baseline_gap(spark, d):
+    return spark.createDataFrame([(profiling.baseline_gap(events(spark, d), "ts"),)], "baseline_gap double")
+
+
+@query("""SELECT event_id, round(avg(value) OVER w, 6) AS rolling_mean, round(stddev_pop(value) OVER w, 6) AS rolling_std FROM events WHERE ts IS NOT NULL
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def ts_rolling(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return events(spark, d).where("ts is not null").select("event_id", F.round(F.avg("value").over(w), 6).alias("rolling_mean"), F.round(F.stddev_pop("value").over(w), 6).alias("rolling_std"))
+
+
+_TS = f"""{_BASE}, st AS (SELECT avg(value) AS a, stddev_pop(value) AS s FROM events WHERE ts IS NOT NULL),
+x AS (SELECT event_id, ts, user_id, (value - a) / s AS z, coalesce((value - lag(value) OVER w) / s, 0) AS delta, (value - avg(value) OVER l) / s AS away, round(stddev_pop(value) OVER l, 9) / s AS std,
+  coalesce(date_diff('microsecond', lag(ts) OVER w, ts) / 1e6, 0) AS sec FROM events, st WHERE ts IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), l AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, (abs(delta) > 2 OR abs(away) > 2)::int::double AS spike, (sec > base AND base > 0)::int::double AS gap FROM x, b)"""
+
+
+def _ts(spark, d):
+    return timeseries.timeseries_features(events(spark, d), "ts", "user_id", ["value"], "event_id")[0]
+
+
+@query(f"WITH {_TS} SELECT event_id, round(delta, 6) AS delta, spike FROM f")
+def ts_delta_spike(spark, d):
+    return _ts(spark, d).select("event_id", F.round("`value:delta`", 6).alias("delta"), F.col("`value:spike`").alias("spike"))
+
+
+@query(f"WITH {_TS} SELECT event_id, gap AS time_gap FROM f")
+def ts_gap_flags(spark, d):
+    return _ts(spark, d).select("event_id", "time_gap")
+
+
+@query(f"WITH {_TS} SELECT event_id, round(z, 6) AS z, round(delta, 6) AS delta, round(abs(delta), 6) AS abs_delta, round(away, 6) AS away, round(std, 6) AS std, spike, gap AS time_gap, 1.0::double AS completeness FROM f")
+def ts_features(spark, d):
+    cols = {"value:z": "z", "value:delta": "delta", "value:abs_delta": "abs_delta", "value:rolling_mean_delta": "away", "value:rolling_std": "std"}
+    return _ts(spark, d).select("event_id", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in cols.items()], F.col("`value:spike`").alias("spike"), "time_gap", "completeness")
+
+
+_TSN = f"""WITH {_TS}, c AS (SELECT avg(z) AS c0, avg(delta) AS c1, avg(abs(delta)) AS c2, avg(away) AS c3, avg(std) AS c4, avg(spike) AS c5, avg(gap) AS c6 FROM f),
+v AS (SELECT event_id, ts, user_id, round(sqrt((z-c0)*(z-c0) + (delta-c1)*(delta-c1) + (abs(delta)-c2)*(abs(delta)-c2) + (away-c3)*(away-c3) + (std-c4)*(std-c4) + (spike-c5)*(spike-c5) + (gap-c6)*(gap-c6)), 6) AS score,
+  CASE WHEN gap > 0 THEN 'time_gap' WHEN spike > 0 THEN 'signal_change' ELSE 'feature_profile' END AS reason FROM f, c),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ts, event_id)::int AS rank FROM v)"""
+
+
+def _ts_ranked(spark, d):
+    return timeseries.timeseries_novelty(events(spark, d), "ts", "user_id", ["value"], "event_id", 100)
+
+
+@query(_TSN + " SELECT event_id, user_id, rank, score, reason FROM r WHERE rank <= 100")
+def ts_novelty(spark, d):
+    return _ts_ranked(spark, d).select("event_id", "user_id", "rank", "score", "reason")
+
+
+@query(_TSN + _GROUPS)
+def ts_reason_groups(spark, d):
+    return tabular.reason_groups(_ts_ranked(spark, d))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+_V = "v AS (SELECT vec_id AS id, embedding::double[] AS v, label FROM embeddings)"
+_CD = f"""{_V}, c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(v[i]) AS m FROM v, range(1, 65) t(i) GROUP BY i)),
+cd AS (SELECT id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i : (v[i] - c[i]) * (v[i] - c[i])))), 6) AS distance FROM v, c)"""
+_ND = f"""{_V}, p AS (SELECT a.id, b.id AS other, round(list_distance(a.v, b.v), 6) AS d FROM v a JOIN v b ON a.id <> b.id),
+nd AS (SELECT id, first(other ORDER BY d, other) AS neighbour_id, min(d) AS distance FROM p GROUP BY id)"""
+
+
+@query(f"WITH {_CD} SELECT id, distance AS score FROM cd")
+def vec_centroid_novelty(spark, d):
+    return vectors.novelty(vecs(spark, d), "global_distance")
+
+
+@query(f"WITH {_ND} SELECT id, neighbour_id, distance FROM nd")
+def vec_nearest_neighbor(spark, d):
+    return vectors.neighbour_distance(vecs(spark, d))
+
+
+@query(f"WITH {_ND} SELECT id, round((distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()), 6) AS score FROM nd")
+def vec_neighbor_novelty(spark, d):
+    return vectors.novelty(vecs(spark, d), "memory_neighbor_distance")
+
+
+_HY = f"""WITH {_CD}, {_ND.replace(_V + ',', '')}, g AS (SELECT id, round((distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()), 12) AS g FROM cd),
+n AS (SELECT id, round((distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()), 12) AS n FROM nd), h AS (SELECT id, round((0.5 * g + 0.5 * n) / 1.0, 6) AS score FROM g JOIN n USING (id))"""
+
+
+@query(_HY + " SELECT id, score FROM h")
+def vec_hybrid_novelty(spark, d):
+    return vectors.novelty(vecs(spark, d), "hybrid")
+
+
+@query(_HY + ", k AS (SELECT id, score, 'anomaly-' || lpad((row_number() OVER (ORDER BY id))::varchar, 4, '0') AS anomaly_id, row_number() OVER (ORDER BY score DESC, id)::int AS rank FROM h) SELECT * FROM k WHERE rank <= 25")
+def vec_candidates(spark, d):
+    return vectors.candidates(vectors.novelty(vecs(spark, d), "hybrid"), 25)
+
+
+@query(f"""WITH {_V}, x AS (SELECT id, i, v[i] AS x FROM v, range(1, 65) t(i)), m AS (SELECT i, quantile_cont(x, 0.5) AS m FROM x GROUP BY i),
+s AS (SELECT i, first(m) AS m, 1.4826 * quantile_cont(abs(x - m), 0.5) AS s FROM x JOIN m USING (i) GROUP BY i)
+SELECT id, round(sqrt(sum(CASE WHEN s > 1.4826e-12 THEN ((x - m) / s) * ((x - m) / s) ELSE 0 END)), 6) AS score FROM x JOIN s USING (i) GROUP BY id""")
+def vec_robust_z(spark, d):
+    return vectors.novelty(vecs(spark, d), "robust_z_score")
+
+
+def _knn_sql(distance: str, sim: str) -> str:
+    return f"""WITH {_V}, p AS (SELECT a.id AS query_id, b.id, round({distance}, 6) AS distance FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank FROM p) SELECT query_id, id, distance, rank, round({sim}, 6) AS similarity FROM r WHERE rank <= 5"""
+
+
+def _knn(spark, d, metric):
+    v = vecs(spark, d)
+    return vectors.knn(v.where("id % 20 = 0"), v, 5, metric, exclude_self=True)
+
+
+@query(_knn_sql("list_distance(a.v, b.v)", "1 / (1 + distance)"))
+def vec_knn_euclidean(spark, d):
+    return _knn(spark, d, "euclidean")
+
+
+@query(_knn_sql("1 - list_cosine_similarity(a.v, b.v)", "1 - distance"))
+def vec_knn_cosine(spark, d):
+    return _knn(spark, d, "cosine")
+
+
+@query(_knn_sql("list_distance(a.v, b.v)", "1 / (1 + distance)").replace("SELECT query_id, id, distance, rank, round", "SELECT query_id, id, round"))
+def vec_similarity(spark, d):
+    return _knn(spark, d, "euclidean").select("query_id", "id", "similarity")
+
+
+@query(f"WITH {_CD} SELECT id, round((distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()), 6) AS scaled FROM cd")
+def minmax_normalize(spark, d):
+    return vectors.normalised(vectors.centroid_distance(vecs(spark, d)), "distance", "scaled").select("id", "scaled")
+
+
+# --- scores against a reference: even ids are the reference, odd ids patches of images of eight ----------------------
+
+
+def _split(spark, d):
+    v = vecs(spark, d)
+    return v.where("id % 2 = 1"), v.where("id % 2 = 0")
+
+
+_REF = f"""{_V}, p AS (SELECT a.id, b.id AS r, round(list_distance(a.v, b.v), 6) AS d FROM v a JOIN v b ON a.id % 2 = 1 AND b.id % 2 = 0),
+k AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, r) AS n FROM p), nn AS (SELECT id, d AS score FROM k WHERE n = 1)"""
+
+
+@query(f"WITH {_REF} SELECT id, score, 1::bigint AS neighbours FROM nn")
+def reference_patch_nn(spark, d):
+    return reference.patch_scores(*_split(spark, d))
+
+
+@query(f"WITH {_REF} SELECT id, round(avg(d), 6) AS score, count(*) AS neighbours FROM k WHERE n <= 3 GROUP BY id")
+def reference_patch_knn_mean(spark, d):
+    return reference.patch_scores(*_split(spark, d), k=3)
+
+
+def _patches(spark, d):
+    return reference.patch_scores(*_split(spark, d)).select(F.floor(F.col("id") / 8).alias("image_id"), "id", "score")
+
+
+@query(f"WITH {_REF} SELECT id // 8 AS image_id, max(score) AS score, count(*) AS patches FROM nn GROUP BY 1")
+def reference_image_max(spark, d):
+    return reference.image_scores(_patches(spark, d))
+
+
+@query(f"""WITH {_REF}, w AS (SELECT id // 8 AS image_id, score, row_number() OVER (PARTITION BY id // 8 ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY id // 8) AS n FROM nn)
+SELECT image_id, round(avg(score), 6) AS score, first(n) AS patches FROM w WHERE r <= ceil(n * 0.5) GROUP BY image_id""")
+def reference_image_top_fraction(spark, d):
+    return reference.image_scores(_patches(spark, d), "top_fraction_mean", 0.5)
+
+
+def _boxes(spark, d):
+    """Patches of a grid of overlapping boxes: two scales, eight patches an image."""
+    p = _patches(spark, d).withColumn("j", (F.col("id") % 8).cast("int"))
+    big = F.col("j") >= 5
+    return p.select("image_id", F.when(big, "s8").otherwise("s4").alias("scale"), ((F.col("j") % 4) * 2).alias("x"), (F.floor(F.col("j") / 4).cast("int") * 2).alias("y"), F.when(big, 8).otherwise(4).alias("w"), F.when(big, 8).otherwise(4).alias("h"), "score")
+
+
+_MAP = f"""{_REF}, bx AS (SELECT id // 8 AS image_id, (id % 8)::int AS j, score FROM nn),
+q AS (SELECT image_id, CASE WHEN j >= 5 THEN 's8' ELSE 's4' END AS scale, ((j % 4) * 2)::int AS x, ((j // 4) * 2)::int AS y, CASE WHEN j >= 5 THEN 8 ELSE 4 END AS w, score FROM bx),
+px AS (SELECT image_id, scale, (x + a)::int AS px, (y + b)::int AS py, score FROM q, range(0, 8) t(a), range(0, 8) u(b) WHERE a < w AND b < w)"""
+
+
+def _map_sql(within: str, across: str) -> str:
+    return f"WITH {_MAP}, o AS (SELECT image_id, px, py, scale, {within}(score) AS value, count(*) AS n FROM px GROUP BY ALL) SELECT image_id, px, py, round({across}(value), 9) AS value, sum(n)::bigint AS coverage FROM o GROUP BY image_id, px, py"
+
+
+@query(_map_sql("avg", "avg"))
+def spatial_map_mean(spark, d):
+    return reference.spatial_map(_boxes(spark, d), "mean", "mean")
+
+
+@query(_map_sql("avg", "max"))
+def spatial_map_max(spark, d):
+    return reference.spatial_map(_boxes(spark, d), "mean", "max")
+
+
+@query(f"WITH m AS ({_map_sql('avg', 'max')}) SELECT image_id, px, py, round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0), 6) AS shown FROM m WINDOW w AS (PARTITION BY image_id)")
+def spatial_map_display(spark, d):
+    return reference.display(reference.spatial_map(_boxes(spark, d))).select("image_id", "px", "py", "shown")
+
+
+@query()
+def gaussian_smooth(spark, d):
+    return reference.smooth(reference.spatial_map(_boxes(spark, d)), 1.0).select("image_id", "px", "py", F.round("value", 6).alias("value"), "coverage")
+
+
+@query()
+def coreset_farthest_first(spark, d):
+    return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7)
+
+
+# --- calibration and evaluation: scores are distances from the centroid, label 0 is the anomaly -----------------------
+
+
+def _scored(spark, d):
+    v = vecs(spark, d)
+    return vectors.centroid_distance(v).join(v.select("id", (F.col("label") == 0).cast("int").alias("label")), "id").select("id", F.col("distance").alias("score"), "label")
+
+
+_S = f"{_CD}, s AS (SELECT cd.id, distance AS score, (label = 0)::int AS label FROM cd JOIN v USING (id))"
+
+
+@query(f"WITH {_S} SELECT s.id, s.score, round((SELECT count(*) FROM s f WHERE f.id % 2 = 0 AND f.score <= s.score)::double / (SELECT count(*) FROM s WHERE id % 2 = 0), 6) AS calibrated FROM s")
+def calib_percentile(spark, d):
+    s = _scored(spark, d).select("id", "score")
+    return evaluation.calibrate(s.where("id % 2 = 0"), s)
+
+
+@query(f"WITH {_S}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s WHERE id % 2 = 0) SELECT id, score, round(least(greatest((score - lo) / (hi - lo), 0), 1), 6) AS calibrated FROM s, e")
+def calib_minmax(spark, d):
+    s = _scored(spark, d).select("id", "score")
+    return evaluation.calibrate(s.where("id % 2 = 0"), s, "minmax")
+
+
+_Q = ", ".join(f"round(quantile_cont(score, {p}), 6) AS p{round(100 * p):02d}" for p in (0.0, 0.25, 0.5, 0.75, 1.0))
+
+
+@query(f"WITH {_S} SELECT count(*) AS count, min(score) AS min, max(score) AS max, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, {_Q} FROM s")
+def score_distribution(spark, d):
+    out = profiling.score_distribution(_scored(spark, d), "score")
+    return out.select("count", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+_TH = f"""{_S}, k AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS n FROM s),
+th AS (SELECT 'explicit-mid' AS threshold_id, 8.0::double AS threshold UNION ALL SELECT 'percentile-90', quantile_cont(score, 0.9) FROM s UNION ALL SELECT 'percentile-95', quantile_cont(score, 0.95) FROM s
+  UNION ALL SELECT 'top_fraction-0.1', min(score) FROM k WHERE r <= ceil(n * 0.1))"""
+
+
+def _thresholds(s):
+    return evaluation.threshold_candidates(s, {"mid": 8.0}, (90.0, 95.0), (0.1,))
+
+
+@query(f"WITH {_TH} SELECT threshold_id, round(threshold, 6) AS threshold FROM th")
+def threshold_candidates(spark, d):
+    return _thresholds(_scored(spark, d)).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f"""WITH {_TH}, cf AS (SELECT threshold_id, threshold, sum((score >= threshold)::int)::bigint AS selected, sum((score >= threshold AND label = 1)::int)::bigint AS tp, sum((score >= threshold AND label = 0)::int)::bigint AS fp,
+ sum((score < threshold AND label = 0)::int)::bigint AS tn, sum((score < threshold AND label = 1)::int)::bigint AS fn FROM s, th GROUP BY 1, 2)
+SELECT threshold_id, round(threshold, 6) AS threshold, selected, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0)::double, 6) AS precision, round(tp / nullif(tp + fn, 0)::double, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 6) AS f1 FROM cf""")
+def threshold_eval(spark, d):
+    s = _scored(spark, d)
+    return evaluation.confusion(s, _thresholds(s)).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f"""WITH {_S}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM s)
+SELECT round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS auroc FROM r""")
+def auroc(spark, d):
+    return evaluation.auroc(_scored(spark, d))
+
+
+@query(f"""WITH {_S}, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM s GROUP BY score), ap AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS k FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(p * tp / k::double) / sum(p)::double, 6) AS average_precision FROM ap""")
+def average_precision(spark, d):
+    return evaluation.average_precision(_scored(spark, d))
+
+
+@query(f"""WITH {_S}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, id) AS r FROM s)
+SELECT k::int AS k, round(sum(label) / count(*)::double, 6) AS precision, round(sum(label) / (SELECT sum(label) FROM s)::double, 6) AS recall FROM r, (VALUES (1), (10), (50)) t(k) WHERE r <= k GROUP BY k""")
+def precision_recall_at_k(spark, d):
+    return evaluation.at_k(_scored(spark, d), (1, 10, 50))
+
+
+@query(f"""WITH {_S}, k AS (SELECT score, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n FROM s),
+p AS (SELECT 'explicit' AS strategy, 8.0::double AS t UNION ALL SELECT 'percentile', quantile_cont(score, 0.9) FROM s UNION ALL SELECT 'top_fraction', min(score) FROM k WHERE r <= ceil(n * 0.05))
+SELECT strategy, round(t, 6) AS threshold, (SELECT count(*) FROM s WHERE score >= t) AS selected FROM p UNION ALL SELECT 'top_k', round(min(score), 6), count(*) FROM k WHERE r <= 20""")
+def operating_points(spark, d):
+    return evaluation.operating_points(_scored(spark, d), 8.0, 90.0, 20, 0.05)
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_predictions(spark, d):
+    ids = lambda t: table(spark, d, t).select(F.col("doc_id").alias("id"))
+    return evaluation.missing_predictions(ids("documents"), ids("labels"))
+
+
+@query(f"""WITH {_S}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM s),
+m AS (SELECT round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS auroc FROM r)
+SELECT 'min_auroc' AS gate, auroc AS value, 0.8::double AS bound, auroc >= 0.8 AS passed FROM m UNION ALL SELECT 'max_auroc', auroc, 0.99::double, auroc <= 0.99 FROM m UNION ALL SELECT 'min_f1', NULL, 0.5::double, false""")
+def acceptance_gate(spark, d):
+    return evaluation.acceptance(evaluation.auroc(_scored(spark, d)), {"auroc": 0.8, "f1": 0.5}, {"auroc": 0.99})
+
+
+# --- change over time: embeddings of a label are a sequence in the order of vec_id ------------------------------------
+
+
+def _observations(spark, d):
+    return vecs(spark, d).select(F.col("label").alias("sequence"), F.col("id").alias("order_key"), "id", "v")
+
+
+def _change_sql(before: str, strategy: str) -> str:
+    return f"""{_V}, p AS (SELECT label, id, v, {before}(id) OVER w AS sid, {before}(v) OVER w AS sv, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY label ORDER BY id)),
+e AS (SELECT label AS sequence, sid AS source_id, id AS target_id, round(list_distance(v, sv) / sqrt(64), 6) AS distance,
+ 'change-' || substr(sha256(label || chr(0) || '{strategy}' || chr(0) || sid || chr(0) || id), 1, 16) AS event_id FROM p WHERE n > 1),
+ev AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY distance DESC, event_id)::int AS rank FROM e)"""
+
+
+@query(f"WITH {_change_sql('lag', 'adjacent_difference')} SELECT * FROM ev")
+def temporal_adjacent(spark, d):
+    return temporal.change_events(_observations(spark, d))
+
+
+@query(f"WITH {_change_sql('first', 'baseline_difference')} SELECT * FROM ev WHERE rank <= 10")
+def temporal_baseline(spark, d):
+    return temporal.change_events(_observations(spark, d), "baseline_difference", 10)
+
+
+@query(f"WITH {_change_sql('lag', 'adjacent_difference')} SELECT sequence, max(distance) AS max_distance, arg_max(target_id, (distance, target_id)) AS strongest_target, count(*) AS events, round(avg(distance), 6) AS mean_adjacent FROM ev GROUP BY sequence")
+def temporal_summary(spark, d):
+    e = temporal.change_events(_observations(spark, d))
+    return temporal.summary(e, e)
+
+
+@query(f"""WITH {_change_sql('lag', 'adjacent_difference')}, pt AS (SELECT id, (j % 4) * 16 AS x, (j // 4) * 16 AS y, v[j * 8 + 1:j * 8 + 8] AS v FROM v, range(0, 8) t(j)),
+s AS (SELECT source_id, target_id, a.x::int AS x, a.y::int AS y, 16 AS w, 16 AS h, round(list_distance(a.v, b.v) / sqrt(8), 6) AS score FROM ev JOIN pt a ON a.id = source_id JOIN pt b ON b.id = target_id AND a.x = b.x AND a.y = b.y WHERE rank <= 10),
+q AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY score DESC, y, x)::int AS rank FROM s) SELECT * FROM q WHERE rank <= 3""")
+def temporal_patch_evidence(spark, d):
+    j = F.explode(F.array(*[F.struct(F.lit((j % 4) * 16).alias("x"), F.lit((j // 4) * 16).alias("y"), F.slice("v", j * 8 + 1, 8).alias("v")) for j in range(8)]))
+    patches = vecs(spark, d).select("id", j.alias("p")).select("id", "p.x", "p.y", F.lit(16).alias("w"), F.lit(16).alias("h"), "p.v")
+    return temporal.patch_evidence(patches, patches, temporal.change_events(_observations(spark, d), k=10))
+
+
+# --- feedback: events stand for reviews -------------------------------------------------------------------------------
+
+_FB = """fb AS (SELECT event_id, 'run-' || (event_id % 7) AS run_id, CASE event_id % 3 WHEN 0 THEN 'anomaly' WHEN 1 THEN 'concept' ELSE 'temporal' END AS target_type, 'target-' || (user_id % 50) AS target_id,
+ CASE event_id % 7 WHEN 0 THEN 'interesting' WHEN 1 THEN 'known_pattern' WHEN 2 THEN 'false_positive' WHEN 3 THEN 'duplicate' WHEN 4 THEN 'important' WHEN 5 THEN 'not_useful' ELSE 'needs_more_data' END AS label, ts FROM events)"""
+
+
+def _feedback(spark, d):
+    e = table(spark, d, "events")
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    return e.select("event_id", F.concat(F.lit("run-"), (F.col("event_id") % 7).cast("string")).alias("run_id"), pick(review.TARGETS, F.col("event_id") % 3).alias("target_type"), F.concat(F.lit("target-"), (F.col("user_id") % 50).cast("string")).alias("target_id"), pick(review.LABELS, F.col("event_id") % 7).alias("label"), "ts")
+
+
+@query(f"WITH {_FB} SELECT label, count(*) AS n FROM fb GROUP BY label")
+def feedback_label_counts(spark, d):
+    return review.label_counts(_feedback(spark, d))
+
+
+@query(f"WITH {_FB} SELECT target_type, target_id, label, count(*) AS n FROM fb GROUP BY GROUPING SETS ((label), (target_type, label), (target_type, target_id, label))")
+def review_memory_rollup(spark, d):
+    return review.rollup(_feedback(spark, d))
+
+
+@query(f"""WITH {_FB} SELECT target_type, target_id, count(*) AS reviews, round(sum(CASE label WHEN 'interesting' THEN 1 WHEN 'important' THEN 1 WHEN 'false_positive' THEN -1 WHEN 'not_useful' THEN -1 WHEN 'needs_more_data' THEN 0.25 WHEN 'known_pattern' THEN -0.25 ELSE -0.5 END)::double, 6) AS delta
+FROM fb GROUP BY target_type, target_id""")
+def review_memory_signal(spark, d):
+    return review.signals(_feedback(spark, d))
+
+
+@query(f"WITH {_FB}, t AS (SELECT DISTINCT target_type, target_id FROM fb WHERE event_id % 2 = 0) SELECT event_id, label FROM fb SEMI JOIN t USING (target_type, target_id) WHERE event_id % 5 = 1")
+def feedback_add(spark, d):
+    f = _feedback(spark, d)
+    return review.add_feedback(f.where("event_id % 5 = 1"), f.where("event_id % 2 = 0").select("target_type", "target_id").distinct()).select("event_id", "label")
+
+
+@query(f"WITH {_FB} SELECT run_id, count(*) AS records, count(DISTINCT target_id) AS targets, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, sum((label = 'important')::int)::bigint AS important FROM fb GROUP BY run_id")
+def dashboard_rollup(spark, d):
+    return runs.dashboard(_feedback(spark, d))
+
+
+@query(f"WITH {_FB} SELECT run_id, event_id, label FROM fb QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1")
+def run_index_upsert(spark, d):
+    return runs.keep_last(_feedback(spark, d), "run_id", ["ts", "event_id"]).select("run_id", "event_id", "label")
+
+
+# --- operators that go step by step -----------------------------------------------------------------------------------
+
+
+def _selected(spark, d):
+    v = vecs(spark, d)
+    s = vectors.novelty(v, "hybrid").join(v, "id")
+    return selection.diverse(s.select("id", F.floor(F.col("id") / 8).alias("source"), (F.col("id") % 8 * 40).cast("int").alias("x"), F.lit(0).alias("y"), F.lit("s64").alias("scale"), "score", "v"), 40)
+
+
+@query()
+def diversity_select(spark, d):
+    return _selected(spark, d).select("position", "id", "source", "score")
+
 
-def queries() -> dict:
-    return {}
+@query()
+def leader_cluster(spark, d):
+    return selection.leader_clusters(_selected(spark, d), 0.9).select("id", "concept_id", "position")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def concept_confidence(spark, d):
+    return selection.concept_scores(selection.leader_clusters(_selected(spark, d), 0.9))
