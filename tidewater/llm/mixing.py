@@ -38,16 +38,21 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def exponent(sources: DataFrame, repetition_limit: float | None, target_entropy: float | None, steps: int = 45) -> float:
-    """Bisect the exponent on (tokens) rows of the sources. Each pass asks for 15 exponents, four halvings, at once."""
+def exponent(sources: DataFrame, repetition_limit: float | None, target_entropy: float | None, relative: bool = False, steps: int = 45) -> float:
+    """Bisect the exponent on (tokens) rows of the sources. Each pass asks for 15 exponents, four halvings, at once.
+
+    relative: the limit holds for repetitions as multiples of those of the largest source, which is repeated least.
+    """
     sources = sources.where("tokens > 0")
-    total, least, n = sources.agg(F.sum("tokens"), F.min("tokens"), F.count("*")).first()
+    total, least, most, n = sources.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens"), F.count("*")).first()
     if not n or n == 1:
         return 1.0
     logs = sources.select(F.log(F.col("tokens") / F.lit(float(total))).alias("x"))
     smallest = math.log(least / total)
 
     def good(a: float, z: float, zx: float) -> bool:
+        if relative and repetition_limit is not None:
+            return (1 - a) * math.log(most / least) <= math.log(repetition_limit)
         if repetition_limit is not None:
             return (a - 1) * smallest - math.log(z) <= math.log(repetition_limit)
         return math.log(z) - a * zx / z >= target_entropy
@@ -82,12 +87,12 @@ def plan(docs: DataFrame, repetition_limit: float | None = 2.0, target_entropy:
     """doc_id, source, n_tokens, epoch, block_rank, position: a row for each time that a document is taken.
 
     budget_tokens is the whole budget (None: all tokens). keep_all raises it until every source is taken whole at least
-    once; then no document is left out and the weights still hold.
+    once; then no document is left out, the weights still hold, and the limit counts from there.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text").cast("string")).alias("n"))
     base = cut(rows.groupBy("doc_id", "source").agg(F.sum("n").alias("n_tokens")), "mix-base")
     sources = cut(base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
-    a = exponent(sources, repetition_limit, target_entropy)
+    a = exponent(sources, repetition_limit, target_entropy, relative=keep_all)
     live = sources.where("tokens > 0")
     total = live.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = F.col("tokens") / F.lit(float(total or 1))

@@ -16,8 +16,8 @@
 6. Components of the links, by min-label rounds, give the classes' components.
 
 Edge cases: a document with fewer words than a shingle is one shingle of all its words; null and empty texts have no
-set, link with nothing and are their own component; repeated rows are one class; a row with null doc_id is counted
-but has no component of its own unless it links; extra columns are ignored.
+set, link with nothing and are their own component; repeated rows are one class; a row with null doc_id links like
+any other, and its component is null if no row in it has an id; ids lie below 2^62; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BITS = 56
 #: Similarity as a ratio of whole numbers, so that the test is exact.
 UP, DOWN = 75, 100
 FLUSH = 3_000_000
+#: Classes of which no row has a doc_id get numbers from here on among the others; ids lie below.
+NAMELESS = 1 << 62
 
 
 def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
@@ -320,8 +322,8 @@ def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
     parts = docs.rdd.getNumPartitions()
     ranges = max(8 * parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
     found = cut(documents_of(shared_hashes(packed_sets(docs, ranges))), "sets")
-    classes = cut(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    live = found.where("hashes is not null").groupBy("digest").agg(F.first("hashes").alias("hashes")).join(classes, "digest").where("rep is not null").select("rep", "n", "hashes")
+    classes = cut(found.where("n > 0").groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS // 2))).alias("rep"), F.max("n").alias("n")), "classes")
+    live = found.where("hashes is not null").groupBy("digest").agg(F.first("hashes").alias("hashes")).join(classes, "digest").select("rep", "n", "hashes")
     live = cut(live, "live")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +345,7 @@ def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
     clusters = components(keys.join(meet, "h").select(F.col("rep").alias("a"), "b"))
     members = live.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
     label = components(cluster_links(members, block))
-    named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")).select("digest", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component"))
     rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     linked = rows.where("digest is not null").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return linked.union(rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

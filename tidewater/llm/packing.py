@@ -144,40 +144,37 @@ def patterns(hist: np.ndarray, per_length: int = 2) -> list[tuple[int, ...]]:
     return sorted(out, reverse=True)
 
 
-def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every piece of the histogram once; patterns list lengths in order of their places."""
+def fitted(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, by non-negative least squares, rounded down; at most what the histogram has."""
+    cap, choices = len(hist) - 1, patterns(hist)
+    if not choices:
+        return []
+    a = np.zeros((cap + 1, len(choices)))
+    for j, p in enumerate(choices):
+        np.add.at(a[:, j], list(p), 1)
+    scale = max(float(hist.max()), 1.0)
+    x = np.floor(nnls(a, hist / scale) * scale + 1e-6).astype(np.int64)
+    left, out = hist.copy(), []
+    for j in np.argsort(-x, kind="stable"):
+        need = np.bincount(choices[j], minlength=cap + 1)
+        used = np.flatnonzero(need)
+        if (k := int(min(x[j], (left[used] // need[used]).min()))) > 0:
+            out.append((choices[j], k))
+            left -= k * need
+    return out
+
+
+def best_fit(hist: np.ndarray, done: dict[tuple[int, ...], int]) -> None:
+    """Add to done what packs the histogram, longest first, into the fullest sequence with room; like ones together."""
     cap = len(hist) - 1
-    left = hist.astype(np.int64).copy()
-    done: dict[tuple[int, ...], int] = defaultdict(int)
-    left_full = int(left[cap])
-    if left_full:
-        done[(cap,)] += left_full
-        left[cap] = 0
-    choices = [p for p in patterns(left)]
-    if choices:
-        a = np.zeros((cap + 1, len(choices)))
-        for j, p in enumerate(choices):
-            for n in p:
-                a[n, j] += 1
-        scale = max(float(left.max()), 1.0)
-        x = np.floor(nnls(a, left / scale) * scale + 1e-6).astype(np.int64)
-        for j in np.argsort(-x, kind="stable"):
-            p = choices[j]
-            need = np.bincount(p, minlength=cap + 1)
-            used = np.flatnonzero(need)
-            k = int(min(x[j], (left[used] // need[used]).min()))
-            if k > 0:
-                done[p] += k
-                left -= k * need
-    # what is left: best fit, longest first; sequences of one kind are filled together
     bins: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
     for n in range(cap, 0, -1):
-        c = int(left[n])
+        c = int(hist[n])
         while c:
             room = next((r for r in range(n, cap) if bins.get(r)), None)
             if room is None:
-                p, k, m = (), (c * n + cap - 1) // cap if 2 * n <= cap else c, 1
-                m = min(cap // n, max(1, c // k)) if 2 * n <= cap else 1
+                p = ()
+                m = min(cap // n, c)
                 k = c // m
             else:
                 p = next(iter(bins[room]))
@@ -193,7 +190,26 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     for kinds in bins.values():
         for p, k in kinds.items():
             done[p] += k
-    return sorted(done.items(), reverse=True)
+
+
+def plan(hist: np.ndarray, shares: tuple[float, ...] = (1.0, 0.9, 0.7, 0.4, 0.0)) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that use every piece of the histogram once; patterns list lengths in order of their places.
+
+    Fitted patterns can use up the short lengths that the rest needs, so several shares of them are tried.
+    """
+    hist = hist.astype(np.int64)
+    found, best = fitted(hist), None
+    for share in shares if found else (0.0,):
+        done: dict[tuple[int, ...], int] = defaultdict(int)
+        left = hist.copy()
+        for p, k in found:
+            if used := int(k * share):
+                done[p] += used
+                np.subtract.at(left, list(p), used)
+        best_fit(left, done)
+        if best is None or sum(done.values()) < sum(best.values()):
+            best = done
+    return sorted((p, k) for p, k in best.items() if k)[::-1]
 
 
 def places(planned: list[tuple[tuple[int, ...], int]], cap: int) -> dict[int, tuple[np.ndarray, ...]]:

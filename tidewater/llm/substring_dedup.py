@@ -176,7 +176,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     cuts = repeats(rows.select(F.col("_id").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
-    joined = rows.join(cuts.select(F.col("doc_id").alias("_id"), "starts"), "_id", "left").select(*docs.columns, "starts")
+    joined = rows.join(cuts.select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts")), "_id", "left").select(*docs.columns, "_starts")
     column = docs.columns.index("text")
     names = docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
