@@ -66,12 +66,11 @@ def pair_counts(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def losses(counts: list, size: int, mu: float) -> np.ndarray:
+def losses(counts: pa.Table, size: int, mu: float) -> np.ndarray:
     """-log P(w | v) for every pair of the vocabulary, from (pair, n) rows."""
     width = size + 2
     c = np.zeros(width * width)
-    if counts:
-        c[np.array([r[0] for r in counts])] = [r[1] for r in counts]
+    c[counts.column("pair").to_numpy()] = counts.column("n").to_numpy()
     c = c.reshape(width, width)
     uni = c.sum(0)[: size + 1]
     p = (uni + 1) / (uni.sum() + size + 1)
@@ -85,7 +84,7 @@ def score(docs: DataFrame, target: DataFrame, least: int = 2, max_words: int = 1
     """
     vocab = vocabulary(target, least, max_words)
     size = len(vocab)
-    models = [losses(pair_counts(t, vocab).collect(), size, mu) for t in (target, docs)]
+    models = [losses(pair_counts(t, vocab).toArrow(), size, mu) for t in (target, docs)]
     shared = docs.sparkSession.sparkContext.broadcast((vocab, models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
