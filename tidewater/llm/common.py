@@ -5,10 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -92,8 +90,20 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def arrow_rows(schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def squeeze(table: np.ndarray) -> bytes:
+    """A structured array, compressed by byte planes."""
+    global _Z
+    _Z = _Z or (zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor())
+    width = table.dtype.itemsize
+    return _Z[0].compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def spread(blob: bytes, dtype: list | str) -> np.ndarray:
+    global _Z
+    _Z = _Z or (zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor())
+    dtype = np.dtype(dtype)
+    raw = np.frombuffer(_Z[1].decompress(blob), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -21,12 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Hashes, cut, grams
+from .common import BitFilter, Hashes, grams, pack, spread, squeeze, unpack
 
 WINDOW = 20
 
@@ -76,47 +77,82 @@ def seed_counts(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def places(docs: DataFrame, window: int, repeated: BitFilter) -> DataFrame:
-    """(h, doc_id, at, later): each task's first place of every window that goes on; and, without h, its later places."""
-    out = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+ROWS = pa.schema([("range", pa.int32()), ("flush", pa.int64()), ("blob", pa.binary())])
+PLACE = [("doc", "<i8"), ("at", "<i4")]
+FLUSH = 1_500_000
+
+
+def places(docs: DataFrame, window: int, repeated: BitFilter, ranges: int) -> DataFrame:
+    """(range, flush, blob): a task's first place of every window that goes on, sorted by the window's hash and cut into
+    ranges of hashes; and, with a negative range, the later places in that task."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = hashes.of(words(t))
                 half, pick = levels(ids, window)
-                if not len(pick):
-                    continue
-                go = np.flatnonzero(shared.value.has(half)[pick])
+                go = np.flatnonzero(shared.value.has(half)[pick]) if len(pick) else pick
                 if len(go):
                     held.append((grams(ids, window)[go], np.full(len(go), d, np.int64), go.astype(np.int32)))
                     size += len(go)
-            if size > 1_500_000:
-                yield from split(held)
-                held, size = [], 0
+                if size > FLUSH:
+                    yield from sent(held, task << 24 | number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield from split(held)
+            yield from sent(held, task << 24 | number)
 
-    def split(held: list) -> Iterator[pa.RecordBatch]:
+    def sent(held: list, flush: int) -> Iterator[pa.RecordBatch]:
         h, d, at = (np.concatenate(c) for c in zip(*held))
         o = np.lexsort((at, d, h))
-        h, d, at = h[o], d[o], at[o]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        h = h[o]
+        place = np.empty(len(h), PLACE)
+        place["doc"], place["at"] = d[o], at[o]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         # a later row of the very same place (a repeated row of the table) is no later place
-        same = np.zeros(len(h), bool)
+        late = ~new & (place != place[first])
+        rows = [(-1 - flush % ranges, flush, squeeze(np.sort(place[late])))] if late.any() else []
+        h, place = h[new], place[new]
+        step = -(-(1 << 64) // ranges)
+        edge = np.append(np.searchsorted(h, np.array([r * step for r in range(ranges)], np.uint64)), len(h))
+        for r in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[r], edge[r + 1])
+            head = pack(h[part])
+            rows.append((int(r), flush, len(head).to_bytes(8, "little") + head + squeeze(place[part])))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256]), ROWS)], schema=ROWS)
+
+    return docs.mapInArrow(run, "range int, flush long, blob binary")
+
+
+def later_places(found: DataFrame) -> DataFrame:
+    """(flush, blob): each flush's places of windows whose words start earlier anywhere."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        if p.range.iloc[0] < 0:
+            return p[["flush", "blob"]]
+        hs, ps = [], []
+        for b in p.blob:
+            n = int.from_bytes(b[:8], "little")
+            hs.append(unpack(b[8 : 8 + n]))
+            ps.append(spread(b[8 + n :], PLACE))
+        flush = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
+        h, place = np.concatenate(hs), np.concatenate(ps)
+        o = np.lexsort((place["at"], place["doc"], h))
+        h, place, flush = h[o], place[o], flush[o]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        same = (d == d[first]) & (at == at[first]) & ~new
-        yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(d[new]), pa.array(at[new])], schema=out)
-        late = ~new & ~same
-        if late.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(late.sum()), pa.int64()), pa.array(d[late]), pa.array(at[late])], schema=out)
+        late = np.flatnonzero(~new & (place != place[first]))
+        late = late[np.argsort(flush[late], kind="stable")]
+        edge = np.searchsorted(flush[late], np.arange(len(hs) + 1))
+        out = [(p.flush.iloc[i], squeeze(np.sort(place[late[edge[i] : edge[i + 1]]]))) for i in range(len(hs)) if edge[i + 1] > edge[i]]
+        return pd.DataFrame(out, columns=["flush", "blob"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, at int")
+    return found.groupBy("range").applyInPandas(run, "flush long, blob binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,12 +161,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs holds doc_id (no nulls) and text.
     """
     seeds = seed_counts(docs, window).where("n > 1").select("h")
-    found = cut(places(docs, window, BitFilter.of(seeds)), "windows")
-    first = found.where("h is not null")
-    # first places of all tasks: the smallest stays, the others are repeats
-    own = first.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("origin"), F.count("*").alias("n")).where("n > 1")
-    late = first.join(own, "h").where(F.struct("doc_id", "at") != F.col("origin")).select("doc_id", "at")
-    return found.where("h is null").select("doc_id", "at").union(late).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(8 * docs.rdd.getNumPartitions(), 4 * partitions, 16)
+
+    def by_document(p: pd.DataFrame) -> pd.DataFrame:
+        place = np.sort(np.concatenate([spread(b, PLACE) for b in p.blob]))
+        doc, edge = np.unique(place["doc"], return_index=True)
+        return pd.DataFrame({"doc_id": doc, "starts": np.split(place["at"], edge[1:])})
+
+    late = later_places(places(docs, window, BitFilter.of(seeds), ranges)).groupBy("flush").applyInPandas(by_document, "doc_id long, starts array<int>")
+    # rows that share an id may lie in several tasks
+    return late.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 NO_ID = -(1 << 63)
