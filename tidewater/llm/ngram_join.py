@@ -30,18 +30,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, cut, grams, mix, pack, unpack
+from .common import Hashes, components, cut, grams, mix, pack, spread, squeeze, unpack
 
 SHINGLE = 5
 BITS = 56
 #: Similarity as a ratio of whole numbers, so that the test is exact.
 UP, DOWN = 75, 100
 FLUSH = 3_000_000
+SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u4")]
 #: Classes of which no row has a doc_id get numbers from here on among the others; ids lie below.
 NAMELESS = 1 << 62
 
@@ -100,12 +100,10 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
         h, who = h[o], who[o]
         step = (1 << BITS) // ranges + 1
         edge = np.searchsorted(h, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(step))
-        z = zstandard.ZstdCompressor(1)
         for r in np.flatnonzero(np.diff(edge)):
             part = slice(edge[r], edge[r + 1])
-            planes = z.compress(np.ascontiguousarray(who[part].view(np.uint8).reshape(-1, 4).T).tobytes())
             head = pack(h[part])
-            rows.append((int(r), flush, len(head).to_bytes(8, "little") + head + planes))
+            rows.append((int(r), flush, len(head).to_bytes(8, "little") + head + squeeze(who[part])))
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256]), ROWS)], schema=ROWS)
 
@@ -118,11 +116,11 @@ def shared_hashes(sets: DataFrame) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         if p.range.iloc[0] < 0:
             return pd.DataFrame({"flush": p.flush, "kind": 0, "blob": p.blob})
-        z, hs, whos = zstandard.ZstdDecompressor(), [], []
+        hs, whos = [], []
         for b in p.blob:
             n = int.from_bytes(b[:8], "little")
             hs.append(unpack(b[8 : 8 + n]))
-            whos.append(np.ascontiguousarray(np.frombuffer(z.decompress(b[8 + n :]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel())
+            whos.append(spread(b[8 + n :], "<u4"))
         flush = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
         h, who = np.concatenate(hs), np.concatenate(whos)
         o = np.argsort(h, kind="stable")
@@ -134,13 +132,12 @@ def shared_hashes(sets: DataFrame) -> DataFrame:
         keep = keep[np.argsort(flush[keep], kind="stable")]
         edge = np.searchsorted(flush[keep], np.arange(len(hs) + 1))
         out = []
-        c = zstandard.ZstdCompressor(1)
         for i in range(len(hs)):
             k = keep[edge[i] : edge[i + 1]]
             if len(k):
-                table = np.empty(len(k), [("h", "<u8"), ("who", "<u4"), ("df", "<u4")])
+                table = np.empty(len(k), SHARED)
                 table["h"], table["who"], table["df"] = h[k], who[k], df[k]
-                out.append((p.flush.iloc[i], 1, c.compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 16).T).tobytes())))
+                out.append((p.flush.iloc[i], 1, squeeze(table)))
         return pd.DataFrame(out, columns=["flush", "kind", "blob"])
 
     return sets.groupBy("range").applyInPandas(run, "flush long, kind int, blob binary")
@@ -150,10 +147,9 @@ def documents_of(shared: DataFrame) -> DataFrame:
     """doc_id, n, digest of every document, and hashes (a packed array, rare first) of those that may link."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        z = zstandard.ZstdDecompressor()
         head = pa.ipc.open_stream(p.blob[p.kind == 0].iloc[0]).read_all()
         n = head.column("n").to_numpy()
-        tables = [np.ascontiguousarray(np.frombuffer(z.decompress(b), np.uint8).reshape(16, -1).T).view([("h", "<u8"), ("who", "<u4"), ("df", "<u4")]).ravel() for b in p.blob[p.kind == 1]]
+        tables = [spread(b, SHARED) for b in p.blob[p.kind == 1]]
         hashes = [None] * len(n)
         if tables:
             t = np.concatenate(tables)
