@@ -5,7 +5,7 @@ before it in the word, so inflected and compound forms of an expression share th
 discounts its own counts of the longest context and backs off to one distribution that both classes share, built from
 the pooled continuation counts of the shorter contexts; what is too rare to tell the classes apart gets nearly the same
 probability from both. A document's score is a logistic function of the difference of the two length-normalised
-log-likelihoods, taken over its worst passage.
+log-likelihoods, taken over the words that speak most for toxicity: one in fifty.
 
 Edge cases: a null or empty text has no words, its difference is 0; a null doc_id keeps its row and is never trained
 on; extra columns are ignored; without both classes the score is the prior.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-PASSAGE = 10
+WORST = 50
 EDGE = ".,;:!?\"'()[]{}*#$%&|-_"
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
@@ -118,16 +118,18 @@ def log_ratio_model(toxic: list[list[str]], ordinary: list[list[str]], order: in
     return LogRatios(out, order)
 
 
-def worst_passage(docs: list[list[str]], m: LogRatios) -> np.ndarray:
-    """Length-normalised difference of the log-likelihoods in each document's worst passage (0 without words).
+def worst_words(docs: list[list[str]], m: LogRatios) -> np.ndarray:
+    """Length-normalised difference of the log-likelihoods of each document's worst words (0 without words).
 
-    Every run of PASSAGE words is looked at, so a long document does not dilute what it says in one place; a shorter
-    document counts as one passage. A word repeated at once counts once.
+    One word in WORST is looked at, two at least, so what a text says in a few places is not diluted by the rest, and a
+    long text needs as large a share of such words as a short one. A word repeated at once counts once.
     """
     out = np.zeros(len(docs))
     for i, d in enumerate(docs):
-        total = np.cumsum([0.0, *map(m.__getitem__, (w for w, _ in groupby(d)))])
-        out[i] = (total[PASSAGE:] - total[:-PASSAGE]).max() / PASSAGE if len(total) > PASSAGE else total[-1] / PASSAGE
+        r = np.array([m[w] for w, _ in groupby(d)])
+        if len(r):
+            k = min(max(2, len(r) // WORST), len(r))
+            out[i] = np.partition(r, len(r) - k)[len(r) - k :].mean()
     return out
 
 
@@ -139,7 +141,7 @@ def fit(docs: list[tuple[str, int]], order: int = 4, discount: float = 0.75) ->
     sides = [[words(t) for t, y in docs if y == k] for k in (1, 0)]
     m = log_ratio_model(*[[d for i, d in enumerate(s) if i % 4 or len(s) < 8] for s in sides], order, discount)
     rest = [[d for i, d in enumerate(s) if not i % 4 or len(s) < 8] for s in sides]
-    x = np.concatenate([worst_passage(s, m) for s in rest])
+    x = np.concatenate([worst_words(s, m) for s in rest])
     y = np.repeat([1.0, 0.0], [len(s) for s in rest])
     scale = max(x.std(), 1e-6)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: in
 
 
 def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
-    z = model["a"] * worst_passage([words(t or "") for t in texts], model["m"]) + model["b"]
+    z = model["a"] * worst_words([words(t or "") for t in texts], model["m"]) + model["b"]
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
