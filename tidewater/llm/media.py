@@ -185,8 +185,8 @@ def read_back(store: DataFrame) -> DataFrame:
                     got.append((r["object"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), READ)], schema=READ)
 
-    # an object without shared chunks may be stored by several tasks if its digests were false alarms elsewhere: keep one
-    return rows.mapInArrow(run, READ_DDL).dropDuplicates(["object"])
+    # an object stored by two tasks has all its digests twice, so `alone` holds no object twice
+    return rows.mapInArrow(run, READ_DDL)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
