@@ -356,3 +356,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.spike for r in spark.table("points").orderBy("event_id").collect()] == [False, False, True]
+
+
+def test_orders(spark):
+    from tidewater.operators import orders
+
+    rng = np.random.default_rng(2)
+    xs = sorted(set(rng.normal(size=500).tolist()))
+    df = spark.createDataFrame([(x, i % 3) for i, x in enumerate(xs)], "x double, n int")
+    got = orders.running(df, "x", ["n"], buckets=7).orderBy("x").collect()
+    assert [r.n_before for r in got] == [sum(i % 3 for i in range(k)) for k in range(len(xs))] and {r.n_total for r in got} == {sum(i % 3 for i in range(len(xs)))}
+    down = orders.running(df, "x", ["n"], descending=True, buckets=7).orderBy("x").collect()
+    assert all(a.n_before + b.n_before + a.n == a.n_total for a, b in zip(got, down))
+    assert [r.k for r in orders.numbered(df, "x", "k").orderBy("x").collect()] == list(range(1, len(xs) + 1))
+    many = spark.createDataFrame([(g, float(v)) for g, n in ((0, 1), (1, 2), (2, 101), (3, 100)) for v in rng.integers(0, 20, n)], "g int, v double")
+    want = {g: float(np.median([r.v for r in many.collect() if r.g == g])) for g in range(4)}
+    assert {r.g: r.median for r in orders.medians(many, "g", "v", 8).collect()} == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max
+from .orders import running
 
 
 def calibrate(fit: DataFrame, scores: DataFrame, method: str = "empirical_percentile", clip: bool = True) -> DataFrame:
@@ -22,19 +23,10 @@ def calibrate(fit: DataFrame, scores: DataFrame, method: str = "empirical_percen
     return empirical_percentile(fit, scores)
 
 
-def empirical_percentile(fit: DataFrame, scores: DataFrame, buckets: int = 64) -> DataFrame:
-    """Right-inclusive empirical distribution of the fitted scores at each score.
-
-    Equal scores are counted first. Ranges of scores are summed by a window over one row for each range, the scores of a
-    range by a window in the range: no task sees the whole order.
-    """
+def empirical_percentile(fit: DataFrame, scores: DataFrame) -> DataFrame:
+    """Right-inclusive empirical distribution of the fitted scores at each score; equal scores are counted first."""
     counts = fit.groupBy("score").agg(F.count("*").alias("k")).union(scores.select("score", F.lit(0).cast("long").alias("k"))).groupBy("score").agg(F.sum("k").alias("k"))
-    edges = counts.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 1000).alias("e"))
-    ranged = counts.crossJoin(F.broadcast(edges)).select("score", "k", F.coalesce(F.size(F.filter("e", lambda x: x < F.col("score"))), F.lit(0)).alias("b"))
-    sums = ranged.groupBy("b").agg(F.sum("k").alias("t"))
-    before = sums.select("b", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(Window.partitionBy()).alias("n"))
-    inside = ranged.withColumn("c", F.sum("k").over(Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
-    cdf = inside.join(F.broadcast(before), "b").select(F.col("score").alias("_s"), F.round((F.col("before") + F.col("c")) / F.col("n"), 6).alias("calibrated"))
+    cdf = running(counts, "score", ["k"]).select(F.col("score").alias("_s"), F.round((F.col("k_before") + F.col("k")) / F.col("k_total"), 6).alias("calibrated"))
     return scores.join(cdf, F.col("score") == F.col("_s")).drop("_s")
 
 
@@ -67,10 +59,10 @@ def confusion(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
-    """Positives and negatives of each distinct score with their counts above; windows run over distinct scores."""
+    """Positives and negatives of each distinct score with their counts above."""
     g = scored.where("label is not null").groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"), "n")
+    above = running(g, "score", ["pos", "n"], descending=True)
+    return above.select("score", "pos", (F.col("n") - F.col("pos")).alias("neg"), F.col("pos_before").alias("pos_above"), F.col("n_before").alias("above"), "n")
 
 
 def auroc(scored: DataFrame) -> DataFrame:

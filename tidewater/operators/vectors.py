@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import l2, min_max, similarity, weighted, zero_if_odd
+from .orders import medians, numbered
 
 METRICS = ("euclidean", "cosine")
 
@@ -86,9 +87,9 @@ def neighbour_distance(vectors: DataFrame) -> DataFrame:
 def robust_z(vectors: DataFrame) -> DataFrame:
     """id, distance: L2 of (x - median) / (1.4826 MAD); dimensions with a vanishing MAD add 0."""
     x = vectors.select("id", F.posexplode("v").alias("i", "x"))
-    med = x.groupBy("i").agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    mad = x.join(F.broadcast(med), "i").groupBy("i").agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)).alias("d"))
-    # a row for each dimension
+    med = medians(x, "i", "x").withColumnRenamed("median", "m")
+    away = x.join(F.broadcast(med), "i").select("i", F.abs(F.col("x") - F.col("m")).alias("a"))  # a row for each dimension
+    mad = med.join(medians(away, "i", "a").withColumnRenamed("median", "d"), "i")
     both = mad.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("d") > 1e-12, 1.4826 * F.col("d")).alias("s")))).alias("r"))
     z = F.zip_with("v", "r", lambda x, r: F.coalesce((x - r["m"]) / r["s"], F.lit(0.0)))
     return vectors.crossJoin(F.broadcast(both)).select("id", F.round(F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("distance"))
@@ -137,9 +138,8 @@ STRATEGIES = {
 }
 
 
-def candidates(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """Ranked by (-score, id); ids of anomalies number the rows by id, not by rank."""
-    n = Window.orderBy("id")
-    out = scored.withColumn("anomaly_id", F.format_string("anomaly-%04d", F.row_number().over(n)))
-    out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    return out if k is None else out.where(F.col("rank") <= k)
+def candidates(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The k best by (-score, id) with their rank; anomaly ids number all rows by id, not by rank."""
+    out = numbered(scored, "id", "n").orderBy(F.desc("score"), "id").limit(k)
+    out = out.withColumn("anomaly_id", F.format_string("anomaly-%04d", "n")).drop("n")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
