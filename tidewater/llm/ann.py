@@ -115,8 +115,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: int) -> pd.DataFrame:
-    """Each query's best k rows of a shard: approximate scores by lookup, exact cosine for the best `rerank` vectors."""
+def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: float) -> pd.DataFrame:
+    """Each query's best k rows of a shard: approximate scores by lookup, exact cosine for the best share `rerank` of the vectors."""
     rows = rows.sort_values("vec_id", kind="stable")
     ids, v = rows.vec_id.to_numpy(), np.stack(rows.v)
     # equal vectors: one entry each; only the first k + 1 ids of an entry can be among a query's k nearest
@@ -134,7 +134,7 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
         for m in range(len(books)):
             approx += table[:, m, codes[:, m]]
         approx /= norm
-        r = min(rerank, len(first))
+        r = min(max(int(rerank * len(first)), 64), len(first))
         best = np.argpartition(-approx, r - 1, 1)[:, :r] if r < len(first) else np.tile(np.arange(r), (len(q), 1))
         for i in range(len(q)):
             s = cosine(np.broadcast_to(q[i], (r, q.shape[1])), own[best[i]])
@@ -146,13 +146,17 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, rerank: int = 1536, shard_rows: int = 8192, block: int = 64, **sizes) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds."""
+def search(vectors: DataFrame, is_query, k: int = 5, rerank: float = 0.1875, shard_rows: int = 32768, block: int = 64, **sizes) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
+
+    A shard holds at most about shard_rows rows, fewer while there are cores for more shards.
+    """
     v = usable(vectors)
     index, books = build_index(v, **sizes)
     shared = v.sparkSession.sparkContext.broadcast(books)
     n = v.count()
-    shards = max(1, -(-n // shard_rows))
+    cores = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-n // shard_rows), min(cores, n // 2048))
     rows = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(shards)))
     asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
 
