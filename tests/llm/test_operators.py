@@ -253,7 +253,7 @@ def test_tampering_is_noticed():
     import zstandard
 
     own = zstandard.ZstdCompressor().compress(b"".join(struct.pack("<I", len(c)) + c for c in parts))
-    digests = [hashlib.sha256(c).digest() for c in parts]
+    digests = [media.digest_of(c) for c in parts]
     assert media.put_together(hashlib.sha256(p).digest(), digests, [], own, {}) == p
     with pytest.raises(ValueError):
         media.put_together(hashlib.sha256(p).digest(), digests[::-1], [], own, {})

@@ -78,6 +78,11 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return out
 
 
+def digest_of(chunk: bytes) -> bytes:
+    """128 bits name a chunk; the object's SHA-256 is checked as well when it is read back."""
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
 def key_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
@@ -97,7 +102,7 @@ def index(docs: DataFrame) -> DataFrame:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p, n = payload_of(t)
-                rows.append((d, n, hashlib.sha256(p).digest(), [hashlib.sha256(c).digest() for c in chunks_of(p)]))
+                rows.append((d, n, hashlib.sha256(p).digest(), [digest_of(c) for c in chunks_of(p)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, INDEX)], schema=INDEX)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, object binary, digests array<binary>")
@@ -121,7 +126,7 @@ def write_store(docs: DataFrame, shared_digests: BitFilter) -> DataFrame:
                         continue
                     objects.add(name)
                     parts = chunks_of(p)
-                    digests = [hashlib.sha256(c).digest() for c in parts]
+                    digests = [digest_of(c) for c in parts]
                     apart = np.flatnonzero(bits.value.has(np.array([key_of(d) for d in digests], np.int64))).tolist()
                     mine = set(apart)
                     own = z.compress(b"".join(struct.pack("<I", len(c)) + c for i, c in enumerate(parts) if i not in mine))
@@ -154,7 +159,7 @@ def put_together(name: bytes, digests: list[bytes], shared: list[int], own: byte
             (n,) = struct.unpack_from("<I", raw, at)
             c = raw[at + 4 : at + 4 + n]
             at += 4 + n
-        if hashlib.sha256(c).digest() != d:
+        if digest_of(c) != d:
             raise ValueError("a stored chunk does not match its digest")
         parts.append(c)
     samples = b"".join(parts)

@@ -312,7 +312,7 @@ def cluster_links(members: DataFrame, block: int) -> DataFrame:
     return first.union(second)
 
 
-def near_duplicates(docs: DataFrame, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     parts = docs.rdd.getNumPartitions()
