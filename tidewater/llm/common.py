@@ -106,6 +106,20 @@ def spread(blob: bytes, dtype: list | str) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(dtype).ravel()
 
 
+def sized(*parts: bytes) -> bytes:
+    """The parts, each after its length."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def parts_of(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
