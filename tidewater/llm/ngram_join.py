@@ -2,7 +2,8 @@
 
 1. Every document becomes the set of hashes of its five-word shingles. Tasks send sorted stretches of hashes, packed,
    to the range they fall in; a range counts in how many documents each hash occurs and sends the shared ones back.
-   A document links only if three quarters of its hashes are shared, so most documents end here, and for the others the
+   A hash that several documents of one stretch hold goes there once, with their number, so a hash that is everywhere
+   costs a range one entry a stretch; which documents hold it stays with the stretch. A document links only if three quarters of its hashes are shared, so most documents end here, and for the others the
    shared hashes are all that an overlap can hold.
 2. Equal sets are one class, with its smallest doc_id in front.
 3. Hashes are ordered from rare to common. Two sets that link share a hash among the first quarter of each (and one
@@ -34,14 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, cut, grams, mix, pack, spread, squeeze, unpack
+from .common import Hashes, components, cut, grams, mix, pack, parts_of, sized, spread, squeeze, unpack
 
 SHINGLE = 5
 BITS = 56
 #: Similarity as a ratio of whole numbers, so that the test is exact.
 UP, DOWN = 75, 100
 FLUSH = 3_000_000
-SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u4")]
+SENT = [("who", "<u4"), ("n", "<u4")]
+SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u8")]
+#: In place of a document: several of the stretch hold the hash.
+SEVERAL = 0xFFFFFFFF
 #: Classes of which no row has a doc_id get numbers from here on among the others; ids lie below.
 NAMELESS = 1 << 62
 
@@ -91,19 +95,24 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, frame.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(frame)
-        rows = [(-1 - flush % ranges, flush, sink.getvalue().to_pybytes())]
         seen: set[bytes] = set()
         first = [not (g in seen or seen.add(g)) for g in digests]  # equal sets send their hashes once
         h = np.concatenate([s for s, f in zip(sets, first) if f] or [np.empty(0, np.uint64)])
         who = np.repeat(np.flatnonzero(first), n[first]).astype(np.uint32)
         o = np.argsort(h, kind="stable")
         h, who = h[o], who[o]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        count = np.diff(np.append(start, len(h)))
+        several = np.repeat(count > 1, count)
+        rows = [(-1 - flush % ranges, flush, sized(sink.getvalue().to_pybytes(), pack(h[several]), squeeze(who[several])))]
+        table = np.empty(len(start), SENT)
+        table["who"], table["n"] = np.where(count > 1, SEVERAL, who[start]), count
+        h = h[start]
         step = (1 << BITS) // ranges + 1
         edge = np.searchsorted(h, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(step))
         for r in np.flatnonzero(np.diff(edge)):
             part = slice(edge[r], edge[r + 1])
-            head = pack(h[part])
-            rows.append((int(r), flush, len(head).to_bytes(8, "little") + head + squeeze(who[part])))
+            rows.append((int(r), flush, sized(pack(h[part]), squeeze(table[part]))))
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256]), ROWS)], schema=ROWS)
 
@@ -111,23 +120,19 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def shared_hashes(sets: DataFrame) -> DataFrame:
-    """(flush, kind, blob): each flush's hashes that occur in other documents too, with their counts; and its documents."""
+    """(flush, kind, blob): each flush's hashes that several documents hold, with their number; and its documents."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         if p.range.iloc[0] < 0:
             return pd.DataFrame({"flush": p.flush, "kind": 0, "blob": p.blob})
-        hs, whos = [], []
-        for b in p.blob:
-            n = int.from_bytes(b[:8], "little")
-            hs.append(unpack(b[8 : 8 + n]))
-            whos.append(spread(b[8 + n :], "<u4"))
+        both = [parts_of(b) for b in p.blob]
+        hs = [unpack(x) for x, _ in both]
         flush = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
-        h, who = np.concatenate(hs), np.concatenate(whos)
+        h, sent = np.concatenate(hs), np.concatenate([spread(x, SENT) for _, x in both])
         o = np.argsort(h, kind="stable")
-        h, who, flush = h[o], who[o], flush[o]
+        h, who, flush = h[o], sent["who"][o], flush[o]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        count = np.diff(np.append(start, len(h)))
-        df = np.repeat(count, count)
+        df = np.repeat(np.add.reduceat(sent["n"][o].astype(np.int64), start), np.diff(np.append(start, len(h))))
         keep = np.flatnonzero(df > 1)
         keep = keep[np.argsort(flush[keep], kind="stable")]
         edge = np.searchsorted(flush[keep], np.arange(len(hs) + 1))
@@ -147,12 +152,19 @@ def documents_of(shared: DataFrame) -> DataFrame:
     """doc_id, n, digest of every document, and hashes (a packed array, rare first) of those that may link."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        head = pa.ipc.open_stream(p.blob[p.kind == 0].iloc[0]).read_all()
+        head, several, holders = parts_of(p.blob[p.kind == 0].iloc[0])
+        head = pa.ipc.open_stream(head).read_all()
         n = head.column("n").to_numpy()
         tables = [spread(b, SHARED) for b in p.blob[p.kind == 1]]
         hashes = [None] * len(n)
         if tables:
             t = np.concatenate(tables)
+            one = t["who"] != SEVERAL
+            found = np.sort(t[~one], order="h")
+            own = np.empty(len(several := unpack(several)), SHARED)
+            own["h"], own["who"] = several, spread(holders, "<u4")
+            own["df"] = found["df"][np.searchsorted(found["h"], several)]
+            t = np.concatenate([t[one], own])
             t = t[np.lexsort((t["h"], t["df"], t["who"]))]
             edge = np.searchsorted(t["who"], np.arange(len(n) + 1))
             for i in np.flatnonzero((np.diff(edge) >= -(-UP * n // DOWN)) & (n > 0)):
