@@ -1,8 +1,8 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models have the same order, smoothing and vocabulary, which is every word of the documents. The target model is counted on
-the target texts, the background model on every document. A document's score is its mean loss per token under the
-target model less that under the background model; the lower, the more the document is like the target.
+Both models have the same order, smoothing and vocabulary, which is every word of the documents. The target model is
+counted on the target texts, the background model on every document. A document's score is its mean loss per token under
+the target model less that under the background model; the lower, the more the document is like the target.
 
     P(w | v) = (c(v w) + mu * P(w)) / (c(v) + mu)
     P(w) = (c(w) + nu * B(w)) / (N + nu),   B(w) = the word's share of the documents' words
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import Hashes, mix, pack, parts_of, sized, spread, squeeze, unpack
 
 BITS = 56
-FLUSH = 2_000_000
+#: Tokens that a task counts at a time.
+FLUSH = 800_000
 #: The start of a text; hashes of words have 63 bits.
 START = np.uint64((1 << 64) - 1)
 ROWS = pa.schema([("range", pa.int32()), ("side", pa.int32()), ("flush", pa.int64()), ("blob", pa.binary())])
