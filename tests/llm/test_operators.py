@@ -98,6 +98,24 @@ def test_host_consensus_rescues_a_page(spark):
     assert got[9] == ("small article " * 10).strip()
 
 
+def test_extraction_takes_the_whole_article(spark):
+    """Title and lead beside the body, columns beside each other, and a page of another layout on a known host."""
+    nav = "<nav><a href=/>Home</a></nav><div class='links'><a href=/a>one link and another</a></div>"
+    page = lambda inner: f"<html><body>{nav}{inner}<footer>c</footer></body></html>"
+    lead, body = "lead words " * 4, "body words " * 60
+    article = lambda i, tag: page(f"<{tag} class='{'post' if tag == 'div' else ''}'><h1>Title {i}</h1><div class='lead'><p>{lead}</p></div><div class='body'><p>{body}</p></div></{tag.split()[0]}>")
+    halves = lambda i: page(f"<h1>Title {i}</h1><div class='left'><p>{body}</p></div><div class='ad'>Buy</div><div class='right'><p>{lead * 5}</p></div>")
+    rows = [(i, f"http://a.example/{i}", article(i, "article")) for i in range(4)] + [(i, f"http://b.example/{i}", article(i, "div")) for i in range(10, 14)]
+    rows += [(i, f"http://c.example/{i}", halves(i)) for i in range(20, 24)]
+    rows += [(30, "http://a.example/30", page(f"<article><div class='body'><p>{lead * 5}</p></div></article><div class='special'><p>{'other words ' * 55}</p></div>"))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in [*range(4), *range(10, 14)]:
+        assert got[i] == f"Title {i} {lead}{body}".strip()
+    for i in range(20, 24):
+        assert got[i] == f"Title {i} {body}{lead * 5}".strip()
+    assert got[30] == f"{lead * 5}{'other words ' * 55}".strip()
+
+
 def test_extraction_of_test_pages(spark):
     import html as h
     import re

@@ -1,10 +1,13 @@
 """Main text of web pages by consensus host paths.
 
-Every page scores its containers by the text they hold directly, less what is links. Each container's path, made of
-tags and classes with digits taken out, gets the page's votes; Spark adds the votes up by host, and the path with most
-votes wins. Then each page is read again: the text of the elements on its host's winning path, without menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. A page of another layout, where the
-winning path finds less than a quarter of the text of the page's own best container, uses its own best container.
+Every page measures its containers: the text they hold directly, less what is links, and the text in and below them.
+Each container's path, made of tags and classes with digits taken out, gets the page's votes; Spark adds them up by host.
+The path with most votes wins, and with it every path that holds a share of the text on half of the pages that have it.
+A winner stands for the article or main that holds it, or else for the highest element that adds more than links. Then
+each page is read again: the text of the elements on its host's winning paths, in page order, without menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. A page adds its own containers that hold
+a share of its text, unless many pages of the host have them and they did not win there; where the winning paths find
+less than a quarter of the text of the page's own best container, those count too.
 
 Edge cases: null or empty html gives an empty text; a null or odd url belongs to the host ''; a page without any
 container of text gives what its body holds; unclosed and stray tags are repaired as browsers do for the common cases;
@@ -17,6 +20,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,7 @@ NOISE = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
+NUMBERS = ("votes", "plain", "linked", "n", "large")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 SPLIT = re.compile(r"[^a-z]+")
 DIGITS = re.compile(r"[0-9]+")
@@ -143,9 +148,14 @@ def container(node: Node) -> Node | None:
     return node
 
 
-def votes(page: str) -> dict[str, float]:
-    """path -> score: text directly in the container's blocks, less its links; half of it goes to the parent too."""
-    out: dict[str, float] = {}
+def measure(page: str) -> dict[str, list[float]]:
+    """path -> [score, plain, linked, own] of a page's containers and all that hold them, noise left out.
+
+    score is the text directly in the container's blocks, less its links, and half of that of the containers directly
+    inside; plain and linked are the text outside and inside links in the container and below; own is the text directly
+    in its blocks, less its links.
+    """
+    out: dict[str, list[float]] = {}
     for kind, node, text in parse(page):
         if kind != "text" or node.noise:
             continue
@@ -155,24 +165,84 @@ def votes(page: str) -> dict[str, float]:
             while x is not None and x.tag in INLINE:
                 link |= x.tag == "a"
                 x = x.parent
-            box = container(node)
-            if box is not None and box.path:
+            box, depth = container(node), 0
+            while box is not None and box.path:
+                got = out.setdefault(box.path, [0.0, 0.0, 0.0, 0.0])
                 gain = -n if link else n
-                out[box.path] = out.get(box.path, 0.0) + gain
-                up = container(box.parent) if box.parent is not None else None
-                if up is not None and up.path:
-                    out[up.path] = out.get(up.path, 0.0) + gain / 2
-    return {p: s for p, s in out.items() if s > 0}
+                got[0] += gain if depth == 0 else gain / 2 if depth == 1 else 0
+                got[1 + link] += n
+                if depth == 0:
+                    got[3] += gain
+                box, depth = container(box.parent) if box.parent is not None else None, depth + 1
+    return out
 
 
 def best_of(found: dict[str, float]) -> str | None:
     return max(found, key=lambda p: (found[p], -len(p), p)) if found else None
 
 
-def text_at(page: str, path: str | None) -> str:
-    """Blocks of the elements on the path and below, in page order; None: the whole page."""
+def tag_of(path: str) -> str:
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def above(path: str) -> list[str]:
+    """The paths of what holds a path, from its parent upwards."""
+    at = [i for i, c in enumerate(path) if c == ">"]
+    return [path[:i] for i in reversed(at)]
+
+
+def within(path: str, others) -> bool:
+    return path in others or any(a in others for a in above(path))
+
+
+def climb(path: str, found: dict, stop=frozenset()) -> str:
+    """The article or main that holds a path, or else the highest element below body that adds no text but mostly links."""
+    top, up = path, [a for a in above(path) if tag_of(a) not in ("html", "body")]
+    for a in up:
+        if tag_of(top) == "article":
+            break
+        if tag_of(a) == "article" or tag_of(a) == "main" and tag_of(top) != "main":
+            top = a
+    for a in up[up.index(top) + 1 if top in up else 0 :]:
+        if a in stop or tag_of(top) == "main" or tag_of(top) == "article" and tag_of(a) != "main":
+            break
+        if a not in found:  # holds blocks only, as a table or list item does
+            continue
+        plain, linked = found[a][1] - found[top][1], found[a][2] - found[top][2]
+        if linked > plain / 2 + 1e-9:
+            break
+        top = a
+    return top
+
+
+#: The share of a page's text outside links from which a container beside the best one counts as part of the article.
+SHARE = 0.05
+
+
+def chosen(found: dict, also: list[str], stop=frozenset()) -> list[str]:
+    """The paths of the article: the best container and the others that `also` lists, each with what holds it."""
+    best = best_of({p: f[0] for p, f in found.items() if f[0] > 0})
+    if best is not None and tag_of(best) in ("html", "body"):
+        return [best]
+    return climbed([best, *also] if best is not None else also, found, stop)
+
+
+def climbed(paths: list[str], found: dict, stop=frozenset()) -> list[str]:
+    tops = {climb(p, found, stop) for p in paths if tag_of(p) not in ("html", "body")}
+    return sorted(p for p in tops if not any(a in tops for a in above(p)))
+
+
+def strong(own: dict[str, list[float]]) -> list[str]:
+    """Containers that hold a share of the page's text themselves, their links taken off."""
+    total = max((f[1] for f in own.values()), default=0.0)
+    return [p for p, f in own.items() if f[3] > 0 and f[3] >= SHARE * total]
+
+
+def text_at(page: str, paths: list[str] | None) -> str:
+    """Blocks of the elements on the paths and below, in page order, and first headings beside them; None: the whole page."""
     blocks, now = [], []
-    below = f"{path}>" if path is not None else ""
+    known: dict[str, bool] = {}
+    round_them = {a for p in paths or () for a in above(p)}
 
     def flush() -> None:
         if now:
@@ -184,41 +254,86 @@ def text_at(page: str, path: str | None) -> str:
     for kind, node, text in parse(page):
         if kind == "break":
             flush()
-        elif not node.noise and (path is None or node.path == path or node.path.startswith(below)):
-            now.append(text)
+        elif not node.noise:
+            path = node.path
+            inside = known.get(path)
+            if inside is None:
+                # a title directly in what holds the article
+                title = tag_of(path) == "h1" and path.rpartition(">")[0] in round_them
+                inside = known[path] = paths is None or within(path, paths) or title
+            if inside:
+                now.append(text)
     flush()
     return " ".join(blocks)
 
 
-def extract(page: str | None, winner: str | None) -> str:
+def extract(page: str | None, winners: str | None, others: str | None = None) -> str:
+    """The text of a page at its host's winning paths and at its own, if the host does not know them as others."""
     page = page or ""
-    own = votes(page)
-    best = best_of(own)
-    if winner is not None and own.get(winner, 0.0) >= 0.25 * (own[best] if best else 0) and winner in own:
-        return text_at(page, winner)
-    return text_at(page, best)
+    own = measure(page)
+    best = best_of({p: f[0] for p, f in own.items() if f[0] > 0})
+    host = [p for p in (winners or "").split() if p in own and own[p][1] > 0]
+    whole = any(tag_of(p) in ("html", "body") for p in host)
+    few = bool(host) and best is not None and max(own[p][0] if whole else own[p][1] for p in host) < 0.25 * own[best][0]
+    if not host or whole and few:
+        return text_at(page, chosen(own, strong(own)) or None)
+    if whole:
+        return text_at(page, host)
+    listed, holds = set((others or "").split()), {a for p in host for a in above(p)}
+    if few:
+        mine = chosen(own, strong(own), listed | holds)
+    else:
+        mine = [p for p in climbed(strong(own), own, listed | holds) if p not in holds and not within(p, listed - holds)]
+    return text_at(page, sorted({*host, *mine}))
+
+
+#: A path takes part in its host's choice if at least one page in so many has it, so a host has a bounded number of them.
+RARE = 20
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes of each host; ties go to the smallest path."""
+    """host, path, others: the winning paths of each host, parted by spaces, and its other paths that many pages have.
+
+    Beside the path with most votes, those win that hold a share of the text on half of the pages that have them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("host", pa.string()), ("path", pa.string()), *[(c, pa.float64()) for c in NUMBERS]])
         for b in batches:
-            got: dict[tuple[str, str], float] = {}
+            got: dict[tuple[str, str], list[float]] = {}
             for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = votes(h or "")
-                total = sum(own.values())
-                for p, s in own.items():
-                    got[host_of(u), p] = got.get((host_of(u), p), 0.0) + s / total
-            yield pa.RecordBatch.from_pydict({"host": [k[0] for k in got], "path": [k[1] for k in got], "votes": list(got.values())}, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.float64())]))
+                own, host = measure(h or ""), host_of(u)
+                if not own:
+                    continue
+                votes = sum(f[0] for f in own.values() if f[0] > 0) or 1.0
+                total = max(f[1] + f[2] for f in own.values())
+                large = set(strong(own))
+                got.setdefault((host, ""), [0.0] * 5)[3] += 1  # pages of the host
+                for p, f in own.items():
+                    row = got.setdefault((host, p), [0.0] * 5)
+                    for i, x in enumerate((max(f[0], 0) / votes, f[1] / total, f[2] / total, 1, p in large)):
+                        row[i] += x
+            yield pa.RecordBatch.from_pydict({"host": [k[0] for k in got], "path": [k[1] for k in got], **{c: [v[i] for v in got.values()] for i, c in enumerate(NUMBERS)}}, schema=out)
 
     cast = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-    added = cast.mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    return added.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    added = cast.mapInArrow(run, "host string, path string, " + ", ".join(f"{c} double" for c in NUMBERS)).groupBy("host", "path").agg(*[F.round(F.sum(c), 6).alias(c) for c in NUMBERS])
+    added = cut(added, "paths")
+    many = added.where("path = ''").select("host", F.col("n").alias("of"))
+    common = added.where("path <> ''").join(many, "host").where(F.col("n") * RARE >= F.col("of")).drop("of")
+
+    def choose(p: pd.DataFrame) -> pd.DataFrame:
+        found = {r.path: (r.votes, r.plain, r.linked) for r in p.itertuples()}
+        won = chosen(found, [r.path for r in p.itertuples() if r.large and 2 * r.large >= r.n])
+        # what holds a winner and what is beside it; what is below belongs to it
+        rest = [x for x in sorted(found) if not within(x, won)]
+        return pd.DataFrame([(p.host.iloc[0], " ".join(won), " ".join(rest))], columns=["host", "path", "others"])
+
+    # a bounded number of paths for each host
+    return common.groupBy("host").applyInPandas(choose, "host string, path string, others string")
 
 
 def extract_pages(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
-    """page_id, url, text, n_chars, host, path (the winning one) for every row of pages.
+    """page_id, url, text, n_chars, host, path (the winning ones, parted by spaces) for every row of pages.
 
     The winners are broadcast while they are at most `broadcast_hosts` rows; beyond that Spark joins them by host, where
     it may split a large host's pages.
@@ -227,12 +342,12 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
     small = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
     host = F.coalesce(F.lower(F.regexp_replace(F.regexp_extract(F.trim(F.col("url").cast("string")), HOST.pattern, 1), r"\.+$", "")), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    rows = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "host", "path")
+    rows = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "host", "path", "others")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string()), ("path", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, p) for h, p in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+            texts = [extract(h, p, o) for h, p, o in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3), b.column(4)], schema=out)
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long, host string, path string")
