@@ -180,6 +180,23 @@ def test_coreset(spark):
         reference.farthest_first(v, 1.0, 3, limit=2)
 
 
+def test_coreset_of_many_vectors(spark):
+    """More vectors than one task used to take, against a loop over all; few brought at once, so there are many passes."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(10_500, 3)), 1)  # with equal vectors and equal distances
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    at, want, far = 7, [], np.full(len(x), np.inf)
+    for _ in range(40):
+        want.append(at)
+        far = np.minimum(far, ((x - x[at]) ** 2).sum(1))
+        far[at] = -1
+        at = int(far.argmax())
+    for ahead in (4, 1024):
+        assert [r.id for r in reference.farthest_first(df, 0.1, 40, seed=7, ahead=ahead).orderBy("position").collect()] == want
+    same = spark.createDataFrame([(i, [1.0]) for i in range(9)], "id long, v array<double>")
+    assert [r.id for r in reference.farthest_first(same, 1.0, 9, seed=2, ahead=2).orderBy("position").collect()] == [2, 0, 1, 3, 4, 5, 6, 7, 8]
+
+
 # --- calibration and evaluation -------------------------------------------------------------------------------------
 
 
