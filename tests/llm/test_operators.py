@@ -440,6 +440,35 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_queries_stream_past_a_shard():
+    """Hits of a part of the queries come before the next part is asked for; a part can hold the end of a shard."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 8))
+    books = ann.fit(ann.unit(v), books=4, words=8)
+    codes = ann.beam_encode(ann.unit(v), books, 4)
+    norm = np.linalg.norm(books[np.arange(4), codes].sum(1), axis=1)
+    rows = pd.DataFrame({"vec_id": range(60), "v": list(v), "codes": [c.astype("<i2").tobytes() for c in codes], "norm": norm, "shard": 0, "asks": 0})
+    rows.loc[rows.vec_id >= 30, "shard"] = 2
+    whole = pd.concat([x for s in (0, 1, 2) for x in (rows[rows.shard == s], rows.assign(shard=s, asks=1, codes=None, norm=None))])
+    taken, seen, got = [], [], []
+
+    def parts():
+        for i in range(0, len(whole), 7):
+            taken.append(i)
+            yield whole.iloc[i : i + 7]
+
+    for p in ann.search_sorted(parts(), books, 5, 1.0, 4):
+        seen.append(len(taken))
+        got += [(r.query_id, r.score, r.vec_id) for r in p.itertuples()]
+        assert p.query_id.nunique() <= 4
+    assert len(set(seen)) > 15
+    want = brute_nearest(np.arange(60), v, range(60))
+    for q, w in want.items():
+        assert [i for _, i in sorted((-s, i) for a, s, i in got if a == q)[:5]] == [i for i, _ in w]
+
+
 # --- op9 ------------------------------------------------------------------------------------------------------------
 
 

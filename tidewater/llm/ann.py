@@ -6,7 +6,8 @@ The index holds each vector's words, the stored norm of their sum, and the vecto
 words are a lookup table; adding up the table's entries for a row and dividing by the stored norm gives its approximate
 cosine. Each shard keeps the best rows by that score and reranks them by the exact cosine.
 
-Queries meet the rows in blocks: rows lie in shards, and each shard gets the queries in blocks of bounded size.
+Queries meet the rows in blocks: rows lie in shards, and a task holds one shard while the queries stream past it in
+blocks of bounded size; Spark sorts them behind the shard's rows. So neither side is held whole, and no row is repeated.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 a query does not find its own row, nor other rows of its id; with fewer candidates than k all are returned; ties go to
@@ -17,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -115,8 +117,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: float) -> pd.DataFrame:
-    """Each query's best k rows of a shard: approximate scores by lookup, exact cosine for the best share `rerank` of the vectors."""
+def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: float) -> Iterator[pd.DataFrame]:
+    """For each block of queries, their best k rows of a shard: approximate scores by lookup, exact cosine for the best share `rerank` of the vectors."""
     rows = rows.sort_values("vec_id", kind="stable")
     ids, v = rows.vec_id.to_numpy(), np.stack(rows.v)
     # equal vectors: one entry each; only the first k + 1 ids of an entry can be among a query's k nearest
@@ -127,8 +129,8 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
     codes = np.stack([np.frombuffer(c, "<i2") for c in rows.codes.to_numpy()[first]]).astype(np.int64)
     norm = np.maximum(rows.norm.to_numpy()[first], 1e-12)
     own = v[first]
-    out = []
     for qid, q in queries:
+        out = []
         table = np.einsum("qd,mkd->qmk", unit(q), books)
         approx = np.zeros((len(q), len(first)))
         for m in range(len(books)):
@@ -143,7 +145,35 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
             hit = [(ids[x], s[t]) for t in top if s[t] >= kth for x in [y for y in order[start[best[i][t]] : start[best[i][t] + 1]] if ids[y] != qid[i]][:k]]
             hit.sort(key=lambda h: (-h[1], h[0]))
             out += [(qid[i], h[0], h[1]) for h in hit[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
+def search_sorted(parts: Iterator[pd.DataFrame], books: np.ndarray, k: int, rerank: float, block: int) -> Iterator[pd.DataFrame]:
+    """search_shard for the shards of a partition that holds each shard's rows (asks = 0) and then its queries (asks = 1).
+
+    One shard and one part of the queries are in memory at a time.
+    """
+
+    def runs() -> Iterator[tuple[int, int, pd.DataFrame]]:
+        for p in parts:
+            key = p.shard.to_numpy() * 2 + p.asks.to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(p)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield int(p.shard.iloc[a]), int(p.asks.iloc[a]), p.iloc[a:b]
+
+    def blocks(group: Iterator[tuple[int, int, pd.DataFrame]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, p in group:
+            for i in range(0, len(p), block):
+                q = p.iloc[i : i + block]
+                yield q.vec_id.to_numpy(), np.stack(q.v)
+
+    rows: tuple[int, pd.DataFrame] | None = None
+    for (shard, asks), group in groupby(runs(), lambda x: x[:2]):
+        if not asks:
+            rows = shard, pd.concat([p for _, _, p in group])
+        elif rows is not None and rows[0] == shard:  # a shard can be empty
+            yield from search_shard(rows[1], blocks(group), books, k, rerank)
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, rerank: float = 0.1875, shard_rows: int = 32768, block: int = 64, **sizes) -> DataFrame:
@@ -158,15 +188,14 @@ def search(vectors: DataFrame, is_query, k: int = 5, rerank: float = 0.1875, sha
     cores = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-n // shard_rows), min(cores, n // 2048))
     rows = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(shards)))
-    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    asked = v.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    nothing = (F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
+    both = rows.select("vec_id", "v", "codes", "norm", "shard", F.lit(0).alias("asks")).union(asked.select("vec_id", "v", *nothing, "shard", F.lit(1).alias("asks")))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        blocks = ((right.query_id.to_numpy()[i : i + block], np.stack(right.v[i : i + block])) for i in range(0, len(right), block))
-        return search_shard(left, blocks, shared.value, k, rerank)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return search_sorted(parts, shared.value, k, rerank, block)
 
-    parts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "query_id long, vec_id long, score double")
+    parts = both.repartition("shard").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
