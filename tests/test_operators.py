@@ -285,6 +285,17 @@ def test_diversity(spark):
     assert pick([(1, "a", 0, 0, "s64", 9.0, [1.0]), (2, "b", 0, 0, "s64", 8.0, [1.0]), (3, "c", 0, 0, "s128", 1.0, [1.0])]) == [1, 3]
 
 
+def test_diversity_of_scales(spark):
+    """A scale whose best patch lies in an image with three better ones of another scale; centres; vectors apart."""
+    schema = "id long, source string, x int, y int, w int, h int, scale string, score double, v array<double>"
+    big = [(i, "a", 100 * i, 0, 64, 64, "s64", 10.0 - i, [float(i)]) for i in range(4)]
+    rows = [*big, (10, "a", 1000, 0, 128, 128, "s128", 5.0, [50.0]), (11, "b", 0, 0, 128, 128, "s128", 1.0, [60.0]), (12, "b", 32, 32, 64, 64, "s64", 0.9, [61.0]), (13, "b", 100, 0, 64, 64, "s64", 0.8, [1.1])]
+    pick = lambda **k: [r.id for r in selection.diverse(spark.createDataFrame(rows, schema), 10, **k).orderBy("position").collect()]
+    assert pick() == pick(ahead=1) == [0, 10, 1, 11, 13]  # 12 has 11's centre
+    assert pick(least_embedding=1.0) == pick(least_embedding=1.0, ahead=1) == [0, 10, 1, 11]
+    assert pick(least_embedding=0.05) == [0, 10, 1, 11, 13]
+
+
 def test_leader_clusters(spark):
     rows = [(1, "a", 0, 0, "s", 3.0, [1.0, 0.0]), (2, "b", 0, 0, "s", 2.0, [0.99, 0.05]), (3, "b", 0, 0, "s", 1.0, [0.0, 1.0])]
     c = selection.leader_clusters(candidates(spark, rows).withColumn("position", F.col("id").cast("int")), 0.35)

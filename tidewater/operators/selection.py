@@ -11,28 +11,74 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import clamp
 
 
-def diverse(candidates: DataFrame, k: int, per_source: int = 3, least_pixels: float = 32.0) -> DataFrame:
-    """position and the columns of candidates (id, source, x, y, scale, score, ...): the k best by (-score, id) such that
-    a source has at most per_source and its choices lie least_pixels apart; the best of each scale goes first."""
+def fits(p: pd.DataFrame, picks: list[dict], per_source: int, least_pixels: float, least_embedding: float | None, new_scale: bool) -> np.ndarray:
+    """Which candidates the picks leave open."""
+    open_, count = np.ones(len(p), bool), np.zeros(len(p), int)
+    v = np.stack(p.v).astype(float) if least_embedding is not None and len(p) and picks else None
+    for x in picks:
+        same = (p.source == x["source"]).to_numpy() if x["source"] is not None else p.source.isna().to_numpy()
+        count += same
+        open_ &= (p.id != x["id"]).to_numpy() & ~(same & (np.hypot(p.cx - x["cx"], p.cy - x["cy"]).to_numpy() < least_pixels))
+        if new_scale:
+            open_ &= (p.of_scale != x["of_scale"]).to_numpy()
+        if v is not None:
+            open_ &= np.linalg.norm(v - np.asarray(x["v"], float), axis=1) >= least_embedding
+    return open_ & (count < per_source)
+
+
+def diverse(candidates: DataFrame, k: int, per_source: int = 3, least_pixels: float = 32.0, least_embedding: float | None = None, ahead: int = 1000) -> DataFrame:
+    """position and the columns of candidates (id, source, x, y, scale, score, ... and w, h where sizes differ): picks by
+    (-score, id) such that a source has at most per_source, its picks' centres lie least_pixels apart, and, if given, all
+    picks' vectors least_embedding. With several scales a first pass takes one of each new scale; k picks in all.
+
+    The first pass, and every pass with least_embedding, looks at the `ahead` best candidates that the picks leave open
+    until none are left: what picks rule out stays ruled out. Otherwise the sources go on each by itself.
+    """
+    size = lambda c: F.col(c) / 2 if c in candidates.columns else F.lit(0.0)
+    centres = ((F.col("x") + size("w")).cast("double").alias("cx"), (F.col("y") + size("h")).cast("double").alias("cy"))
+    candidates = candidates.persist()  # every pass reads them
+    slim = candidates.select("id", "source", F.coalesce("scale", F.lit("single-scale")).alias("of_scale"), "score", *centres, *(["v"] if least_embedding is not None else []))
+    picks: list[dict] = []
+
+    def go_on(new_scale: bool) -> None:
+        while len(picks) < k:
+            known = list(picks)
+
+            def left_open(parts):
+                for p in parts:
+                    yield p[fits(p, known, per_source, least_pixels, least_embedding, new_scale)]
+
+            best = slim.mapInPandas(left_open, slim.schema).orderBy(F.desc("score"), "id").limit(ahead).toPandas()
+            left = best
+            while len(left) and len(picks) < k:
+                picks.append(left.iloc[0].to_dict())
+                left = left[fits(left, picks, per_source, least_pixels, least_embedding, new_scale)]
+            if len(best) < ahead:
+                break
+
+    if slim.select("of_scale").distinct().limit(2).count() > 1:
+        go_on(True)
+    if least_embedding is not None:
+        go_on(False)
+    lead = {x["id"]: i for i, x in enumerate(picks)}
 
     def one_source(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        at, keep = p[["x", "y"]].to_numpy(float), []
-        for i in range(len(p)):
-            if len(keep) < per_source and all(np.hypot(*(at[i] - at[j])) >= least_pixels for j in keep):
+        p = p.assign(_lead=p.id.map(lambda i: lead.get(i, k)).astype("int32")).sort_values(["_lead", "score", "id"], ascending=[True, False, True], kind="stable")
+        w, h = (p[c] / 2 if c in p else 0 for c in ("w", "h"))
+        at, keep = np.column_stack([p.x + w, p.y + h]).astype(float), []
+        for i, first in enumerate(p._lead):
+            if first < k or least_embedding is None and len(keep) < per_source and all(np.hypot(*(at[i] - at[j])) >= least_pixels for j in keep):
                 keep.append(i)
         return p.iloc[keep]
 
-    kept = candidates.groupBy("source").applyInPandas(one_source, candidates.schema)
-    best = Window.partitionBy("scale").orderBy(F.desc("score"), "id")
-    # k rows of each scale at most go on
-    lead = kept.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).withColumn("_later", (F.col("_n") > 1).cast("int"))
-    top = lead.orderBy("_later", F.desc("score"), "id").limit(k)
-    return top.withColumn("position", F.row_number().over(Window.orderBy("_later", F.desc("score"), "id"))).drop("_n", "_later")
+    kept = candidates.groupBy("source").applyInPandas(one_source, StructType([*candidates.schema.fields, StructField("_lead", IntegerType())]))
+    order = ("_lead", F.desc("score"), "id")
+    return kept.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("_lead")
 
 
 def leader_clusters(selected: DataFrame, threshold: float = 0.35, limit: int = 10_000) -> DataFrame:
