@@ -488,6 +488,15 @@ def test_encoder_against_tokenizer(spark):
         assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
 
 
+def test_encoder_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    e, t = packing.Encoder(path()), Tokenizer.from_file(path())
+    assert "<|endoftext|>" in e.added
+    for x in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  <|endoftext|>"]:
+        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x
+
+
 def check_packing(rows, docs, capacity=1024):
     from tokenizers import Tokenizer
 

@@ -43,7 +43,7 @@ class Encoder(dict):
     The byte-level tokenizer never merges across a space that a non-space follows, so a text's ids are those of its
     stretches. Its vocabulary numbers tokens in the order of its merges, so a new stretch can be merged by rank, which
     tiktoken does without the overhead of a full encoding; the file is checked for that order, and without it, or for
-    texts with other runs of spaces, the tokenizer encodes.
+    texts with other runs of spaces or an added token's content, the tokenizer encodes.
     """
 
     LIMIT = 800_000
@@ -53,10 +53,10 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.ranks = self.by_rank(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
     def by_rank(path: str):
@@ -91,7 +91,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         s = text.split(" ")
-        if "" in s:
+        if "" in s or any(a in text for a in self.added):
             return self.whole(text)
         return self.first(s[0]) + b"".join(map(self.__getitem__, s[1:]))
 
