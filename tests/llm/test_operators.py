@@ -98,6 +98,11 @@ def test_host_consensus_rescues_a_page(spark):
     assert got[9] == ("small article " * 10).strip()
 
 
+def test_letters_that_grow_in_lower_case():
+    page = f"<article><p>{'İ' * 40}</p><SCRIPT>var x;</Script><p>after <i>it</i></p></article>"
+    assert html_extract.extract(page, None) == "İ" * 40 + " after it"
+
+
 def test_extraction_takes_the_whole_article(spark):
     """Title and lead beside the body, columns beside each other, and a page of another layout on a known host."""
     nav = "<nav><a href=/>Home</a></nav><div class='links'><a href=/a>one link and another</a></div>"

@@ -30,6 +30,7 @@ from .common import cut
 # Element names of the HTML standard, by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes".split())
+RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = frozenset("script style noscript template iframe svg canvas object nav header footer aside form button select textarea dialog menu head title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -79,7 +80,6 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
     """Events ('text' | 'break', element, text) in page order. Raw elements and comments give no text."""
     root = Node("", "", False, None)
     top, at, size = root, 0, len(page)
-    low = None
     while at < size:
         m = TOKEN.search(page, at)
         if m is None or m.end() == m.start():
@@ -106,9 +106,8 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
                     yield "break", top, ""
             continue
         if tag in RAW:
-            low = low if low is not None else page.lower()
-            end = low.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
+            end = RAW_END[tag].search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else size
             if tag not in ("wbr",):
                 yield "break", top, ""
