@@ -173,6 +173,15 @@ def test_classifier_edges(spark, odd, none, op):
     assert {r.score for r in op.score(odd, labels.limit(0)).collect()} and op.score(odd, labels.where("quality = 1")).count() == odd.count()
 
 
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark, monkeypatch, op):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(3, "three"), (11, "eleven"), (8, "eight")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 3, 8, 11)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(op, "fit", list)
+    got = op.train(docs, labels, held_mod=5, held_rest=9)
+    assert sorted(t for t, _ in got) == ["eight", "eleven", "text 0", "three"]
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(5)
     emit, trans, length = rng.normal(size=(9, 2)), rng.normal(size=(2, 2)), np.array([4, 1, 4])

@@ -165,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: in
     lab = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(f"y in (0, 1) and doc_id is not null").where(crc_mod("doc_id", held_mod) != held_rest).distinct()
     pick = [lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for y in (0, 1)]
     pick = cut(pick[0].union(pick[1]), "quality-sample")
-    # at most max_docs rows: bounded by the two limits above
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").orderBy("doc_id", "y", "text").collect()
+    # at most max_docs rows: bounded by the two limits above, one text for each id and label
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id", "y", "text").collect()
     return fit([(r.text, r.y) for r in got])
 
 
