@@ -295,6 +295,10 @@ def test_tampering_is_noticed():
 
 
 def brute_components(rows):
+    return sorted(component_rows(rows))
+
+
+def component_rows(rows):
     sets = []
     for d, t in rows:
         w = tokens(t, True)
@@ -313,7 +317,7 @@ def brute_components(rows):
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(root(i), []).append(rows[i][0])
-    return sorted((rows[i][0] is None, rows[i][0] or 0, len(sets[i]), (min((d for d in groups[root(i)] if d is not None), default=None))) for i in range(len(rows)))
+    return [(rows[i][0] is None, rows[i][0] or 0, len(sets[i]), (min((d for d in groups[root(i)] if d is not None), default=None))) for i in range(len(rows))]
 
 
 def near_rows(n, seed, edits):
@@ -343,6 +347,13 @@ def test_join_edges(spark, odd, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_join_of_large_and_missing_ids(spark):
+    """Ids near the ends of their range, and classes of which no row has an id."""
+    rows = [(d, t) for (_, t), d in zip(near_rows(40, 3, 4), [*range(2**63 - 10, 2**63), *range(-(2**63), -(2**63) + 10), *range(2**62, 2**62 + 10), *[None] * 10])]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == Counter(component_rows(rows))
+
+
 def test_divide_skip_against_counting():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))).astype(np.uint64) for _ in range(80)]

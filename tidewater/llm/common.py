@@ -3,35 +3,68 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a folder of its own, for there all tasks run on one machine; a cluster must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", path)
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        path = _own[context.applicationId] = tempfile.mkdtemp(prefix="tables-")
         atexit.register(shutil.rmtree, path, True)
-    return path
+    return _own[context.applicationId]
+
+
+_own: dict[str, str] = {}
+
 
+def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    into: gets the path, for drop().
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if into is not None:
+        into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of cut() that nothing will read again, through Spark's file systems."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+def hash_ranges(docs: DataFrame, each: int = 32 << 20) -> int:
+    """How many ranges of hashes the docs' words are dealt to: one for each 32 MB of text, and some for each shuffle task."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(-(-size // each), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -120,25 +153,74 @@ def parts_of(blob: bytes) -> list[bytes]:
     return out
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for every node of the edges that is not the smallest of its component among them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    x, y = at[: len(a)], at[len(a) :]
+    while True:
+        old = label
+        low = np.minimum(label[x], label[y])
+        label = label.copy()
+        np.minimum.at(label, old[x], low)
+        np.minimum.at(label, old[y], low)
+        label = label[label]
+        if (label == old).all():
+            break
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
+def forests(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(a, b): what connects the edges of each task as stars around their smallest nodes; `most` edges at a time."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for e in batches:
+            held.append((e.column(0).to_numpy(), e.column(1).to_numpy()))
+            size += e.num_rows
+            if size >= most:
+                held = [forest(*(np.concatenate(c) for c in zip(*held)))]
+                if len(held[0][0]) > most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], schema=out)
+                    held = []
+                size = sum(len(c) for c, _ in held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*(np.concatenate(c) for c in zip(*held)))], schema=out)
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then jumps along labels, so long chains end in
-    a logarithmic number of rounds. Only keyed joins and min() are used: no group is gathered.
+    Tasks first thin out their edges to stars. Then each round takes the smallest label among the neighbours and jumps
+    along labels, so long chains end in a logarithmic number of rounds. Only keyed joins and min() are used: no group is
+    gathered. Tables of labels are much smaller than the texts that the number of shuffle partitions is meant for, so
+    they are written in a quarter as many parts.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    spark = edges.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    kept, stale = [], []
+    stars = cut(forests(edges), "stars", kept)
+    both = stars.union(stars.select("b", "a"))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).coalesce(parts), "labels", stale)
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("component", "near").alias("l"), F.col("component").alias("old"))
-        up = labels.select(F.col("node").alias("l"), F.col("component").alias("root"))
-        new = cut(new.join(up, "l").select("node", F.least("l", "root").alias("component"), "old"), "labels")
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        new = labels.select("node", "component", F.col("component").alias("old")).union(near).groupBy("node").agg(F.min("component").alias("l"), F.min("old").alias("old"))
+        up = labels.select(F.col("node").alias("at"), F.col("component").alias("root"))
+        jumped = new.join(up, F.col("l") == F.col("at")).select("node", F.least("l", "root").alias("component"), "old")
+        seen = Observation()
+        written: list[str] = []
+        labels = cut(jumped.coalesce(parts).observe(seen, F.sum((F.col("component") != F.col("old")).cast("long")).alias("changed")).select("node", "component"), "labels", written)
+        drop(spark, stale)
+        stale = written
+        if not seen.get["changed"]:
             break
     else:
         raise RuntimeError("components did not settle")
+    drop(spark, kept)
     return labels
 
 

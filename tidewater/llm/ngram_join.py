@@ -3,8 +3,9 @@
 1. Every document becomes the set of hashes of its five-word shingles. Tasks send sorted stretches of hashes, packed,
    to the range they fall in; a range counts in how many documents each hash occurs and sends the shared ones back.
    A hash that several documents of one stretch hold goes there once, with their number, so a hash that is everywhere
-   costs a range one entry a stretch; which documents hold it stays with the stretch. A document links only if three quarters of its hashes are shared, so most documents end here, and for the others the
-   shared hashes are all that an overlap can hold.
+   costs a range one entry a stretch; which documents hold it stays with the stretch. A document links only if three
+   quarters of its hashes are shared, so most documents end here, and for the others the shared hashes are all that an
+   overlap can hold.
 2. Equal sets are one class, with its smallest doc_id in front.
 3. Hashes are ordered from rare to common. Two sets that link share a hash among the first quarter of each (and one
    more), so classes that share such a hash lie in one cluster.
@@ -18,7 +19,8 @@
 
 Edge cases: a document with fewer words than a shingle is one shingle of all its words; null and empty texts have no
 set, link with nothing and are their own component; repeated rows are one class; a row with null doc_id links like
-any other, and its component is null if no row in it has an id; ids lie below 2^62; extra columns are ignored.
+any other, and its component is null if no row in it has an id; extra columns are ignored. Shingles are named by 56-bit
+hashes: two of n different ones share a name with a chance of n / 2^56, far below what could move a similarity.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, cut, grams, mix, pack, parts_of, sized, spread, squeeze, unpack
+from .common import Hashes, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, spread, squeeze, unpack
+
 
 SHINGLE = 5
 BITS = 56
@@ -46,8 +49,6 @@ SENT = [("who", "<u4"), ("n", "<u4")]
 SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u8")]
 #: In place of a document: several of the stretch hold the hash.
 SEVERAL = 0xFFFFFFFF
-#: Classes of which no row has a doc_id get numbers from here on among the others; ids lie below.
-NAMELESS = 1 << 62
 
 
 def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
@@ -285,9 +286,8 @@ def as_edges(found: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def cluster_links(members: DataFrame, block: int) -> DataFrame:
-    """(a, b) links of (cluster, rep, n, hashes) rows, as many as connect what similarity connects."""
-    spark = members.sparkSession
+def cluster_labels(members: DataFrame, block: int) -> DataFrame:
+    """(node, component) of the (cluster, rep, n, hashes) rows that similarity connects with others."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
     rows = cut(members.join(sizes, "cluster"), "clusters")
 
@@ -295,44 +295,43 @@ def cluster_links(members: DataFrame, block: int) -> DataFrame:
         p = p.drop_duplicates("rep")
         return as_edges(links_within(p.rep.to_numpy(), p.n.to_numpy(), as_sets(p)))
 
-    small = rows.where(F.col("size") <= block).groupBy("cluster").applyInPandas(within, EDGES)
     big = rows.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    if not big.limit(1).count():
-        return small
-    big = cut(big, "big-clusters")
-    # every block with the pivot block
+    # every block with the pivot block; a small cluster is one block
     to = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("block"))
-    first = cut(small.union(big.withColumn("to", F.explode(to)).groupBy("cluster", "to").applyInPandas(within, EDGES)), "links")
-    label = components(first).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    known = cut(big.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    columns = ["cluster", "to", "rep", "n", "hashes"]
+    dealt = rows.where(F.col("size") <= block).withColumn("to", F.lit(0)).select(columns).union(big.withColumn("to", F.explode(to)).select(columns))
+    label = components(dealt.groupBy("cluster", "to").applyInPandas(within, EDGES))
+    if not big.limit(1).count():
+        return label
+    known = cut(big.join(label.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
     main = known.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     known = known.join(main, "cluster").select("cluster", "rep", "n", "hashes", "blocks", "block", "label", "main")
     rest = cut(known.where(F.col("label") != F.col("main")), "rest")
-    if not rest.limit(1).count():
-        return first
     # what is not in the main component meets every block, in parts of a block's size
     parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
     asking = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     asked = known.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
-    cols = ["cluster", "block", "part", "rep", "n", "hashes", "label", "asks"]
+    cols = ["cluster", "block", "part", "n", "hashes", "label", "asks"]
 
     def between(p: pd.DataFrame) -> pd.DataFrame:
-        return as_edges(links_between(p.rep.to_numpy(), p.n.to_numpy(), as_sets(p), p.label.to_numpy(), p.asks.to_numpy(bool)))
+        """Links between labels."""
+        label = p.label.to_numpy()
+        return as_edges(links_between(label, p.n.to_numpy(), as_sets(p), label, p.asks.to_numpy(bool))).drop_duplicates()
 
-    second = asking.select(cols).union(asked.select(cols)).groupBy("cluster", "block", "part").applyInPandas(between, EDGES)
-    return first.union(second)
+    joined = components(asking.select(cols).union(asked.select(cols)).groupBy("cluster", "block", "part").applyInPandas(between, EDGES))
+    later = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    # sets without a link before are their own label
+    return label.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(joined).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    parts = docs.rdd.getNumPartitions()
-    ranges = max(8 * parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    found = cut(documents_of(shared_hashes(packed_sets(docs, ranges))), "sets")
-    classes = cut(found.where("n > 0").groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS // 2))).alias("rep"), F.max("n").alias("n")), "classes")
-    live = found.where("hashes is not null").groupBy("digest").agg(F.first("hashes").alias("hashes")).join(classes, "digest").select("rep", "n", "hashes")
-    live = cut(live, "live")
+    found = cut(documents_of(shared_hashes(packed_sets(docs, hash_ranges(docs)))), "sets")
+    first = F.min("doc_id")
+    classes = found.where("n > 0").groupBy("digest").agg(F.coalesce(first, F.xxhash64("digest")).alias("rep"), first.isNull().alias("nameless"), F.max("n").alias("n"), F.first("hashes", True).alias("hashes"))
+    classes = cut(classes, "classes")
+    live = classes.where("hashes is not null").select("rep", "n", "hashes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("h", pa.int64()), ("rep", pa.int64())])
@@ -347,13 +346,17 @@ def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(rs))], schema=out)
 
-    keys = live.select("rep", "n", "hashes").mapInArrow(prefixes, "h long, rep long")
-    keys = cut(keys, "prefixes")
+    keys = cut(live.mapInArrow(prefixes, "h long, rep long"), "prefixes")
     meet = keys.groupBy("h").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1")
     clusters = components(keys.join(meet, "h").select(F.col("rep").alias("a"), "b"))
     members = live.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    label = components(cluster_links(members, block))
-    named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")).select("digest", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component"))
+    label = cluster_labels(members, block).select(F.col("node").alias("rep"), "component")
+    named = classes.select("digest", "rep", "nameless").join(label, "rep", "left").select("digest", "rep", "nameless", F.coalesce("component", "rep").alias("component"))
+    if classes.where("nameless").limit(1).count():  # a number of a class without ids is no component's name
+        names = named.groupBy("component").agg(F.min(F.when(~F.col("nameless"), F.col("rep"))).alias("name"))
+        named = named.join(names, "component").select("digest", F.col("name").alias("component"))
+    else:
+        named = named.select("digest", "component")
     rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     linked = rows.where("digest is not null").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return linked.union(rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
