@@ -225,18 +225,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 class BitFilter:
-    """A bit for each key's hash: says no only where the key was never put in. Its size is fixed, whatever the data."""
+    """A bit for each key's hash: says no only where the key was never put in."""
+
+    #: 32 MB. With more keys than fit, the filter says yes more often and results stay the same.
+    MOST = 28
 
     def __init__(self, bits: np.ndarray, log2: int):
         self.bits, self.log2 = bits, log2
 
     @classmethod
-    def of(cls, keys: DataFrame, log2: int = 25) -> "BitFilter":
-        """From a DataFrame with one bigint column. The driver gets 2^(log2-6) words at most (4 MB by default)."""
+    def of(cls, keys: DataFrame, log2: int | None = None) -> "BitFilter":
+        """From a DataFrame with one bigint column: 8 bits for each key, 2^MOST at most; or 2^log2.
+
+        The driver gets a row of two words for every 64 bits at most.
+        """
         (c,) = keys.columns
+        stale: list[str] = []
+        if log2 is None:
+            counted = Observation()
+            keys = cut(keys.observe(counted, F.count(F.lit(1)).alias("n")), "keys", stale)
+            log2 = min(max((8 * counted.get["n"]).bit_length(), 10), cls.MOST)
         at = F.shiftrightunsigned(F.col(c), 64 - log2)
         words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
         got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        drop(keys.sparkSession, stale)
         bits = np.zeros(1 << (log2 - 6), np.int64)
         bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
         return cls(bits.view(np.uint64), log2)

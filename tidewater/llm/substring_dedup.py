@@ -1,18 +1,20 @@
 """Exact removal of repeated substrings by level-wise doubling.
 
-The first level looks at windows of half the length. Of each run of windows of full length only one half window is
-looked at, the one whose hash is smallest, so equal windows choose equal halves and the level costs few rows. A half
-that occurs once rules out every window that chose it; only windows whose half is repeated are extended to twice its
-length. At full length a window is repeated if its words also start earlier: in a smaller doc_id, or earlier in the same
-document. `longest_repeats` goes on doubling until no window is repeated.
+Windows grow from a quarter of the full length to a half and to the whole. At a level each window that is still in play
+chooses the run of that many words whose hash is smallest among those it holds, so equal windows choose equal runs and a
+level costs few rows. Runs are counted; a run that occurs once rules out every window that chose it, and only the others
+are extended to twice the length. At full length a window is repeated if its words also start earlier: in a smaller
+doc_id, or earlier in the same document. Longer windows cover no further words, so removal ends there; `longest_repeats`
+goes on doubling, among the documents that still hold a repeated window, until none survives.
 
-Which halves are repeated is told to the tasks by a bit filter of fixed size; its false alarms only make more windows go
-on, where the full words' hash decides. Each task sends one row for each different window, its first place, to Spark;
-the later places in that task are repeats already.
+Which runs are repeated is told to the tasks by a bit filter, sized by their number; its false alarms only make more
+windows go on. At full length two hashes of the words, 96 bits in all, decide. Each task sends one row for each
+different window, its first place, to Spark; the later places in that task are repeats already.
 
 Edge cases: null texts have no words; documents with fewer words than a window lose nothing; rows that share
 a doc_id are one document: a window at the same start in them is one place, and what is removed from one row is removed
-at the same place of the others; a null doc_id sorts before all others; extra columns are ignored.
+at the same place of the others; a null doc_id sorts before all others; extra columns are ignored by remove_repeats()
+and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Hashes, grams, pack, spread, squeeze, unpack
+from .common import BitFilter, Hashes, cut, hash_ranges, mix, pack, spread, squeeze, unpack
 
 WINDOW = 20
 
@@ -46,23 +48,53 @@ def chosen(half: np.ndarray, run: int) -> np.ndarray:
     return np.arange(n) + view.argmin(1)
 
 
-def levels(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(half-window hashes, index of the chosen half of each window)."""
-    half = grams(ids, window // 2)
-    return half, chosen(half, window - window // 2 + 1)
+#: Multipliers of the two hashes of a run of words.
+FIRST, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def seed_counts(docs: DataFrame, window: int) -> DataFrame:
-    """(h, n): how often each chosen half window occurs, counted in each task first."""
+def runs(w: np.ndarray, k: int, base: int = FIRST) -> np.ndarray:
+    """A polynomial in the words' hashes for each run of k words, by doubling."""
+    if len(w) < k:
+        return w[:0]
+    if k == 1:
+        return w
+    half = k // 2
+    h = runs(w, half, base)
+    h = h[:-half] * np.uint64(pow(base, half, 1 << 64)) + h[half:]
+    return h[:-1] * np.uint64(base) + w[k - 1 :] if k % 2 else h
+
+
+def lengths(window: int) -> list[int]:
+    """The lengths of the levels below the full one."""
+    return sorted({window // 4, window // 2} - {0, window})
+
+
+def survivors(w: np.ndarray, window: int, repeated: list[BitFilter]) -> np.ndarray:
+    """The starts of the windows whose chosen runs at all known levels are repeated."""
+    alive = np.arange(max(len(w) - window + 1, 0))
+    for k, known in zip(lengths(window), repeated):
+        if not len(alive):
+            break
+        h = mix(runs(w, k))
+        alive = alive[known.has(h)[chosen(h, window - k + 1)[alive]]]
+    return alive
+
+
+def seed_counts(docs: DataFrame, window: int, repeated: list[BitFilter]) -> DataFrame:
+    """(h, n): how often each run that a surviving window chooses at the next level occurs, counted in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    k = lengths(window)[len(repeated)]
     out = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                half, pick = levels(hashes.of(words(t)), window)
-                if len(pick):
-                    held.append(half[np.unique(pick)])
+                w = hashes.of(words(t))
+                alive = survivors(w, window, shared.value)
+                if len(alive):
+                    h = mix(runs(w, k))
+                    held.append(h[np.unique(chosen(h, window - k + 1)[alive])])
                     size += len(held[-1])
             if size > 2_000_000:
                 yield counted(held)
@@ -71,33 +103,43 @@ def seed_counts(docs: DataFrame, window: int) -> DataFrame:
             yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
 
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 ROWS = pa.schema([("range", pa.int32()), ("flush", pa.int64()), ("blob", pa.binary())])
-PLACE = [("doc", "<i8"), ("at", "<i4")]
+PLACE = [("doc", "<i8"), ("at", "<i4"), ("check", "<u4")]
 FLUSH = 1_500_000
 
 
-def places(docs: DataFrame, window: int, repeated: BitFilter, ranges: int) -> DataFrame:
+def starts_of(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where another window's words begin in places sorted by both hashes."""
+    return np.concatenate([[True], (h[1:] != h[:-1]) | (place["check"][1:] != place["check"][:-1])])
+
+
+def in_order(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    o = np.lexsort((place["at"], place["doc"], place["check"], h))
+    return h[o], place[o], starts_of(h[o], place[o])
+
+
+def places(docs: DataFrame, window: int, repeated: list[BitFilter], ranges: int) -> DataFrame:
     """(range, flush, blob): a task's first place of every window that goes on, sorted by the window's hash and cut into
     ranges of hashes; and, with a negative range, the later places in that task."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = hashes.of(words(t))
-                half, pick = levels(ids, window)
-                go = np.flatnonzero(shared.value.has(half)[pick]) if len(pick) else pick
+                w = hashes.of(words(t))
+                go = survivors(w, window, shared.value)
                 if len(go):
-                    held.append((grams(ids, window)[go], np.full(len(go), d, np.int64), go.astype(np.int32)))
+                    check = mix(runs(w, window, SECOND)[go]) >> np.uint64(32)
+                    held.append((mix(runs(w, window)[go]), check.astype(np.uint32), np.full(len(go), d, np.int64), go.astype(np.int32)))
                     size += len(go)
                 if size > FLUSH:
                     yield from sent(held, task << 24 | number)
@@ -106,16 +148,14 @@ def places(docs: DataFrame, window: int, repeated: BitFilter, ranges: int) -> Da
             yield from sent(held, task << 24 | number)
 
     def sent(held: list, flush: int) -> Iterator[pa.RecordBatch]:
-        h, d, at = (np.concatenate(c) for c in zip(*held))
-        o = np.lexsort((at, d, h))
-        h = h[o]
+        h, check, d, at = (np.concatenate(c) for c in zip(*held))
         place = np.empty(len(h), PLACE)
-        place["doc"], place["at"] = d[o], at[o]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
+        place["doc"], place["at"], place["check"] = d, at, check
+        h, place, new = in_order(h, place)
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         # a later row of the very same place (a repeated row of the table) is no later place
         late = ~new & (place != place[first])
-        rows = [(-1 - flush % ranges, flush, squeeze(np.sort(place[late])))] if late.any() else []
+        rows = [(-1 - flush % ranges, flush, squeeze(np.sort(place[late], order=("doc", "at"))))] if late.any() else []
         h, place = h[new], place[new]
         step = -(-(1 << 64) // ranges)
         edge = np.append(np.searchsorted(h, np.array([r * step for r in range(ranges)], np.uint64)), len(h))
@@ -142,14 +182,14 @@ def later_places(found: DataFrame) -> DataFrame:
             ps.append(spread(b[8 + n :], PLACE))
         flush = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
         h, place = np.concatenate(hs), np.concatenate(ps)
-        o = np.lexsort((place["at"], place["doc"], h))
+        o = np.lexsort((place["at"], place["doc"], place["check"], h))
         h, place, flush = h[o], place[o], flush[o]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
+        new = starts_of(h, place)
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         late = np.flatnonzero(~new & (place != place[first]))
         late = late[np.argsort(flush[late], kind="stable")]
         edge = np.searchsorted(flush[late], np.arange(len(hs) + 1))
-        out = [(p.flush.iloc[i], squeeze(np.sort(place[late[edge[i] : edge[i + 1]]]))) for i in range(len(hs)) if edge[i + 1] > edge[i]]
+        out = [(p.flush.iloc[i], squeeze(np.sort(place[late[edge[i] : edge[i + 1]]], order=("doc", "at")))) for i in range(len(hs)) if edge[i + 1] > edge[i]]
         return pd.DataFrame(out, columns=["flush", "blob"])
 
     return found.groupBy("range").applyInPandas(run, "flush long, blob binary")
@@ -160,16 +200,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs holds doc_id (no nulls) and text.
     """
-    seeds = seed_counts(docs, window).where("n > 1").select("h")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(8 * docs.rdd.getNumPartitions(), 4 * partitions, 16)
+    repeated: list[BitFilter] = []
+    for _ in lengths(window):
+        repeated.append(BitFilter.of(seed_counts(docs, window, repeated).where("n > 1").select("h")))
 
     def by_document(p: pd.DataFrame) -> pd.DataFrame:
-        place = np.sort(np.concatenate([spread(b, PLACE) for b in p.blob]))
+        place = np.sort(np.concatenate([spread(b, PLACE) for b in p.blob]), order=("doc", "at"))
         doc, edge = np.unique(place["doc"], return_index=True)
         return pd.DataFrame({"doc_id": doc, "starts": np.split(place["at"], edge[1:])})
 
-    late = later_places(places(docs, window, BitFilter.of(seeds), ranges)).groupBy("flush").applyInPandas(by_document, "doc_id long, starts array<int>")
+    late = later_places(places(docs, window, repeated, hash_ranges(docs))).groupBy("flush").applyInPandas(by_document, "doc_id long, starts array<int>")
     # rows that share an id may lie in several tasks
     return late.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -215,17 +255,18 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Documents that lose every word are left out. A column n_chars is set to the new length.
     """
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    cuts = repeats(rows.select(F.col("_id").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
-    joined = rows.join(cuts.select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts")), "_id", "left").select(*docs.columns, "_starts")
-    column = docs.columns.index("text")
     names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"))
+    cuts = repeats(rows.select(F.col("key").alias("doc_id"), F.col("row.text").cast("string").alias("text")), window)
+    joined = rows.join(cuts.withColumnRenamed("doc_id", "key"), "key", "left").select("row", "starts")
+    column = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for t, starts in zip(b.column(column).to_pylist(), b.column(len(b.columns) - 1)):
+            columns = b.column(0).flatten()
+            for t, starts in zip(columns[column].to_pylist(), b.column(1)):
                 if starts.is_valid:
                     n, w = kept_words(t, starts, window)
                     keep.append(bool(w) or not n)
@@ -233,25 +274,36 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 else:
                     keep.append(True)
                 texts.append(t)
-            columns = b.columns[:-1]
-            columns[column] = pa.array(texts, b.schema.field(column).type)
+            columns[column] = pa.array(texts, columns[column].type)
             if chars is not None:
-                columns[chars] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(chars).type)
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
 
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(length, n): windows of each length that occur more than once, for lengths doubled until none survives."""
+    """(length, n): windows of each length that start earlier too, for lengths doubled until none survives.
+
+    Only documents that hold a repeated window of one length, at its first place or a later one, are read for the next.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, length = [], window
     while True:
-        starts = repeats(rows, length)
+        starts = cut(repeats(rows, length), "repeats")
         n = starts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
         if not n:
             break
         found.append((length, n))
+        # a first place may lie in a document without later ones, so those that choose a repeated run stay as well
+        known = docs.sparkSession.sparkContext.broadcast(BitFilter.of(seed_counts(rows, 2 * length, []).where("n > 1").select("h")))
+
+        def alive(batches: Iterator[pa.RecordBatch], length: int = length, known=known) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
+            for b in batches:
+                yield b.filter(pa.array([len(survivors(hashes.of(words(t)), 2 * length, [known.value])) > 0 for t in b.column(1).to_pylist()], pa.bool_()))
+
+        rows = cut(rows.mapInArrow(alive, rows.schema), "survivors")
         length *= 2
     return docs.sparkSession.createDataFrame(found, "length int, n long")
 
