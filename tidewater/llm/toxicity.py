@@ -4,8 +4,12 @@ Expressions are spelled words: a word's probability is the product over its char
 before it in the word, so inflected and compound forms of an expression share their stem's evidence. Each class
 discounts its own counts of the longest context and backs off to one distribution that both classes share, built from
 the pooled continuation counts of the shorter contexts; what is too rare to tell the classes apart gets nearly the same
-probability from both. A document's score is a logistic function of the difference of the two length-normalised
-log-likelihoods, taken over the words that speak most for toxicity: one in fifty.
+probability from both.
+
+A toxic text is mostly ordinary: each of its words comes from the toxic model with a small chance `share`, and from the
+ordinary model else. A document's score is a logistic function of the difference of the two log-likelihoods of all its
+words, the toxic and the ordinary one, divided by the number of words. With the plain toxic model instead of the mixture
+the few toxic words drown in the chance differences of all others (README).
 
 Edge cases: a null or empty text has no words, its difference is 0; a null doc_id keeps its row and is never trained
 on; extra columns are ignored; without both classes the score is the prior.
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-WORST = 50
+#: The chance of a toxic text's word to come from the toxic model.
+SHARE = 0.02
 EDGE = ".,;:!?\"'()[]{}*#$%&|-_"
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def words(text: str) -> list[str]:
+    """What stands between white space, in lower case and without punctuation at its ends."""
     return [w for w in (x.strip(EDGE) for x in text.lower().split()) if w]
 
 
@@ -42,130 +47,174 @@ def spelled(word: str, order: int) -> Iterator[str]:
     return (s[i : i + order] for i in range(len(s) - order + 1))
 
 
+def gram_counts(docs: list[list[str]], order: int) -> Counter[str]:
+    """How often each run of characters ends in a character of the words."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(w for d in docs for w in d).items():
+        for g in spelled(w, order):
+            out[g] += n
+    return out
+
+
+class KneserNey:
+    """The two classes' models of a word's next character, with one backoff for both, from their gram_counts()."""
+
+    BACKOFF_DISCOUNT = 0.75
+
+    def __init__(self, toxic: Counter[str], ordinary: Counter[str], order: int, discount: float):
+        self.order, self.discount, self.counts = order, discount, [toxic, ordinary]
+        pooled = self.counts[0] + self.counts[1]
+        # shared continuation counts: in how many different longer runs a shorter run ends
+        self.shared: list[Counter[str]] = [Counter()] * order
+        longer = pooled
+        for k in range(order - 1, 0, -1):
+            longer = self.shared[k] = Counter(g[1:] for g in longer)
+        self.total: list[Counter[str]] = [Counter() for _ in range(order)]
+        self.kinds: list[Counter[str]] = [Counter() for _ in range(order)]
+        for k in range(1, order):
+            for g, n in self.shared[k].items():
+                self.total[k][g[:-1]] += n
+                self.kinds[k][g[:-1]] += 1
+        self.letters = len(self.shared[1]) + 1  # one for all that was never seen
+        self.known: dict[str, float] = {}
+        # what the discount leaves of a context's counts: for each class, and as a share of the pooled counts
+        self.mass: list[Counter[str]] = [Counter(), Counter()]
+        for c, m in zip(self.counts, self.mass):
+            for g, n in c.items():
+                m[g[:-1]] += max(n - discount, 0)
+        context: Counter[str] = Counter()
+        kept: Counter[str] = Counter()
+        for g, n in pooled.items():
+            context[g[:-1]] += n
+            kept[g[:-1]] += max(n - discount, 0)
+        self.to_backoff = {h: 1 - kept[h] / n for h, n in context.items()}
+
+    def back(self, g: str) -> float:
+        """The shared probability of the last character of g after the ones before it."""
+        if not g:
+            return 1 / self.letters
+        p = self.known.get(g)
+        if p is None:
+            k, h, d = len(g), g[:-1], self.BACKOFF_DISCOUNT
+            n, shorter = self.total[k][h], self.back(g[1:])
+            p = self.known[g] = (max(self.shared[k][g] - d, 0) + d * self.kinds[k][h] * shorter) / n if n else shorter
+        return p
+
+    def probability(self, side: int, g: str) -> float:
+        """P(last character of g | the ones before it) of a class: 0 toxic, 1 ordinary."""
+        h, b = g[:-1], self.back(g[1:])
+        if not self.mass[side][h]:
+            return b
+        lam = self.to_backoff[h]
+        return (1 - lam) * max(self.counts[side][g] - self.discount, 0) / self.mass[side][h] + lam * b
+
+    def ratios(self) -> LogRatios:
+        seen = {}
+        for g in self.counts[0].keys() | self.counts[1].keys():
+            if r := float(np.log(self.probability(0, g) / self.probability(1, g))):
+                seen[g] = r
+        # a character that no class has seen after a context: only a class with counts there backs off at a cost
+        new = {h: float(np.log(lam) if self.mass[0][h] else -np.log(lam)) for h, lam in self.to_backoff.items() if bool(self.mass[0][h]) != bool(self.mass[1][h])}
+        return LogRatios(seen, new, self.order)
+
+
 class LogRatios(dict):
     """word -> log P(word | toxic) - log P(word | ordinary), remembered up to a bound that only saves work."""
 
     LIMIT = 300_000
 
-    def __init__(self, grams: dict[str, float], order: int):
+    def __init__(self, seen: dict[str, float], new: dict[str, float], order: int):
         super().__init__()
-        self.grams, self.order = grams, order
+        self.seen, self.new, self.order = seen, new, order
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.LIMIT:
             self.clear()
-        get = self.grams.get
-        r = self[word] = sum(get(g, 0.0) for g in spelled(word, self.order))
+        r = 0.0
+        for g in spelled(word, self.order):
+            x = self.seen.get(g)
+            r += self.new.get(g[:-1], 0.0) if x is None else x
+        self[word] = r
         return r
 
     def __reduce__(self):
-        return LogRatios, (self.grams, self.order)
-
-
-def log_ratio_model(toxic: list[list[str]], ordinary: list[list[str]], order: int, discount: float) -> LogRatios:
-    """Log ratio of the classes for every run of characters that one of them has seen often enough; else it is 0."""
-    classes = []
-    for docs in (toxic, ordinary):
-        words_in = Counter(w for d in docs for w in d)
-        c: Counter[str] = Counter()
-        for w, n in words_in.items():
-            for g in spelled(w, order):
-                c[g] += n
-        classes.append(c)
-    pooled = classes[0] + classes[1]
-    # shared continuation counts: in how many different longer runs a shorter run ends
-    shared: list[Counter[str]] = [Counter()] * order
-    longer: Counter[str] | set[str] = pooled
-    for k in range(order - 1, 0, -1):
-        shared[k] = Counter(g[1:] for g in longer)
-        longer = shared[k]
-    total: list[Counter[str]] = [Counter()] * order
-    kinds: list[Counter[str]] = [Counter()] * order
-    for k in range(1, order):
-        total[k], kinds[k] = Counter(), Counter()
-        for g, n in shared[k].items():
-            total[k][g[:-1]] += n
-            kinds[k][g[:-1]] += 1
-    letters = len(shared[1]) + 1
-    known: dict[str, float] = {}
-
-    def back(g: str) -> float:
-        if not g:
-            return 1 / letters
-        p = known.get(g)
-        if p is None:
-            k, n = len(g), total[len(g)][g[:-1]]
-            p = known[g] = (max(shared[k][g] - 0.75, 0) + 0.75 * kinds[k][g[:-1]] * back(g[1:])) / n if n else back(g[1:])
-        return p
+        return LogRatios, (self.seen, self.new, self.order)
 
-    context: Counter[str] = Counter()
-    kept_both: Counter[str] = Counter()
-    for g, n in pooled.items():
-        context[g[:-1]] += n
-        kept_both[g[:-1]] += max(n - discount, 0)
-    mass = [Counter(), Counter()]
-    for c, m in zip(classes, mass):
-        for g, n in c.items():
-            m[g[:-1]] += max(n - discount, 0)
-    out = {}
-    for g, n in pooled.items():
-        if n > discount:
-            h = g[:-1]
-            b, lam = back(g[1:]), 1 - kept_both[h] / context[h]
-            p = [(1 - lam) * max(c[g] - discount, 0) / m[h] + lam * b if m[h] else b for c, m in zip(classes, mass)]
-            if r := float(np.log(p[0] / p[1])):
-                out[g] = r
-    return LogRatios(out, order)
-
-
-def worst_words(docs: list[list[str]], m: LogRatios) -> np.ndarray:
-    """Length-normalised difference of the log-likelihoods of each document's worst words (0 without words).
-
-    One word in WORST is looked at, two at least, so what a text says in a few places is not diluted by the rest, and a
-    long text needs as large a share of such words as a short one. A word repeated at once counts once.
-    """
+
+def differences(docs: list[list[str]], m: LogRatios, share: float = SHARE) -> np.ndarray:
+    """Log-likelihood of each document as a toxic text less that as an ordinary one, by word; 0 without words."""
     out = np.zeros(len(docs))
     for i, d in enumerate(docs):
-        r = np.array([m[w] for w, _ in groupby(d)])
-        if len(r):
-            k = min(max(2, len(r) // WORST), len(r))
-            out[i] = np.partition(r, len(r) - k)[len(r) - k :].mean()
+        if d:
+            r = np.fromiter(map(m.__getitem__, d), np.float64, len(d))
+            out[i] = np.log1p(share * np.expm1(np.minimum(r, 500.0))).mean()
     return out
 
 
-def fit(docs: list[tuple[str, int]], order: int = 4, discount: float = 0.75) -> dict:
-    """Count the models on three quarters of the documents, alternating, and place the logistic curve on the rest."""
+def logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
+    """Slope and height of the logistic curve over z, both classes counted alike, by damped Newton steps."""
+    x = np.column_stack([z, np.ones(len(z))])
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, (1 - 2 * y) * (x @ w))).sum() + ridge * (w * w).sum() / 2)
+
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        step, t = np.linalg.solve(hess, x.T @ (weight * (p - y)) + ridge * w), 1.0
+        while t > 1e-6 and loss(w - t * step) > loss(w):
+            t /= 2
+        w = w - t * step
+        if t * np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def levelled(x: np.ndarray, model: dict) -> np.ndarray:
+    """Differences on a scale on which the many small ones and the few large ones both count."""
+    return np.arcsinh((x - model["centre"]) / model["scale"])
+
+
+def fit(docs: list[tuple[str, int]], order: int = 4, discount: float = 0.75, folds: int = 4) -> dict:
+    """The models of all documents, and the logistic curve over what models of the other folds say of each fold."""
     if len({y for _, y in docs}) < 2:
         prior = float(docs[0][1]) if docs else 0.0
-        return {"a": 0.0, "b": 4.0 if prior else -4.0, "m": log_ratio_model([], [], order, discount)}
+        return {"a": 0.0, "b": 4.0 if prior else -4.0, "centre": 0.0, "scale": 1.0, "m": KneserNey(Counter(), Counter(), order, discount).ratios()}
     sides = [[words(t) for t, y in docs if y == k] for k in (1, 0)]
-    m = log_ratio_model(*[[d for i, d in enumerate(s) if i % 4 or len(s) < 8] for s in sides], order, discount)
-    rest = [[d for i, d in enumerate(s) if not i % 4 or len(s) < 8] for s in sides]
-    x = np.concatenate([worst_words(s, m) for s in rest])
-    y = np.repeat([1.0, 0.0], [len(s) for s in rest])
-    scale = max(x.std(), 1e-6)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    a, b = 1.0, 0.0
-    for _ in range(500):
-        e = (1 / (1 + np.exp(-(a * x / scale + b))) - y) * weight
-        z = x / scale
-        h = np.array([[(weight * z * z).mean(), (weight * z).mean()], [(weight * z).mean(), weight.mean()]]) * 0.25 + 1e-4 * np.eye(2)
-        a, b = np.array([a, b]) - np.linalg.solve(h, [(e * z).mean() + 1e-4 * a, e.mean() + 1e-4 * b])
-    return {"a": float(a / scale), "b": float(b), "m": m}
+    parts = [[gram_counts(s[f::folds], order) for f in range(folds)] for s in sides]
+    whole = [sum(p, Counter()) for p in parts]
+    x, y = [], []
+    for f in range(folds):
+        # a class of fewer texts than folds keeps them all in each model
+        rest = [w - p[f] if len(s) >= folds else w for w, p, s in zip(whole, parts, sides)]
+        m = KneserNey(*rest, order, discount).ratios()
+        for s, k in zip(sides, (1.0, 0.0)):
+            x.append(differences(s[f::folds], m))
+            y.append(np.full(len(x[-1]), k))
+    x, y = np.concatenate(x), np.concatenate(y)
+    model = {"centre": float(np.median(x)), "scale": max(float(np.subtract(*np.quantile(x, (0.75, 0.25)))), 1e-6)}
+    a, b = logistic(levelled(x, model), y)
+    return model | {"a": a, "b": b, "m": KneserNey(*whole, order, discount).ratios()}
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: int = 5, held_rest: int = 0) -> dict:
-    """Fit on at most max_docs labelled rows outside the held-out fold, half of each label, chosen by a hash of the id."""
+    """Fit on at most max_docs labelled rows outside the held-out fold, chosen by a hash of the id.
+
+    Half are toxic, or as many as there are; ordinary ones make up the rest.
+    """
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(f"y in (0, 1) and doc_id is not null").where(crc_mod("doc_id", held_mod) != held_rest).distinct()
-    pick = [lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for y in (0, 1)]
-    pick = cut(pick[0].union(pick[1]), "toxicity-sample")
+    order = (F.xxhash64("doc_id"), "doc_id")
+    toxic = cut(lab.where("y = 1").orderBy(*order).limit(max_docs // 2), "toxicity-sample")
+    pick = cut(toxic.union(lab.where("y = 0").orderBy(*order).limit(max_docs - toxic.count())), "toxicity-sample")
     # at most max_docs rows: bounded by the two limits above, one text for each id and label
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").collect()
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(*order, "y", "text").collect()
     return fit([(r.text, r.y) for r in got])
 
 
 def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
-    z = model["a"] * worst_words([words(t or "") for t in texts], model["m"]) + model["b"]
+    z = model["a"] * levelled(differences([words(t or "") for t in texts], model["m"]), model) + model["b"]
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
