@@ -290,15 +290,20 @@ def test_media_against_plain_python(spark, odd, none):
     assert media.media_columns(none).count() == 0
 
 
-def test_shared_chunks_are_stored_once(spark):
+def test_everything_is_stored_once(spark):
+    """Copies and shared passages in several tasks."""
     rng = random.Random(8)
     common = " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(4000))
-    docs = spark.createDataFrame([(i, f"doc {i} start " * 40 + common) for i in range(6)], "doc_id long, text string").repartition(1)
-    digests = media.index(docs).select(F.explode("digests").alias("d")).groupBy("d").count().where("count > 1").select(F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long").alias("k"))
-    store = media.write_store(docs, BitFilter.of(digests))
-    stored = store.where("digest is not null")
-    assert stored.count() == stored.select("digest").distinct().count() > 5
-    assert store.where("object is not null").selectExpr("sum(size(shared))").first()[0] >= 6 * (stored.count() - 2)
+    rows = [(i, f"doc {i} start " * 40 + common) for i in range(6)] + [(10 + i, "the same " * 300) for i in range(4)] + [(20, "apart")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    listed = media.index(docs)
+    alone, objects, chunks = media.write_store(docs, BitFilter.of(media.shared_keys(listed)))
+    assert chunks.count() == chunks.select("digest").distinct().count() > 5
+    assert alone.union(objects).count() == alone.union(objects).select("object").distinct().count() == 8
+    assert objects.selectExpr("sum(size(shared))").first()[0] >= 6 * (chunks.count() - 8)
+    every = {d for r in listed.collect() for d in r.digests}
+    stored = [d for r in alone.union(objects).collect() for i, d in enumerate(r.digests) if i not in r.shared] + [r.digest for r in chunks.collect()]
+    assert set(stored) == every and len(stored) == len(every)
 
 
 def test_tampering_is_noticed():

@@ -39,13 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, into: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
-    into: gets the path, for drop().
+    into: gets the path, for drop(). by: a column whose values get a folder each.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if into is not None:
         into.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,13 +1,14 @@
 """Media columns: documents' bytes as 8-bit mono WAV, chunked by content, stored once and read back.
 
 A text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples of a WAV. A rolling gear hash
-cuts the samples where their content says so. A first scan lists the digests of every document's chunks; Spark counts
-them. The store is written in a second scan: an object row for each document with the ordered digests and the chunks that
-only it holds, and a chunk row for each shared one. Reading joins the shared chunks by digest to the objects that list
-them and puts each object together again; its SHA-256 must be the one that the object is known by.
+cuts the WAV's bytes where their content says so. A first scan lists the digests of every document's chunks; Spark counts
+them. A second scan writes an object row for each document with the ordered digests and the chunks that only it holds,
+and a row for each shared chunk; Spark keeps one row of each chunk and of each object that shares some. Reading joins the
+shared chunks by digest to the objects that list them and puts each WAV together again; its SHA-256 must be the one that
+the object is known by. Payload and features come from parsing that WAV.
 
-Which digests are shared is told by a bit filter of fixed size; a false alarm only stores a chunk apart. Objects that
-share nothing are read back where they lie, without a shuffle.
+Which digests are shared is told by a bit filter, sized by their number; a false alarm only stores a chunk apart. Objects
+that share nothing are read back where they lie, without a shuffle.
 
 Edge cases: null and empty texts are 64 bytes 0; copies share their object, so equal texts have equal values; rows with
 a repeated or null doc_id each get their row; very long texts are cut into chunks of at most `most` bytes each; extra
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, cut, mix
+from .common import BitFilter, cut, drop, mix
 
 UNIT = 64
 #: 256 random words, from a rule
@@ -88,57 +89,71 @@ def key_of(digest: bytes) -> int:
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("object", pa.binary()), ("digests", pa.list_(pa.binary()))])
-STORE = pa.schema([("object", pa.binary()), ("digests", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("own", pa.binary()), ("digest", pa.binary()), ("chunk", pa.binary())])
-STORE_DDL = "object binary, digests array<binary>, shared array<int>, own binary, digest binary, chunk binary"
+STORE = pa.schema([("kind", pa.string()), ("object", pa.binary()), ("digests", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("own", pa.binary()), ("digest", pa.binary()), ("chunk", pa.binary())])
+STORE_DDL = "kind string, object binary, digests array<binary>, shared array<int>, own binary, digest binary, chunk binary"
 READ = pa.schema([("object", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 READ_DDL = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, object (SHA-256 of the payload), digests in order."""
+    """doc_id, n_bytes, object (SHA-256 of the WAV), digests in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p, n = payload_of(t)
-                rows.append((d, n, hashlib.sha256(p).digest(), [digest_of(c) for c in chunks_of(p)]))
+                stored = wav(p)
+                rows.append((d, n, hashlib.sha256(stored).digest(), [digest_of(c) for c in chunks_of(stored)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, INDEX)], schema=INDEX)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, object binary, digests array<binary>")
 
 
-def write_store(docs: DataFrame, shared_digests: BitFilter) -> DataFrame:
-    """The stored table: object rows, and chunk rows for shared chunks (each task writes a chunk once)."""
+def shared_keys(listed: DataFrame) -> DataFrame:
+    """The keys of the digests that occur more than once in index()."""
+    twice = listed.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.select(F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long").alias("k"))
+
+
+def write_store(docs: DataFrame, shared_digests: BitFilter) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored tables: objects that share nothing, objects that list shared chunks, and shared chunks; each once."""
     bits = docs.sparkSession.sparkContext.broadcast(shared_digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
-        seen: set[bytes] = set()
-        objects: set[bytes] = set()
+        seen: set[bytes] = set()  # of this task, which saves work; Spark keeps one row of each below
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 rows = []
                 for t in b.column(0).slice(at, 2000).to_pylist():
-                    p, _ = payload_of(t)
-                    name = hashlib.sha256(p).digest()
-                    if name in objects:
+                    stored = wav(payload_of(t)[0])
+                    name = hashlib.sha256(stored).digest()
+                    if name in seen:
                         continue
-                    objects.add(name)
-                    parts = chunks_of(p)
+                    parts = chunks_of(stored)
                     digests = [digest_of(c) for c in parts]
                     apart = np.flatnonzero(bits.value.has(np.array([key_of(d) for d in digests], np.int64))).tolist()
                     mine = set(apart)
                     own = z.compress(b"".join(struct.pack("<I", len(c)) + c for i, c in enumerate(parts) if i not in mine))
-                    rows.append((name, digests, apart, own, None, None))
+                    rows.append(("listed" if apart else "alone", name, digests, apart, own, None, None))
+                    if apart:
+                        seen.add(name)
                     for i in apart:
                         if digests[i] not in seen:
                             seen.add(digests[i])
-                            rows.append((None, None, None, None, digests[i], z.compress(parts[i])))
+                            rows.append(("chunk", None, None, None, None, digests[i], z.compress(parts[i])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STORE)], schema=STORE)
 
-    return cut(docs.select(F.col("text").cast("string")).mapInArrow(run, STORE_DDL), "media")
+    made: list[str] = []
+    raw = cut(docs.select(F.col("text").cast("string")).mapInArrow(run, STORE_DDL), "media", made, by="kind")
+    # two documents without a chunk in common are not equal, so objects that share nothing are there once
+    listed = raw.where("kind = 'listed'").groupBy("object").agg(F.first(F.struct("digests", "shared", "own")).alias("o")).select("object", "o.*")
+    chunks = raw.where("kind = 'chunk'").groupBy("digest").agg(F.first("chunk").alias("chunk"))
+    listed, chunks = cut(listed, "media-listed"), cut(chunks, "media-chunks")
+    drop(docs.sparkSession, [f"{made[0]}/kind={k}" for k in ("listed", "chunk")])
+    return raw.where("kind = 'alone'").select("object", "digests", "shared", "own"), listed, chunks
 
 
 def features(samples: bytes) -> str:
@@ -148,7 +163,7 @@ def features(samples: bytes) -> str:
 
 
 def put_together(name: bytes, digests: list[bytes], shared: list[int], own: bytes, fetched: dict[int, bytes]) -> bytes:
-    """The samples of an object from its own chunks and the fetched ones; raises unless every digest holds."""
+    """The WAV of an object from its own chunks and the fetched ones; raises unless every digest holds."""
     z = zstandard.ZstdDecompressor()
     raw, at, parts = z.decompress(own), 0, []
     apart = set(shared)
@@ -162,44 +177,35 @@ def put_together(name: bytes, digests: list[bytes], shared: list[int], own: byte
         if digest_of(c) != d:
             raise ValueError("a stored chunk does not match its digest")
         parts.append(c)
-    samples = b"".join(parts)
-    if hashlib.sha256(samples).digest() != name:
+    stored = b"".join(parts)
+    if hashlib.sha256(stored).digest() != name:
         raise ValueError("a stored object does not match its digest")
-    return samples
+    return stored
 
 
-def read_back(store: DataFrame) -> DataFrame:
+def read_back(alone: DataFrame, listed: DataFrame, chunks: DataFrame) -> DataFrame:
     """A row for each object, from the stored bytes alone."""
-    objects = store.where("object is not null").select("object", "digests", "shared", "own")
-    chunk = store.where("digest is not null").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    alone = objects.where(F.size("shared") == 0)
-    listed = objects.where(F.size("shared") > 0)
-    wanted = listed.select("object", F.posexplode(F.transform("shared", lambda i: F.struct(i.alias("i"), F.get(F.col("digests"), i).alias("digest")))).alias("at", "s")).select("object", "s.i", "s.digest").distinct()
-    fetched = wanted.join(chunk, "digest").groupBy("object").agg(F.collect_list(F.struct("i", "chunk")).alias("fetched"))
-    once = listed.groupBy("object").agg(F.first(F.struct("digests", "shared", "own")).alias("o"))
-    rows = once.join(fetched, "object").select("object", "o.*", "fetched").unionByName(alone, allowMissingColumns=True)
+    wanted = listed.select("object", F.posexplode(F.transform("shared", lambda i: F.struct(i.alias("i"), F.get(F.col("digests"), i).alias("digest")))).alias("at", "s")).select("object", "s.i", "s.digest")
+    fetched = wanted.join(chunks, "digest").groupBy("object").agg(F.collect_list(F.struct("i", "chunk")).alias("fetched"))
+    rows = listed.join(fetched, "object").unionByName(alone, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 got = []
                 for r in b.slice(at, 500).to_pylist():
-                    samples = put_together(r["object"], r["digests"], r["shared"], r["own"], {f["i"]: f["chunk"] for f in r["fetched"] or ()})
-                    stored = wav(samples)
+                    stored = put_together(r["object"], r["digests"], r["shared"], r["own"], {f["i"]: f["chunk"] for f in r["fetched"] or ()})
                     back = wav_samples(stored)
-                    got.append((r["object"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back)))
+                    got.append((r["object"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), r["object"].hex(), features(back)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), READ)], schema=READ)
 
-    # an object stored by two tasks has all its digests twice, so `alone` holds no object twice
-    return rows.mapInArrow(run, READ_DDL)
+    return rows.select("object", "digests", "shared", "own", "fetched").mapInArrow(run, READ_DDL)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what read_back() says of the document's object, for every row of docs."""
     listed = cut(index(docs), "media-index")
-    twice = listed.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
-    keys = twice.select(F.conv(F.hex(F.substring("d", 1, 8)), 16, -10).cast("long").alias("k"))
-    read = read_back(write_store(docs, BitFilter.of(keys)))
+    read = read_back(*write_store(docs, BitFilter.of(shared_keys(listed))))
     return listed.select("doc_id", "n_bytes", "object").join(read, "object").drop("object")
 
 
