@@ -121,6 +121,40 @@ def test_extraction_takes_the_whole_article(spark):
     assert got[30] == f"{lead * 5}{'other words ' * 55}".strip()
 
 
+@pytest.mark.parametrize("attrs", ['class="content has-sidebar"', 'data-id="share"', 'title="the hidden truth"', 'style="overflow: hidden ;"', "data-class='ad' class=x", 'id=no-comments'])
+def test_attributes_that_are_not_noise(attrs):
+    assert html_extract.extract(f"<article><div {attrs}><p>text of it</p></div></article>", None) == "text of it"
+
+
+@pytest.mark.parametrize("attrs", ['class="box sidebar-2"', 'data-x="a>b" class="ad"', "ID='comments'", "hidden", 'aria-hidden="true"', "class=share"])
+def test_attributes_that_are_noise(attrs):
+    assert html_extract.extract(f"<article><p>kept</p><div {attrs}><p>text of it</p></div></article>", None) == "kept"
+
+
+def test_words_around_images_and_scripts():
+    assert html_extract.extract("<p>wo<img src=x>rd wo<script>x</script>rd wo<br>rd</p>", None) == "word word wo rd"
+
+
+def test_unclosed_quotes_take_no_more_than_linear_time():
+    import time
+
+    page = "<article>" + '<a title="x>some words</a><p>more</p>\n' * 1
+    assert "more" in html_extract.extract(page + "<p>end</p></article>", None)
+    took = []
+    for n in (2000, 8000):
+        start = time.process_time()
+        html_extract.extract("<article>" + "<a title='x\">words</a>" * n + "</article>", None)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_urls_with_white_space_have_their_host(spark):
+    page = lambda body, side: f"<html><body><div class='story s9'><p>{body}</p></div><div class='feed'><p>{side}</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(f"article {i} " * 40, "short")) for i in range(9)] + [(9, "\t http://H.example./9", page("small article " * 10, "noise " * 60))]
+    got = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9].text == ("small article " * 10).strip() and got[9].host == "h.example"
+
+
 def test_extraction_of_test_pages(spark):
     import html as h
     import re
@@ -494,6 +528,27 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_repeated_query_rows_and_settings(spark):
+    """Rows of one id: the same vector asks once, another vector for itself; shuffle partitions change nothing."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    rows += [rows[50], rows[50], (100, rng.normal(size=6).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 50 == 0, shard_rows=64, rerank=1.0).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1]
+    assert Counter(q for q, *_ in got[0]) == {q: 10 if q == 100 else 5 for q in range(0, 400, 50)}
+    assert [r for q, r, *_ in got[0] if q == 50] == [1, 2, 3, 4, 5]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    s = ann.cosine(np.broadcast_to(v[50], v.shape), v)
+    assert [i for q, _, i, _ in got[0] if q == 50] == [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != 50][:5]
+
+
 def test_queries_stream_past_a_shard():
     """Hits of a part of the queries come before the next part is asked for; a part can hold the end of a shard."""
     import pandas as pd
@@ -503,7 +558,7 @@ def test_queries_stream_past_a_shard():
     books = ann.fit(ann.unit(v), books=4, words=8)
     codes = ann.beam_encode(ann.unit(v), books, 4)
     norm = np.linalg.norm(books[np.arange(4), codes].sum(1), axis=1)
-    rows = pd.DataFrame({"vec_id": range(60), "v": list(v), "codes": [c.astype("<i2").tobytes() for c in codes], "norm": norm, "shard": 0, "asks": 0})
+    rows = pd.DataFrame({"vec_id": range(60), "v": list(v), "codes": [c.astype("<i2").tobytes() for c in codes], "norm": norm, "shard": 0, "asks": 0, "query": 0})
     rows.loc[rows.vec_id >= 30, "shard"] = 2
     whole = pd.concat([x for s in (0, 1, 2) for x in (rows[rows.shard == s], rows.assign(shard=s, asks=1, codes=None, norm=None))])
     taken, seen, got = [], [], []

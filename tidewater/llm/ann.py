@@ -11,8 +11,10 @@ blocks of bounded size; Spark sorts them behind the shard's rows. So neither sid
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 a query does not find its own row, nor other rows of its id; with fewer candidates than k all are returned; ties go to
-the smaller vec_id; repeated rows are candidates one by one; without any vector the result is empty; extra columns are
-ignored.
+the smaller vec_id; repeated rows are candidates one by one; as queries, rows of one id and vector are one, and rows of
+one id with different vectors each get their ranks; without any vector the result is empty; extra columns are ignored.
+
+Cost: every query meets every row's codes, so work grows with queries times rows; shards bound a task's memory alone.
 """
 
 from __future__ import annotations
@@ -117,7 +119,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: float) -> Iterator[pd.DataFrame]:
+def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], books: np.ndarray, k: int, rerank: float) -> Iterator[pd.DataFrame]:
     """For each block of queries, their best k rows of a shard: approximate scores by lookup, exact cosine for the best share `rerank` of the vectors."""
     rows = rows.sort_values("vec_id", kind="stable")
     ids, v = rows.vec_id.to_numpy(), np.stack(rows.v)
@@ -129,7 +131,7 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
     codes = np.stack([np.frombuffer(c, "<i2") for c in rows.codes.to_numpy()[first]]).astype(np.int64)
     norm = np.maximum(rows.norm.to_numpy()[first], 1e-12)
     own = v[first]
-    for qid, q in queries:
+    for qid, key, q in queries:
         out = []
         table = np.einsum("qd,mkd->qmk", unit(q), books)
         approx = np.zeros((len(q), len(first)))
@@ -144,8 +146,8 @@ def search_shard(rows: pd.DataFrame, queries: Iterator[tuple[np.ndarray, np.ndar
             kth = s[top[min(k, r - 1)]]
             hit = [(ids[x], s[t]) for t in top if s[t] >= kth for x in [y for y in order[start[best[i][t]] : start[best[i][t] + 1]] if ids[y] != qid[i]][:k]]
             hit.sort(key=lambda h: (-h[1], h[0]))
-            out += [(qid[i], h[0], h[1]) for h in hit[:k]]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            out += [(qid[i], key[i], h[0], h[1]) for h in hit[:k]]
+        yield pd.DataFrame(out, columns=["query_id", "query", "vec_id", "score"])
 
 
 def search_sorted(parts: Iterator[pd.DataFrame], books: np.ndarray, k: int, rerank: float, block: int) -> Iterator[pd.DataFrame]:
@@ -162,11 +164,11 @@ def search_sorted(parts: Iterator[pd.DataFrame], books: np.ndarray, k: int, rera
                 if b > a:
                     yield int(p.shard.iloc[a]), int(p.asks.iloc[a]), p.iloc[a:b]
 
-    def blocks(group: Iterator[tuple[int, int, pd.DataFrame]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(group: Iterator[tuple[int, int, pd.DataFrame]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for _, _, p in group:
             for i in range(0, len(p), block):
                 q = p.iloc[i : i + block]
-                yield q.vec_id.to_numpy(), np.stack(q.v)
+                yield q.vec_id.to_numpy(), q["query"].to_numpy(), np.stack(q.v)
 
     rows: tuple[int, pd.DataFrame] | None = None
     for (shard, asks), group in groupby(runs(), lambda x: x[:2]):
@@ -176,27 +178,26 @@ def search_sorted(parts: Iterator[pd.DataFrame], books: np.ndarray, k: int, rera
             yield from search_shard(rows[1], blocks(group), books, k, rerank)
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, rerank: float = 0.1875, shard_rows: int = 32768, block: int = 64, **sizes) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, rerank: float = 0.1875, shard_rows: int = 8192, block: int = 64, **sizes) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds.
 
-    A shard holds at most about shard_rows rows, fewer while there are cores for more shards.
+    A shard holds about shard_rows rows; their number alone decides how many there are, so settings do not change results.
     """
     v = usable(vectors)
     index, books = build_index(v, **sizes)
     shared = v.sparkSession.sparkContext.broadcast(books)
-    n = v.count()
-    cores = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // shard_rows), min(cores, n // 2048))
+    shards = max(1, -(-v.count() // shard_rows))
     rows = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(shards)))
-    asked = v.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    # several rows of an id and vector are one query
+    asked = v.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query", F.xxhash64("v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
     nothing = (F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"))
-    both = rows.select("vec_id", "v", "codes", "norm", "shard", F.lit(0).alias("asks")).union(asked.select("vec_id", "v", *nothing, "shard", F.lit(1).alias("asks")))
+    both = rows.select("vec_id", "v", "codes", "norm", "shard", F.lit(0).alias("asks"), F.lit(0).cast("long").alias("query")).union(asked.select("vec_id", "v", *nothing, "shard", F.lit(1).alias("asks"), "query"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return search_sorted(parts, shared.value, k, rerank, block)
 
-    parts = both.repartition("shard").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = both.repartition("shard").sortWithinPartitions("shard", "asks").mapInPandas(run, "query_id long, query long, vec_id long, score double")
+    by_query = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

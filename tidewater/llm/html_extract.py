@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes".split())
 RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements inside a line that hold no text of it: they do not part the words around them.
+PHRASING = frozenset("img input embed link meta wbr source track script style noscript template iframe noembed".split())
 SKIP = frozenset("script style noscript template iframe svg canvas object nav header footer aside form button select textarea dialog menu head title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -42,17 +44,22 @@ NOISE = frozenset(
     "alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer foot header masthead comment comments commentlist discussion disqus replies "
     "reply respond share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar widget widgets skip copyright".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
+#: A quote that is not closed within so many characters is no quote, so that a page full of them is read in one pass.
+QUOTED = 20_000
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,%d}\"|'[^']{0,%d}'|[\"'])*+)(?:>|$)" % (QUOTED, QUOTED), re.S)
+#: One attribute after the other, so that names inside values are not taken for attributes.
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What makes a class say that the element has, or lacks, a thing instead of being it.
+ABOUT = frozenset("has have with without no not is show hide enable disable supports".split())
 NUMBERS = ("votes", "plain", "linked", "n", "large")
-HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
+HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 SPLIT = re.compile(r"[^a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
-def host_of(url: str | None) -> str:
-    m = HOST.match((url or "").strip())
-    return m[1].lower().rstrip(".") if m else ""
+def host_of(url: Column) -> Column:
+    host = F.regexp_extract(url.cast("string"), HOST.pattern, 1)
+    return F.coalesce(F.lower(F.regexp_replace(host, r"\.+$", "")), F.lit(""))
 
 
 class Node:
@@ -65,14 +72,24 @@ class Node:
         self.text = self.linked = 0
 
 
+def is_noise(name: str) -> bool:
+    """Whether a part of a class or id names what is not the article, as sidebar-2 does and has-sidebar does not."""
+    for part in SPLIT.split(name):
+        if part in ABOUT:
+            return False
+        if part in NOISE:
+            return True
+    return False
+
+
 def step(tag: str, attrs: str) -> tuple[str, bool]:
     """The generalised part of a path for an element, and whether the element is noise."""
     if not attrs or attrs.isspace():
         return tag, tag in SKIP
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)}
     classes = sorted({DIGITS.sub("", c) for c in found.get("class", "").split()} - {""})
-    names = set(SPLIT.split(found.get("class", "") + " " + found.get("id", "")))
-    noise = tag in SKIP or tag not in ("html", "body", "article", "main") and bool(names & NOISE) or found.get("role") in ROLES or found.get("aria-hidden") == "true" or "hidden" in found
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    noise = tag in SKIP or tag not in ("html", "body", "article", "main") and any(map(is_noise, names)) or found.get("role") in ROLES or found.get("aria-hidden") == "true" or "hidden" in found
     return ".".join([tag, *classes]), noise
 
 
@@ -109,11 +126,11 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
             end = RAW_END[tag].search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else size
-            if tag not in ("wbr",):
+            if tag not in PHRASING:
                 yield "break", top, ""
             continue
         if tag in VOID:
-            if tag != "wbr":
+            if tag not in PHRASING:
                 yield "break", top, ""
             continue
         if tag in CLOSES_P or tag in SAME_CLOSES:
@@ -300,8 +317,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
         out = pa.schema([("host", pa.string()), ("path", pa.string()), *[(c, pa.float64()) for c in NUMBERS]])
         for b in batches:
             got: dict[tuple[str, str], list[float]] = {}
-            for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own, host = measure(h or ""), host_of(u)
+            for host, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = measure(h or "")
                 if not own:
                     continue
                 votes = sum(f[0] for f in own.values() if f[0] > 0) or 1.0
@@ -314,7 +331,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                         row[i] += x
             yield pa.RecordBatch.from_pydict({"host": [k[0] for k in got], "path": [k[1] for k in got], **{c: [v[i] for v in got.values()] for i, c in enumerate(NUMBERS)}}, schema=out)
 
-    cast = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
+    cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     added = cast.mapInArrow(run, "host string, path string, " + ", ".join(f"{c} double" for c in NUMBERS)).groupBy("host", "path").agg(*[F.round(F.sum(c), 6).alias(c) for c in NUMBERS])
     added = cut(added, "paths")
     many = added.where("path = ''").select("host", F.col("n").alias("of"))
@@ -339,8 +356,7 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
     """
     winners = cut(host_paths(pages), "host-paths")
     small = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    host = F.coalesce(F.lower(F.regexp_replace(F.regexp_extract(F.trim(F.col("url").cast("string")), HOST.pattern, 1), r"\.+$", "")), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "host", "path", "others")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("host", pa.string()), ("path", pa.string())])
 
