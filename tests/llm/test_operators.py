@@ -411,12 +411,23 @@ def test_join_edges(spark, odd, none):
 
 
 def test_join_of_large_and_missing_ids(spark):
-    """Ids near the ends of their range, and classes of which no row has an id."""
-    rows = [(d, t) for (_, t), d in zip(near_rows(40, 3, 4), [*range(2**63 - 10, 2**63), *range(-(2**63), -(2**63) + 10), *range(2**62, 2**62 + 10), *[None] * 10])]
+    """Ids near the ends of their range, classes of which no row has an id, and different texts of one id."""
+    ids = [*range(2**63 - 10, 2**63), *range(-(2**63), -(2**63) + 10), *range(2**62, 2**62 + 10), *[None] * 10, *[7] * 10]
+    rows = [(d, t) for (_, t), d in zip(near_rows(50, 3, 4), ids)]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
     assert Counter((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == Counter(component_rows(rows))
 
 
+def test_one_of_each_component_stays(spark, odd, none):
+    """Repeated rows and rows without an id count as members; another text of a removed row's id stays."""
+    base, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, base, "r"), (2, base + " x", "r"), (2, other, "r"), (2, other, "r"), (None, base, "r"), (None, base, "r"), (7, None, "r"), (7, None, "r"), (None, "c d e f g h", "r"), (None, "c d e f g h", "r"), (9, "lone words here", "r")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    want = [(2, base + " x", "r"), (2, other, "r"), (7, None, "r"), (7, None, "r"), (None, "c d e f g h", "r"), (9, "lone words here", "r")]
+    assert Counter(map(tuple, got.collect())) == Counter(want) and got.columns == ["doc_id", "text", "row"]
+    assert ngram_join.one_of_each(none).count() == 0 and ngram_join.one_of_each(odd).columns == odd.columns
+
+
 def test_divide_skip_against_counting():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))).astype(np.uint64) for _ in range(80)]

@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hashes, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, spread, squeeze, unpack
@@ -77,22 +77,23 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
-        ids, sets, size = [], [], 0
+        ids, keys, sets, size = [], [], [], 0
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist()):
                 ids.append(d)
+                keys.append(k)
                 sets.append(shingles(t, hashes))
                 size += len(sets[-1])
                 if size > FLUSH:
-                    yield from sent(ids, sets, task << 24 | number)
-                    ids, sets, size, number = [], [], 0, number + 1
+                    yield from sent(ids, keys, sets, task << 24 | number)
+                    ids, keys, sets, size, number = [], [], [], 0, number + 1
         if ids:
-            yield from sent(ids, sets, task << 24 | number)
+            yield from sent(ids, keys, sets, task << 24 | number)
 
-    def sent(ids: list, sets: list[np.ndarray], flush: int) -> Iterator[pa.RecordBatch]:
+    def sent(ids: list, keys: list, sets: list[np.ndarray], flush: int) -> Iterator[pa.RecordBatch]:
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         n = np.array([len(s) for s in sets], np.int64)
-        frame = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n), "digest": pa.array(digests, pa.binary(16))})
+        frame = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "n": pa.array(n), "digest": pa.array(digests, pa.binary(16))})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, frame.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(frame)
@@ -117,7 +118,12 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256]), ROWS)], schema=ROWS)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "range int, flush long, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key_of(F.col("text"))).mapInArrow(run, "range int, flush long, blob binary")
+
+
+def key_of(text: Column) -> Column:
+    """Names a row's text beside its doc_id, which other rows may share."""
+    return F.xxhash64(text.cast("string")).alias("key")
 
 
 def shared_hashes(sets: DataFrame) -> DataFrame:
@@ -150,7 +156,7 @@ def shared_hashes(sets: DataFrame) -> DataFrame:
 
 
 def documents_of(shared: DataFrame) -> DataFrame:
-    """doc_id, n, digest of every document, and hashes (a packed array, rare first) of those that may link."""
+    """doc_id, key, n, digest of every document, and hashes (a packed array, rare first) of those that may link."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         head, several, holders = parts_of(p.blob[p.kind == 0].iloc[0])
@@ -171,9 +177,9 @@ def documents_of(shared: DataFrame) -> DataFrame:
             for i in np.flatnonzero((np.diff(edge) >= -(-UP * n // DOWN)) & (n > 0)):
                 hashes[i] = t["h"][edge[i] : edge[i + 1]].tobytes()
         ids = head.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        return pd.DataFrame({"doc_id": ids, "n": n, "digest": head.column("digest").to_pylist(), "hashes": hashes})
+        return pd.DataFrame({"doc_id": ids, "key": head.column("key").to_numpy(), "n": n, "digest": head.column("digest").to_pylist(), "hashes": hashes})
 
-    return shared.groupBy("flush").applyInPandas(run, "doc_id long, n long, digest binary, hashes binary")
+    return shared.groupBy("flush").applyInPandas(run, "doc_id long, key long, n long, digest binary, hashes binary")
 
 
 def merge_short(lists: list[np.ndarray], least: int) -> list[int]:
@@ -325,12 +331,22 @@ def cluster_labels(members: DataFrame, block: int) -> DataFrame:
     return label.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(joined).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def groups(docs: DataFrame, block: int = 128) -> DataFrame:
+    """doc_id, key, n, component, name for every row of docs with shingles, and nulls as component and name for the others.
+
+    key names the row's text; component is one number for all rows of a component, name its smallest doc_id.
+    """
     found = cut(documents_of(shared_hashes(packed_sets(docs, hash_ranges(docs)))), "sets")
-    first = F.min("doc_id")
-    classes = found.where("n > 0").groupBy("digest").agg(F.coalesce(first, F.xxhash64("digest")).alias("rep"), first.isNull().alias("nameless"), F.max("n").alias("n"), F.first("hashes", True).alias("hashes"))
-    classes = cut(classes, "classes")
+    by_digest = found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("name"), F.max("n").alias("n"), F.first("hashes", True).alias("hashes"))
+    number = F.xxhash64("digest")
+    classes = cut(by_digest.withColumn("rep", F.coalesce("name", number)), "classes")
+    # a class without ids, or of an id that another class has too, goes by a number of its own
+    twice = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1")
+    plain = True
+    if twice.limit(1).count():
+        classes = cut(classes.join(twice, "rep", "left").withColumn("rep", F.when(F.col("k").isNull(), F.col("rep")).otherwise(number)).drop("k"), "classes")
+        plain = False
+    plain = plain and not classes.where("name is null").limit(1).count()
     live = classes.where("hashes is not null").select("rep", "n", "hashes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,15 +367,45 @@ def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
     clusters = components(keys.join(meet, "h").select(F.col("rep").alias("a"), "b"))
     members = live.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
     label = cluster_labels(members, block).select(F.col("node").alias("rep"), "component")
-    named = classes.select("digest", "rep", "nameless").join(label, "rep", "left").select("digest", "rep", "nameless", F.coalesce("component", "rep").alias("component"))
-    if classes.where("nameless").limit(1).count():  # a number of a class without ids is no component's name
-        names = named.groupBy("component").agg(F.min(F.when(~F.col("nameless"), F.col("rep"))).alias("name"))
-        named = named.join(names, "component").select("digest", F.col("name").alias("component"))
+    named = classes.select("digest", "rep", "name").join(label, "rep", "left").select("digest", "name", F.coalesce("component", "rep").alias("component"))
+    if plain:
+        named = named.select("digest", "component", F.col("component").alias("name"))
     else:
-        named = named.select("digest", "component")
-    rows = found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    linked = rows.where("digest is not null").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return linked.union(rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        named = named.select("digest", "component").join(named.groupBy("component").agg(F.min("name").alias("name")), "component").select("digest", "component", "name")
+    rows = found.select("doc_id", "key", "n", "digest")
+    linked = rows.where("n > 0").join(named, "digest").select("doc_id", "key", "n", "component", "name")
+    nothing = F.lit(None).cast("long")
+    return linked.union(rows.where("n = 0").select("doc_id", "key", "n", nothing, nothing))
+
+
+def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    return groups(docs, block).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, of which one of each component stays: the one with the smallest doc_id.
+
+    Rows without an id come after those with one; of rows that share an id, and of rows without any, the smallest key
+    stays, and one of equal rows. Rows without shingles all stay.
+    """
+    names = docs.columns
+    found = cut(groups(docs).where("n > 0").select("doc_id", "key", "component"), "groups")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    placed = found.join(first, "component").select("doc_id", "key", stays.alias("stays"))
+    # rows of one id and key have one text, so they are in one component
+    states = cut(placed.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "states")
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), key_of(F.col("text")))
+
+    def by_row(table: DataFrame, how: str) -> DataFrame:
+        return rows.join(table, rows.id.eqNullSafe(table.doc_id) & (rows.key == table.key), how)
+
+    gone, repeated = states.where("not stays"), states.where("stays")
+    if not repeated.limit(1).count():
+        return by_row(gone, "left_anti").select("row.*")
+    once = by_row(repeated, "left_semi").dropDuplicates(["id", "key"])
+    return by_row(states, "left_anti").union(once).select("row.*")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
