@@ -7,7 +7,6 @@ quality model is fitted on labelled rows of the documents table, the other stage
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, ngram_join, packing, quality, substring_dedup
 from tidewater.llm.common import cut
@@ -22,10 +21,8 @@ def keep_good(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Keep the document with the smallest id of each component; documents without shingles or id stay."""
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("n_shingles > 0 and component_id is not null and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Keep one row of each component, the one with the smallest id; documents without shingles stay."""
+    return ngram_join.one_of_each(docs.select(COLUMNS))
 
 
 def without_repeats(spark, docs, sf_dir):
