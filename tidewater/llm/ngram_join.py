@@ -44,7 +44,7 @@ SHINGLE = 5
 BITS = 56
 #: Similarity as a ratio of whole numbers, so that the test is exact.
 UP, DOWN = 75, 100
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 SENT = [("who", "<u4"), ("n", "<u4")]
 SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u8")]
 #: In place of a document: several of the stretch hold the hash.

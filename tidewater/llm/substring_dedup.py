@@ -111,7 +111,7 @@ def seed_counts(docs: DataFrame, window: int, repeated: list[BitFilter]) -> Data
 
 ROWS = pa.schema([("range", pa.int32()), ("flush", pa.int64()), ("blob", pa.binary())])
 PLACE = [("doc", "<i8"), ("at", "<i4"), ("check", "<u4")]
-FLUSH = 1_500_000
+FLUSH = 600_000
 
 
 def starts_of(h: np.ndarray, place: np.ndarray) -> np.ndarray:
