@@ -66,6 +66,13 @@ def hash_ranges(docs: DataFrame, each: int = 32 << 20) -> int:
     return max(-(-size // each), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -74,7 +81,7 @@ def crc_mod(col, n: int):
 class Hashes(dict):
     """word (bytes) -> 63-bit hash, remembered up to a bound that only saves work."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -193,10 +200,11 @@ def forests(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, thin: bool = True, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
-    Tasks first thin out their edges to stars. Then each round takes the smallest label among the neighbours and jumps
+    Tasks first thin out their edges to stars, unless `thin` is false: edges that Python made would need a second Python
+    worker for it in the same task, and Spark keeps its memory. Then each round takes the smallest label among the neighbours and jumps
     along labels, so long chains end in a logarithmic number of rounds. Only keyed joins and min() are used: no group is
     gathered. Tables of labels are much smaller than the texts that the number of shuffle partitions is meant for, so
     they are written in a quarter as many parts.
@@ -204,7 +212,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     kept, stale = [], []
-    stars = cut(forests(edges), "stars", kept)
+    stars = cut(forests(edges) if thin else edges.select("a", "b").where("a <> b"), "stars", kept)
     both = stars.union(stars.select("b", "a"))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).coalesce(parts), "labels", stale)
     for _ in range(rounds):

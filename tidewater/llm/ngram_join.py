@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, spread, squeeze, unpack
+from .common import Hashes, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, slices, spread, squeeze, unpack
 
 
 SHINGLE = 5
@@ -78,7 +78,7 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
         ids, keys, sets, size = [], [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for d, k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist()):
                 ids.append(d)
                 keys.append(k)
@@ -306,7 +306,7 @@ def cluster_labels(members: DataFrame, block: int) -> DataFrame:
     to = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("block"))
     columns = ["cluster", "to", "rep", "n", "hashes"]
     dealt = rows.where(F.col("size") <= block).withColumn("to", F.lit(0)).select(columns).union(big.withColumn("to", F.explode(to)).select(columns))
-    label = components(dealt.groupBy("cluster", "to").applyInPandas(within, EDGES))
+    label = components(dealt.groupBy("cluster", "to").applyInPandas(within, EDGES), thin=False)
     if not big.limit(1).count():
         return label
     known = cut(big.join(label.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
@@ -325,7 +325,7 @@ def cluster_labels(members: DataFrame, block: int) -> DataFrame:
         label = p.label.to_numpy()
         return as_edges(links_between(label, p.n.to_numpy(), as_sets(p), label, p.asks.to_numpy(bool))).drop_duplicates()
 
-    joined = components(asking.select(cols).union(asked.select(cols)).groupBy("cluster", "block", "part").applyInPandas(between, EDGES))
+    joined = components(asking.select(cols).union(asked.select(cols)).groupBy("cluster", "block", "part").applyInPandas(between, EDGES), thin=False)
     later = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
     # sets without a link before are their own label
     return label.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(joined).groupBy("node").agg(F.min("component").alias("component"))

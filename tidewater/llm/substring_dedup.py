@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Hashes, cut, hash_ranges, mix, pack, spread, squeeze, unpack
+from .common import BitFilter, Hashes, cut, hash_ranges, mix, pack, slices, spread, squeeze, unpack
 
 WINDOW = 20
 
@@ -88,7 +88,7 @@ def seed_counts(docs: DataFrame, window: int, repeated: list[BitFilter]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 w = hashes.of(words(t))
                 alive = survivors(w, window, shared.value)
@@ -133,7 +133,7 @@ def places(docs: DataFrame, window: int, repeated: list[BitFilter], ranges: int)
         hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for b in batches:
+        for b in slices(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = hashes.of(words(t))
                 go = survivors(w, window, shared.value)
@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = []
             for d, t, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 n, w = kept_words(t, starts, window)
@@ -263,7 +263,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, keep = [], []
             columns = b.column(0).flatten()
             for t, starts in zip(columns[column].to_pylist(), b.column(1)):
