@@ -212,7 +212,8 @@ def components(edges: DataFrame, thin: bool = True, rounds: int = 60) -> DataFra
     spark = edges.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     kept, stale = [], []
-    stars = cut(forests(edges) if thin else edges.select("a", "b").where("a <> b"), "stars", kept)
+    # tasks that hold parts of the same group find the same stars
+    stars = cut((forests(edges) if thin else edges.select("a", "b").where("a <> b")).distinct(), "stars", kept)
     both = stars.union(stars.select("b", "a"))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).coalesce(parts), "labels", stale)
     for _ in range(rounds):
