@@ -46,18 +46,18 @@ def test_small_functions(spark):
 
 # --- tables and profiles --------------------------------------------------------------------------------------------
 
-CSV = "\ufeffid, amount ,status,region,notes\n1,10,ok,eu,a\n2,11,ok,eu,\n3,1000,bad,us,\"multi\nline, text\"\n4,9,ok,eu,d\n"
+CSV = "\ufeffparcel, grams ,carrier,remark\n" + "".join(f"{70 + i},{500 + 3 * i},{'road' if i % 2 else 'rail'},{'fragile' if i == 4 else ''}\n" for i in range(8)) + '90,99000,airship,"two\nlines, quoted"\n'
 
 
 def test_csv_profile_and_roles(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text(CSV)
     df = tables.read_csv(spark, str(p))
-    assert df.columns == ["id", "amount", "status", "region", "notes", "row_index", "record_id"]
-    assert [r.record_id for r in df.orderBy("row_index").collect()] == [f"row-{i:06d}" for i in range(1, 5)]
-    assert profiling.roles(df, ["id", "amount", "status", "region", "notes"]) == (["id", "amount"], ["status", "region", "notes"])
-    r = discovery.analyse_tabular(spark, str(p), options={"tabular": {"id_column": "id"}})
-    assert r["candidate_anomalies"][0]["row_index"] == 3 and discovery.validate(r) == ([], [])
+    assert df.columns == ["parcel", "grams", "carrier", "remark", "row_index", "record_id"]
+    assert [r.record_id for r in df.orderBy("row_index").collect()] == [f"row-{i:06d}" for i in range(1, 10)]
+    assert profiling.roles(df, ["parcel", "grams", "carrier", "remark"]) == (["parcel", "grams"], ["carrier", "remark"])
+    r = discovery.analyse_tabular(spark, str(p), options={"tabular": {"id_column": "parcel"}})
+    assert r["candidate_anomalies"][0]["row_index"] == 9 and discovery.validate(r) == ([], [])
     assert "| rank |" in discovery.to_markdown(r) and "<table>" in discovery.to_html(r) and '"modality"' in discovery.to_json(r)
 
 
@@ -73,29 +73,23 @@ def test_csv_faults(spark, tmp_path):
     assert tables.extra_field_rows(spark, str(tmp_path / "m.csv")).count() == 1
 
 
-MACHINE = """timestamp,machine,temp,pressure
-2026-07-01T10:00:00,a,10,1
-2026-07-01T10:01:00,a,10.5,1
-2026-07-01T10:02:00,a,40,1
-2026-07-01T10:08:00,a,11,1
-2026-07-01T10:08:00,a,11,1
-,a,11,1
-soon,a,11,1
-"""
+#: Seven readings of a well two hours apart, the fifth time twice and a day's rest before the last; and two without a time.
+WELL = [(0, 3.1), (2, 3.2), (4, 3.1), (6, 3.3), (8, 9.9), (8, 9.9), (32, 3.2)]
 
 
 def test_timeseries_file(spark, tmp_path):
-    (tmp_path / "t.csv").write_text(MACHINE)
-    df = tables.read_timeseries_csv(spark, str(tmp_path / "t.csv"), entity="machine")
-    p = profiling.timeseries_profile(df, "ts", ["temp", "pressure"], "entity").first()
-    assert (p.row_count, p.valid_count, p.signal_count, p.entity_count) == (7, 5, 2, 1)
-    assert profiling.duplicate_keys(df, "ts", "entity").first()[0] == 1 and profiling.baseline_gap(df, "ts") == 60.0
+    lines = [f"2025-03-{1 + h // 24:02d} {h % 24:02d}:30:00,north,{level},{12 + i % 2}" for i, (h, level) in enumerate(WELL)]
+    (tmp_path / "t.csv").write_text("\n".join(["time,well,level,clearness", *lines, ",north,3,12", "yesterday,north,3,12"]))
+    df = tables.read_timeseries_csv(spark, str(tmp_path / "t.csv"), entity="well")
+    p = profiling.timeseries_profile(df, "ts", ["level", "clearness"], "entity").first()
+    assert (p.row_count, p.valid_count, p.signal_count, p.entity_count) == (9, 7, 2, 1)
+    assert profiling.duplicate_keys(df, "ts", "entity").first()[0] == 1 and profiling.baseline_gap(df, "ts") == 7200.0
     s = profiling.sampling_summary(df, "ts").first()
-    assert (s.gap_count, s.min_gap, s.median_gap, s.max_gap, s.irregular) == (4, 0.0, 60.0, 360.0, True)
-    f, names = timeseries.timeseries_features(df, "ts", "entity", ["temp", "pressure"], "row_index")
-    assert len(names) == 16 and [r.time_gap for r in f.orderBy("row_index").collect()] == [0.0, 0.0, 0.0, 1.0, 0.0]
-    r = discovery.analyse_timeseries(spark, str(tmp_path / "t.csv"), options={"timeseries": {"entity_column": "machine"}})
-    assert r["candidate_anomalies"][0]["anomaly_id"] in ("ts-000003", "ts-000004") and discovery.validate(r)[0] == []
+    assert (s.gap_count, s.min_gap, s.median_gap, s.max_gap, s.irregular) == (6, 0.0, 7200.0, 86400.0, True)
+    f, names = timeseries.timeseries_features(df, "ts", "entity", ["level", "clearness"], "row_index")
+    assert len(names) == 16 and [r.time_gap for r in f.orderBy("row_index").collect()] == [0.0] * 6 + [1.0]
+    r = discovery.analyse_timeseries(spark, str(tmp_path / "t.csv"), options={"timeseries": {"entity_column": "well"}})
+    assert r["candidate_anomalies"][0]["anomaly_id"] in ("ts-000005", "ts-000006", "ts-000007") and discovery.validate(r)[0] == []
     with pytest.raises(ValueError, match="Could not detect"):
         tables.time_column(["when", "value"])
 
@@ -400,3 +394,66 @@ def test_orders(spark):
     many = spark.createDataFrame([(g, float(v)) for g, n in ((0, 1), (1, 2), (2, 101), (3, 100)) for v in rng.integers(0, 20, n)], "g int, v double")
     want = {g: float(np.median([r.v for r in many.collect() if r.g == g])) for g in range(4)}
     assert {r.g: r.median for r in orders.medians(many, "g", "v", 8).collect()} == want
+
+
+def test_leader_clusters_and_scores_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 5}", 0, 0, "s", float(9 - i / 10), rng.normal(size=3).tolist()) for i in range(40)]
+    means, sizes, name = [], [], {}
+    for i, *_, v in rows:
+        u = np.array(v) / np.linalg.norm(v)
+        d = [np.linalg.norm(u - m) for m in means]
+        if d and min(d) <= 0.6:
+            at = int(np.argmin(d))
+            means[at], sizes[at] = (means[at] * sizes[at] + u) / (sizes[at] + 1), sizes[at] + 1
+        else:
+            at = len(means)
+            means.append(u)
+            sizes.append(1)
+        name[i] = f"concept-{at + 1:04d}"
+    c = selection.leader_clusters(candidates(spark, rows).withColumn("position", F.col("id").cast("int")), 0.6)
+    assert {r.id: r.concept_id for r in c.collect()} == name
+    got = {r.concept_id: r for r in selection.concept_scores(c, 100).collect()}
+    assert set(got) == set(name.values())
+    for k, r in got.items():
+        own = [x for x in rows if name[x[0]] == k]
+        v, s = np.array([x[6] for x in own]), np.array([x[5] for x in own])
+        parts = (s.mean() / max(s.max(), 1), min(len(own) / 5, 1), 1.0 if len(own) == 1 else 1 / (1 + np.linalg.norm(v - v.mean(0), axis=1).mean()), len({x[1] for x in own}) / len(own))
+        assert (r.novelty, r.support, r.consistency, r.diversity) == pytest.approx(parts, abs=1e-6)
+        assert r.confidence == pytest.approx(0.3 * parts[0] + 0.2 * parts[1] + 0.25 * parts[2] + 0.15 * parts[3] + 0.1, abs=1e-6)
+
+
+def test_cosine_coreset_against_a_loop(spark):
+    x = np.round(np.random.default_rng(8).normal(size=(200, 3)), 1)
+    far, at, want = np.full(len(x), np.inf), 3, []
+    for _ in range(20):
+        want.append(at)
+        far = np.minimum(far, np.round(1 - x @ x[at] / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(x[at]), 1e-300), 12))
+        far[want] = -1
+        at = int(far.argmax())
+    got = reference.farthest_first(vecs(spark, enumerate(x.tolist())), 0.1, 20, seed=3, metric="cosine", ahead=8)
+    assert [r.id for r in got.orderBy("position").collect()] == want
+
+
+def test_smoothing_of_the_whole_image(spark):
+    """A covered corner of a larger image: what lies beyond the cover weighs nothing."""
+    rng = np.random.default_rng(5)
+    m = spark.createDataFrame([(1, x, y, float(rng.normal()), 1) for x in range(2, 6) for y in range(3)], "image_id long, px int, py int, value double, coverage long")
+    v = {(r.px, r.py): r.value for r in m.collect()}
+    k = {d: math.exp(-d * d / 2) for d in range(-3, 4)}
+    for r in reference.smooth(m, 1.0, spark.createDataFrame([(1, 8, 6)], "image_id long, width int, height int")).collect():
+        near = [(k[a] * k[b], v.get((min(max(r.px + a, 0), 7), min(max(r.py + b, 0), 5)))) for a in k for b in k]
+        assert r.value == pytest.approx(sum(w * x for w, x in near if x is not None) / sum(w for w, x in near if x is not None))
+
+
+def test_metric_summary_warns(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, True), (2, None, 0.5, False), (3, 1, None, None)], "id long, label int, score double, selected boolean")
+    r = evaluation.metric_summary(rows).first()
+    assert (r.samples, r.scored, r.labelled, r.unknown, r.selected, r.selected_fraction) == (3, 2, 2, 1, 1, 0.5)
+    assert r.auroc is None and r.warnings == "missing_predictions,no_positive_labels,equal_scores"
+    assert evaluation.metric_summary(rows.limit(0)).first().samples == 0
+
+
+def test_confidence_passes_through_or_falls_back(spark):
+    e = spark.createDataFrame([("a", 2.0, 10, 0.5, None), ("b", 4.0, 1, 1.0, None), ("c", 1.0, 1, 1.0, 0.25), ("d", 1.0, 1, 1.0, 3.0)], "concept_id string, average_novelty double, example_count long, consistency double, final_confidence double")
+    assert {r.concept_id: r.confidence for r in selection.confidences(e).collect()} == {"a": 0.65, "b": 0.76, "c": 0.25, "d": 1.0}

@@ -108,3 +108,24 @@ def acceptance(metrics: DataFrame, least: dict[str, float], most: dict[str, floa
     value: dict[str, Column] = {k: F.col(k).cast("double") if k in metrics.columns else F.lit(None).cast("double") for k, _, _ in gates}
     rows = [F.struct(F.lit(f"{'min' if up else 'max'}_{k}").alias("gate"), value[k].alias("value"), F.lit(float(b)).alias("bound"), F.coalesce(value[k] >= b if up else value[k] <= b, F.lit(False)).alias("passed")) for k, b, up in gates]
     return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def metric_summary(rows: DataFrame) -> DataFrame:
+    """One row about samples (id, label 0, 1 or null, score or null, selected): counts, range, AUROC, average precision
+    and warnings parted by commas. Without scored samples of both labels the supervised values are null."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    scored, label = F.col("score").isNotNull(), F.col("label")
+    counts = rows.agg(
+        F.count("*").alias("samples"), F.count("score").alias("scored"), F.count("label").alias("labelled"), n(label == 0).alias("normal"), n(label == 1).alias("anomalies"), n(label.isNull()).alias("unknown"),
+        n(scored & F.col("selected")).alias("selected"), F.min("score").alias("low"), F.max("score").alias("high"), n(scored & (label == 1)).alias("_positive"), n(scored & (label == 0)).alias("_negative"),
+    )
+    judged = rows.where(scored & label.isNotNull()).select("id", "score", "label")
+    both = counts.crossJoin(auroc(judged)).crossJoin(average_precision(judged))  # one row each
+    warned = {"missing_predictions": F.col("scored") < F.col("samples"), "no_positive_labels": F.col("_positive") == 0, "no_negative_labels": F.col("_negative") == 0, "equal_scores": F.col("low") == F.col("high")}
+    names = ("samples", "scored", "labelled", "normal", "anomalies", "unknown", "selected")
+    fraction = F.round(F.coalesce(F.col("selected") / F.nullif(F.col("scored"), F.lit(0)), F.lit(0.0)), 6)
+    supervised = (F.col("_positive") > 0) & (F.col("_negative") > 0)
+    return both.select(
+        *names, fraction.alias("selected_fraction"), "low", "high", F.when(supervised, F.col("auroc")).alias("auroc"), F.when(F.col("_positive") > 0, F.col("average_precision")).alias("average_precision"),
+        F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in warned.items()]).alias("warnings"),
+    )

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# File suffixes, and the names and order of the features.
 SUFFIXES = ("png", "jpg", "jpeg", "bmp", "webp", "ppm", "pgm")
 FEATURES = (
     ["width", "height", "aspect", "mean", "std", "min", "max", "p10", "p90", "contrast"]

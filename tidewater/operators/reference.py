@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import knn
+from .vectors import METRICS, distances, knn
 
 
 def check_compatible(queries: DataFrame, reference: DataFrame) -> None:
@@ -58,9 +58,12 @@ def display(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("shown", F.round(F.coalesce((F.col("value") - low) / F.when(high > low, high - low), F.lit(0.0)), 6))
 
 
-def smooth(pixels: DataFrame, sigma: float) -> DataFrame:
-    """Separable Gaussian over each image's covered pixels; uncovered ones neither give nor get. One group an image."""
-    radius = int(np.ceil(3 * sigma))
+def smooth(pixels: DataFrame, sigma: float, sizes: DataFrame | None = None) -> DataFrame:
+    """Separable Gaussian over each whole image; uncovered pixels neither give nor get, and the border's repeat beyond it.
+
+    sizes holds image_id, width and height; without it an image ends with its last covered pixels. One group an image.
+    """
+    radius = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)
     kernel /= kernel.sum()
 
@@ -71,23 +74,29 @@ def smooth(pixels: DataFrame, sigma: float) -> DataFrame:
         return sum(k * np.take(p, np.arange(i, i + a.shape[axis]), axis) for i, k in enumerate(kernel))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = (p.px - p.px.min()).to_numpy(), (p.py - p.py.min()).to_numpy()
-        value, there = np.zeros((y.max() + 1, x.max() + 1)), np.zeros((y.max() + 1, x.max() + 1))
+        x, y = p.px.to_numpy(), p.py.to_numpy()
+        shape = (max(int(p.height.max()), y.max() + 1), max(int(p.width.max()), x.max() + 1))
+        value, there = np.zeros(shape), np.zeros(shape)
         value[y, x], there[y, x] = p.value, 1.0
         v, w = along(along(value, 0), 1), along(along(there, 0), 1)
-        return p.assign(value=(v / np.maximum(w, 1e-12))[y, x])
+        return p.assign(value=(v / np.maximum(w, 1e-12))[y, x]).drop(columns=["width", "height"])
 
-    return pixels.select("image_id", "px", "py", "value", "coverage").groupBy("image_id").applyInPandas(run, "image_id long, px int, py int, value double, coverage long")
+    sized = pixels.join(sizes.select("image_id", "width", "height"), "image_id") if sizes is not None else pixels.withColumn("width", F.lit(0)).withColumn("height", F.lit(0))
+    return sized.select("image_id", "px", "py", "value", "coverage", "width", "height").groupBy("image_id").applyInPandas(run, "image_id long, px int, py int, value double, coverage long")
 
 
-def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, limit: int | None = None, ahead: int = 1024) -> DataFrame:
+def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, limit: int | None = None, ahead: int = 1024, metric: str = "euclidean") -> DataFrame:
     """vector ids, which are unique, of a coreset by farthest-first traversal: order 0 is row seed % n by id, ties go to the smaller id.
 
     A pass over the vectors finds each one's distance to the nearest picked vector and brings the `ahead` farthest to the
     driver. Distances only shrink, so the next pick is among those while the farthest of them is farther than the last
-    one was; then comes the next pass. More than `limit` vectors raise ValueError if one is given; else there is no bound.
+    one was; then comes the next pass. Distances are euclidean or cosine. More than `limit` vectors raise ValueError if one is given; else there is no bound.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     spark = vectors.sparkSession
+    # squares of euclidean distances order as the distances do
+    away = (lambda v, x: ((v - x) ** 2).sum(1)) if metric == "euclidean" else (lambda v, x: np.round(distances(x[None], v, metric)[0], 12))
     n = vectors.count()
     if limit is not None and n > limit:
         raise ValueError(f"{n} vectors exceed the limit of {limit}")
@@ -106,7 +115,7 @@ def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, l
                 if len(p):
                     v, far = np.stack(p.v), np.full(len(p), np.inf)
                     for _, x in known:
-                        far = np.minimum(far, ((v - x) ** 2).sum(1))
+                        far = np.minimum(far, away(v, x))
                     best = pd.concat([best, p.assign(far=far)]).sort_values(["far", "id"], ascending=[False, True], kind="stable")[:ahead]
             if best is not None:
                 yield best
@@ -122,6 +131,6 @@ def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, l
             if far[at] < 0 or not all_here and len(picked) > len(known) and far[at] <= least:
                 break
             picked.append((int(ids[at]), v[at]))
-            far = np.minimum(far, ((v - v[at]) ** 2).sum(1))
+            far = np.minimum(far, away(v, v[at]))
             far[ids == ids[at]] = -1
     return spark.createDataFrame([(i, at) for at, (i, _) in enumerate(picked)], "id long, position int")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import clamp
+from .vectors import knn
 
 
 def fits(p: pd.DataFrame, picks: list[dict], per_source: int, least_pixels: float, least_embedding: float | None, new_scale: bool) -> np.ndarray:
@@ -108,16 +109,18 @@ def leader_clusters(selected: DataFrame, threshold: float = 0.35, limit: int = 1
     return selected.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, schema)
 
 
-def concept_scores(clustered: DataFrame, limit: int = 5) -> DataFrame:
-    """concept_id, size, parts and confidence of the concepts of highest mean score."""
+def concept_scores(clustered: DataFrame, limit: int = 5, supporting: int = 5) -> DataFrame:
+    """concept_id, size, parts and confidence of the concepts of highest mean score.
+
+    Novelty is the mean over the concept's own largest score, or over 1 where that is smaller; support is full from
+    `supporting` members on.
+    """
     means = clustered.select("concept_id", F.posexplode("v").alias("i", "x")).groupBy("concept_id", "i").agg(F.avg("x").alias("m"))
     raw = means.groupBy("concept_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    g = clustered.join(raw, "concept_id").groupBy("concept_id").agg(F.count("*").alias("size"), F.avg("score").alias("mean_score"), F.avg(d).alias("spread"), F.count_distinct("source").alias("sources"), F.avg((F.size("v") > 0).cast("double")).alias("quality"))
-    top = F.max("mean_score").over(Window.partitionBy())
-    most = F.max("size").over(Window.partitionBy())
-    novelty = clamp(F.col("mean_score") / F.greatest(top, F.lit(1.0)))
-    support = clamp(F.col("size") / most)
+    g = clustered.join(raw, "concept_id").groupBy("concept_id").agg(F.count("*").alias("size"), F.avg("score").alias("mean_score"), F.max("score").alias("most"), F.avg(d).alias("spread"), F.count_distinct("source").alias("sources"), F.avg((F.size("v") > 0).cast("double")).alias("quality"))
+    novelty = clamp(F.col("mean_score") / F.greatest("most", F.lit(1.0)))
+    support = clamp(F.col("size") / F.lit(float(supporting)))
     consistency = F.when(F.col("size") <= 1, 1.0).otherwise(1 / (1 + F.col("spread")))
     diversity = F.col("sources") / F.col("size")
     confidence = 0.30 * novelty + 0.20 * support + 0.25 * consistency + 0.15 * diversity + 0.10 * F.col("quality")
@@ -125,6 +128,33 @@ def concept_scores(clustered: DataFrame, limit: int = 5) -> DataFrame:
     return out.orderBy(F.desc("mean_score"), "concept_id").limit(limit)
 
 
+def confidences(evidence: DataFrame) -> DataFrame:
+    """concept_id, confidence of (concept_id, average_novelty, example_count, consistency, final_confidence).
+
+    A final_confidence is passed through, at most 1; without one novelty by the largest of all, count and consistency
+    stand in.
+    """
+    top = evidence.agg(F.max("average_novelty").alias("_top"))
+    share = F.col("average_novelty") / F.when(F.col("_top") != 0, F.col("_top")).otherwise(1.0)
+    instead = 0.5 * share + 0.3 * F.least(F.col("example_count") / 5, F.lit(1.0)) + 0.2 * F.col("consistency")
+    both = evidence.crossJoin(F.broadcast(top))  # one row
+    return both.select("concept_id", F.round(F.least(F.coalesce("final_confidence", instead), F.lit(1.0)), 6).alias("confidence"))
+
+
+def concept_neighbours(clustered: DataFrame, memory: DataFrame, k: int = 5, members: int = 5) -> DataFrame:
+    """concept_id, query_id, id, distance, position: the k rows of memory nearest to a concept's best `members`.
+
+    Rows that belong to the concept are no neighbours; ties go to the smaller id, then to the smaller query.
+    """
+    best = Window.partitionBy("concept_id").orderBy(F.desc("score"), "id")
+    asking = clustered.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= members).select("id", "v", F.col("concept_id").alias("source"))
+    own = clustered.select("id", F.col("concept_id").alias("source"))
+    near = knn(asking, memory.select("id", "v").join(own, "id", "left"), k, exclude_same="source")
+    near = near.join(asking.select(F.col("id").alias("query_id"), F.col("source").alias("concept_id")), "query_id")
+    order = Window.partitionBy("concept_id").orderBy("distance", "id", "query_id")
+    return near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("concept_id", "query_id", "id", "distance", "position")
+
+
 def evidence(clustered: DataFrame, k: int = 5) -> DataFrame:
     """concept_id, representative, supporting (k best ids), sources, size."""
     w = Window.partitionBy("concept_id").orderBy(F.desc("score"), "id")

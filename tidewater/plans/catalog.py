@@ -366,9 +366,14 @@ def spatial_map_display(spark, d):
     return reference.display(reference.spatial_map(_boxes(spark, d))).select("image_id", "px", "py", "shown")
 
 
-@query()
+@query(f"""WITH m AS ({_map_sql('avg', 'max')}), k AS (SELECT d, exp(-d * d / 2.0::double) AS k FROM range(-3, 4) t(d)),
+p AS (SELECT m.*, a.k * b.k AS k, least(greatest(px + a.d, 0), 15) AS sx, least(greatest(py + b.d, 0), 15) AS sy FROM m CROSS JOIN k a CROSS JOIN k b)
+SELECT p.image_id, p.px, p.py, round(sum(p.k * s.value) / sum(p.k), 6) AS value, p.coverage FROM p JOIN m s ON s.image_id = p.image_id AND s.px = p.sx AND s.py = p.sy GROUP BY p.image_id, p.px, p.py, p.coverage""")
 def gaussian_smooth(spark, d):
-    return reference.smooth(reference.spatial_map(_boxes(spark, d)), 1.0).select("image_id", "px", "py", F.round("value", 6).alias("value"), "coverage")
+    """Images of 16 by 16 pixels, of which the patches cover a part."""
+    m = reference.spatial_map(_boxes(spark, d))
+    sizes = m.select("image_id").distinct().select("image_id", F.lit(16).alias("width"), F.lit(16).alias("height"))
+    return reference.smooth(m, 1.0, sizes).select("image_id", "px", "py", F.round("value", 6).alias("value"), "coverage")
 
 
 @query()
@@ -376,6 +381,11 @@ def coreset_farthest_first(spark, d):
     return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7)
 
 
+@query()
+def coreset_cosine(spark, d):
+    return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7, metric="cosine")
+
+
 # --- calibration and evaluation: scores are distances from the centroid, label 0 is the anomaly -----------------------
 
 
@@ -573,3 +583,59 @@ def leader_cluster(spark, d):
 @query()
 def concept_confidence(spark, d):
     return selection.concept_scores(selection.leader_clusters(_selected(spark, d), 0.9))
+
+
+# --- concepts: labels stand for them ----------------------------------------------------------------------------------
+
+
+def _concepts(spark, d):
+    v = vecs(spark, d)
+    return vectors.centroid_distance(v).join(v, "id").select("id", F.col("distance").alias("score"), "v", F.col("label").alias("concept_id"), F.floor(F.col("id") / 8).alias("source"))
+
+
+_CON = f"{_CD}, con AS (SELECT cd.id, distance AS score, v.v, label AS concept_id, cd.id // 8 AS source FROM cd JOIN v USING (id))"
+
+
+@query(f"""WITH {_CON}, mm AS (SELECT concept_id, i, avg(v[i]) AS m FROM con, range(1, 65) t(i) GROUP BY concept_id, i), cc AS (SELECT concept_id, list(m ORDER BY i) AS c FROM mm GROUP BY concept_id),
+g AS (SELECT concept_id, count(*) AS size, avg(score) AS mean_score, max(score) AS most, avg(list_distance(v, c)) AS spread, count(DISTINCT source) AS sources FROM con JOIN cc USING (concept_id) GROUP BY concept_id),
+p AS (SELECT concept_id, size, mean_score, least(greatest(mean_score / greatest(most, 1), 0), 1) AS novelty, least(size / 5.0::double, 1) AS support,
+ CASE WHEN size <= 1 THEN 1.0 ELSE 1 / (1 + spread) END AS consistency, sources / size::double AS diversity FROM g)
+SELECT concept_id, size, round(mean_score, 6) AS mean_score, round(novelty, 6) AS novelty, round(support, 6) AS support, round(consistency, 6) AS consistency, round(diversity, 6) AS diversity,
+ round(least(greatest(0.30 * novelty + 0.20 * support + 0.25 * consistency + 0.15 * diversity + 0.10, 0), 1), 6) AS confidence FROM p ORDER BY round(mean_score, 6) DESC, concept_id LIMIT 5""")
+def concept_parts(spark, d):
+    return selection.concept_scores(_concepts(spark, d))
+
+
+@query(f"""WITH {_CON}, e AS (SELECT concept_id, avg(score) AS average_novelty, count(*) AS example_count, 1 / (1 + stddev_pop(score)) AS consistency, CASE WHEN concept_id % 2 = 0 THEN 0.7 + concept_id / 10.0::double END AS final_confidence FROM con GROUP BY concept_id)
+SELECT concept_id, round(least(coalesce(final_confidence, 0.5 * average_novelty / max(average_novelty) OVER () + 0.3 * least(example_count / 5.0::double, 1) + 0.2 * consistency), 1), 6) AS confidence FROM e""")
+def confidence_fallback(spark, d):
+    e = _concepts(spark, d).groupBy("concept_id").agg(F.avg("score").alias("average_novelty"), F.count("*").alias("example_count"), (1 / (1 + F.stddev_pop("score"))).alias("consistency"))
+    return selection.confidences(e.withColumn("final_confidence", F.when(F.col("concept_id") % 2 == 0, 0.7 + F.col("concept_id") / 10)))
+
+
+@query(f"""WITH {_CON}, a AS (SELECT * FROM con QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, id) <= 3),
+n AS (SELECT a.concept_id, a.id AS query_id, b.id, round(list_distance(a.v, b.v), 6) AS distance FROM a JOIN con b ON a.concept_id <> b.concept_id),
+t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5)
+SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY distance, id, query_id)::int AS position FROM t QUALIFY position <= 5""")
+def concept_neighbours(spark, d):
+    c = _concepts(spark, d)
+    return selection.concept_neighbours(c, c, 5, 3)
+
+
+@query(f"""WITH {_V}, p AS (SELECT a.id AS query_id, b.id, round(list_distance(a.v, b.v), 6) AS distance FROM v a JOIN v b ON a.id // 8 <> b.id // 8 WHERE a.id % 20 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::int AS rank, round(1 / (1 + distance), 6) AS similarity FROM p QUALIFY rank <= 5""")
+def vec_knn_other_source(spark, d):
+    v = vecs(spark, d).withColumn("source", F.floor(F.col("id") / 8))
+    return vectors.knn(v.where("id % 20 = 0"), v, 5, exclude_same="source")
+
+
+@query(f"""WITH {_S}, q AS (SELECT id, CASE WHEN id % 7 <> 0 THEN label END AS label, CASE WHEN id % 11 <> 0 THEN score END AS score FROM s), m AS (SELECT * FROM q WHERE score IS NOT NULL), l AS (SELECT * FROM m WHERE label IS NOT NULL),
+r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM l), u AS (SELECT round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS auroc FROM r),
+g AS (SELECT score, sum(label) AS p, count(*) AS n FROM l GROUP BY score), ap AS (SELECT round(sum(p * tp / k::double) / sum(p)::double, 6) AS average_precision FROM (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS k FROM g WINDOW w AS (ORDER BY score DESC)))
+SELECT (SELECT count(*) FROM q) AS samples, (SELECT count(*) FROM m) AS scored, (SELECT count(label) FROM q) AS labelled, (SELECT count(*) FROM q WHERE label = 0) AS normal, (SELECT count(*) FROM q WHERE label = 1) AS anomalies, (SELECT count(*) FROM q WHERE label IS NULL) AS unknown,
+ (SELECT count(*) FROM m WHERE score >= 8) AS selected, round((SELECT count(*) FROM m WHERE score >= 8) / (SELECT count(*) FROM m)::double, 6) AS selected_fraction, (SELECT min(score) FROM m) AS low, (SELECT max(score) FROM m) AS high,
+ u.auroc, ap.average_precision, 'missing_predictions' AS warnings FROM u, ap""")
+def metric_summary(spark, d):
+    s = _scored(spark, d)
+    rows = s.select("id", F.when(F.col("id") % 7 != 0, F.col("label")).alias("label"), F.when(F.col("id") % 11 != 0, F.col("score")).alias("score"))
+    return evaluation.metric_summary(rows.withColumn("selected", F.col("score") >= 8))

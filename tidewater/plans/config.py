@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from copy import deepcopy
 
+# Names and defaults of the options, and what some may be.
 DEFAULTS = {
     "preprocessing": {"patch_sizes": [64], "patch_strides": [64]},
     "discovery": {"max_candidate_anomalies": 10, "max_concepts": 5, "novelty_strategy": "hybrid", "cluster_distance_threshold": 0.35, "weight_global_distance": 0.5, "weight_neighbor_distance": 0.5, "max_per_image": 3, "min_spatial_distance": 32.0},
