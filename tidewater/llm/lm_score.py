@@ -103,7 +103,7 @@ def packed_counts(docs: DataFrame, side: int, ranges: int) -> DataFrame:
         if side:
             known = np.array([i is not None for i in ids])
             doc = np.array([0 if i is None else i for i in ids], np.int64)
-            rows.append((-1 - flush % ranges, side, flush, sized(squeeze(doc), squeeze(known.astype(np.uint8)), squeeze(n), pack(word), squeeze(at.astype("<u4")))))
+            rows.append((-1 - ((flush >> 24) + (flush & 0xFFFFFF)) % ranges, side, flush, sized(squeeze(doc), squeeze(known.astype(np.uint8)), squeeze(n), pack(word), squeeze(at.astype("<u4")))))
         f = Flush(word, at, n)
         step = (1 << BITS) // ranges + 1
         edge = np.searchsorted(f.keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(step))
