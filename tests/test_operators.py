@@ -457,3 +457,78 @@ def test_metric_summary_warns(spark):
 def test_confidence_passes_through_or_falls_back(spark):
     e = spark.createDataFrame([("a", 2.0, 10, 0.5, None), ("b", 4.0, 1, 1.0, None), ("c", 1.0, 1, 1.0, 0.25), ("d", 1.0, 1, 1.0, 3.0)], "concept_id string, average_novelty double, example_count long, consistency double, final_confidence double")
     assert {r.concept_id: r.confidence for r in selection.confidences(e).collect()} == {"a": 0.65, "b": 0.76, "c": 0.25, "d": 1.0}
+
+
+def test_order_statistics_against_numpy(spark):
+    import numpy as np
+    from tidewater.operators.orders import order_statistics
+
+    x = np.round(np.random.default_rng(5).normal(size=3000), 2)  # many ties
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    places = {f"{p}": (lambda n, p=p: (n - 1) * F.lit(p)) for p in (0.0, 0.1, 0.333, 0.5, 1.0)}
+    got = order_statistics(df, "x", places)
+    assert all(abs(got[k] - np.quantile(x, float(k))) < 1e-9 for k in places)
+    assert order_statistics(df.where("x > 99"), "x", places) == dict.fromkeys(places)
+    weighted = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 3)], "x double, w long")
+    assert order_statistics(weighted, "x", {"m": lambda n: F.floor(n / 2)}, "w") == {"m": 1.0}
+
+
+def test_gap_counts_are_the_gaps(spark):
+    import random
+    from datetime import datetime, timedelta
+    from tidewater.operators import profiling
+
+    r = random.Random(3)
+    times = [datetime(2026, 1, 1) + timedelta(seconds=r.randrange(500)) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    from collections import Counter
+
+    want = Counter(g.gap for g in profiling.global_gaps(df, "ts").collect())
+    got = Counter()
+    for g in profiling.gap_counts(df, "ts").collect():
+        got[g.gap] += g.n
+    assert got == want
+    empty = profiling.sampling_summary(df.where("ts is null"), "ts").first()
+    assert empty.gap_count == 0 and empty.median_gap is None and not empty.irregular
+
+
+def test_rows_of_several_files_are_numbered_without_gaps(spark, tmp_path):
+    from tidewater.sources.tables import read_csv
+
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"p{i}.csv").write_text("a,b\n" + "".join(f"{i},{j}\n" for j in range(i * 3)))
+    rows = read_csv(spark, str(folder)).collect()
+    assert sorted(r.row_index for r in rows) == list(range(1, 31)) and len({r.record_id for r in rows}) == 30
+
+
+def test_switched_off_selection_records_and_whole_coreset(spark):
+    from tidewater.operators import reference, selection
+    from tidewater.sources import runs
+
+    c = spark.createDataFrame([(3, 0.5, "s8"), (1, 0.9, None), (2, 0.5, "s4")], "id long, score double, scale string")
+    assert [(r.position, r.id, r.reason) for r in selection.undiversified(c, 2).collect()] == [(1, 1, "high novelty"), (2, 2, "high novelty")]
+    assert selection.scale_labels(c).first().scales == ["s4", "s8"]
+    reports = spark.createDataFrame([("b", 2, "temporal"), ("a", 2, "visual"), ("c", 1, "visual")], "name string, modified long, type string")
+    assert [r.name for r in runs.listing(reports).orderBy("position").collect()] == ["a", "b", "c"]
+    history = spark.createDataFrame([("r1", 1), ("r2", 5)], "run_id string, created_at long")
+    s = runs.summary(history, reports, c).first()
+    assert (s.run_count, s.latest_run_id, s.report_count, s.temporal_report_count, s.latest_report_name, s.feedback_count) == (2, "r2", 3, 1, "a", 3)
+    none = runs.summary(history.limit(0), reports.limit(0), c.limit(0)).first()
+    assert (none.run_count, none.latest_run_id, none.temporal_report_count, none.latest_report_name) == (0, None, 0, None)
+    assert reference.whole(c, 3).count() == 3
+    with pytest.raises(ValueError):
+        reference.whole(c, 2)
+
+
+def test_benchmark_scores_a_labelled_split(spark):
+    from tidewater.operators import reference
+
+    memory = spark.createDataFrame([(100, [0.0, 0.0]), (101, [1.0, 0.0])], "id long, v array<double>")
+    patches = spark.createDataFrame([(1, "p", [0.0, 0.0]), (2, "p", [0.0, 3.0]), (3, "q", [1.0, 0.0]), (4, "other", [9.0, 9.0])], "id long, image_id string, v array<double>")
+    labels = spark.createDataFrame([("p", 1), ("q", 0), ("gone", 0)], "image_id string, label int")
+    m = reference.benchmark(patches, memory, labels, 2.0).first()
+    assert (m.samples, m.scored, m.anomalies, m.selected, m.high, m.auroc) == (3, 2, 1, 1, 3.0, 1.0) and m.warnings == "missing_predictions"
+    with pytest.raises(ValueError):
+        reference.benchmark(patches, memory.withColumn("id", F.col("id") - 99), labels, 2.0)

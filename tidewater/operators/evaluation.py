@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max
-from .orders import running
+from .orders import order_statistics, running
 
 
 def calibrate(fit: DataFrame, scores: DataFrame, method: str = "empirical_percentile", clip: bool = True) -> DataFrame:
@@ -33,12 +33,11 @@ def empirical_percentile(fit: DataFrame, scores: DataFrame) -> DataFrame:
 def threshold_candidates(scores: DataFrame, explicit: dict[str, float] | None = None, percentiles: tuple[float, ...] = (), fractions: tuple[float, ...] = ()) -> DataFrame:
     """threshold_id, threshold: given values, exact percentiles, and the score at rank ceil(n * fraction)."""
     spark = scores.sparkSession
-    n = scores.count()
-    aggs = [F.percentile("score", F.lit(p / 100)).alias(f"percentile-{p:g}") for p in percentiles]
-    # the score at rank r from the top is the order statistic n - r + 1
-    aggs += [F.expr(f"percentile_disc({max(n - -(-n * f // 1) + 0.5, 0.5) / max(n, 1)}D) within group (order by score)").alias(f"top_fraction-{f:g}") for f in fractions]
-    row = scores.agg(*aggs).first().asDict() if aggs and n else {}
-    found = {**{f"explicit-{k}": v for k, v in (explicit or {}).items()}, **row}
+    places = {f"percentile-{p:g}": (lambda n, p=p: (n - 1) * F.lit(p / 100)) for p in percentiles}
+    # rank r from the top is place n - r from the bottom
+    places |= {f"top_fraction-{f:g}": (lambda n, f=f: F.greatest(n - F.greatest(F.ceil(n * F.lit(f)), F.lit(1)), F.lit(0))) for f in fractions}
+    row = order_statistics(scores, "score", places) if places else {}
+    found = {**{f"explicit-{k}": v for k, v in (explicit or {}).items()}, **{k: v for k, v in row.items() if v is not None}}
     return spark.createDataFrame(sorted((k, float(v)) for k, v in found.items()), "threshold_id string, threshold double")
 
 
@@ -110,6 +109,17 @@ def acceptance(metrics: DataFrame, least: dict[str, float], most: dict[str, floa
     return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
 
 
+def calibration_result(fit: DataFrame, scored: DataFrame, method: str, explicit: dict[str, float] | None = None, percentiles: tuple[float, ...] = (), fractions: tuple[float, ...] = (), clip: bool = True) -> DataFrame:
+    """confusion() of scored (id, score, label 0/1) after calibration by `fit`, at thresholds chosen among the calibrated
+    scores; with the strategy of each threshold, the share selected, the method, and whether it changes scores at all."""
+    calibrated = calibrate(fit.select("score"), scored.select("id", "score", "label"), method, clip).select("id", F.col("calibrated").alias("score"), "label")
+    points = confusion(calibrated, threshold_candidates(calibrated, explicit, percentiles, fractions))
+    total = calibrated.agg(F.count("*").alias("_n"))
+    share = F.round(F.col("selected") / F.nullif(F.col("_n"), F.lit(0)), 6)
+    both = points.crossJoin(F.broadcast(total))  # one row
+    return both.select(*points.columns, F.regexp_replace("threshold_id", "-.*", "").alias("strategy"), share.alias("selected_fraction"), F.lit(method).alias("method"), F.lit(method != "identity").alias("calibrated"))
+
+
 def metric_summary(rows: DataFrame) -> DataFrame:
     """One row about samples (id, label 0, 1 or null, score or null, selected): counts, range, AUROC, average precision
     and warnings parted by commas. Without scored samples of both labels the supervised values are null."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, to_float
+from .orders import order_statistics, range_of, ranges
 
 HIGH_CARDINALITY = 50
 
@@ -80,24 +81,41 @@ def global_gaps(df: DataFrame, ts: str, bucket: str = "day") -> DataFrame:
     return inside.union(across)
 
 
-def upper_median(gaps: DataFrame, n: int) -> float | None:
-    """The value at index n // 2 of the sorted gaps."""
-    if not n:
-        return None
-    return gaps.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n}D) within group (order by gap)")).first()[0]
+def gap_counts(df: DataFrame, ts: str) -> DataFrame:
+    """(gap, n): the gaps of global_gaps and how often each row stands for one.
+
+    Equal times are counted before they are ordered, and times are ordered by ranges with their ends stitched, so neither
+    a busy day nor a busy moment lands in one task.
+    """
+    kind = "timestamp_ntz" if _dtypes(df)[ts] == "timestamp_ntz" else "timestamp"
+    at = F.expr(f"timestampdiff(MICROSECOND, {kind}'1970-01-01 00:00:00', `{ts}`)")
+    t = df.where(F.col(ts).isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("k"))
+    parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = t.crossJoin(F.broadcast(ranges(t, "at", parts))).select("at", range_of("at", parts).alias("b"))
+    gap = lambda a, b: ((F.col(b) - F.col(a)) / 1e6).alias("gap")
+    inside = ranged.withColumn("p", F.lag("at").over(Window.partitionBy("b").orderBy("at"))).where("p is not null").select(gap("p", "at"))
+    ends = ranged.groupBy("b").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    across = ends.withColumn("p", F.lag("last").over(Window.orderBy("b"))).where("p is not null").select(gap("p", "first"))
+    ties = t.agg(F.sum(F.col("k") - 1).alias("n")).where("n > 0").select(F.lit(0.0).alias("gap"), "n")
+    return inside.union(across).withColumn("n", F.lit(1).cast("long")).union(ties)
+
+
+def _upper_middle(n: Column) -> Column:
+    return F.floor(n / 2)
 
 
 def sampling_summary(df: DataFrame, ts: str) -> DataFrame:
     """gap_count, min_gap, median_gap (the upper one), max_gap, irregular."""
-    gaps = global_gaps(df, ts)
-    n, low, high = gaps.agg(F.count("*"), F.min("gap"), F.max("gap")).first()
-    return df.sparkSession.createDataFrame([(n, low, upper_median(gaps, n), high, bool(n and high > low))], "gap_count long, min_gap double, median_gap double, max_gap double, irregular boolean")
+    gaps = gap_counts(df, ts)
+    at = order_statistics(gaps, "gap", {"low": lambda n: F.lit(0), "middle": _upper_middle, "high": lambda n: n - 1}, "n")
+    n = gaps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    row = (n, at["low"], at["middle"], at["high"], bool(n and at["high"] > at["low"]))
+    return df.sparkSession.createDataFrame([row], "gap_count long, min_gap double, median_gap double, max_gap double, irregular boolean")
 
 
 def baseline_gap(df: DataFrame, ts: str) -> float:
     """Upper median of the positive gaps, 0 without any."""
-    gaps = global_gaps(df, ts).where("gap > 0")
-    return upper_median(gaps, gaps.count()) or 0.0
+    return order_statistics(gap_counts(df, ts).where("gap > 0"), "gap", {"middle": _upper_middle}, "n")["middle"] or 0.0
 
 
 def timeseries_profile(df: DataFrame, ts: str, signals: list[str], entity: str | None) -> DataFrame:
@@ -118,6 +136,8 @@ def timeseries_profile(df: DataFrame, ts: str, signals: list[str], entity: str |
 
 
 def score_distribution(df: DataFrame, score: str) -> DataFrame:
-    """count, min, max, mean, population deviation and exact quartiles in one aggregation."""
+    """One row: count, min, max, mean, population deviation and exact quartiles."""
     s = F.col(score)
-    return df.agg(F.count(s).alias("count"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), *[F.percentile(s, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    one = df.agg(F.count(s).alias("count"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"))
+    quartiles = {f"p{round(100 * p):02d}": (lambda n, p=p: (n - 1) * F.lit(p)) for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
+    return one.select("*", *[F.lit(v).cast("double").alias(k) for k, v in order_statistics(df, score, quartiles).items()])

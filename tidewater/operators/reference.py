@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import metric_summary
 from .vectors import METRICS, distances, knn
 
 
@@ -43,6 +44,21 @@ def image_scores(patches: DataFrame, method: str = "max_patch", fraction: float
     return r.where(F.col("r") <= F.ceil(F.col("n") * F.lit(fraction))).groupBy("image_id").agg(F.round(F.avg("score"), 6).alias("score"), F.first("n").alias("patches"))
 
 
+def benchmark(patches: DataFrame, reference: DataFrame, labels: DataFrame, threshold: float, method: str = "max_patch", fraction: float = 0.1, k: int = 1, metric: str = "euclidean") -> DataFrame:
+    """metric_summary of a labelled split: patches (image_id, id, v) are scored against the reference, images by their
+    patches, and images at or above the threshold are selected.
+
+    labels holds image_id and label (0, 1 or null) of every image of the split; images without patches have no score,
+    patches of other images are left out. Roles that do not fit together raise ValueError.
+    """
+    own = patches.join(labels.select("image_id").distinct(), "image_id", "left_semi")
+    check_compatible(own, reference)
+    scored = patch_scores(own, reference, k, metric).join(own.select("id", "image_id"), "id")
+    images = image_scores(scored, method, fraction).select(F.col("image_id").alias("id"), "score")
+    rows = labels.select(F.col("image_id").alias("id"), "label").join(images, "id", "left").persist()  # a row for each image, read three times
+    return metric_summary(rows.withColumn("selected", F.col("score") >= threshold))
+
+
 def spatial_map(patches: DataFrame, within: str = "mean", across: str = "max") -> DataFrame:
     """image_id, px, py, value, coverage of every pixel that a patch (image_id, scale, x, y, w, h, score) covers."""
     agg = {"mean": F.avg, "max": F.max}
@@ -85,6 +101,14 @@ def smooth(pixels: DataFrame, sigma: float, sizes: DataFrame | None = None) -> D
     return sized.select("image_id", "px", "py", "value", "coverage", "width", "height").groupBy("image_id").applyInPandas(run, "image_id long, px int, py int, value double, coverage long")
 
 
+def whole(vectors: DataFrame, most: int) -> DataFrame:
+    """The coreset of strategy "none": every vector id, or ValueError where there are more than `most`."""
+    n = vectors.count()
+    if n > most:
+        raise ValueError(f"{n} vectors exceed the limit of {most}; choose farthest_first")
+    return vectors.select("id")
+
+
 def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, limit: int | None = None, ahead: int = 1024, metric: str = "euclidean") -> DataFrame:
     """vector ids, which are unique, of a coreset by farthest-first traversal: order 0 is row seed % n by id, ties go to the smaller id.
 

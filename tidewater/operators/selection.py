@@ -82,6 +82,17 @@ def diverse(candidates: DataFrame, k: int, per_source: int = 3, least_pixels: fl
     return kept.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("_lead")
 
 
+def undiversified(candidates: DataFrame, k: int) -> DataFrame:
+    """What selection gives when it is switched off: the k best by (-score, id), with position and reason."""
+    best = candidates.orderBy(F.desc("score"), "id").limit(k)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("reason", F.lit("high novelty"))
+
+
+def scale_labels(patches: DataFrame) -> DataFrame:
+    """One row: scales, the sorted names of the patches' scales."""
+    return patches.select("scale").where("scale is not null").distinct().agg(F.array_sort(F.collect_list("scale")).alias("scales"))
+
+
 def leader_clusters(selected: DataFrame, threshold: float = 0.35, limit: int = 10_000) -> DataFrame:
     """selected (position, id, score, v, ...) with concept_id: each vector joins the nearest running mean of unit
     vectors within threshold, the first of equal ones, or founds a concept. At most `limit` rows, in one ordered group."""

@@ -639,3 +639,65 @@ def metric_summary(spark, d):
     s = _scored(spark, d)
     rows = s.select("id", F.when(F.col("id") % 7 != 0, F.col("label")).alias("label"), F.when(F.col("id") % 11 != 0, F.col("score")).alias("score"))
     return evaluation.metric_summary(rows.withColumn("selected", F.col("score") >= 8))
+
+
+# --- records and switches ---------------------------------------------------------------------------------------------
+
+
+@query(_HY + " SELECT row_number() OVER (ORDER BY score DESC, id)::int AS position, id, score, 'high novelty' AS reason FROM h QUALIFY position <= 40")
+def selection_disabled(spark, d):
+    return selection.undiversified(vectors.novelty(vecs(spark, d), "hybrid"), 40).select("position", "id", "score", "reason")
+
+
+@query(f"WITH {_MAP} SELECT array_to_string(list_sort(list(DISTINCT scale)), ',') AS scales FROM q")
+def scale_labels(spark, d):
+    return selection.scale_labels(_boxes(spark, d)).select(F.array_join("scales", ",").alias("scales"))
+
+
+_REPORTS = "rp AS (SELECT 'report-' || (event_id % 1000) || '-' || event_id || '.json' AS name, ts AS modified, CASE event_id % 3 WHEN 2 THEN 'temporal' ELSE 'visual' END AS type FROM events)"
+
+
+def _reports(spark, d):
+    e = table(spark, d, "events")
+    name = F.concat(F.lit("report-"), (F.col("event_id") % 1000).cast("string"), F.lit("-"), F.col("event_id").cast("string"), F.lit(".json"))
+    return e.select(name.alias("name"), F.col("ts").alias("modified"), F.when(F.col("event_id") % 3 == 2, "temporal").otherwise("visual").alias("type"))
+
+
+@query(f"WITH {_REPORTS} SELECT row_number() OVER (ORDER BY modified DESC, name)::int AS position, name, strftime(modified, '%Y-%m-%d %H:%M:%S') AS modified FROM rp QUALIFY position <= 25")
+def report_listing(spark, d):
+    return runs.listing(_reports(spark, d)).withColumn("modified", F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {_FB}, {_REPORTS}, ru AS (SELECT run_id, max(ts) AS created_at FROM fb GROUP BY run_id)
+SELECT (SELECT count(*) FROM ru) AS run_count, (SELECT arg_max(run_id, (created_at, run_id)) FROM ru) AS latest_run_id, (SELECT count(*) FROM rp) AS report_count, (SELECT count(*) FROM rp WHERE type = 'temporal') AS temporal_report_count,
+ (SELECT name FROM rp ORDER BY modified DESC, name LIMIT 1) AS latest_report_name, (SELECT count(*) FROM fb) AS feedback_count""")
+def studio_summary(spark, d):
+    f = _feedback(spark, d)
+    return runs.summary(f.groupBy("run_id").agg(F.max("ts").alias("created_at")), _reports(spark, d), f)
+
+
+@query("SELECT vec_id AS id FROM embeddings")
+def coreset_none(spark, d):
+    return reference.whole(vecs(spark, d), 10_000_000)
+
+
+@query(f"""WITH {_S}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM s WHERE id % 2 = 0), cl AS (SELECT id, label, round(least(greatest((score - lo) / (hi - lo), 0), 1), 6) AS score FROM s, e),
+k AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS n FROM cl),
+th AS (SELECT 'explicit-half' AS threshold_id, 0.5::double AS threshold UNION ALL SELECT 'percentile-90', quantile_cont(score, 0.9) FROM cl UNION ALL SELECT 'top_fraction-0.1', min(score) FROM k WHERE r <= ceil(n * 0.1)),
+cf AS (SELECT threshold_id, threshold, sum((score >= threshold)::int)::bigint AS selected, sum((score >= threshold AND label = 1)::int)::bigint AS tp, sum((score >= threshold AND label = 0)::int)::bigint AS fp, count(*) AS n FROM cl, th GROUP BY 1, 2)
+SELECT threshold_id, split_part(threshold_id, '-', 1) AS strategy, round(threshold, 6) AS threshold, selected, round(selected / n::double, 6) AS selected_fraction, tp, fp, round(tp / nullif(tp + fp, 0)::double, 6) AS precision, 'minmax' AS method, true AS calibrated FROM cf""")
+def calibration_result(spark, d):
+    s = _scored(spark, d)
+    out = evaluation.calibration_result(s.where("id % 2 = 0"), s, "minmax", {"half": 0.5}, (90.0,), (0.1,))
+    return out.select("threshold_id", "strategy", F.round("threshold", 6).alias("threshold"), "selected", "selected_fraction", "tp", "fp", "precision", "method", "calibrated")
+
+
+@query(f"""WITH {_REF}, im AS (SELECT id // 8 AS image_id, max(score) AS score FROM nn GROUP BY 1), la AS (SELECT vec_id // 8 AS image_id, max((label = 0)::int) AS label FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1),
+s AS (SELECT im.*, label FROM im JOIN la USING (image_id)), r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM s)
+SELECT count(*) AS samples, sum(label)::bigint AS anomalies, (SELECT count(*) FROM s WHERE score >= 8) AS selected, (SELECT max(score) FROM s) AS high,
+ round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS auroc FROM r""")
+def reference_benchmark(spark, d):
+    patches, memory = _split(spark, d)
+    patches = patches.withColumn("image_id", F.floor(F.col("id") / 8))
+    labels = patches.groupBy("image_id").agg(F.max((F.col("label") == 0).cast("int")).alias("label"))
+    return reference.benchmark(patches, memory, labels, 8.0).select("samples", "anomalies", "selected", "high", "auroc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.review import SCHEMA
@@ -33,3 +33,19 @@ def read_feedback(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 def append_feedback(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def listing(reports: DataFrame, k: int = 25) -> DataFrame:
+    """position, name, modified of the k reports changed last; equal times by name."""
+    newest = reports.orderBy(F.desc("modified"), "name").limit(k)
+    return newest.withColumn("position", F.row_number().over(Window.orderBy(F.desc("modified"), "name"))).select("position", "name", "modified")
+
+
+def summary(runs: DataFrame, reports: DataFrame, feedback: DataFrame) -> DataFrame:
+    """One row: how many runs (run_id, created_at), reports (name, modified, type), reports on change over time and
+    reviews there are, and the latest run and report; null where there is none."""
+    past = runs.agg(F.count("*").alias("run_count"), F.max_by("run_id", F.struct("created_at", "run_id")).alias("latest_run_id"))
+    made = reports.agg(F.count("*").alias("report_count"), F.coalesce(F.sum((F.col("type") == "temporal").cast("long")), F.lit(0)).alias("temporal_report_count"))
+    latest = listing(reports, 1).agg(F.max("name").alias("latest_report_name"))
+    reviews = feedback.agg(F.count("*").alias("feedback_count"))
+    return past.crossJoin(made).crossJoin(latest).crossJoin(reviews)  # one row each

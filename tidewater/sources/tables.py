@@ -7,9 +7,8 @@ import json
 import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import clean_cell, parse_timestamp
 
@@ -31,9 +30,11 @@ def read_csv(spark: SparkSession, path: str, prefix: str = "row") -> DataFrame:
     if len(set(names)) != len(names):
         raise ValueError("column names are not unique")
     df = raw.toDF(*names).select(*[clean_cell(F.col(f"`{n}`")).alias(n) for n in names])
-    # zipWithIndex gives numbers without holding the rows in one task
-    schema = T.StructType([*df.schema.fields, T.StructField("row_index", T.LongType(), False)])
-    numbered = spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    # the upper bits of the id are the task's number, the lower ones the row's place in the task
+    placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33))
+    past = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))  # a row for each task
+    numbered = placed.join(F.broadcast(before), "_task").select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).alias("row_index"))
     return numbered.withColumn("record_id", F.format_string(f"{prefix}-%06d", "row_index"))
 
 
