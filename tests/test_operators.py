@@ -522,6 +522,86 @@ def test_switched_off_selection_records_and_whole_coreset(spark):
         reference.whole(c, 2)
 
 
+def test_series_without_entity_in_blocks(spark):
+    """Blocks of two and of five rows give what one block gives; equal times, missing cells and an empty series, too."""
+    rng = np.random.default_rng(6)
+    rows = [(i, f"2025-05-01 00:{int(m):02d}:00", None if i % 7 == 3 else f"{x:.2f}") for i, (m, x) in enumerate(zip(rng.integers(0, 30, 60), rng.normal(size=60)))]
+    df = spark.createDataFrame(rows, "k long, s string, a string").withColumn("ts", F.col("s").cast("timestamp_ntz"))
+    get = lambda d, **kw: timeseries.timeseries_features(d, "ts", None, ["a"], "k", 3, 60.0, **kw)[0].orderBy("k").collect()
+    want = get(df)
+    assert [r.k for r in want] == list(range(60)) and want[0].asDict().keys() >= {"a:delta", "time_gap"}
+    by = sorted(range(60), key=lambda i: (rows[i][1], i))
+    x = [float(rows[i][2]) if rows[i][2] else None for i in by]
+    sd = np.std([v for v in x if v is not None])
+    for at, i in enumerate(by):
+        last = [v for v in x[max(at - 2, 0) : at + 1] if v is not None]
+        assert want[i]["a:delta"] == pytest.approx((x[at] - x[at - 1]) / sd if at and None not in (x[at], x[at - 1]) else 0)
+        assert want[i]["a:rolling_mean_delta"] == pytest.approx((x[at] - np.mean(last)) / sd if x[at] is not None else 0)
+    for block in (2, 5):
+        for a, b in zip(get(df, block=block), want, strict=True):
+            assert all(u == pytest.approx(v, abs=1e-9) if isinstance(v, float) else u == v for u, v in zip(a, b, strict=True))
+    assert get(df.limit(0)) == []
+
+
+def test_memory_of_images(spark, folder, tmp_path):
+    from tidewater.plans import memory
+
+    rng = np.random.default_rng(9)
+    (tmp_path / "q").mkdir()
+    for name, level in (("plain", 110), ("bright", 250)):
+        (tmp_path / "q" / f"{name}.png").write_bytes(png((rng.integers(-5, 5, (64, 64, 3)) + level).astype(np.uint8)))
+    out = str(tmp_path / "memory")
+    m = memory.build(spark, folder, out, coreset="farthest_first", ratio=0.5)
+    assert m["patches"] == 13 and m["vectors"] == 7 and memory.build(spark, folder, out, coreset="farthest_first", ratio=0.5) == m
+    with pytest.raises(ValueError, match="another"):
+        memory.build(spark, folder, out, most=20)
+    with pytest.raises(ValueError, match="exceed"):
+        memory.build(spark, folder, str(tmp_path / "m2"), most=5)
+    images_of, patches_of, made = memory.score(spark, out, str(tmp_path / "q"))
+    assert {r.path.rsplit("/", 1)[-1]: r.patches for r in images_of.collect()} == {"plain.png": 1, "bright.png": 1}
+    assert made["scoring_id"] == memory.score(spark, out, str(tmp_path / "q"))[2]["scoring_id"] != memory.score(spark, out, str(tmp_path / "q"), k=2)[2]["scoring_id"]
+    memory.publish_scores(patches_of, made, out)
+    assert tables.load_published(spark, f"{out}/maps", {"scoring_id": made["scoring_id"]}).count() == 2 * 64 * 64
+    with pytest.raises(ValueError, match="both roles"):
+        memory.score(spark, out, folder)
+    rows = spark.createDataFrame([(1, 0, 0.1, False), (2, 1, 0.9, True)], "id long, label int, score double, selected boolean")
+    gates = memory.publish_evaluation(rows, out, {"auroc": 0.9}, {"selected_fraction": 0.2}, {"run": 1})
+    assert {r.gate: r.passed for r in gates.collect()} == {"min_auroc": True, "max_selected_fraction": False}
+
+
+def test_published_tables_are_verified_and_finished(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(f"{path}/data")  # what a broken run left
+    with pytest.raises(ValueError, match="no finished"):
+        tables.load_published(spark, path)
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, ["x"])], "a long, b double, `c d` array<string>")
+    assert tables.publish(df, path, {"v": 1})["rows"] == 2 and tables.load_published(spark, path).count() == 2
+    assert tables.digest(df) == tables.digest(df.orderBy(F.desc("a"))) != tables.digest(df.withColumn("b", F.lit(0.5)))
+    df.limit(1).write.mode("append").parquet(f"{path}/data")
+    with pytest.raises(ValueError, match="rows changed"):
+        tables.load_published(spark, path)
+
+
+def test_folder_of_inspected_parts(spark, tmp_path):
+    def put(root, names):
+        for name in names:
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(name.encode())
+        return str(root)
+
+    names = ["train/good/0.png", "train/good/1.png", "test/good/0.png", "test/dent/7.png", "ground_truth/dent/7_mask.png"]
+    got = {r.path: (r.role, r.label, r.mask) for r in tables.labelled_folder(spark, put(tmp_path / "a", names)).collect()}
+    assert got == {"train/good/0.png": ("reference", "normal", None), "train/good/1.png": ("reference", "normal", None), "test/good/0.png": ("query", "normal", None), "test/dent/7.png": ("query", "anomaly", "ground_truth/dent/7_mask.png")}
+    with pytest.raises(ValueError, match="without"):
+        tables.labelled_folder(spark, put(tmp_path / "b", names[:4]))
+    with pytest.raises(ValueError, match="need images"):
+        tables.labelled_folder(spark, put(tmp_path / "c", names[1:2] + names[3:]))
+    put(tmp_path / "d", names)
+    (tmp_path / "d/test/good/0.png").write_bytes(b"train/good/1.png")
+    with pytest.raises(ValueError, match="both roles"):
+        tables.labelled_folder(spark, str(tmp_path / "d"))
+
+
 def test_benchmark_scores_a_labelled_split(spark):
     from tidewater.operators import reference
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, to_float
+from .orders import running
 from .profiling import _dtypes, baseline_gap
 from .tabular import top, with_distance
 
@@ -17,19 +18,34 @@ def signal_values(df: DataFrame, signals: list[str]) -> dict[str, Column]:
     return {s: F.when(~is_missing(F.col(s)), to_float(F.col(s), kinds[s])) for s in signals}
 
 
-def timeseries_features(df: DataFrame, ts: str, entity: str | None, signals: list[str], key: str, window: int = 3, gap: float | None = None) -> tuple[DataFrame, list[str]]:
+def in_blocks(rows: DataFrame, ts: str, key: str, before: int, block: int) -> DataFrame:
+    """rows with `_block`, stretches of `block` rows in the order of (ts, key), each led by the `before` rows before it,
+    which `_lead` marks. Times are counted and summed by ranges; only rows of one time are ordered together."""
+    block = max(block, before + 1)
+    timed = rows.withColumn("_at", F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{ts}` as timestamp_ntz))"))
+    earlier = running(timed.groupBy("_at").agg(F.count("*").alias("_n")), "_at", ["_n"]).select("_at", "_n_before")
+    place = F.col("_n_before") + F.row_number().over(Window.partitionBy("_at").orderBy(key)) - 1
+    placed = timed.join(earlier, "_at").withColumn("_place", place).withColumn("_home", F.floor(F.col("_place") / block))
+    ends = F.col("_place") % block >= block - before
+    dealt = placed.withColumn("_block", F.explode(F.when(ends, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))))
+    return dealt.withColumn("_lead", F.col("_block") != F.col("_home")).drop("_at", "_n_before", "_place", "_home")
+
+
+def timeseries_features(df: DataFrame, ts: str, entity: str | None, signals: list[str], key: str, window: int = 3, gap: float | None = None, block: int = 1_000_000) -> tuple[DataFrame, list[str]]:
     """df's rows with a valid time, a column for each feature named, `_gap`, `_spikes` and `_missing`.
 
     For each signal: z, missing, change and its size in units of the signal's scale, distance from and spread of the
     rolling mean, spike; then a flag for a gap longer than the baseline, and the share of signals that are there.
+    Without an entity the rows are one series, which is cut into blocks of rows that overlap by what a feature looks back.
     """
     gap = baseline_gap(df, ts) if gap is None else gap
     x = signal_values(df, signals)
     rows = df.where(F.col(ts).isNotNull()).select("*", *[x[s].alias(f"_x{i}") for i, s in enumerate(signals)])
     stats = rows.agg(*[a for i in range(len(signals)) for a in (F.avg(f"_x{i}").alias(f"_a{i}"), F.stddev_pop(f"_x{i}").alias(f"_s{i}"))])
     rows = rows.crossJoin(F.broadcast(stats))  # one row
-    # without an entity the whole series is one order; the reference has that meaning too
-    order = (Window.partitionBy(entity) if entity else Window.partitionBy()).orderBy(ts, key)
+    if not entity:
+        rows = in_blocks(rows, ts, key, max(window - 1, 1), block)
+    order = Window.partitionBy(entity or "_block").orderBy(ts, key)
     last = order.rowsBetween(-(window - 1), 0)
     names: list[str] = []
     spikes = F.lit(0.0)
@@ -54,6 +70,8 @@ def timeseries_features(df: DataFrame, ts: str, entity: str | None, signals: lis
     missing = sum((F.col(f"`{s}:missing`") for s in signals), F.lit(0.0))
     rows = rows.withColumn("_spikes", spikes).withColumn("_missing", missing).withColumn("completeness", 1 - F.col("_missing") / F.lit(float(len(signals) or 1)))
     drop = [f"_{k}{i}" for i in range(len(signals)) for k in "xas"]
+    if not entity:
+        rows = rows.where(~F.col("_lead")).drop("_block", "_lead")
     return rows.drop(*drop, "_before"), [*names, "time_gap", "completeness"]
 
 

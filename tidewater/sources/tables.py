@@ -7,7 +7,8 @@ import json
 import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_cell, parse_timestamp
@@ -118,28 +119,88 @@ def benchmark_manifest(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(s["sample_id"], s["path"], s["label"], s.get("sha256")) for s in samples], "sample_id string, path string, label string, sha256 string")
 
 
-def publish(df: DataFrame, path: str, identity: dict) -> dict:
-    """Write df as Parquet once: an existing table of the same identity is left, another one raises."""
-    spark = df.sparkSession
-    manifest = {"identity": canonical_sha256(identity), "columns": df.columns}
+MANIFEST = "identity string, columns array<string>, rows long, digest string"
+
+
+def digest(df: DataFrame) -> tuple[int, str]:
+    """Number of rows and a digest of them in any order: sums of the quarters of their SHA-256."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"timeZone": "UTC", "ignoreNullFields": "false"}), 256)
+    quarters = [F.sum(F.conv(F.substring(row, 16 * i + 1, 15), 16, 10).cast("decimal(20,0)")).alias(f"q{i}") for i in range(4)]
+    n, *sums = df.agg(F.count("*").alias("n"), *quarters).first()
+    return n, canonical_sha256([str(s) for s in sums])
+
+
+def read_manifest(spark: SparkSession, path: str) -> Row | None:
+    """The manifest of a published table; None where none was finished."""
     try:
-        there = spark.read.json(f"{path}/manifest").first()
-    except Exception:  # the folder is not there yet
-        there = None
-    if there is not None:
-        if there.identity != manifest["identity"]:
-            raise ValueError(f"{path} holds another table")
-        return manifest
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    spark.createDataFrame([(manifest["identity"], df.columns)], "identity string, columns array<string>").coalesce(1).write.json(f"{path}/manifest")
-    return manifest
-
-
-def load_published(spark: SparkSession, path: str, identity: dict | None = None) -> DataFrame:
-    there = spark.read.json(f"{path}/manifest").first()
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish(df: DataFrame, path: str, identity: dict) -> dict:
+    """Write df as Parquet once: an existing table of the same identity is left, another one raises.
+
+    The manifest comes last, so data without one is what a broken run left, and is written anew.
+    """
+    spark, name = df.sparkSession, canonical_sha256(identity)
+    there = read_manifest(spark, path)
+    if there is None:
+        df.write.mode("overwrite").parquet(f"{path}/data")
+        n, rows = digest(spark.read.parquet(f"{path}/data"))
+        there = (name, df.columns, n, rows)
+        spark.createDataFrame([there], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        return dict(zip(("identity", "columns", "rows", "digest"), there))
+    if there.identity != name:
+        raise ValueError(f"{path} holds another table")
+    return there.asDict()
+
+
+def load_published(spark: SparkSession, path: str, identity: dict | None = None, verify: bool = True) -> DataFrame:
+    """The table, after a look at its identity, columns, and (a pass over the data) its number of rows and digest."""
+    there = read_manifest(spark, path)
+    if there is None:
+        raise ValueError(f"{path} holds no finished table")
     if identity is not None and there.identity != canonical_sha256(identity):
         raise ValueError("the table has another identity")
     df = spark.read.parquet(f"{path}/data")
     if df.columns != list(there.columns):
         raise ValueError("the table's columns changed")
+    if verify and digest(df) != (there.rows, there.digest):
+        raise ValueError("the table's rows changed")
     return df
+
+
+def labelled_folder(spark: SparkSession, root: str) -> DataFrame:
+    """path, role (reference or query), label, kind, sha256, mask of the PNG files of a folder of inspected parts.
+
+    The layout is train/good, test/good, test/<kind of fault> and ground_truth/<kind>/<stem>_mask.png; paths are relative
+    to the root. An empty role, a fault without its mask, a mask without its fault, a file elsewhere in these folders and a
+    file with the same content in both roles raise ValueError.
+    """
+    within = F.regexp_extract("path", r"/((?:train|test|ground_truth)/[^/]+/[^/]+)$", 1)
+    files = fingerprints(spark, root).where(F.lower("path").endswith(".png")).select(within.alias("path"), "sha256")
+    folder, kind, name = [F.get(F.split("path", "/"), F.lit(i)) for i in range(3)]
+    files = files.select("path", "sha256", folder.alias("folder"), kind.alias("kind"), F.regexp_replace(name, r"(?i)\.png$", "").alias("stem")).persist()
+    masks = files.where("folder = 'ground_truth'").select("kind", F.regexp_replace("stem", "_mask$", "").alias("stem"), F.col("path").alias("mask"))
+    images = files.where("folder in ('train', 'test')").join(masks, ["kind", "stem"], "left")
+    fault = (F.col("folder") == "test") & (F.col("kind") != "good")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    seen = images.agg(n(F.col("folder") == "train").alias("reference"), n((F.col("folder") == "test") & ~fault).alias("normal"), n(fault).alias("faults"), n(fault & F.col("mask").isNull()).alias("bare"), n((F.col("folder") == "train") & (F.col("kind") != "good")).alias("odd")).first()
+    lost = masks.join(images.where(fault), ["kind", "stem"], "left_anti").limit(1).count()
+    if not (seen.reference and seen.normal and seen.faults):
+        raise ValueError(f"train/good, test/good and a folder of faults need images: {seen.asDict()}")
+    if seen.bare or seen.odd or lost or files.where("path = ''").limit(1).count():
+        raise ValueError("faults without masks, masks without faults, or files out of place")
+    out = images.select("path", F.when(F.col("folder") == "train", "reference").otherwise("query").alias("role"), F.when(fault, "anomaly").otherwise("normal").alias("label"), "kind", "sha256", "mask")
+    reject_shared(out.where("role = 'reference'"), out.where("role = 'query'"))
+    return out
+
+
+def reject_shared(one: DataFrame, other: DataFrame) -> None:
+    """ValueError if a file's content (sha256) is in both roles."""
+    both = one.join(other, "sha256", "left_semi").limit(3).collect()
+    if both:
+        raise ValueError(f"the same content in both roles, such as {sorted(r.path for r in both)}")
