@@ -203,6 +203,13 @@ def ts_features(spark, d):
     return _ts(spark, d).select("event_id", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in cols.items()], F.col("`value:spike`").alias("spike"), "time_gap", "completeness")
 
 
+@query(f"WITH {_TS.replace('PARTITION BY user_id ', '')} SELECT event_id, round(delta, 6) AS delta, round(away, 6) AS away, round(std, 6) AS std, spike, gap AS time_gap FROM f")
+def ts_whole_series(spark, d):
+    """All events as one series; small blocks, so that blocks meet at every size."""
+    f = timeseries.timeseries_features(events(spark, d), "ts", None, ["value"], "event_id", block=1000)[0]
+    return f.select("event_id", *[F.round(F.col(f"`value:{a}`"), 6).alias(b) for a, b in (("delta", "delta"), ("rolling_mean_delta", "away"), ("rolling_std", "std"))], F.col("`value:spike`").alias("spike"), "time_gap")
+
+
 _TSN = f"""WITH {_TS}, c AS (SELECT avg(z) AS c0, avg(delta) AS c1, avg(abs(delta)) AS c2, avg(away) AS c3, avg(std) AS c4, avg(spike) AS c5, avg(gap) AS c6 FROM f),
 v AS (SELECT event_id, ts, user_id, round(sqrt((z-c0)*(z-c0) + (delta-c1)*(delta-c1) + (abs(delta)-c2)*(abs(delta)-c2) + (away-c3)*(away-c3) + (std-c4)*(std-c4) + (spike-c5)*(spike-c5) + (gap-c6)*(gap-c6)), 6) AS score,
   CASE WHEN gap > 0 THEN 'time_gap' WHEN spike > 0 THEN 'signal_change' ELSE 'feature_profile' END AS reason FROM f, c),
