@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op8_additive_quantisation
+from .filter_audit import OP11_SQL, op11_filter_interaction
 from .html_extract import op1_html_extraction
 from .lm_score import OP4_SQL, op4_cross_entropy_difference
 from .media import op5_media_columns
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_additive_quantisation": op8_additive_quantisation,
         "op9_pattern_packing": op9_pattern_packing,
         "op10_temperature_mixing": op10_temperature_mixing,
+        "op11_filter_interaction": op11_filter_interaction,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL}
+    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL, "op11_filter_interaction": OP11_SQL}
