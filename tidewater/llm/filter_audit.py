@@ -50,13 +50,14 @@ def flagged(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, the five flags, good and toxic of every row of docs.
 
-    The rows without texts are written once. Both joins are outer joins by key, which Spark may split where a key is hot;
-    only texts that occur twice have a row on the other side of the second.
+    The rows without texts are written once. The first document of each text is found by an aggregation, which combines
+    before it shuffles; documents then look for themselves among the first ones by id and text, so a text that very many
+    share is no hot key.
     """
     slim = cut(flagged(docs), "filter-flags")
-    first = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
+    first = slim.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = slim.join(first, "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    rows = slim.join(first, ["doc_id", "digest"], "left").withColumn("E", F.col("doc_id").isNotNull() & F.col("first").isNull())
     marks = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("good", "toxic")]
     return rows.select("doc_id", "part", *FILTERS).join(told, "doc_id", "left").select("part", *FILTERS, F.lit(1).alias("n"), *marks)
 
