@@ -11,6 +11,7 @@ from .mixing import OP10_SQL, op10_temperature_mixing
 from .ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from .packing import op9_pattern_packing
 from .quality import op3_quality_crf
+from .risk_rules import OP12_SQL, op12_risk_controlled_rules
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .toxicity import op2_toxicity_kn
 
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_pattern_packing": op9_pattern_packing,
         "op10_temperature_mixing": op10_temperature_mixing,
         "op11_filter_interaction": op11_filter_interaction,
+        "op12_risk_controlled_rules": op12_risk_controlled_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL, "op11_filter_interaction": OP11_SQL}
+    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL, "op11_filter_interaction": OP11_SQL, "op12_risk_controlled_rules": OP12_SQL}
