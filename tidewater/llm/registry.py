@@ -14,6 +14,7 @@ from .quality import op3_quality_crf
 from .risk_rules import OP12_SQL, op12_risk_controlled_rules
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .toxicity import op2_toxicity_kn
+from .yinyang import OP13_SQL, op13_yinyang_codes
 
 
 def queries() -> dict:
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_temperature_mixing": op10_temperature_mixing,
         "op11_filter_interaction": op11_filter_interaction,
         "op12_risk_controlled_rules": op12_risk_controlled_rules,
+        "op13_yinyang_codes": op13_yinyang_codes,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL, "op11_filter_interaction": OP11_SQL, "op12_risk_controlled_rules": OP12_SQL}
+    return {"op4_cross_entropy_difference": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op10_temperature_mixing": OP10_SQL, "op11_filter_interaction": OP11_SQL, "op12_risk_controlled_rules": OP12_SQL, "op13_yinyang_codes": OP13_SQL}
