@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rasters
 from .evaluation import metric_summary
 from .vectors import METRICS, distances, knn
 
@@ -61,44 +62,22 @@ def benchmark(patches: DataFrame, reference: DataFrame, labels: DataFrame, thres
 
 def spatial_map(patches: DataFrame, within: str = "mean", across: str = "max") -> DataFrame:
     """image_id, px, py, value, coverage of every pixel that a patch (image_id, scale, x, y, w, h, score) covers."""
-    agg = {"mean": F.avg, "max": F.max}
-    px = patches.withColumn("px", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1))).withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
-    one = px.groupBy("image_id", "px", "py", "scale").agg(agg[within]("score").alias("value"), F.count("*").alias("n"))
-    return one.groupBy("image_id", "px", "py").agg(F.round(agg[across]("value"), 9).alias("value"), F.sum("n").cast("long").alias("coverage"))
+    return rasters.pixels(rasters.draw(patches, None, within, across))
 
 
 def display(pixels: DataFrame) -> DataFrame:
-    """value scaled to 0..1 in each image; constant images give 0."""
-    w = Window.partitionBy("image_id")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return pixels.withColumn("shown", F.round(F.coalesce((F.col("value") - low) / F.when(high > low, high - low), F.lit(0.0)), 6))
+    """value scaled to 0..1 in each image as `shown`; constant images give 0. Maps as tiles have rasters.display."""
+    ends = pixels.groupBy("image_id").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
+    return pixels.join(ends, "image_id").withColumn("shown", F.round(F.coalesce((F.col("value") - F.col("_low")) / span, F.lit(0.0)), 6)).drop("_low", "_high")
 
 
 def smooth(pixels: DataFrame, sigma: float, sizes: DataFrame | None = None) -> DataFrame:
-    """Separable Gaussian over each whole image; uncovered pixels neither give nor get, and the border's repeat beyond it.
+    """image_id, px, py, value, coverage after a Gaussian over each whole image (rasters.smooth), of the pixels given.
 
-    sizes holds image_id, width and height; without it an image ends with its last covered pixels. One group an image.
+    sizes holds image_id, width and height; without it an image ends with its last covered pixels.
     """
-    radius = max(1, int(np.ceil(3 * sigma)))
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)
-    kernel /= kernel.sum()
-
-    def along(a: np.ndarray, axis: int) -> np.ndarray:
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (len(kernel) // 2,) * 2
-        p = np.pad(a, pad, mode="edge")
-        return sum(k * np.take(p, np.arange(i, i + a.shape[axis]), axis) for i, k in enumerate(kernel))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x, y = p.px.to_numpy(), p.py.to_numpy()
-        shape = (max(int(p.height.max()), y.max() + 1), max(int(p.width.max()), x.max() + 1))
-        value, there = np.zeros(shape), np.zeros(shape)
-        value[y, x], there[y, x] = p.value, 1.0
-        v, w = along(along(value, 0), 1), along(along(there, 0), 1)
-        return p.assign(value=(v / np.maximum(w, 1e-12))[y, x]).drop(columns=["width", "height"])
-
-    sized = pixels.join(sizes.select("image_id", "width", "height"), "image_id") if sizes is not None else pixels.withColumn("width", F.lit(0)).withColumn("height", F.lit(0))
-    return sized.select("image_id", "px", "py", "value", "coverage", "width", "height").groupBy("image_id").applyInPandas(run, "image_id long, px int, py int, value double, coverage long")
+    return rasters.pixels(rasters.smooth(rasters.of_pixels(pixels, sizes), sigma))
 
 
 def whole(vectors: DataFrame, most: int) -> DataFrame:

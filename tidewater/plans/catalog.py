@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, profiling, reference, review, selection, tabular, temporal, timeseries, vectors
+from ..operators import evaluation, profiling, rasters, reference, review, selection, tabular, temporal, timeseries, vectors
 from ..sources import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,10 +377,20 @@ def spatial_map_display(spark, d):
 p AS (SELECT m.*, a.k * b.k AS k, least(greatest(px + a.d, 0), 15) AS sx, least(greatest(py + b.d, 0), 15) AS sy FROM m CROSS JOIN k a CROSS JOIN k b)
 SELECT p.image_id, p.px, p.py, round(sum(p.k * s.value) / sum(p.k), 6) AS value, p.coverage FROM p JOIN m s ON s.image_id = p.image_id AND s.px = p.sx AND s.py = p.sy GROUP BY p.image_id, p.px, p.py, p.coverage""")
 def gaussian_smooth(spark, d):
-    """Images of 16 by 16 pixels, of which the patches cover a part."""
-    m = reference.spatial_map(_boxes(spark, d))
-    sizes = m.select("image_id").distinct().select("image_id", F.lit(16).alias("width"), F.lit(16).alias("height"))
-    return reference.smooth(m, 1.0, sizes).select("image_id", "px", "py", F.round("value", 6).alias("value"), "coverage")
+    """Images of 16 by 16 pixels, of which the patches cover a part; tiles of 5 pixels, so that strips come from two away."""
+    boxes = _boxes(spark, d)
+    sizes = boxes.select("image_id").distinct().select("image_id", F.lit(16).alias("width"), F.lit(16).alias("height"))
+    m = rasters.smooth(rasters.draw(boxes, sizes, tile=5), 1.0, tile=5)
+    return rasters.pixels(m, 5).select("image_id", "px", "py", F.round("value", 6).alias("value"), "coverage")
+
+
+@query(f"""WITH m AS ({_map_sql('max', 'mean')}) SELECT image_id, round(count(*) / (max(px) + 1)::double / (max(py) + 1), 6) AS covered, max(px) + 1 AS width, max(py) + 1 AS height, sum(coverage)::bigint AS patches, round(max(value), 6) AS high FROM m GROUP BY image_id""")
+def map_coverage(spark, d):
+    """What share of an image the patches cover, from tiles; ids are texts until the end."""
+    m = rasters.draw(_boxes(spark, d).withColumn("image_id", F.col("image_id").cast("string")), None, "max", "mean", tile=4)
+    high = F.max(F.array_max(F.filter("value", lambda x: ~F.isnan(x))))
+    per = m.groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.sum(F.aggregate("coverage", F.lit(0).cast("long"), lambda a, c: a + c)).alias("patches"), F.round(high, 6).alias("high"))
+    return per.join(rasters.coverage_share(m), "image_id").select(F.col("image_id").cast("long").alias("image_id"), F.round("covered", 6).alias("covered"), "width", "height", "patches", "high")
 
 
 @query()
