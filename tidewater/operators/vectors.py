@@ -1,76 +1,14 @@
-"""Vectors: exact nearest neighbours in blocks, and the novelty scores built on them."""
+"""Vectors: the novelty scores built on centroids, medians and nearest neighbours."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import l2, min_max, similarity, weighted, zero_if_odd
+from ..functions.scalars import l2, min_max, weighted, zero_if_odd
+from .neighbours import METRICS, distances, knn  # noqa: F401
 from .orders import medians, numbered
 
-METRICS = ("euclidean", "cosine")
-
-
-def distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of every query to every row; a zero vector is at cosine distance 1 from all."""
-    if metric == "euclidean":
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1) - 2 * q @ r.T, 0))
-    a, b = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(r, axis=1)
-    return 1 - np.where((a > 0) & (b > 0), q @ r.T / np.where(a * b > 0, a * b, 1), 0.0)
-
-
-def _exact(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of one query to rows, without the cancellation of the product form."""
-    return np.sqrt(((r - q) ** 2).sum(1)) if metric == "euclidean" else distances(q[None], r, metric)[0]
-
-
-def knn(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = False, block: int = 4096, exclude_same: str | None = None) -> DataFrame:
-    """query_id, id, distance, similarity, rank: each query's k nearest rows, ties to the smaller id.
-
-    queries and rows hold id and v (array<double>). Both are dealt to blocks of bounded size; every pair of blocks is a
-    task, joined on the block numbers, that keeps k rows of each query, and the best of those are ranked. Vectors of
-    another length than the query's are no neighbours, nor are rows with the query's value in the column `exclude_same`
-    (an image, say), nulls aside. Rows of one source, or of all but one, are had by a filter on `rows`.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    if k < 1:
-        raise ValueError("k must be 1 or more")
-    nq, nr = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
-    same = F.col(exclude_same).cast("string") if exclude_same else F.lit(None).cast("string")
-    q = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), same.alias("qs")).withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
-    r = rows.select("id", "v", same.alias("s")).withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-    keep = k + int(exclude_self)
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sizes = right.v.map(len) if len(right) else pd.Series(dtype=int)
-        for dims, part in left.groupby(left.qv.map(len)) if len(left) else ():
-            own = right[sizes == dims].sort_values("id", kind="stable")
-            if not len(own):
-                continue
-            v, ids = np.stack(own.v), own.id.to_numpy()
-            d = distances(np.stack(part.qv), v, metric)
-            if exclude_same:
-                d[(part.qs.to_numpy()[:, None] == own.s.to_numpy()) & part.qs.notna().to_numpy()[:, None]] = np.inf
-            width = min(len(ids), keep)
-            kth = np.partition(d, width - 1, 1)[:, width - 1]
-            for i, (qid, qv) in enumerate(zip(part.qid, part.qv)):
-                near = np.flatnonzero((d[i] <= kth[i] + 1e-6 * (1 + abs(kth[i]))) & np.isfinite(d[i]))  # all ties; then exact distances decide
-                e = np.round(_exact(np.asarray(qv), v[near], metric), 9)
-                order = np.lexsort((ids[near], e))[: keep + 1]
-                out += [(qid, ids[near[o]], e[o]) for o in order if not (exclude_self and ids[near[o]] == qid)][:k]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-    parts = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(nearest, "query_id long, id long, distance double")
-    d = F.round("distance", 6)
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = parts.withColumn("distance", d).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.withColumn("similarity", F.round(similarity(F.col("distance"), metric), 6))
-
-
 def centroid(vectors: DataFrame) -> DataFrame:
     """One row: c, the mean of every dimension."""
     means = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))

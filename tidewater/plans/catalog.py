@@ -295,6 +295,23 @@ def vec_knn_cosine(spark, d):
     return _knn(spark, d, "cosine")
 
 
+@query(_knn_sql("list_distance(a.v, b.v)", "1 / (1 + distance)"))
+def vec_knn_pruned(spark, d):
+    """The same rows past units that pivots rule out, in small blocks so that there are several at any scale."""
+    v = vecs(spark, d)
+    return vectors.knn(v.where("id % 20 = 0"), v, 5, exclude_self=True, block=64)
+
+
+@query(_knn_sql("1 - list_cosine_similarity(a.v, b.v)", "1 - distance").replace("a.id % 20 = 0", "a.id % 20 = 0 AND b.id % 7 <> a.id % 3 AND b.id NOT IN (a.id + 1, a.id + 2, a.id - 1)"))
+def vec_knn_cosine_without(spark, d):
+    """Cosine distances past pivots, without some ids of each query's own."""
+    v = vecs(spark, d)
+    top = v.agg(F.max("id").alias("_top"))  # one row
+    own = F.expr("filter(sequence(0L, _top), x -> x % 7 = id % 3 OR x IN (id + 1, id + 2, id - 1))")
+    q = v.where("id % 20 = 0").crossJoin(F.broadcast(top)).withColumn("gone", own).drop("_top")
+    return vectors.knn(q, v, 5, "cosine", exclude_self=True, block=64, exclude_ids="gone")
+
+
 @query(_knn_sql("list_distance(a.v, b.v)", "1 / (1 + distance)").replace("SELECT query_id, id, distance, rank, round", "SELECT query_id, id, round"))
 def vec_similarity(spark, d):
     return _knn(spark, d, "euclidean").select("query_id", "id", "similarity")
