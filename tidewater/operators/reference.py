@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rasters
+from .coreset import farthest_first  # noqa: F401
 from .evaluation import metric_summary
-from .vectors import METRICS, distances, knn
+from .neighbours import knn
 
 
 def check_compatible(queries: DataFrame, reference: DataFrame) -> None:
@@ -86,54 +83,3 @@ def whole(vectors: DataFrame, most: int) -> DataFrame:
     if n > most:
         raise ValueError(f"{n} vectors exceed the limit of {most}; choose farthest_first")
     return vectors.select("id")
-
-
-def farthest_first(vectors: DataFrame, ratio: float, most: int, seed: int = 0, limit: int | None = None, ahead: int = 1024, metric: str = "euclidean") -> DataFrame:
-    """vector ids, which are unique, of a coreset by farthest-first traversal: order 0 is row seed % n by id, ties go to the smaller id.
-
-    A pass over the vectors finds each one's distance to the nearest picked vector and brings the `ahead` farthest to the
-    driver. Distances only shrink, so the next pick is among those while the farthest of them is farther than the last
-    one was; then comes the next pass. Distances are euclidean or cosine. More than `limit` vectors raise ValueError if one is given; else there is no bound.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    spark = vectors.sparkSession
-    # squares of euclidean distances order as the distances do
-    away = (lambda v, x: ((v - x) ** 2).sum(1)) if metric == "euclidean" else (lambda v, x: np.round(distances(x[None], v, metric)[0], 12))
-    n = vectors.count()
-    if limit is not None and n > limit:
-        raise ValueError(f"{n} vectors exceed the limit of {limit}")
-    target = min(most, n, int(np.ceil(n * ratio)))
-    picked: list[tuple[int, np.ndarray]] = []
-    if target > 0:
-        start = vectors.select("id", "v").orderBy("id").offset(seed % n).limit(1).first()
-        picked.append((start.id, np.asarray(start.v, float)))
-
-    while len(picked) < target:
-        known = list(picked)
-
-        def farthest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for p in parts:
-                if len(p):
-                    v, far = np.stack(p.v), np.full(len(p), np.inf)
-                    for _, x in known:
-                        far = np.minimum(far, away(v, x))
-                    best = pd.concat([best, p.assign(far=far)]).sort_values(["far", "id"], ascending=[False, True], kind="stable")[:ahead]
-            if best is not None:
-                yield best
-
-        own = vectors.select("id", "v").where(~F.col("id").isin([i for i, _ in known]))
-        rows = own.mapInPandas(farthest, "id long, v array<double>, far double").orderBy(F.desc("far"), "id").limit(ahead).collect()
-        if not rows:
-            break
-        ids, v, far = np.array([r.id for r in rows]), np.array([r.v for r in rows], float), np.array([r.far for r in rows])
-        least, all_here = far[-1], len(rows) < ahead
-        while len(picked) < target:
-            at = int(np.lexsort((ids, -far))[0])
-            if far[at] < 0 or not all_here and len(picked) > len(known) and far[at] <= least:
-                break
-            picked.append((int(ids[at]), v[at]))
-            far = np.minimum(far, away(v, v[at]))
-            far[ids == ids[at]] = -1
-    return spark.createDataFrame([(i, at) for at, (i, _) in enumerate(picked)], "id long, position int")

@@ -410,14 +410,23 @@ def map_coverage(spark, d):
     return per.join(rasters.coverage_share(m), "image_id").select(F.col("image_id").cast("long").alias("image_id"), F.round("covered", 6).alias("covered"), "width", "height", "patches", "high")
 
 
-@query()
+def _coreset_sql(distance: str) -> str:
+    """The loop over all vectors, one step a recursion."""
+    return f"""WITH RECURSIVE {_V}, n AS (SELECT count(*) AS n FROM v), st AS (SELECT id, v FROM v ORDER BY id LIMIT 1 OFFSET (SELECT 7 % n FROM n)),
+s AS (SELECT 0 AS position, p.id AS pick, a.id, a.v, CASE WHEN a.id = p.id THEN -1 ELSE round({distance}, 12) END AS far FROM v a, (SELECT id, v FROM st) p
+UNION ALL SELECT position + 1, p.id, a.id, a.v, CASE WHEN a.id = p.id OR a.far < 0 THEN -1 ELSE least(a.far, round({distance}, 12)) END FROM s a, (SELECT id, v FROM s ORDER BY far DESC, id LIMIT 1) p
+ WHERE position + 1 < (SELECT least(100, n, ceil(n * 0.1)) FROM n)) SELECT DISTINCT pick AS id, position::int AS position FROM s"""
+
+
+@query(_coreset_sql("list_distance(a.v, p.v)"))
 def coreset_farthest_first(spark, d):
     return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7)
 
 
-@query()
+@query(_coreset_sql("1 - list_cosine_similarity(a.v, p.v)"))
 def coreset_cosine(spark, d):
-    return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7, metric="cosine")
+    """In four parts with few vectors on the driver, so that parts are read several times."""
+    return reference.farthest_first(vecs(spark, d), 0.1, 100, seed=7, metric="cosine", parts=4, ahead=16)
 
 
 # --- calibration and evaluation: scores are distances from the centroid, label 0 is the anomaly -----------------------
