@@ -1,4 +1,4 @@
-"""Operators whose choices depend on earlier ones: diverse selection and leader clustering; and what concepts score.
+"""Diverse selection, whose choices depend on earlier ones, and what concepts score.
 
 Selection goes through all candidates in order. Candidates of one source alone limit each other by number and by
 distance in the image, so that part runs for each source by itself; only what a source may contribute, a few rows, meets
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import clamp
-from .vectors import knn
+from .leaders import leader_clusters  # noqa: F401
+from .neighbours import knn
 
 
 def fits(p: pd.DataFrame, picks: list[dict], per_source: int, least_pixels: float, least_embedding: float | None, new_scale: bool) -> np.ndarray:
@@ -93,33 +94,6 @@ def scale_labels(patches: DataFrame) -> DataFrame:
     return patches.select("scale").where("scale is not null").distinct().agg(F.array_sort(F.collect_list("scale")).alias("scales"))
 
 
-def leader_clusters(selected: DataFrame, threshold: float = 0.35, limit: int = 10_000) -> DataFrame:
-    """selected (position, id, score, v, ...) with concept_id: each vector joins the nearest running mean of unit
-    vectors within threshold, the first of equal ones, or founds a concept. At most `limit` rows, in one ordered group."""
-    if selected.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows to cluster")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("position", kind="stable")
-        sums, sizes, names = [], [], []
-        for v in p.v:
-            u = np.asarray(v, float)
-            u = u / (np.linalg.norm(u) or 1.0)
-            d = [float(np.linalg.norm(u - s / n)) for s, n in zip(sums, sizes)]
-            best = int(np.argmin(d)) if d else -1
-            if best >= 0 and d[best] <= threshold:
-                sums[best], sizes[best] = sums[best] + u, sizes[best] + 1
-            else:
-                best = len(sums)
-                sums.append(u)
-                sizes.append(1)
-            names.append(f"concept-{best + 1:04d}")
-        return p.drop(columns="_g").assign(concept_id=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in selected.schema.fields) + ", concept_id string"
-    return selected.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, schema)
-
-
 def concept_scores(clustered: DataFrame, limit: int = 5, supporting: int = 5) -> DataFrame:
     """concept_id, size, parts and confidence of the concepts of highest mean score.
 
