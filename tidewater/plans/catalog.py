@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, profiling, rasters, reference, review, selection, tabular, temporal, timeseries, vectors
+from ..operators import evaluation, leaders, profiling, rasters, reference, review, selection, tabular, temporal, timeseries, vectors
+from ..operators.orders import numbered
 from ..sources import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -613,17 +614,43 @@ def _selected(spark, d):
     return selection.diverse(s.select("id", F.floor(F.col("id") / 8).alias("source"), (F.col("id") % 8 * 40).cast("int").alias("x"), F.lit(0).alias("y"), F.lit("s64").alias("scale"), "score", "v"), 40)
 
 
-@query()
+#: Places of a source are always far enough apart, so what is left of selection is the limit a source.
+_SEL = f"""{_HY[5:]}, sel AS (SELECT id, id // 8 AS source, score, v, row_number() OVER (ORDER BY score DESC, id)::int AS position FROM
+ (SELECT id, score, row_number() OVER (PARTITION BY id // 8 ORDER BY score DESC, id) AS r FROM h) JOIN v USING (id) WHERE r <= 3 ORDER BY position LIMIT 40)"""
+
+
+def _leader_sql(rows: str, threshold: float) -> str:
+    """The loop over rows (position from 1, v), one row a recursion, with the running sums in lists."""
+    return f"""un AS (SELECT position, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM {rows}),
+lc AS (SELECT 1 AS position, [u] AS sums, [1.0::double] AS sizes, 1 AS c FROM un WHERE position = 1 UNION ALL
+ SELECT position, list_transform(range(1, greatest(len(sums), c) + 1), lambda k: CASE WHEN k <> c THEN sums[k] WHEN k > len(sums) THEN u ELSE list_transform(range(1, len(u) + 1), lambda i: sums[k][i] + u[i]) END),
+  list_transform(range(1, greatest(len(sums), c) + 1), lambda k: coalesce(sizes[k], 0) + (k = c)::int), c FROM
+ (SELECT position, sums, sizes, u, CASE WHEN list_min(d) <= {threshold} THEN list_position(d, list_min(d)) ELSE len(sums) + 1 END AS c FROM
+  (SELECT un.position, sums, sizes, u, list_transform(range(1, len(sums) + 1), lambda k: sqrt(list_sum(list_transform(range(1, len(u) + 1), lambda i: (u[i] - sums[k][i] / sizes[k]) * (u[i] - sums[k][i] / sizes[k]))))) AS d FROM lc JOIN un ON un.position = lc.position + 1))),
+cc AS (SELECT r.*, printf('concept-%04d', c) AS concept_id FROM {rows} r JOIN lc USING (position))"""
+
+
+@query(f"WITH {_SEL} SELECT position, id, source, score FROM sel")
 def diversity_select(spark, d):
     return _selected(spark, d).select("position", "id", "source", "score")
 
 
-@query()
+@query(f"WITH RECURSIVE {_SEL}, {_leader_sql('sel', 0.9)} SELECT id, concept_id, position FROM cc")
 def leader_cluster(spark, d):
     return selection.leader_clusters(_selected(spark, d), 0.9).select("id", "concept_id", "position")
 
 
-@query()
+@query(f"WITH RECURSIVE {_V}, o AS (SELECT id, v, row_number() OVER (ORDER BY id)::int AS position FROM v), {_leader_sql('o', 1.1)} SELECT id, concept_id, position FROM cc")
+def leader_cluster_all(spark, d):
+    """All vectors in the order of their ids, in small batches so that there are several at any scale."""
+    return leaders.leader_clusters(numbered(vecs(spark, d).select("id", "v"), "id", "position"), 1.1, 64, 128).select("id", "concept_id", "position")
+
+
+@query(f"""WITH RECURSIVE {_SEL}, {_leader_sql('sel', 0.9)}, mn AS (SELECT concept_id, list(m ORDER BY i) AS m FROM (SELECT concept_id, i, avg(v[i]) AS m FROM cc, range(1, 65) t(i) GROUP BY ALL) GROUP BY concept_id),
+gr AS (SELECT concept_id, count(*) AS size, avg(score) AS ms, max(score) AS top, avg(list_distance(v, m)) AS spread, count(DISTINCT source) AS sources FROM cc JOIN mn USING (concept_id) GROUP BY concept_id),
+f AS (SELECT *, least(greatest(ms / greatest(top, 1), 0), 1) AS nov, least(size / 5.0::double, 1) AS sup, CASE WHEN size <= 1 THEN 1.0 ELSE 1 / (1 + spread) END AS con, sources / size::double AS dv FROM gr)
+SELECT concept_id, size, round(ms, 6) AS mean_score, round(nov, 6) AS novelty, round(sup, 6) AS support, round(con, 6) AS consistency, round(dv, 6) AS diversity, round(least(0.30 * nov + 0.20 * sup + 0.25 * con + 0.15 * dv + 0.10, 1), 6) AS confidence
+FROM f ORDER BY round(ms, 6) DESC, concept_id LIMIT 5""")
 def concept_confidence(spark, d):
     return selection.concept_scores(selection.leader_clusters(_selected(spark, d), 0.9))
 
