@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_cell, parse_timestamp
+from .files import Claim
+from .scratch import cut
 
 # Names under which a column of times is found.
 TIME_NAMES = ("timestamp", "time", "datetime", "date", "ts")
@@ -140,19 +142,27 @@ def read_manifest(spark: SparkSession, path: str) -> Row | None:
         return None
 
 
-def publish(df: DataFrame, path: str, identity: dict) -> dict:
+def publish(df: DataFrame, path: str, identity: dict, stale_after: float = 600.0) -> dict:
     """Write df as Parquet once: an existing table of the same identity is left, another one raises.
 
-    The manifest comes last, so data without one is what a broken run left, and is written anew.
+    Data and manifest are written to a staging folder under a claim that one writer at a time can have, and moved to
+    their place by one rename, so readers see all or nothing. A second writer raises Busy; what a killed one left is
+    removed once its claim was not touched for `stale_after` seconds.
     """
     spark, name = df.sparkSession, canonical_sha256(identity)
+    path = path.rstrip("/")
     there = read_manifest(spark, path)
     if there is None:
-        df.write.mode("overwrite").parquet(f"{path}/data")
-        n, rows = digest(spark.read.parquet(f"{path}/data"))
-        there = (name, df.columns, n, rows)
-        spark.createDataFrame([there], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-        return dict(zip(("identity", "columns", "rows", "digest"), there))
+        with Claim(spark, path, stale_after) as claim:
+            there = read_manifest(spark, path)  # finished meanwhile
+            if there is None:
+                at = claim.staging()
+                df.write.parquet(f"{at}/data")
+                n, rows = digest(spark.read.parquet(f"{at}/data"))
+                made = (name, df.columns, n, rows)
+                spark.createDataFrame([made], MANIFEST).coalesce(1).write.json(f"{at}/manifest")
+                claim.commit()
+                return dict(zip(("identity", "columns", "rows", "digest"), made))
     if there.identity != name:
         raise ValueError(f"{path} holds another table")
     return there.asDict()
@@ -183,7 +193,8 @@ def labelled_folder(spark: SparkSession, root: str) -> DataFrame:
     within = F.regexp_extract("path", r"/((?:train|test|ground_truth)/[^/]+/[^/]+)$", 1)
     files = fingerprints(spark, root).where(F.lower("path").endswith(".png")).select(within.alias("path"), "sha256")
     folder, kind, name = [F.get(F.split("path", "/"), F.lit(i)) for i in range(3)]
-    files = files.select("path", "sha256", folder.alias("folder"), kind.alias("kind"), F.regexp_replace(name, r"(?i)\.png$", "").alias("stem")).persist()
+    files = files.select("path", "sha256", folder.alias("folder"), kind.alias("kind"), F.regexp_replace(name, r"(?i)\.png$", "").alias("stem"))
+    files = cut(files, "inspected")  # hashed once
     masks = files.where("folder = 'ground_truth'").select("kind", F.regexp_replace("stem", "_mask$", "").alias("stem"), F.col("path").alias("mask"))
     images = files.where("folder in ('train', 'test')").join(masks, ["kind", "stem"], "left")
     fault = (F.col("folder") == "test") & (F.col("kind") != "good")
