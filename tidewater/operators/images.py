@@ -120,6 +120,17 @@ def profile(spark: SparkSession, path: str, sizes: tuple[int, ...] = (64,), stri
     return m.agg(F.count("*").alias("files"), n(ok).alias("images"), n(~F.col("supported")).alias("unsupported"), n(F.col("supported") & ~ok).alias("unreadable"), F.min("w").alias("min_width"), F.max("w").alias("max_width"), F.min("h").alias("min_height"), F.max("h").alias("max_height"), F.count_distinct("w", "h").alias("distinct_sizes"), F.sum(F.when(ok, count)).cast("long").alias("estimated_patches"))
 
 
+def dimensions(images: DataFrame) -> DataFrame:
+    """path, width, height of every readable image of (path, content)."""
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            shapes = [(path, px.shape[1], px.shape[0]) for path, px in zip(p.path, map(decode, p.content)) if px is not None]
+            yield pd.DataFrame(shapes, columns=["path", "width", "height"])
+
+    return images.mapInPandas(measure, "path string, width int, height int")
+
+
 def labels_of(sizes: tuple[int, ...]) -> list[str]:
     """s64, and s64_2 for a second scale of the same size."""
     return [f"s{s}" + (f"_{sizes[:i].count(s) + 1}" if s in sizes[:i] else "") for i, s in enumerate(sizes)]

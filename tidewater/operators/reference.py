@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from . import rasters
 from .coreset import farthest_first  # noqa: F401
 from .evaluation import metric_summary
@@ -53,7 +54,8 @@ def benchmark(patches: DataFrame, reference: DataFrame, labels: DataFrame, thres
     check_compatible(own, reference)
     scored = patch_scores(own, reference, k, metric).join(own.select("id", "image_id"), "id")
     images = image_scores(scored, method, fraction).select(F.col("image_id").alias("id"), "score")
-    rows = labels.select(F.col("image_id").alias("id"), "label").join(images, "id", "left").persist()  # a row for each image, read three times
+    rows = labels.select(F.col("image_id").alias("id"), "label").join(images, "id", "left")
+    rows = cut(rows, "benchmark")  # a row for each image, read three times
     return metric_summary(rows.withColumn("selected", F.col("score") >= threshold))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import clamp
+from ..sources.scratch import cut
 from .leaders import leader_clusters  # noqa: F401
 from .neighbours import knn
 
@@ -43,7 +44,7 @@ def diverse(candidates: DataFrame, k: int, per_source: int = 3, least_pixels: fl
     """
     size = lambda c: F.col(c) / 2 if c in candidates.columns else F.lit(0.0)
     centres = ((F.col("x") + size("w")).cast("double").alias("cx"), (F.col("y") + size("h")).cast("double").alias("cy"))
-    candidates = candidates.persist()  # every pass reads them
+    candidates = cut(candidates, "candidates")  # every pass reads them
     slim = candidates.select("id", "source", F.coalesce("scale", F.lit("single-scale")).alias("of_scale"), "score", *centres, *(["v"] if least_embedding is not None else []))
     picks: list[dict] = []
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from copy import deepcopy
 
+from ..errors import ConfigurationError
+
 # Names and defaults of the options, and what some may be.
 DEFAULTS = {
     "preprocessing": {"patch_sizes": [64], "patch_strides": [64]},
@@ -17,6 +19,8 @@ CHOICES = {
     ("discovery", "novelty_strategy"): ("hybrid", "global_distance", "memory_neighbor_distance", "centroid_distance", "nearest_neighbor_distance", "robust_z_score", "distance_to_center"),
     ("reference_scoring", "metric"): ("euclidean", "cosine"),
     ("reference_scoring", "image_aggregation"): ("max_patch", "top_fraction_mean"),
+    ("reference_scoring", "map_projection"): ("overlap_mean", "overlap_max"),
+    ("reference_scoring", "multi_scale_fusion"): ("mean", "max"),
     ("calibration", "method"): ("identity", "empirical_percentile", "minmax"),
 }
 
@@ -25,10 +29,10 @@ def merge(base: dict, over: dict, path: tuple[str, ...] = ()) -> dict:
     out = deepcopy(base)
     for k, v in over.items():
         if k not in base:
-            raise ValueError(f"unknown option {'.'.join((*path, k))}")
+            raise ConfigurationError(f"unknown option {'.'.join((*path, k))}")
         if isinstance(base[k], dict):
             if not isinstance(v, dict):
-                raise ValueError(f"{'.'.join((*path, k))} must be a section")
+                raise ConfigurationError(f"{'.'.join((*path, k))} must be a section")
             out[k] = merge(base[k], v, (*path, k))
         else:
             out[k] = v
@@ -36,7 +40,7 @@ def merge(base: dict, over: dict, path: tuple[str, ...] = ()) -> dict:
 
 
 def load(options: dict | None = None) -> dict:
-    """The defaults with options merged in; unknown options and values raise ValueError.
+    """The defaults with options merged in; unknown options and values raise ConfigurationError, a ValueError.
 
     patch_size and patch_stride are read as lists of one.
     """
@@ -49,10 +53,13 @@ def load(options: dict | None = None) -> dict:
     out = merge(DEFAULTS, options)
     for (section, key), allowed in CHOICES.items():
         if out[section][key] not in allowed:
-            raise ValueError(f"{section}.{key} must be one of {', '.join(allowed)}")
+            raise ConfigurationError(f"{section}.{key} must be one of {', '.join(allowed)}")
     sizes, strides = out["preprocessing"]["patch_sizes"], out["preprocessing"]["patch_strides"]
     if len(sizes) != len(strides) or not sizes or min(*sizes, *strides) <= 0:
-        raise ValueError("patch sizes and strides must be positive and as many")
+        raise ConfigurationError("patch sizes and strides must be positive and as many")
     if out["timeseries"]["window_size"] < 1 or not 0 < out["reference_scoring"]["top_fraction"] <= 1:
-        raise ValueError("window_size and top_fraction are out of range")
+        raise ConfigurationError("window_size and top_fraction are out of range")
+    scoring = out["reference_scoring"]
+    if scoring["neighbor_count"] < 1 or not 0 <= scoring["smoothing_sigma"] < float("inf"):
+        raise ConfigurationError("neighbor_count and smoothing_sigma are out of range")
     return out

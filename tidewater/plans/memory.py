@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigurationError
 from ..operators import evaluation, images, reference
 from ..sources import tables
+from . import artifacts
+from .config import load
 
 CORESETS = ("none", "farthest_first")
 
@@ -58,6 +61,25 @@ def score(spark: SparkSession, memory: str, folder: str, sizes: tuple[int, ...]
     return whole, scored, {**made, "scoring_id": tables.canonical_sha256(made)}
 
 
+def score_with(spark: SparkSession, memory: str, folder: str, out: str, options: dict | None = None, baseline: DataFrame | None = None) -> str:
+    """Score a folder by the options' reference_scoring, patches by those of preprocessing, and publish the result with its
+    maps and previews; the folder below `out` that holds it.
+
+    With baseline scores (path, score) the image scores are calibrated by the options' calibration as well.
+    """
+    cfg = load(options)
+    how, pre = cfg["reference_scoring"], cfg["preprocessing"]
+    whole, scored, made = score(spark, memory, folder, tuple(pre["patch_sizes"]), tuple(pre["patch_strides"]), how["neighbor_count"], how["metric"], how["image_aggregation"], how["top_fraction"])
+    method = cfg["calibration"]["method"]
+    if method != "identity" and baseline is None:
+        raise ConfigurationError(f"calibration by {method} needs baseline scores")
+    own = whole.select(F.col("path").alias("id"), "score", "patches")
+    calibrated = evaluation.calibrate(baseline.select("score") if baseline is not None else own, own, method)
+    made = {**made, "options": {k: cfg[k] for k in ("preprocessing", "reference_scoring", "calibration")}}
+    made["scoring_id"] = tables.canonical_sha256({k: v for k, v in made.items() if k != "scoring_id"})
+    return artifacts.publish_scoring(calibrated.withColumnRenamed("id", "path"), scored, images.dimensions(images.scan(spark, folder)), made, out, options)
+
+
 def publish_scores(scored: DataFrame, made: dict, out: str) -> dict:
     """Publish the maps (pixels with value and coverage) of scored patches under the id of their scoring."""
     maps = reference.spatial_map(scored.withColumnRenamed("path", "image_id"))

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import IntegrityError, ManifestError, RoleError
 from ..functions.scalars import clean_cell, parse_timestamp
 from .files import Claim
 from .scratch import cut
@@ -91,22 +92,41 @@ def canonical_sha256(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
 
 
+def verify_files(expected: DataFrame, folder: str) -> DataFrame:
+    """name and status (ok, missing, changed, unexpected) of every file that is expected (name, sha256) or lies below the
+    folder; a null sha256 asks for existence alone. Files are hashed where they are read."""
+    spark = expected.sparkSession
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], schema)
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
+    place = F.locate(top, F.col("path"))
+    seen = files.select("path", F.sha2("content", 256).alias("found")).withColumn("name", F.substring("path", place + len(top), F.length("path")))
+    both = expected.select("name", "sha256", F.lit(True).alias("_e")).join(seen.select("name", "found"), "name", "full")
+    status = F.when(F.col("_e").isNull(), "unexpected").when(F.col("found").isNull(), "missing").when(F.coalesce(F.lower("sha256"), F.col("found")) != F.col("found"), "changed").otherwise("ok")
+    return both.select("name", status.alias("status"))
+
+
 def temporal_manifest(text: str) -> list[dict]:
     """Observations of a JSON manifest: two or more, all with a timestamp or all with an index, keys and ids unique."""
     data = json.loads(text)
     obs = data.get("observations") if isinstance(data, dict) else None
     if not isinstance(obs, list) or len(obs) < 2:
-        raise ValueError("a sequence needs two observations")
+        raise ManifestError("a sequence needs two observations")
     kinds = {("timestamp" in o, "sequence_index" in o) for o in obs}
     if kinds not in ({(True, False)}, {(False, True)}):
-        raise ValueError("observations need a timestamp, or all a sequence_index")
+        raise ManifestError("observations need a timestamp, or all a sequence_index")
     key = "timestamp" if "timestamp" in obs[0] else "sequence_index"
     if len({o[key] for o in obs}) != len(obs) or len({o["observation_id"] for o in obs}) != len(obs):
-        raise ValueError("order keys and ids must be unique")
+        raise ManifestError("order keys and ids must be unique")
     for o in obs:
         p = PurePosixPath(o["source_path"].replace("\\", "/"))
         if p.is_absolute() or ".." in p.parts or re.match(r"^[A-Za-z]:", str(p)):
-            raise ValueError(f"path leaves its folder: {p}")
+            raise ManifestError(f"path leaves its folder: {p}", context={"path": str(p)})
     return [{"observation_id": o["observation_id"], "source_path": o["source_path"], "order_key": o[key]} for o in obs]
 
 
@@ -164,7 +184,7 @@ def publish(df: DataFrame, path: str, identity: dict, stale_after: float = 600.0
                 claim.commit()
                 return dict(zip(("identity", "columns", "rows", "digest"), made))
     if there.identity != name:
-        raise ValueError(f"{path} holds another table")
+        raise IntegrityError(f"{path} holds another table", context={"path": path})
     return there.asDict()
 
 
@@ -172,14 +192,14 @@ def load_published(spark: SparkSession, path: str, identity: dict | None = None,
     """The table, after a look at its identity, columns, and (a pass over the data) its number of rows and digest."""
     there = read_manifest(spark, path)
     if there is None:
-        raise ValueError(f"{path} holds no finished table")
+        raise IntegrityError(f"{path} holds no finished table", context={"path": path})
     if identity is not None and there.identity != canonical_sha256(identity):
-        raise ValueError("the table has another identity")
+        raise IntegrityError("the table has another identity", context={"path": path})
     df = spark.read.parquet(f"{path}/data")
     if df.columns != list(there.columns):
-        raise ValueError("the table's columns changed")
+        raise IntegrityError("the table's columns changed", context={"path": path})
     if verify and digest(df) != (there.rows, there.digest):
-        raise ValueError("the table's rows changed")
+        raise IntegrityError("the table's rows changed", context={"path": path})
     return df
 
 
@@ -214,4 +234,4 @@ def reject_shared(one: DataFrame, other: DataFrame) -> None:
     """ValueError if a file's content (sha256) is in both roles."""
     both = one.join(other, "sha256", "left_semi").limit(3).collect()
     if both:
-        raise ValueError(f"the same content in both roles, such as {sorted(r.path for r in both)}")
+        raise RoleError(f"the same content in both roles, such as {sorted(r.path for r in both)}", context={"paths": sorted(r.path for r in both)})
