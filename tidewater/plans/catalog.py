@@ -782,14 +782,14 @@ _POLICY = {
 @query(f"""WITH {_S}, sc AS (SELECT * FROM s WHERE id % 11 <> 0), r AS (SELECT score, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM sc),
 g AS (SELECT score, sum(label) AS p, count(*) AS n FROM sc GROUP BY score), ap AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS pa, sum(n) OVER (ORDER BY score DESC) AS na FROM g),
 k AS (SELECT score, label, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n, sum(label) OVER () AS p FROM sc), pc AS (SELECT quantile_cont(score, 0.9) AS t FROM sc), tf AS (SELECT min(score) AS t FROM k WHERE r <= ceil(n * 0.25)),
-c AS (SELECT 'min_auroc' AS check, round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS value, 0.4::double AS bound, true AS least FROM r
+c AS (SELECT 'min_auroc' AS "check", round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS value, 0.4::double AS bound, true AS least FROM r
  UNION ALL SELECT 'min_average_precision', round(sum(p * pa / na::double) / sum(p), 6), 0.9, true FROM ap
  UNION ALL SELECT 'max_missing_predictions', (SELECT count(*) FROM s WHERE id % 11 = 0)::double, 0, false
  UNION ALL SELECT 'min_precision at top_k=20', round(sum(label) / 20.0::double, 6), 0.05, true FROM k WHERE r <= 20
  UNION ALL SELECT 'min_recall at top_k=20', round(sum(label) / max(p)::double, 6), 0.5, true FROM k WHERE r <= 20
  UNION ALL SELECT 'max_selected_fraction at percentile=90', round(sum((score >= t)::int) / count(*)::double, 6), 0.2, false FROM sc, pc
  UNION ALL SELECT 'min_recall at top_fraction=0.25', round(sum((score >= t AND label = 1)::int) / sum(label)::double, 6), 0.1, true FROM sc, tf)
-SELECT check, value::double AS value, bound::double AS bound, CASE WHEN least THEN value >= bound ELSE value <= bound END AS passed FROM c""")
+SELECT "check", value::double AS value, bound::double AS bound, CASE WHEN least THEN value >= bound ELSE value <= bound END AS passed FROM c""")
 def acceptance_policy(spark, d):
     """A policy's metrics, missing predictions and operating points, met or not."""
     s = _scored(spark, d)
