@@ -141,13 +141,25 @@ def concept_neighbours(clustered: DataFrame, memory: DataFrame, k: int = 5, memb
     return near.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("concept_id", "query_id", "id", "distance", "position")
 
 
-def evidence(clustered: DataFrame, k: int = 5) -> DataFrame:
-    """concept_id, representative, supporting (k best ids), sources, size."""
+def evidence(clustered: DataFrame, k: int = 5, memory: DataFrame | None = None, neighbours: int = 5) -> DataFrame:
+    """concept_id, representative, supporting (k best ids), sources, size; with a memory (id, v) also near_matches, the
+    rows of it nearest to the supporting ones (id, query_id, distance), nearest first.
+
+    Ranks beyond k are dropped in every task before rows of a concept meet; sizes and sources are counted apart, so a
+    concept that holds most rows is never sorted as a whole.
+    """
     w = Window.partitionBy("concept_id").orderBy(F.desc("score"), "id")
-    r = clustered.withColumn("r", F.row_number().over(w))
-    best = F.array_sort(F.collect_list(F.when(F.col("r") <= k, F.struct("r", "id"))))
-    g = r.groupBy("concept_id").agg(best.alias("b"), F.count_distinct("source").alias("sources"), F.count("*").alias("size"))
-    return g.select("concept_id", F.col("b")[0]["id"].alias("representative"), F.transform("b", lambda s: s["id"]).alias("supporting"), "sources", "size")
+    best = clustered.select("concept_id", "id", "score").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    few = best.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("b"))  # k rows a concept
+    sizes = clustered.groupBy("concept_id").agg(F.count_distinct("source").alias("sources"), F.count("*").alias("size"))
+    out = few.join(sizes, "concept_id").select("concept_id", F.col("b")[0]["id"].alias("representative"), F.transform("b", lambda s: s["id"]).alias("supporting"), "sources", "size")
+    if memory is None:
+        return out
+    near = concept_neighbours(clustered, memory, neighbours, k)
+    near = near.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "query_id", "distance"))).alias("n"))
+    matches = F.transform("n", lambda s: F.struct(s["id"].alias("id"), s["query_id"].alias("query_id"), s["distance"].alias("distance")))
+    none = F.array().cast("array<struct<id:bigint,query_id:bigint,distance:double>>")
+    return out.join(near, "concept_id", "left").withColumn("near_matches", F.coalesce(matches, none)).drop("n")
 
 
 def hypothesis(concept: str = "concept_id", size: str = "size"):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import acceptance, evaluation, leaders, profiling, rasters, reference, review, selection, tabular, temporal, timeseries, vectors
 from ..operators.orders import numbered
-from ..sources import runs
+from ..sources import reports, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -782,15 +782,61 @@ _POLICY = {
 @query(f"""WITH {_S}, sc AS (SELECT * FROM s WHERE id % 11 <> 0), r AS (SELECT score, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS r FROM sc),
 g AS (SELECT score, sum(label) AS p, count(*) AS n FROM sc GROUP BY score), ap AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS pa, sum(n) OVER (ORDER BY score DESC) AS na FROM g),
 k AS (SELECT score, label, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n, sum(label) OVER () AS p FROM sc), pc AS (SELECT quantile_cont(score, 0.9) AS t FROM sc), tf AS (SELECT min(score) AS t FROM k WHERE r <= ceil(n * 0.25)),
-c AS (SELECT 'min_auroc' AS "check", round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS value, 0.4::double AS bound, true AS least FROM r
+chk AS (SELECT 'min_auroc' AS "check", round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::double) / (sum(label) * sum(1 - label))::double, 6) AS value, 0.4::double AS bound, true AS least FROM r
  UNION ALL SELECT 'min_average_precision', round(sum(p * pa / na::double) / sum(p), 6), 0.9, true FROM ap
  UNION ALL SELECT 'max_missing_predictions', (SELECT count(*) FROM s WHERE id % 11 = 0)::double, 0, false
  UNION ALL SELECT 'min_precision at top_k=20', round(sum(label) / 20.0::double, 6), 0.05, true FROM k WHERE r <= 20
  UNION ALL SELECT 'min_recall at top_k=20', round(sum(label) / max(p)::double, 6), 0.5, true FROM k WHERE r <= 20
  UNION ALL SELECT 'max_selected_fraction at percentile=90', round(sum((score >= t)::int) / count(*)::double, 6), 0.2, false FROM sc, pc
  UNION ALL SELECT 'min_recall at top_fraction=0.25', round(sum((score >= t AND label = 1)::int) / sum(label)::double, 6), 0.1, true FROM sc, tf)
-SELECT "check", value::double AS value, bound::double AS bound, CASE WHEN least THEN value >= bound ELSE value <= bound END AS passed FROM c""")
+SELECT "check", value::double AS value, bound::double AS bound, CASE WHEN least THEN value >= bound ELSE value <= bound END AS passed FROM chk""")
 def acceptance_policy(spark, d):
     """A policy's metrics, missing predictions and operating points, met or not."""
     s = _scored(spark, d)
     return acceptance.accept(s.select("id", "label"), s.where("id % 11 <> 0"), _POLICY)
+
+
+def _stamped(spark, d):
+    f = _feedback(spark, d)
+    return f.select(F.col("event_id").alias("feedback_id"), "run_id", "label", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query(f"WITH {_FB} SELECT run_id, position::int AS position, event_id AS feedback_id, label FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id) AS position FROM fb) WHERE position <= 10")
+def dashboard_last_records(spark, d):
+    return runs.last_records(_stamped(spark, d)).select("run_id", "position", "feedback_id", "label")
+
+
+@query("WITH " + _FB + " SELECT run_id, count(*) AS records, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS latest, " + ", ".join(f"sum((label = '{x}')::int)::bigint AS n_{x}" for x in review.LABELS) + " FROM fb GROUP BY run_id")
+def dashboard_label_counts(spark, d):
+    return runs.label_rollup(_stamped(spark, d))
+
+
+@query(f"""WITH {_CD}, cl AS (SELECT cd.id, distance AS score, v, label AS concept_id, cd.id // 8 AS source FROM cd JOIN v USING (id)), w AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, id) AS r FROM cl),
+p AS (SELECT a.concept_id, b.id, a.id AS query_id, round(list_distance(a.v, b.v), 6) AS distance FROM w a JOIN v b ON a.r <= 5 AND b.id % 2 = 0 AND b.label IS DISTINCT FROM a.concept_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY distance, id, query_id) AS pos FROM k WHERE n <= 5)
+SELECT concept_id, pos::int AS pos, id, query_id, distance FROM n WHERE pos <= 5""")
+def concept_near_matches(spark, d):
+    """What lies next to a concept's best examples: rows of even ids that are not of the concept itself."""
+    c = _concepts(spark, d)
+    out = selection.evidence(c, 5, vecs(spark, d).where("id % 2 = 0").select("id", "v"), 5)
+    return out.select("concept_id", F.posexplode("near_matches").alias("i", "m")).select("concept_id", (F.col("i") + 1).alias("pos"), "m.id", "m.query_id", F.round("m.distance", 6).alias("distance"))
+
+
+_REPORT = """'{"run_id":"r-' || vec_id || '"' || CASE WHEN vec_id % 7 = 0 THEN '' ELSE ',"project_name":"p"' END || ',"run_metadata":{},"human_review_required":' || CASE WHEN vec_id % 5 = 0 THEN '"yes"' ELSE 'true' END
+ || ',"candidate_unknown_concepts":' || CASE WHEN vec_id % 4 = 0 THEN '{}' ELSE '[]' END || ',"candidate_anomalies":[{"anomaly_id":"a"},{"anomaly_id":' || CASE WHEN vec_id % 3 = 0 THEN 'null' ELSE '"b"' END || '}]'
+ || CASE WHEN vec_id % 6 = 1 THEN ',"calibration_summary":{"artifact_path":"x","artifact_fingerprint":"' || sha256(vec_id::varchar) || '","requires_human_review":true,"calibrated":' || CASE WHEN vec_id % 12 = 1 THEN '1' ELSE 'false' END || ',"labels_available":true,"sample_count":' || (vec_id - 100) || '}' ELSE '' END
+ || CASE WHEN vec_id % 11 = 0 THEN '' ELSE '}' END"""
+
+
+@query(f"""WITH t AS (SELECT vec_id, {_REPORT} AS value FROM embeddings), j AS (SELECT vec_id, CASE WHEN json_valid(value) THEN value::json END AS j FROM t),
+e AS (SELECT vec_id, j, CASE WHEN j IS NULL THEN ['Report is not valid JSON.'] ELSE list_filter([
+ CASE WHEN NOT json_exists(j, '$.project_name') THEN 'Missing required report field: project_name' END, CASE WHEN json_type(j, '$.human_review_required') <> 'BOOLEAN' THEN 'human_review_required must be true.' END,
+ CASE WHEN json_type(j, '$.candidate_unknown_concepts') <> 'ARRAY' THEN 'candidate_unknown_concepts must be a list.' END,
+ CASE WHEN json_exists(j, '$.calibration_summary') AND json_type(j, '$.calibration_summary.calibrated') <> 'BOOLEAN' THEN 'calibration_summary.calibrated must be a boolean.' END,
+ CASE WHEN json_extract(j, '$.calibration_summary.sample_count')::bigint < 0 THEN 'calibration_summary.sample_count must be a non-negative integer.' END], lambda x: x IS NOT NULL) END AS errors FROM j)
+SELECT vec_id AS id, len(errors) = 0 AS is_valid, array_to_string(errors, ' ') AS errors, CASE WHEN json_type(j, '$.candidate_anomalies[1].anomaly_id') = 'NULL' THEN 'anomaly_id missing for item 2.' ELSE '' END AS warnings FROM e""")
+def report_validation(spark, d):
+    """A report made of each vector, some broken in one way or another."""
+    made = _REPORT.replace("sha256(vec_id::varchar)", "sha2(cast(vec_id AS string), 256)")
+    r = table(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.expr(made).alias("value"))
+    return reports.validate(r).select(F.col("path").alias("id"), "is_valid", F.array_join("errors", " ").alias("errors"), F.array_join("warnings", " ").alias("warnings"))

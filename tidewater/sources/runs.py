@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.review import SCHEMA
+from ..operators.review import LABELS, SCHEMA
+
+INDEX = "run_id string, created_at string, modality string, report_path string, anomalies long, concepts long"
 
 
 def keep_last(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -24,11 +27,41 @@ def dashboard(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("run_id").agg(F.count("*").alias("records"), F.count_distinct("target_id").alias("targets"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"), F.sum((F.col("label") == "important").cast("long")).alias("important"))
 
 
+def _read_json(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    """JSON lines, and no rows where there is no such file yet."""
+    try:
+        return spark.read.schema(schema).options(**options).json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_feedback(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """JSON lines; strict reading fails on a malformed line, else it comes as a `malformed` text."""
+    """JSON lines; strict reading fails on a malformed line, else it comes as a `malformed` text. An absent file is empty."""
     if strict:
-        return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(SCHEMA + ", malformed string").option("columnNameOfCorruptRecord", "malformed").json(path)
+        return _read_json(spark, path, SCHEMA, mode="FAILFAST")
+    return _read_json(spark, path, SCHEMA + ", malformed string", columnNameOfCorruptRecord="malformed")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of runs; an absent file is an empty index."""
+    return _read_json(spark, path, INDEX)
+
+
+def label_rollup(feedback: DataFrame) -> DataFrame:
+    """run_id, records, latest and, for each label that reviews may give, how many did."""
+    counts = [F.count_if(F.col("label") == label).alias(f"n_{label}") for label in LABELS]
+    return feedback.groupBy("run_id").agg(F.count("*").alias("records"), F.max("created_at").alias("latest"), *counts)
+
+
+def last_records(feedback: DataFrame, n: int = 10) -> DataFrame:
+    """position and the rows of the last n reviews of each run, the latest first, equal times by id.
+
+    Ranks beyond n are dropped in every task before rows of a run meet, so a run with most of the reviews is no burden.
+    """
+    order = Window.partitionBy("run_id").orderBy(F.desc("created_at"), "feedback_id")
+    return feedback.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:

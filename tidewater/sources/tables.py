@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IntegrityError, ManifestError, RoleError
 from ..functions.scalars import clean_cell, parse_timestamp
+from . import reports
 from .files import Claim
 from .scratch import cut
 
@@ -25,9 +26,8 @@ def read_csv(spark: SparkSession, path: str, prefix: str = "row") -> DataFrame:
 
     Rows may hold quoted line ends. Fields beyond the header are dropped; extra_field_rows() counts such rows.
     """
-    if not path.lower().endswith(".csv"):
-        raise ValueError(f"not a .csv file: {path}")
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    _csv_file(spark, path)
+    raw = _csv_reader(spark).csv(path)
     if not raw.columns:
         raise ValueError(f"file is empty: {path}")
     names = [c.lstrip("﻿").strip() for c in raw.columns]
@@ -43,11 +43,31 @@ def read_csv(spark: SparkSession, path: str, prefix: str = "row") -> DataFrame:
 
 
 def extra_field_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with more fields than the header (quoted commas do not count); for warnings."""
-    lines = spark.read.text(path)
-    fields = F.size(F.split(F.regexp_replace("value", r'"(?:[^"]|"")*"', "q"), ","))
-    head = lines.limit(1).select(fields.alias("h"))
-    return lines.crossJoin(F.broadcast(head)).where(fields > F.col("h")).select("value")
+    """Records with more fields than the header, whole, with the line ends and commas they quote; for warnings."""
+    raw = _csv_reader(spark).csv(path)
+    fields = ", ".join(f"_f{i} string" for i in range(len(raw.columns)))
+    odd = _csv_reader(spark).option("columnNameOfCorruptRecord", "_record").schema(f"{fields}, _record string").csv(path)
+    # Spark refuses plans that read the odd record alone, so another column takes part
+    odd = odd.where("_record is not null and length(concat(coalesce(_f0, ''), 'x')) > 0").select("_record")
+    # short records are odd too, but no fault
+    count = F.size(F.split(F.regexp_replace("_record", r'"(?:[^"]|"")*"', "q"), ","))
+    return odd.where(count > len(raw.columns)).select(F.rtrim(F.col("_record"), F.lit("\r\n")).alias("value"))
+
+
+def _csv_reader(spark: SparkSession):
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+
+
+def _csv_file(spark: SparkSession, path: str) -> None:
+    """ValueError unless the path is a .csv file that is there and not a folder."""
+    if not path.lower().endswith(".csv"):
+        raise ValueError(f"not a .csv file: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise ValueError(f"no such file: {path}")
+    if fs.getFileStatus(at).isDirectory():
+        raise ValueError(f"not a file: {path}")
 
 
 def time_column(columns: list[str], wanted: str | None = None) -> str:
@@ -141,6 +161,62 @@ def benchmark_manifest(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(s["sample_id"], s["path"], s["label"], s.get("sha256")) for s in samples], "sample_id string, path string, label string, sha256 string")
 
 
+SAMPLES = "sample_id string, split string, label string, image_path string, image_sha256 string, mask_path string, mask_sha256 string"
+
+
+def manifest_samples(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each sample of a benchmark manifest in a JSON file with splits of samples; ManifestError if it is none."""
+    value = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("m"))
+    told = value.select(*[reports.text(reports.part("m", f)).alias(f) for f in ("dataset_name", "dataset_version")], reports.kind(reports.part("m", "splits")).alias("splits")).first()
+    if told is None or not (told.dataset_name or "").strip() or not (told.dataset_version or "").strip() or told.splits != "ARRAY":
+        raise ManifestError("a manifest needs a dataset_name, a dataset_version and splits", context={"path": path})
+    splits = value.select(F.explode(reports.items(reports.part("m", "splits"))).alias("s"))
+    samples = splits.select(reports.text(reports.part("s", "name")).alias("split"), F.explode(reports.items(reports.part("s", "samples"))).alias("x"))
+    fields = ("label", "image_path", "image_sha256", "mask_path", "mask_sha256")
+    return samples.select(reports.text(reports.part("x", "sample_id")).alias("sample_id"), "split", *[reports.text(reports.part("x", f)).alias(f) for f in fields])
+
+
+def check_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """sample_id, name, problem of every sample of a manifest that breaks a rule: ids and image paths are unique and
+    filled, labels known, paths relative and plain, digests SHA-256, files there and as their digests say.
+
+    Files are hashed where they are read; problems are few rows beside them. No rows: the manifest holds.
+    """
+    s = cut(manifest_samples(spark, path), "samples")
+    spot = lambda rows, name, problem: rows.select("sample_id", F.col(name).cast("string").alias("name"), F.lit(problem).alias("problem"))
+    twice = lambda c: s.join(s.groupBy(c).agg(F.count("*").alias("_n")).where("_n > 1"), c)
+    odd_path = lambda c: F.col(c).rlike(r"^/|\\\\|^[A-Za-z]:|//|/$|(^|/)\.\.?(/|$)") | (F.col(c) == "")
+    odd_digest = lambda c: ~F.col(c).rlike("^[0-9a-f]{64}$")
+    found = [
+        spot(s.where("sample_id is null or trim(sample_id) = ''"), "image_path", "sample without an id"),
+        spot(twice("sample_id"), "image_path", "id of another sample"),
+        spot(s.where("image_path is null"), "image_path", "sample without an image"),
+        spot(twice("image_path"), "image_path", "image of another sample"),
+        spot(s.where("label is null or label not in ('normal', 'anomaly', 'unknown')"), "label", "unknown label"),
+    ]
+    kinds = [F.struct(F.col(f"{k}_path").alias("name"), F.col(f"{k}_sha256").alias("sha256")) for k in ("image", "mask")]
+    files = s.select("sample_id", F.explode(F.array(*kinds)).alias("f")).select("sample_id", "f.*").where("name is not null")
+    found += [spot(files.where(odd_path("name")), "name", "path is not plain"), spot(files.where(odd_digest("sha256")), "name", "not a digest")]
+    expected = files.where(~odd_path("name")).groupBy("name").agg(F.max("sha256").alias("sha256"))
+    odd = verify_files(expected, root).where("status in ('missing', 'changed')")
+    found.append(files.join(odd, "name").select("sample_id", "name", F.concat(F.lit("file is "), F.col("status")).alias("problem")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def require_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """The samples of a manifest that holds; ManifestError with the first problems otherwise, and for no samples at all."""
+    samples = manifest_samples(spark, path)
+    if not samples.limit(1).count():
+        raise ManifestError("a manifest needs a sample", context={"path": path})
+    odd = check_manifest(spark, path, root).orderBy("sample_id", "name", "problem").limit(5).collect()
+    if odd:
+        raise ManifestError(f"the manifest does not hold: {[(r.sample_id, r.name, r.problem) for r in odd]}", context={"problems": [r.asDict() for r in odd]})
+    return samples
+
+
 MANIFEST = "identity string, columns array<string>, rows long, digest string"
 
 
