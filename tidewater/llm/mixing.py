@@ -125,7 +125,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     times = plan(docs, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("_times"))
     d, t = docs.alias("d"), times.alias("t")
     both = d.join(t, F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("t.source")))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("_nth")).drop("_nth")
+    # inside a struct the columns of docs may have any names
+    return both.select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("t._times"))).alias("nth")).select("row.*")
 
 
 def op10_temperature_mixing(spark, sf_dir: str) -> DataFrame:
