@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,19 @@ def cut(df: DataFrame, name: str, into: list[str] | None = None, by: str | None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Statements inside leave no shuffle files behind once they have written: else those stay until the driver happens to
+    collect its garbage. For steps that end in cut(); the session's setting is put back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables of cut() that nothing will read again, through Spark's file systems."""
     for path in paths:

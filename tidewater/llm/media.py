@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, cut, drop, mix
+from .common import BitFilter, cut, drop, tidy, mix
 
 UNIT = 64
 #: 256 random words, from a rule
@@ -151,7 +151,8 @@ def write_store(docs: DataFrame, shared_digests: BitFilter) -> tuple[DataFrame,
     # two documents without a chunk in common are not equal, so objects that share nothing are there once
     listed = raw.where("kind = 'listed'").groupBy("object").agg(F.first(F.struct("digests", "shared", "own")).alias("o")).select("object", "o.*")
     chunks = raw.where("kind = 'chunk'").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    listed, chunks = cut(listed, "media-listed"), cut(chunks, "media-chunks")
+    with tidy(docs.sparkSession):
+        listed, chunks = cut(listed, "media-listed"), cut(chunks, "media-chunks")
     drop(docs.sparkSession, [f"{made[0]}/kind={k}" for k in ("listed", "chunk")])
     return raw.where("kind = 'alone'").select("object", "digests", "shared", "own"), listed, chunks
 
