@@ -15,10 +15,11 @@ def _dtypes(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
 
-def tabular_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def tabular_profile(df: DataFrame, columns: list[str] | None = None, most_values: int = HIGH_CARDINALITY) -> DataFrame:
     """column, missing_count, non_missing_count, unique_count, detected_type, warning: one aggregation in all.
 
-    A column is numeric if it has a value and every value is a finite number, else categorical.
+    A column is numeric if it has a value and every value is a finite number, else categorical; categorical ones of more
+    than `most_values` values are warned of.
     """
     kinds = _dtypes(df)
     columns = columns or df.columns
@@ -34,7 +35,7 @@ def tabular_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     part = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("missing_count"), F.col(f"u{i}").alias("unique_count"), F.col(f"n{i}").alias("numeric")) for i, c in enumerate(columns)]))
     out = one.select("rows", part.alias("p")).select("rows", "p.*")
     kind = F.when(F.col("numeric"), "numeric").otherwise("categorical")
-    warning = F.when((kind == "categorical") & (F.col("unique_count") > HIGH_CARDINALITY), "high_cardinality").otherwise("")
+    warning = F.when((kind == "categorical") & (F.col("unique_count") > most_values), "high_cardinality").otherwise("")
     return out.select("column", "missing_count", (F.col("rows") - F.col("missing_count")).alias("non_missing_count"), "unique_count", kind.alias("detected_type"), warning.alias("warning"))
 
 
@@ -67,22 +68,8 @@ def duplicate_keys(df: DataFrame, ts: str, entity: str | None) -> DataFrame:
     return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_count"))
 
 
-def global_gaps(df: DataFrame, ts: str, bucket: str = "day") -> DataFrame:
-    """gap, in seconds, between neighbours in the order of time.
-
-    Each bucket of time is ordered by itself; a window over one row for each bucket joins their ends, so no task holds
-    the whole order.
-    """
-    t = df.select(F.col(ts).alias("t")).where("t is not null").withColumn("b", F.date_trunc(bucket, F.col("t").cast("timestamp")))
-    seconds = lambda a, b: F.expr(f"timestampdiff(MICROSECOND, {a}, {b})") / 1e6
-    inside = t.withColumn("p", F.lag("t").over(Window.partitionBy("b").orderBy("t"))).where("p is not null").select(seconds("p", "t").alias("gap"))
-    ends = t.groupBy("b").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    across = ends.withColumn("p", F.lag("last").over(Window.orderBy("b"))).where("p is not null").select(seconds("p", "first").alias("gap"))
-    return inside.union(across)
-
-
 def gap_counts(df: DataFrame, ts: str) -> DataFrame:
-    """(gap, n): the gaps of global_gaps and how often each row stands for one.
+    """(gap, n): seconds between neighbours in the order of time, and how often each row stands for such a gap.
 
     Equal times are counted before they are ordered, and times are ordered by ranges with their ends stitched, so neither
     a busy day nor a busy moment lands in one task.

@@ -44,9 +44,14 @@ def read_feedback(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return _read_json(spark, path, SCHEMA + ", malformed string", columnNameOfCorruptRecord="malformed")
 
 
+def append_run(spark: SparkSession, run: tuple, path: str) -> None:
+    """Add a run (the fields of INDEX) to the index; one of the same id takes the place of the earlier one."""
+    spark.createDataFrame([run], INDEX).coalesce(1).write.mode("append").json(path)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index of runs; an absent file is an empty index."""
-    return _read_json(spark, path, INDEX)
+    """The index of runs, the latest record of each; an absent file is an empty index."""
+    return keep_last(_read_json(spark, path, INDEX), "run_id", ["created_at", "report_path"])
 
 
 def label_rollup(feedback: DataFrame) -> DataFrame:
