@@ -59,15 +59,12 @@ def _csv_reader(spark: SparkSession):
 
 
 def _csv_file(spark: SparkSession, path: str) -> None:
-    """ValueError unless the path is a .csv file that is there and not a folder."""
+    """ValueError unless the path is a .csv file, a folder of parts or a pattern that names something."""
     if not path.lower().endswith(".csv"):
         raise ValueError(f"not a .csv file: {path}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
         raise ValueError(f"no such file: {path}")
-    if fs.getFileStatus(at).isDirectory():
-        raise ValueError(f"not a file: {path}")
 
 
 def time_column(columns: list[str], wanted: str | None = None) -> str:
