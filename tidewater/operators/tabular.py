@@ -1,7 +1,7 @@
 """Tabular discovery: features, distance from the centre, deviations, reasons and groups.
 
-Features stay named columns until the distance. Means and scales are one small row, frequencies one small table for each
-categorical column; both are computed once and joined.
+Features stay named columns until the distance. Means and scales are one small row, the frequencies of all categorical
+columns one table; they are computed in two passes and determine the centre, so a third pass gives the scores.
 """
 
 from __future__ import annotations
@@ -12,50 +12,74 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, is_missing, to_float
+from ..sources.scratch import cut
 from .profiling import _dtypes
 
 
-def tabular_features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
-    """df with a feature column for each name returned, and `_missing`, the number of missing cells.
-
-    Numbers give a z score and a missing flag, categories one less their share of all rows and a flag; last comes the
-    share of cells that are there.
-    """
+def statistics(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[dict, DataFrame]:
+    """(counts, means and deviations by column, in one small row; (c, value, n) how often each value of the c-th
+    categorical column is there): two passes over the data, whatever the number of columns."""
     kinds = _dtypes(df)
     x = {c: F.when(~is_missing(F.col(c)), to_float(F.col(c), kinds[c])) for c in numeric}
-    stats = df.agg(F.count("*").alias("_n"), *[a for i, c in enumerate(numeric) for a in (F.avg(x[c]).alias(f"_a{i}"), F.stddev_pop(x[c]).alias(f"_s{i}"))])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    names: list[str] = []
+    aggs = [a for i, c in enumerate(numeric) for a in (F.avg(x[c]).alias(f"mean{i}"), F.stddev_pop(x[c]).alias(f"scale{i}"), F.count(x[c]).alias(f"there{i}"))]
+    one = df.agg(F.count("*").alias("n"), *aggs).first().asDict()
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.when(~is_missing(F.col(c)), F.col(c).cast("string")).alias("value")) for i, c in enumerate(categorical)])
+    if not categorical:
+        return one, df.sparkSession.createDataFrame([], "c int, value string, n long")
+    told = df.select(F.explode(cells).alias("p")).select("p.*").where("value is not null").groupBy("c", "value").agg(F.count("*").alias("n"))
+    return one, cut(told, "frequencies")
+
+
+def featured(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str], list[float]]:
+    """tabular_features() and the mean of each feature, which the statistics determine: no pass over the features."""
+    kinds = _dtypes(df)
+    one, told = statistics(df, numeric, categorical)
+    n, out, names, means, lost = one["n"] or 0, df, [], [], 0.0
     for i, c in enumerate(numeric):
-        scale = F.when(F.col(f"_s{i}") > 1e-12, F.col(f"_s{i}")).otherwise(1.0)
-        out = out.withColumn(f"{c}:z", F.coalesce((x[c] - F.col(f"_a{i}")) / scale, F.lit(0.0))).withColumn(f"{c}:missing", x[c].isNull().cast("double"))
+        x = F.when(~is_missing(F.col(c)), to_float(F.col(c), kinds[c]))
+        scale = one[f"scale{i}"] if (one[f"scale{i}"] or 0) > 1e-12 else 1.0
+        out = out.withColumn(f"{c}:z", F.coalesce((x - F.lit(one[f"mean{i}"])) / F.lit(scale), F.lit(0.0))).withColumn(f"{c}:missing", x.isNull().cast("double"))
         names += [f"{c}:z", f"{c}:missing"]
-    for c in categorical:
+        means += [0.0, 1 - one[f"there{i}"] / max(n, 1)]
+        lost += means[-1]
+    rare = {r.c: r for r in told.groupBy("c").agg(F.sum("n").alias("there"), F.sum(F.col("n") * (1 - F.col("n") / F.lit(max(n, 1)))).alias("rarity")).collect()}  # a row a column
+    for i, c in enumerate(categorical):
         gone = is_missing(F.col(c))
-        freq = df.where(~gone).groupBy(F.col(c).alias(f"_v_{c}")).agg(F.count("*").alias(f"_f_{c}"))
-        out = out.join(freq, F.when(~gone, F.col(c)) == F.col(f"_v_{c}"), "left")
-        out = out.withColumn(f"{c}:rarity", F.coalesce(1 - F.col(f"_f_{c}") / F.col("_n"), F.lit(1.0))).withColumn(f"{c}:missing", gone.cast("double")).drop(f"_v_{c}", f"_f_{c}")
+        freq = told.where(F.col("c") == i).select(F.col("value").alias(f"_v_{c}"), F.col("n").alias(f"_f_{c}"))
+        out = out.join(freq, F.when(~gone, F.col(c).cast("string")) == F.col(f"_v_{c}"), "left")
+        out = out.withColumn(f"{c}:rarity", F.coalesce(1 - F.col(f"_f_{c}") / F.lit(n), F.lit(1.0))).withColumn(f"{c}:missing", gone.cast("double")).drop(f"_v_{c}", f"_f_{c}")
         names += [f"{c}:rarity", f"{c}:missing"]
-    cells = [F.col(f"{c}:missing") for c in (*numeric, *categorical)]
+        there = rare[i].there if i in rare else 0
+        means += [((rare[i].rarity if i in rare else 0.0) + n - there) / max(n, 1), 1 - there / max(n, 1)]
+        lost += means[-1]
+    cells = [F.col(f"`{c}:missing`") for c in (*numeric, *categorical)]
     out = out.withColumn("_missing", reduce(lambda a, b: a + b, cells, F.lit(0.0)))
     out = out.withColumn("completeness", 1 - F.col("_missing") / F.lit(float(len(cells))) if cells else F.lit(0.0))
-    drop = [f"_{k}{i}" for i in range(len(numeric)) for k in "as"]
-    return out.drop("_n", *drop), [*names, "completeness"]
+    return out, [*names, "completeness"], [*means, 1 - lost / len(cells) if cells else 0.0]
+
+
+def tabular_features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with a feature column for each name returned, and `_missing`, the number of missing cells.
+
+    Numbers give a z score and a missing flag, categories one less their share of all rows and a flag; last comes the
+    share of cells that are there.
+    """
+    return featured(df, numeric, categorical)[:2]
 
 
-def centre(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row of column means."""
-    return df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
+def centre(df: DataFrame, names: list[str]) -> list[float]:
+    """Column means, in a small action."""
+    return [m or 0.0 for m in df.agg(*[F.avg(F.col(f"`{c}`")) for c in names]).first()]
 
 
-def with_distance(df: DataFrame, names: list[str], places: int = 6) -> DataFrame:
-    """df with score (L2 distance from the centre, rounded) and deviations (feature, deviation), largest first."""
-    out = df.crossJoin(F.broadcast(centre(df, names)))  # one row
-    d = [F.col(f"`{c}`") - F.col(f"_c{i}") for i, c in enumerate(names)]
+def with_distance(df: DataFrame, names: list[str], means: list[float] | None = None, places: int = 6) -> DataFrame:
+    """df with score (L2 distance from the means, rounded) and deviations (feature, deviation), largest first. Means that
+    are not given are measured."""
+    d = [F.col(f"`{c}`") - F.lit(m) for c, m in zip(names, centre(df, names) if means is None else means)]
     score = F.round(F.sqrt(reduce(lambda a, b: a + b, [x * x for x in d])), places)
     devs = F.array(*[F.struct((-F.abs(F.round(x, places))).alias("o"), F.lit(i).alias("i"), F.lit(c).alias("feature"), F.round(x, places).alias("deviation")) for i, (c, x) in enumerate(zip(names, d))])
     ordered = F.transform(F.array_sort(devs), lambda s: F.struct(s["feature"].alias("feature"), s["deviation"].alias("deviation")))
-    return out.withColumn("score", score).withColumn("deviations", ordered).drop(*[f"_c{i}" for i in range(len(names))])
+    return df.withColumn("score", score).withColumn("deviations", ordered)
 
 
 def reason() -> Column:
@@ -73,8 +97,7 @@ def top(df: DataFrame, k: int | None, *tie: str) -> DataFrame:
 
 def tabular_novelty(df: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int | None = 10) -> DataFrame:
     """The most unusual rows: key, rank, score, reason, completeness and deviations."""
-    features, names = tabular_features(df, numeric, categorical)
-    scored = with_distance(features, names)
+    scored = with_distance(*featured(df, numeric, categorical))
     return top(scored.select(key, "score", reason().alias("reason"), "completeness", "deviations"), k, key)
 
 
