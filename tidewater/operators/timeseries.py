@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing, to_float
-from .orders import running
+from ..sources.scratch import cut
+from .orders import range_of, running
 from .profiling import _dtypes, baseline_gap
 from .tabular import top, with_distance
 
@@ -31,21 +34,51 @@ def in_blocks(rows: DataFrame, ts: str, key: str, before: int, block: int) -> Da
     return dealt.withColumn("_lead", F.col("_block") != F.col("_home")).drop("_at", "_n_before", "_place", "_home")
 
 
+def of_entities(rows: DataFrame, ts: str, entity: str, key: str, before: int, block: int, most_ranges: int = 4096) -> DataFrame:
+    """rows with `_block` and `_lead`: entities of more than `block` rows are cut into ranges of their own time, each led by
+    the `before` rows of the entity before it; all others are one block.
+
+    The ranges' last rows, `before` of each, are numbered through an entity; a range takes the highest numbers before it.
+    """
+    counts = cut(rows.groupBy(F.col(entity).alias("_who")).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "busy")
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None:
+        return rows.withColumn("_block", F.lit(0)).withColumn("_lead", F.lit(False))
+    n = min(max(2, -(-most // block)), most_ranges)
+    own = F.col(entity).eqNullSafe(F.col("_who"))
+    timed = rows.withColumn("_at", F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{ts}` as timestamp_ntz))"))
+    edges = timed.join(counts, own, "left_semi").groupBy(F.col(entity).alias("_who")).agg(F.percentile_approx("_at", [i / n for i in range(1, n)], 10 * n).alias("_e"))
+    # at most as many busy entities as blocks of rows; beyond a checked number Spark joins them by key
+    edges = cut(edges.select("_who", "_e", F.filter("_e", lambda x, i: (i + 1) % isqrt(n) == 0).alias("_c")), "busy-ranges")
+    few = counts.limit(10_001).count() <= 10_000
+    placed = timed.join(F.broadcast(edges) if few else edges, own, "left").withColumn("_block", F.coalesce(range_of("_at", n), F.lit(0)).cast("int"))
+    placed = placed.withColumn("_busy", F.col("_e").isNotNull()).drop("_who", "_e", "_c", "_at")
+    late = Window.partitionBy(entity, "_block").orderBy(F.desc(ts), F.desc(key))
+    tails = placed.where("_busy").withColumn("_k", F.row_number().over(late)).where(F.col("_k") <= before).drop("_k")
+    tails = cut(tails.withColumn("_p", F.row_number().over(Window.partitionBy(entity).orderBy("_block", ts, key))), "tails")
+    past = Window.partitionBy("_who").orderBy("_to").rowsBetween(Window.unboundedPreceding, -1)
+    places = tails.groupBy(F.col(entity).alias("_who"), F.col("_block").alias("_to")).agg(F.count("*").alias("_n")).select("_who", "_to", F.sum("_n").over(past).alias("_past")).where("_past > 0")
+    wanted = places.select("_who", "_to", F.explode(F.sequence(F.greatest(F.col("_past") - before + 1, F.lit(1).cast("long")), F.col("_past"))).alias("_q"))
+    leads = tails.join(wanted, own & (F.col("_p") == F.col("_q"))).withColumn("_block", F.col("_to"))
+    return placed.select(*rows.columns, "_block", F.lit(False).alias("_lead")).union(leads.select(*rows.columns, "_block", F.lit(True).alias("_lead")))
+
+
 def timeseries_features(df: DataFrame, ts: str, entity: str | None, signals: list[str], key: str, window: int = 3, gap: float | None = None, block: int = 1_000_000) -> tuple[DataFrame, list[str]]:
     """df's rows with a valid time, a column for each feature named, `_gap`, `_spikes` and `_missing`.
 
     For each signal: z, missing, change and its size in units of the signal's scale, distance from and spread of the
     rolling mean, spike; then a flag for a gap longer than the baseline, and the share of signals that are there.
-    Without an entity the rows are one series, which is cut into blocks of rows that overlap by what a feature looks back.
+    Without an entity the rows are one series. It is cut into blocks of rows that overlap by what a feature looks back, as
+    are entities of more than `block` rows.
     """
     gap = baseline_gap(df, ts) if gap is None else gap
     x = signal_values(df, signals)
     rows = df.where(F.col(ts).isNotNull()).select("*", *[x[s].alias(f"_x{i}") for i, s in enumerate(signals)])
     stats = rows.agg(*[a for i in range(len(signals)) for a in (F.avg(f"_x{i}").alias(f"_a{i}"), F.stddev_pop(f"_x{i}").alias(f"_s{i}"))])
     rows = rows.crossJoin(F.broadcast(stats))  # one row
-    if not entity:
-        rows = in_blocks(rows, ts, key, max(window - 1, 1), block)
-    order = Window.partitionBy(entity or "_block").orderBy(ts, key)
+    back = max(window - 1, 1)
+    rows = of_entities(rows, ts, entity, key, back, block) if entity else in_blocks(rows, ts, key, back, block)
+    order = Window.partitionBy(*([entity] if entity else []), "_block").orderBy(ts, key)
     last = order.rowsBetween(-(window - 1), 0)
     names: list[str] = []
     spikes = F.lit(0.0)
@@ -70,8 +103,7 @@ def timeseries_features(df: DataFrame, ts: str, entity: str | None, signals: lis
     missing = sum((F.col(f"`{s}:missing`") for s in signals), F.lit(0.0))
     rows = rows.withColumn("_spikes", spikes).withColumn("_missing", missing).withColumn("completeness", 1 - F.col("_missing") / F.lit(float(len(signals) or 1)))
     drop = [f"_{k}{i}" for i in range(len(signals)) for k in "xas"]
-    if not entity:
-        rows = rows.where(~F.col("_lead")).drop("_block", "_lead")
+    rows = rows.where(~F.col("_lead")).drop("_block", "_lead")
     return rows.drop(*drop, "_before"), [*names, "time_gap", "completeness"]
 
 
