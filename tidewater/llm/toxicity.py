@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-#: The chance of a toxic text's word to come from the toxic model.
+#: The chance of a toxic text's word to come from the toxic model: the one that parts the classes best over the folds that
+#: the models are not fitted on. 1 is the plain toxic model.
+SHARES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.3, 1.0)
 SHARE = 0.02
 EDGE = ".,;:!?\"'()[]{}*#$%&|-_"
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -141,14 +143,26 @@ class LogRatios(dict):
         return LogRatios, (self.seen, self.new, self.order)
 
 
+def by_word(docs: list[list[str]], m: LogRatios) -> list[np.ndarray]:
+    """The ratio of each word of each document, less one."""
+    return [np.expm1(np.minimum(np.fromiter(map(m.__getitem__, d), np.float64, len(d)), 500.0)) for d in docs]
+
+
+def mixed(ratios: list[np.ndarray], share: float) -> np.ndarray:
+    return np.array([np.log1p(np.maximum(share * r, -1 + 1e-15)).mean() if len(r) else 0.0 for r in ratios])
+
+
 def differences(docs: list[list[str]], m: LogRatios, share: float = SHARE) -> np.ndarray:
     """Log-likelihood of each document as a toxic text less that as an ordinary one, by word; 0 without words."""
-    out = np.zeros(len(docs))
-    for i, d in enumerate(docs):
-        if d:
-            r = np.fromiter(map(m.__getitem__, d), np.float64, len(d))
-            out[i] = np.log1p(share * np.expm1(np.minimum(r, 500.0))).mean()
-    return out
+    return mixed(by_word(docs, m), share)
+
+
+def auc(x: np.ndarray, y: np.ndarray) -> float:
+    """How often a document of label 1 lies above one of label 0, ties a half."""
+    values, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    k = y.sum()
+    return float((rank[y == 1].sum() - k * (k + 1) / 2) / (k * (len(y) - k)))
 
 
 def logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
@@ -178,10 +192,11 @@ def levelled(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def fit(docs: list[tuple[str, int]], order: int = 4, discount: float = 0.75, folds: int = 4) -> dict:
-    """The models of all documents, and the logistic curve over what models of the other folds say of each fold."""
+    """The models of all documents; the share of toxic words, and the logistic curve, from what models of the other folds say
+    of each fold."""
     if len({y for _, y in docs}) < 2:
         prior = float(docs[0][1]) if docs else 0.0
-        return {"a": 0.0, "b": 4.0 if prior else -4.0, "centre": 0.0, "scale": 1.0, "m": KneserNey(Counter(), Counter(), order, discount).ratios()}
+        return {"a": 0.0, "b": 4.0 if prior else -4.0, "centre": 0.0, "scale": 1.0, "share": SHARE, "m": KneserNey(Counter(), Counter(), order, discount).ratios()}
     sides = [[words(t) for t, y in docs if y == k] for k in (1, 0)]
     parts = [[gram_counts(s[f::folds], order) for f in range(folds)] for s in sides]
     whole = [sum(p, Counter()) for p in parts]
@@ -191,10 +206,12 @@ def fit(docs: list[tuple[str, int]], order: int = 4, discount: float = 0.75, fol
         rest = [w - p[f] if len(s) >= folds else w for w, p, s in zip(whole, parts, sides)]
         m = KneserNey(*rest, order, discount).ratios()
         for s, k in zip(sides, (1.0, 0.0)):
-            x.append(differences(s[f::folds], m))
-            y.append(np.full(len(x[-1]), k))
-    x, y = np.concatenate(x), np.concatenate(y)
-    model = {"centre": float(np.median(x)), "scale": max(float(np.subtract(*np.quantile(x, (0.75, 0.25)))), 1e-6)}
+            x += by_word(s[f::folds], m)
+            y.append(np.full(len(s[f::folds]), k))
+    y = np.concatenate(y)
+    share = max(SHARES, key=lambda s: (auc(mixed(x, s), y), -s))
+    x = mixed(x, share)
+    model = {"share": share, "centre": float(np.median(x)), "scale": max(float(np.subtract(*np.quantile(x, (0.75, 0.25)))), 1e-6)}
     a, b = logistic(levelled(x, model), y)
     return model | {"a": a, "b": b, "m": KneserNey(*whole, order, discount).ratios()}
 
@@ -214,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: in
 
 
 def score_texts(texts: list[str | None], model: dict) -> np.ndarray:
-    z = model["a"] * levelled(differences([words(t or "") for t in texts], model["m"]), model) + model["b"]
+    z = model["a"] * levelled(differences([words(t or "") for t in texts], model["m"], model["share"]), model) + model["b"]
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
