@@ -53,3 +53,13 @@ def test_reports_of_images_and_change(spark, tmp_path):
     top = t["candidate_change_events"][0]
     assert t["sequence_summary"]["strongest_observation_pair"] == ["o1", "o2"] and (top["patch_evidence"][0]["x"], top["patch_evidence"][0]["y"]) == (32, 32)
     assert valid(spark, r, t) == [(True, [], [])] * 2 and "## Sequence" in discovery.to_markdown(t)
+
+
+def test_dashboard(spark, tmp_path):
+    index = spark.createDataFrame([("r1", "2024-01-01", "tabular", "x", 1, 1), ("r2", "2024-01-03", "image", "y", 2, 0), ("r3", "2024-01-02", "image", "z", 2, 0)], runs.INDEX)
+    rows = [(f"f{i}", f"r{1 + i % 3}", None, "anomaly", f"a{i}", "important" if i % 2 else "duplicate", None, None, f"2024-02-{i + 1:02d}", None) for i in range(20)]
+    held = discovery.dashboard(index, spark.createDataFrame(rows, discovery.review.SCHEMA), n=2, last=2)
+    assert [r["name"] for r in held["runs"]] == ["r2", "r3"] and [r["run_id"] for r in held["reviews"]] == ["r2", "r3"]
+    assert [(r["run_id"], r["feedback_id"]) for r in held["last_records"]] == [("r2", "f19"), ("r2", "f16"), ("r3", "f17"), ("r3", "f14")]
+    discovery.publish_dashboard(spark, held, str(tmp_path))
+    assert json.loads((tmp_path / "dashboard.json").read_text())["runs"][0]["name"] == "r2" and "<h2>Reviews</h2>" in (tmp_path / "dashboard.html").read_text()

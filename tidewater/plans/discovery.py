@@ -229,3 +229,20 @@ def averages(groups: DataFrame) -> DataFrame:
 def last_runs(index: DataFrame, n: int) -> DataFrame:
     latest = index.orderBy(F.desc("created_at"), "run_id").limit(n)
     return latest.withColumn("n", F.row_number().over(Window.orderBy("created_at", F.desc("run_id")))).orderBy("n").drop("n")
+
+
+def dashboard(index: DataFrame, feedback: DataFrame, n: int = 10, last: int = 25) -> dict:
+    """The latest runs of the index, and of the reviews counts by label for each of these runs and its last n records."""
+    shown = runs.listing(index.select(F.col("run_id").alias("name"), F.col("created_at").alias("modified")), last)
+    of = shown.select(F.col("name").alias("run_id"))
+    own = feedback.join(F.broadcast(of), "run_id", "left_semi")  # at most `last` rows
+    records = runs.last_records(own, n).select("run_id", "position", "feedback_id", "target_type", "target_id", "label", "created_at")
+    return {"runs": _rows(shown.orderBy("position")), "reviews": _rows(runs.label_rollup(own).orderBy("run_id")), "last_records": _rows(records.orderBy("run_id", "position"))}
+
+
+def publish_dashboard(spark: SparkSession, held: dict, out: str, name: str = "dashboard") -> None:
+    """Write a dashboard as JSON and HTML below `out`, once under a name."""
+    page = {"run_id": name, "modality": "Dashboard", "candidate_anomalies": held["runs"], "candidate_unknown_concepts": held["reviews"]}
+    text = to_html(page).replace("<h2>Candidates</h2>", "<h2>Runs</h2>").replace("<h2>Groups</h2>", "<h2>Reviews</h2>")
+    made = {"json": json.dumps(held, indent=2, sort_keys=True, default=str), "html": text}
+    write_files(spark.createDataFrame([(f"{name}.{k}", bytearray(v.encode())) for k, v in made.items()], "name string, content binary"), out)
