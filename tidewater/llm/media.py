@@ -205,9 +205,13 @@ def read_back(alone: DataFrame, listed: DataFrame, chunks: DataFrame) -> DataFra
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what read_back() says of the document's object, for every row of docs."""
-    listed = cut(index(docs), "media-index")
-    read = read_back(*write_store(docs, BitFilter.of(shared_keys(listed))))
-    return listed.select("doc_id", "n_bytes", "object").join(read, "object").drop("object")
+    spark, made = docs.sparkSession, []
+    whole = cut(index(docs), "media-index", made)
+    shared = BitFilter.of(shared_keys(whole))
+    listed = cut(whole.select("doc_id", "n_bytes", "object"), "media-objects")
+    drop(spark, made)  # the digests of all chunks; the store has them again
+    read = read_back(*write_store(docs, shared))
+    return listed.join(read, "object").drop("object")
 
 
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:
