@@ -121,7 +121,7 @@ def write_store(docs: DataFrame, shared_digests: BitFilter) -> tuple[DataFrame,
     bits = docs.sparkSession.sparkContext.broadcast(shared_digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(3)
+        z = zstandard.ZstdCompressor(6)
         seen: set[bytes] = set()  # of this task, which saves work; Spark keeps one row of each below
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -207,7 +207,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what read_back() says of the document's object, for every row of docs."""
     spark, made = docs.sparkSession, []
     whole = cut(index(docs), "media-index", made)
-    shared = BitFilter.of(shared_keys(whole))
+    with tidy(spark):
+        shared = BitFilter.of(shared_keys(whole))
     listed = cut(whole.select("doc_id", "n_bytes", "object"), "media-objects")
     drop(spark, made)  # the digests of all chunks; the store has them again
     read = read_back(*write_store(docs, shared))
