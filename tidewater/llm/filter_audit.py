@@ -63,30 +63,18 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def joint_failures(rows: DataFrame, weights: tuple[str, ...] = WEIGHTS) -> DataFrame:
-    """part and, for each weight, an array: at s + 1 the weight of the rows that fail every filter of the set s."""
-
-    def total(weight: str, s: int) -> Column:
-        product = F.col(weight).cast("long")
-        for i, f in enumerate(FILTERS):
-            if s >> i & 1:
-                product = product * F.col(f).cast("long")
-        return F.sum(product)
-
-    sums = rows.groupBy("part").agg(*[total(w, s).alias(f"{w}_{s}") for w in weights for s in range(ALL + 1)])
+    """part and, for each weight, an array: at place s the weight of the rows that fail every filter of the set s."""
+    flags = rows.select("part", *[F.col(c).cast("long").alias(c) for c in (*FILTERS, *weights)])
+    product = lambda w, s: " * ".join([w, *(f for i, f in enumerate(FILTERS) if s >> i & 1)])
+    sums = flags.groupBy("part").agg(*[F.expr(f"sum({product(w, s)})").alias(f"{w}_{s}") for w in weights for s in range(ALL + 1)])
     return sums.select("part", *[F.array(*[f"{w}_{s}" for s in range(ALL + 1)]).alias(w) for w in weights])
 
 
-def subsets(s: int) -> list[int]:
-    return [u for u in range(ALL + 1) if u & s == u]
-
-
-def alternating(joint: str, sets: list[int], shift: int = 0, factor: dict[int, int] | None = None) -> Column:
-    """The sum of the joint counts of the sets, signed by the number of their filters plus shift."""
-    terms = [F.col(joint)[u] * (-1) ** (u.bit_count() + shift) * (factor[u] if factor else 1) for u in sets]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+def alternating(joint: str, which: str, times: str = "1", odd: bool = False) -> str:
+    """SQL for the sum of the joint counts of the sets u for which `which` holds, each `times` over, signed by the number
+    of their filters; with `odd` sets of an odd number count as they are, the others negated."""
+    sign = f"CASE WHEN bit_count(u) % 2 = {int(odd)} THEN 1 ELSE -1 END"
+    return f"aggregate(sequence(0, {ALL}), 0L, (a, u) -> a + CASE WHEN {which} THEN {sign} * {times} * {joint}[u] ELSE 0L END)"
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,17 +83,17 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     600 rows a part: five steps of each of the 120 orders of the filters.
     """
     joint = joint_failures(judged(docs, labels))
+    orders = ["".join(p) for p in permutations(FILTERS)]
+    each_filter, has = f"sequence(0, {len(FILTERS) - 1})", "(shiftright(u, i) & 1) = 1"
     # left after each set of filters, by inclusion and exclusion over its subsets
-    left = [F.array(*[alternating(w, subsets(s)) for s in range(ALL + 1)]).alias(f"left_{w}") for w in WEIGHTS]
-    with_f = [[u for u in range(ALL + 1) if u >> i & 1] for i in range(len(FILTERS))]
+    left = [F.expr(f"transform(sequence(0, {ALL}), s -> {alternating(w, '(u & s) = u')})").alias(f"left_{w}") for w in WEIGHTS]
     # the Moebius inverse at a single filter: fail it and no other
-    alone = F.array(*[alternating("n", u, 1) for u in with_f]).alias("alone")
+    alone = F.expr(f"transform({each_filter}, i -> {alternating('n', has, odd=True)})").alias("alone")
     # a dividend of a set, (-1)^(size + 1) times its joint failures, is shared equally; 120 orders make the shares whole
-    orders = len(list(permutations(FILTERS)))
-    shapley = F.array(*[alternating("n", u, 1, {s: orders // s.bit_count() for s in u}) for u in with_f]).alias("shares")
-    fails = F.array(*[F.col("n")[1 << i] for i in range(len(FILTERS))]).alias("fails")
-    parts = joint.select("part", *left, alone, shapley, fails)
-    each = parts.withColumn("filter_order", F.explode(F.array(*[F.lit("".join(p)) for p in permutations(FILTERS)]))).withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(1, len(FILTERS) + 1)])))
+    shares = F.expr(f"transform({each_filter}, i -> {alternating('n', has, f'({len(orders)} div bit_count(u))', odd=True)})").alias("shares")
+    fails = F.expr(f"transform({each_filter}, i -> n[shiftleft(1, i)])").alias("fails")
+    parts = joint.select("part", *left, alone, shares, fails)
+    each = parts.withColumn("filter_order", F.explode(F.split(F.lit(" ".join(orders)), " "))).withColumn("step", F.explode(F.expr(f"sequence(1, {len(FILTERS)})")))
     place = F.instr(F.lit(FILTERS), F.expr("substring(filter_order, step, 1)")) - 1
     before = sum((F.when(F.locate(f, F.expr("substring(filter_order, 1, step - 1)")) > 0, 1 << i).otherwise(0) for i, f in enumerate(FILTERS)), F.lit(0))
     at = each.withColumn("i", place).withColumn("before", before).withColumn("after", F.col("before") + F.expr("shiftleft(1, i)"))
