@@ -73,3 +73,28 @@ def test_most_pairs_are_skipped_on_clustered_rows(spark):
     found = index.search(q, 5, neighbours.block_search(5, "euclidean", False, False, False))
     assert found.select("query_id").distinct().count() == 600
     assert index.measured <= 0.1 * index.pairs, index.measured / index.pairs
+
+
+def test_a_query_goes_once_to_a_shard(spark, monkeypatch):
+    """Not once to each unit: with 64-row blocks queries and lists of excluded ids would be copied hundreds of times."""
+    monkeypatch.setattr(neighbours, "SHARD", 1024)
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v], ["a", "b", None][i % 3]) for i, v in enumerate(rnd.normal(size=(3000, 16)))]
+    rows[7:1307] = [(i, rows[7][1], "b") for i in range(7, 1307)]  # a unit of more rows than a shard holds
+    queries = rows[::50]
+    q, r = (spark.createDataFrame(x, SCHEMA) for x in (queries, rows))
+    near_equal(got(knn(q, r, 5, block=64, exclude_self=True, exclude_same="source")), brute(queries, rows, 5, "euclidean", same=True, self_=True))
+    seen = []
+    plain = neighbours.block_search(3, "cosine", False, False, False)
+    sides = neighbours.sides(q, r, None, None)
+    index = neighbours.PivotIndex(sides[1], 3000, "cosine", 64)
+    dealt = spark.sparkContext.accumulator(0)
+
+    def counted(left, right):
+        dealt.add(len(left))
+        return plain(left, right)
+
+    seen = index.search(sides[0], 3, counted)
+    assert seen.select("query_id").distinct().count() == len(queries)
+    assert index.shards < len(index.units) / 4
+    assert dealt.value <= 4 * len(queries) * index.shards  # two looks, and a look may run twice
