@@ -58,3 +58,11 @@ def test_few_rows_and_none(spark):
     assert run(spark, x, 0.35, first=2048, undecided=10)[0] == loop(x, 0.35)
     none = spark.createDataFrame([], "position int, id long, v array<double>")
     assert leaders.leader_clusters(none).collect() == []
+
+
+def test_rows_that_the_order_decides_take_few_batches(spark):
+    """Means close together: hardly a row is certain, and a batch of bounded size for every few of them would not end."""
+    x = np.random.default_rng(5).normal(size=(4000, 32))
+    got, rounds = run(spark, x, 1.1, first=64, undecided=128)
+    assert got == loop(x, 1.1)
+    assert rounds.batches <= 10 and rounds.alone <= 4000

@@ -7,6 +7,11 @@ can join whatever the others do; these are certain. (Rows next to a mean that ca
 the sums of the certain rows that come between two of them, and are decided there as the loop would. Rows near one that
 may found a concept are not certain either. If a new or small concept moves further than was allowed for, the batch ends there
 and the rest is measured again. So no decision is taken on a guess, and a batch costs a few passes over its own rows.
+
+Where means lie close together or move far, few rows are certain and the order decides most of them. Then stretches of
+rows are decided in order without those passes, as many at once as were decided before, up to a bounded number, and a batch
+is tried again whenever the rows decided have doubled. So the number of batches grows with the logarithm of the rows, and
+beyond the bound with the rows by it.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,10 @@ from ..sources.scratch import cut, drop, new_path
 from .orders import numbered
 
 
+#: Bytes of vectors, and rows, that are on the driver at once at most where the order decides most rows.
+HELD, MOST = 1 << 25, 1 << 16
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v, axis=1)
     return v / np.where(n > 0, n, 1)[:, None]
@@ -38,25 +48,38 @@ class Concepts:
     """Running sums and sizes in the order of founding."""
 
     def __init__(self, dims: int):
-        self.sums, self.sizes = np.zeros((0, dims)), np.zeros(0)
+        self.n, self._sums, self._sizes, self._means = 0, np.zeros((64, dims)), np.zeros(64), np.zeros((64, dims))
+
+    @property
+    def sums(self) -> np.ndarray:
+        return self._sums[: self.n]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self._sizes[: self.n]
 
     def means(self) -> np.ndarray:
-        return self.sums / self.sizes[:, None]
+        return self._means[: self.n].copy()
 
     def take(self, u: np.ndarray, threshold: float) -> tuple[int, bool]:
         """One step of the loop: the concept joined, and whether it is a new one."""
-        d = np.sqrt(((u - self.means()) ** 2).sum(1))
+        away = self._means[: self.n] - u
+        d = np.sqrt((away * away).sum(1))
         at = int(np.argmin(d)) if len(d) else -1
         if at >= 0 and d[at] <= threshold:
-            self.sums[at] += u
-            self.sizes[at] += 1
+            self.add(at, u, 1)
             return at, False
-        self.sums, self.sizes = np.vstack([self.sums, u]), np.append(self.sizes, 1.0)
-        return len(self.sizes) - 1, True
+        if self.n == len(self._sizes):
+            self._sums, self._means = (np.vstack([x, np.zeros_like(x)]) for x in (self._sums, self._means))
+            self._sizes = np.append(self._sizes, np.zeros_like(self._sizes))
+        self.n += 1
+        self.add(self.n - 1, u, 1)
+        return self.n - 1, True
 
     def add(self, at: int, total: np.ndarray, n: int) -> None:
-        self.sums[at] += total
-        self.sizes[at] += n
+        self._sums[at] += total
+        self._sizes[at] += n
+        self._means[at] = self._sums[at] / self._sizes[at]
 
 
 class Rounds:
@@ -69,6 +92,9 @@ class Rounds:
         self.folder = new_path(rows.sparkSession, "leaders")
         #: Rows decided one by one, and the number of batches.
         self.alone, self.batches = 0, 0
+        self.most = max(first, undecided, min(MOST, HELD // (8 * max(dims, 1))))
+        #: Where the order decides most rows, the number of rows up to which they are decided without a batch.
+        self.ordered = 0
 
     def slice(self, high: int) -> DataFrame:
         return self.rows.where((F.col("n") > self.done) & (F.col("n") <= high))
@@ -78,10 +104,11 @@ class Rounds:
 
     def one_by_one(self, high: int) -> None:
         """A few rows, all on the driver."""
-        rows = self.slice(high).orderBy("n").collect()
-        out = [(int(r.n), self.concepts.take(np.asarray(r.u), self.threshold)[0]) for r in rows]
-        self.save(self.rows.sparkSession.createDataFrame(out, "n long, c int"))
-        self.alone += len(out)
+        rows = self.slice(high).orderBy("n").toArrow()
+        u = rows["u"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        c = [self.concepts.take(x, self.threshold)[0] for x in u]
+        self.save(self.rows.sparkSession.createDataFrame(pa.table({"n": rows["n"].cast(pa.int64()), "c": pa.array(c, pa.int32())})))
+        self.alone += len(c)
         self.done = high
 
     def run(self) -> DataFrame:
@@ -89,8 +116,14 @@ class Rounds:
         self.one_by_one(min(self.first, self.n))
         while self.done < self.n:
             before = self.done
+            if before < self.ordered:
+                self.one_by_one(min(2 * before, before + self.most, self.ordered, self.n))
+                continue
             if self.n - before > self.first:
+                alone = self.alone
                 self.together(min(before + self.batch, self.n))
+                if 4 * (self.alone - alone) > 3 * (self.done - before):
+                    self.ordered = 2 * self.done
             if self.done - before < self.first // 4:
                 self.one_by_one(min(self.done + self.first, self.n))
         return self.rows.sparkSession.read.parquet(self.folder)
