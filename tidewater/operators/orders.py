@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def ranges(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """One row: `_e`, at most n - 1 edges of roughly even ranges of a numeric key, and `_c`, every isqrt(n)-th of them."""
+    """One row: `_e`, at most n - 1 edges of roughly even ranges of a numeric key, and `_c`, every isqrt(n)-th of them.
+
+    The edges depend on the order in which tasks end, so they are found once; a plan that uses them twice must not get two.
+    """
     step = isqrt(n)
     edges = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("_e"))
+    edges = rows.sparkSession.createDataFrame(edges.toArrow(), edges.schema)
     return edges.select("_e", F.filter("_e", lambda x, i: (i + 1) % step == 0).alias("_c"))
 
 
