@@ -85,3 +85,23 @@ def test_smoothing_of_pixels_with_paths_as_ids(spark):
     flat = spark.createDataFrame([("a/b.png", x, y, 5.0, 1) for x in range(6) for y in range(4)], "image_id string, px int, py int, value double, coverage long")
     got = reference.smooth(flat, 1.0).collect()
     assert len(got) == 24 and all(abs(r.value - 5) < 1e-9 and r.image_id == "a/b.png" for r in got)
+
+
+def test_patches_are_read_once_and_many_small_tiles_share_a_task(spark):
+    """Scores of patches may cost a search; small tiles must not cost a pandas group each."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            read.add(len(p))
+            yield p
+
+    kind = "image_id long, scale string, x int, y int, w int, h int, score double"
+    patches = spark.createDataFrame([(i // 4, "s", i % 4, 0, 2, 2, float(i)) for i in range(4000)], kind).mapInPandas(counted, kind)
+    m = rasters.draw(patches, None, tile=3)
+    assert "FlatMapGroupsInPandas" not in m._jdf.queryExecution().toString()
+    got = {(r.image_id, r.px, r.py): (r.value, r.coverage) for r in rasters.pixels(m, 3).collect()}
+    assert read.value == 4000
+    assert len(got) == 1000 * 10
+    for i in (0, 999):
+        assert got[i, 0, 1] == (4.0 * i, 1) and got[i, 2, 0] == (4 * i + 1.5, 2) and got[i, 4, 1] == (4 * i + 3.0, 1)

@@ -12,13 +12,15 @@ beyond the border are cut off; repeated patches count as often as they come; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 TILE = 256
 COMBINE = ("mean", "max")
 REST = "ty int, tx int, width int, height int, w int, h int, value array<double>, coverage array<int>"
@@ -28,6 +30,52 @@ def _schema(images: DataFrame) -> str:
     return f"image_id {images.schema['image_id'].dataType.simpleString()}, {REST}"
 
 
+MAP = ["image_id", "ty", "tx", "width", "height", "w", "h", "value", "coverage"]
+#: Pixels of tiles that a task holds before it sends them on.
+PIXELS = 1 << 18
+
+
+def by_tile(rows: DataFrame, order: list[str], one: Callable[[dict[str, np.ndarray]], tuple | None], schema: str) -> DataFrame:
+    """`one` on the columns of each tile's rows, ordered by `order`: rows are dealt by tile and sorted in their tasks, so that
+    many small tiles pass without a group's cost for each. A task holds one tile's rows and some finished tiles."""
+    keys = ["image_id", "ty", "tx"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: list[pd.DataFrame] = []
+        done, held = [], 0
+        for p in parts:
+            if not len(p):
+                continue
+            if left and all(left[-1][k].iloc[-1] == p[k].iloc[-1] for k in keys) and all(p[k].iloc[0] == p[k].iloc[-1] for k in keys):
+                left.append(p)  # one tile all through
+                continue
+            whole = pd.concat([*left, p], ignore_index=True) if left else p
+            columns = {c: whole[c].to_numpy() for c in whole.columns}
+            new = np.zeros(len(whole), bool)
+            for k in keys:
+                new[1:] |= columns[k][1:] != columns[k][:-1]
+            edges = [0, *np.flatnonzero(new)]
+            for a, b in zip(edges, edges[1:]):
+                got = one({c: x[a:b] for c, x in columns.items()})
+                if got is not None:
+                    done.append(got)
+                    held += len(got[7])
+                if held >= PIXELS:
+                    yield pd.DataFrame(done, columns=MAP)
+                    done, held = [], 0
+            left = [whole.iloc[edges[-1] :]]
+        if left:
+            whole = pd.concat(left, ignore_index=True)
+            got = one({c: whole[c].to_numpy() for c in whole.columns})
+            if got is not None:
+                done.append(got)
+        if done:
+            yield pd.DataFrame(done, columns=MAP)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as a few bytes may be much work
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def image_sizes(patches: DataFrame) -> DataFrame:
     """image_id, width, height of images that end with their last patch."""
     return patches.groupBy("image_id").agg(F.max(F.col("x") + F.col("w")).cast("int").alias("width"), F.max(F.col("y") + F.col("h")).cast("int").alias("height"))
@@ -42,28 +90,33 @@ def draw(patches: DataFrame, sizes: DataFrame | None = None, within: str = "mean
     if within not in COMBINE or across not in COMBINE:
         raise ValueError(f"patches and scales are combined by one of {COMBINE}")
     seen = patches.where(" and ".join(f"{c} is not null" for c in ("image_id", "x", "y", "w", "h", "score")) + " and w > 0 and h > 0")
-    sizes = image_sizes(seen) if sizes is None else sizes.select("image_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
     boxes = seen.groupBy("image_id", F.coalesce(F.col("scale").cast("string"), F.lit("")).alias("scale"), "x", "y", "w", "h").agg(F.sum("score").alias("total"), F.max("score").alias("most"), F.count("*").alias("n"))
+    if sizes is None:
+        boxes = cut(boxes, "boxes")  # read twice
+    sizes = image_sizes(boxes) if sizes is None else sizes.select("image_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
     boxes = boxes.join(sizes, "image_id").where("x < width and y < height and x + w > 0 and y + h > 0")
     first = lambda a: F.floor(F.greatest(F.col(a), F.lit(0)) / tile).cast("int")
     last = lambda a, size, end: F.floor((F.least(F.col(a) + F.col(size), F.col(end)) - 1) / tile).cast("int")
     dealt = boxes.withColumn("ty", F.explode(F.sequence(first("y"), last("y", "h", "height")))).withColumn("tx", F.explode(F.sequence(first("x"), last("x", "w", "width"))))
 
-    def one_tile(p: pd.DataFrame) -> pd.DataFrame:
-        at = next(p.itertuples(index=False))
-        top, left = int(at.ty) * tile, int(at.tx) * tile
-        h, w = min(tile, int(at.height) - top), min(tile, int(at.width) - left)
+    def one_tile(p: dict[str, np.ndarray]) -> tuple:
+        image, ty, tx, width, height = (p[c][0] for c in ("image_id", "ty", "tx", "width", "height"))
+        top, left = int(ty) * tile, int(tx) * tile
+        h, w = min(tile, int(height) - top), min(tile, int(width) - left)
         layers, coverage = [], np.zeros((h, w), np.int32)
-        for _, own in p.groupby("scale", sort=True):
+        scale = p["scale"]
+        edges = [0, *(np.flatnonzero(scale[1:] != scale[:-1]) + 1), len(scale)]
+        y0, x0 = np.maximum(p["y"] - top, 0).astype(int), np.maximum(p["x"] - left, 0).astype(int)
+        y1, x1 = np.maximum(p["y"] + p["h"] - top, 0).astype(int), np.maximum(p["x"] + p["w"] - left, 0).astype(int)
+        for low, high in zip(edges, edges[1:]):
             acc, n = np.full((h, w), 0.0 if within == "mean" else -np.inf), np.zeros((h, w), np.int32)
-            order = own.sort_values(["y", "x", "h", "w"], kind="stable")
-            for x, y, bw, bh, total, most, count in zip(*(order[c].to_numpy() for c in ("x", "y", "w", "h", "total", "most", "n"))):
-                area = np.s_[max(int(y) - top, 0) : max(int(y + bh) - top, 0), max(int(x) - left, 0) : max(int(x + bw) - left, 0)]
-                n[area] += count
+            for i in range(low, high):
+                area = np.s_[y0[i] : y1[i], x0[i] : x1[i]]
+                n[area] += p["n"][i]
                 if within == "mean":
-                    acc[area] += total
+                    acc[area] += p["total"][i]
                 else:
-                    np.maximum(acc[area], most, out=acc[area])
+                    np.maximum(acc[area], p["most"][i], out=acc[area])
             layers.append(np.where(n > 0, acc / np.maximum(n, 1) if within == "mean" else acc, np.nan))
             coverage += n
         stack = np.stack(layers)
@@ -71,10 +124,10 @@ def draw(patches: DataFrame, sizes: DataFrame | None = None, within: str = "mean
         none = ~there.any(0)
         value = np.where(there, stack, 0.0).sum(0) / np.maximum(there.sum(0), 1) if across == "mean" else np.where(there, stack, -np.inf).max(0)
         value[none] = np.nan
-        return pd.DataFrame([(at.image_id, at.ty, at.tx, at.width, at.height, w, h, np.round(value, 9).ravel(), coverage.ravel())], columns=["image_id", "ty", "tx", "width", "height", "w", "h", "value", "coverage"])
+        return image, ty, tx, width, height, w, h, np.round(value, 9).ravel(), coverage.ravel()
 
     columns = ["image_id", "ty", "tx", "width", "height", "scale", "x", "y", "w", "h", "total", "most", "n"]
-    return dealt.select(columns).groupBy("image_id", "ty", "tx").applyInPandas(one_tile, _schema(patches))
+    return by_tile(dealt.select(columns), ["scale", "y", "x", "h", "w"], one_tile, _schema(patches))
 
 
 def kernel(sigma: float) -> np.ndarray:
@@ -107,10 +160,12 @@ def smooth(tiles: DataFrame, sigma: float, tile: int = TILE) -> DataFrame:
     strip = f"image_id {kind}, ty int, tx int, width int, height int, y0 int, x0 int, h int, w int, own boolean, value array<double>, coverage array<int>"
 
     def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in strip.split(", ")]
         for p in parts:
+            held, out = 0, []
             for r in p.itertuples(index=False):
                 value = np.asarray(r.value, float).reshape(r.h, r.w)
-                top, left, out = r.ty * tile, r.tx * tile, []
+                top, left = r.ty * tile, r.tx * tile
                 for dy in range(-reach, reach + 1):
                     for dx in range(-reach, reach + 1):
                         ty, tx = r.ty + dy, r.tx + dx
@@ -123,29 +178,34 @@ def smooth(tiles: DataFrame, sigma: float, tile: int = TILE) -> DataFrame:
                         part, own = value[y0 - top : y1 - top, x0 - left : x1 - left], not dy and not dx
                         if own or not np.isnan(part).all():
                             out.append((r.image_id, ty, tx, r.width, r.height, y0, x0, y1 - y0, x1 - x0, own, part.ravel(), r.coverage if own else None))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in strip.split(", ")])
-
-    def gather(p: pd.DataFrame) -> pd.DataFrame:
-        mine = p[p.own]
-        columns = ["image_id", "ty", "tx", "width", "height", "w", "h", "value", "coverage"]
+                            held += part.size
+                if held >= PIXELS:
+                    yield pd.DataFrame(out, columns=names)
+                    held, out = 0, []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    def gather(p: dict[str, np.ndarray]) -> tuple | None:
+        mine = np.flatnonzero(p["own"])
         if not len(mine):  # a neighbour without patches
-            return pd.DataFrame(columns=columns)
-        at = next(mine.itertuples(index=False))
-        top, left = at.ty * tile, at.tx * tile
-        y_low, y_high = max(top - radius, 0), min(top + at.h + radius, at.height)
-        x_low, x_high = max(left - radius, 0), min(left + at.w + radius, at.width)
+            return None
+        m = mine[0]
+        image, ty, tx, width, height, w, h = (p[c][m] for c in ("image_id", "ty", "tx", "width", "height", "w", "h"))
+        top, left = ty * tile, tx * tile
+        y_low, y_high = max(top - radius, 0), min(top + h + radius, height)
+        x_low, x_high = max(left - radius, 0), min(left + w + radius, width)
         value, there = np.zeros((y_high - y_low, x_high - x_low)), np.zeros((y_high - y_low, x_high - x_low))
-        for r in p.itertuples(index=False):
-            v = np.asarray(r.value, float).reshape(r.h, r.w)
-            area = np.s_[r.y0 - y_low : r.y0 - y_low + r.h, r.x0 - x_low : r.x0 - x_low + r.w]
+        for y0, x0, rh, rw, v in zip(p["y0"], p["x0"], p["h"], p["w"], p["value"]):
+            v = np.asarray(v, float).reshape(rh, rw)
+            area = np.s_[y0 - y_low : y0 - y_low + rh, x0 - x_low : x0 - x_low + rw]
             value[area], there[area] = np.nan_to_num(v), ~np.isnan(v)
-        beyond = ((y_low - (top - radius), top + at.h + radius - y_high), (x_low - (left - radius), left + at.w + radius - x_high))
+        beyond = ((y_low - (top - radius), top + h + radius - y_high), (x_low - (left - radius), left + w + radius - x_high))
         got = [_along(_along(np.pad(a, beyond, mode="edge"), k, 1), k, 0) for a in (value, there)]
-        own = np.asarray(at.value, float).reshape(at.h, at.w)
+        own = np.asarray(p["value"][m], float).reshape(h, w)
         out = np.where(np.isnan(own), np.nan, got[0] / np.maximum(got[1], 1e-12))
-        return pd.DataFrame([(at.image_id, at.ty, at.tx, at.width, at.height, at.w, at.h, out.ravel(), at.coverage)], columns=columns)
+        return image, ty, tx, width, height, w, h, out.ravel(), p["coverage"][m]
 
-    return tiles.mapInPandas(send, strip).groupBy("image_id", "ty", "tx").applyInPandas(gather, _schema(tiles))
+    return by_tile(tiles.mapInPandas(send, strip), ["y0", "x0"], gather, _schema(tiles))
 
 
 def display(tiles: DataFrame) -> DataFrame:
