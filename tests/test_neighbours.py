@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidewater.operators import neighbours
@@ -98,3 +99,39 @@ def test_a_query_goes_once_to_a_shard(spark, monkeypatch):
     assert seen.select("query_id").distinct().count() == len(queries)
     assert index.shards < len(index.units) / 4
     assert dealt.value <= 4 * len(queries) * index.shards  # two looks, and a look may run twice
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_blocks_where_bounds_leave_most_pairs(spark, metric, monkeypatch):
+    """Directions all over: no units are made, and bytes of blocks give what all pairs give."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], None) for i, v in enumerate(rnd.normal(size=(700, 24)))]
+    rows += [(1000 + i, rows[i][1], None) for i in range(0, 60, 2)] + [(2000, [0.0] * 24, None)]
+    for name, value in (("SHOWN", 64), ("PLAIN", 64), ("FEW", 3), ("PivotIndex", None)):
+        monkeypatch.setattr(neighbours, name, value)
+    df = spark.createDataFrame(rows, SCHEMA)
+    near_equal(got(knn(df, df, 2, metric, exclude_self=True, block=64)), brute(rows, rows, 2, metric, self_=True))
+
+
+def test_close_rows_far_from_the_origin():
+    """Distances below what a product in single precision tells."""
+    rnd = np.random.default_rng(6)
+    v = 1e4 + rnd.normal(size=(600, 8))
+    left = pd.DataFrame({"qid": np.arange(600), "qv": list(v), "qs": None, "qx": None})
+    right = pd.DataFrame({"id": np.arange(600), "v": list(v), "s": None})
+    found = neighbours.block_search(3, "euclidean", True, False, False)(left, right).sort_values(["query_id", "distance", "id"])
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert found.id.tolist() == np.argsort(d, 1)[:, :3].ravel().tolist()
+    assert np.allclose(found.distance, np.sort(d, 1)[:, :3].ravel())
+
+
+def test_scores_search_once(spark):
+    from tidewater.operators import selection, vectors
+
+    rows = spark.createDataFrame(clustered(200), SCHEMA)
+    scored = vectors.novelty(rows, "hybrid")
+    assert "CoGroups" not in scored._jdf.queryExecution().toString()
+    s = scored.join(rows, "id").selectExpr("id", "source", "0 AS x", "0 AS y", "'s' AS scale", "score", "v")
+    picked = selection.diverse(s, 5)
+    assert "Pandas" not in picked._jdf.queryExecution().toString() and picked.count() == 3  # one a source, as all lie in one place

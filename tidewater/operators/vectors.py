@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import l2, min_max, weighted, zero_if_odd
+from ..sources.scratch import cut
 from .neighbours import METRICS, distances, knn  # noqa: F401
 from .orders import medians, numbered
 
@@ -21,9 +22,12 @@ def centroid_distance(vectors: DataFrame) -> DataFrame:
 
 
 def neighbour_distance(vectors: DataFrame) -> DataFrame:
-    """id, neighbour_id, distance of the nearest other vector; null and 0 where there is none."""
+    """id, neighbour_id, distance of the nearest other vector; null and 0 where there is none.
+
+    Searched once: scores read the few numbers of a row several times.
+    """
     near = knn(vectors, vectors, 1, exclude_self=True).select(F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), "distance")
-    return vectors.select("id").join(near, "id", "left").select("id", "neighbour_id", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    return cut(vectors.select("id").join(near, "id", "left").select("id", "neighbour_id", F.coalesce("distance", F.lit(0.0)).alias("distance")), "nearest")
 
 
 def robust_z(vectors: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def _hybrid(v, wg, wn):
     near = neighbour_distance(v)
     if not near.where("neighbour_id is not null").limit(1).count():
         return _global(v)
-    g, n = normalised(centroid_distance(v), "distance", "g", 12), normalised(near, "distance", "n", 12)
+    g, n = normalised(cut(centroid_distance(v), "centroid"), "distance", "g", 12), normalised(near, "distance", "n", 12)
     return g.select("id", "g").join(n.select("id", "n"), "id").select("id", F.round(weighted([(wg, F.col("g")), (wn, F.col("n"))]), 6).alias("score"))
 
 
