@@ -7,6 +7,8 @@ in one place to be put in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -68,20 +70,34 @@ def diverse(candidates: DataFrame, k: int, per_source: int = 3, least_pixels: fl
         go_on(True)
     if least_embedding is not None:
         go_on(False)
-    lead = {x["id"]: i for i, x in enumerate(picks)}
-
-    def one_source(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(_lead=p.id.map(lambda i: lead.get(i, k)).astype("int32")).sort_values(["_lead", "score", "id"], ascending=[True, False, True], kind="stable")
-        w, h = (p[c] / 2 if c in p else 0 for c in ("w", "h"))
-        at, keep = np.column_stack([p.x + w, p.y + h]).astype(float), []
-        for i, first in enumerate(p._lead):
-            if first < k or least_embedding is None and len(keep) < per_source and all(np.hypot(*(at[i] - at[j])) >= least_pixels for j in keep):
-                keep.append(i)
-        return p.iloc[keep]
-
-    kept = candidates.groupBy("source").applyInPandas(one_source, StructType([*candidates.schema.fields, StructField("_lead", IntegerType())]))
+    spark = candidates.sparkSession
+    ids = candidates.select("id").schema
+    lead = spark.createDataFrame([(x["id"], i) for i, x in enumerate(picks)], StructType([*ids.fields, StructField("_lead", IntegerType())]))  # k rows at most
+    rows = candidates.select("id", "source", "score", *centres).join(F.broadcast(lead), "id", "left").withColumn("_lead", F.coalesce("_lead", F.lit(k)))
+
+    def by_source(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept, any_ = None, [], False
+        for p in parts:
+            keep = np.zeros(len(p), bool)
+            source = p.source.astype(object).where(p.source.notna(), None)
+            for i, (s, first, x, y) in enumerate(zip(source, p._lead, p.cx, p.cy)):
+                if not any_ or s != last:
+                    last, kept, any_ = s, [], True
+                if first < k or least_embedding is None and len(kept) < per_source and all(np.hypot(x - a, y - b) >= least_pixels for a, b in kept):
+                    kept.append((x, y))
+                    keep[i] = True
+            yield p[keep]
+
+    # sources come one after the other in their tasks: very many small ones pass without a group's cost for each
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "source").sortWithinPartitions("source", "_lead", F.desc("score"), "id")
+    kept = rows.mapInPandas(by_source, rows.schema)
     order = ("_lead", F.desc("score"), "id")
-    return kept.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("_lead")
+    best = kept.orderBy(*order).limit(k).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    row = lambda of: F.struct(*[of(c) for c in ("id", "source", "score")], *[c if of is F.col else F.col(n) for c, n in zip(centres, ("_x", "_y"))])
+    names = best.select(*[F.col(c).alias(f"_{c}") for c in ("id", "source", "score")], F.col("cx").alias("_x"), F.col("cy").alias("_y"), "position")
+    picked = candidates.join(F.broadcast(names), row(F.col).eqNullSafe(row(lambda c: F.col(f"_{c}"))))
+    return cut(picked.select(*candidates.columns, "position"), "picked")  # k rows; what follows reads them several times
 
 
 def undiversified(candidates: DataFrame, k: int) -> DataFrame:
