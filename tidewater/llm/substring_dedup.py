@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Hashes, cut, hash_ranges, mix, pack, slices, spread, squeeze, unpack
+from .common import BitFilter, cut, hash_ranges, mix, pack, slices, spread, squeeze, unpack
 
 WINDOW = 20
 
@@ -39,6 +41,60 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode(errors="surrogatepass").split()
 
 
+#: Bytes that are words' and not white space's, and the base of their polynomial, which is odd and so has an inverse.
+WORD = np.ones(256, bool)
+WORD[[0x20, *range(0x09, 0x0E)]] = False
+BASE, LONG = 0xD6E8FEB86659FD93, 64
+
+
+class Powers:
+    """Powers of BASE and of its inverse, as many as the longest stretch of texts needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = (np.full(n, b, np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            for x in (self.up, self.down):
+                x[0] = 1
+                np.cumprod(x, out=x)
+
+
+def word_hashes(texts: pa.Array, powers: Powers, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words(), read from the bytes of some texts at a time, without an object for each word.
+
+    A polynomial in a word's bytes, mixed; words of more than LONG bytes, where such polynomials have collisions that can
+    be written down, go through xxHash.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole, low = texts.buffers()[2], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offset, offset[low] + most, "right")) - 1)
+        edge = offset[low : high + 1] - offset[low]
+        n = int(edge[-1])
+        low, first = high, int(offset[low])
+        if not n:
+            yield from (np.zeros(0, np.uint64) for _ in edge[1:])
+            continue
+        raw = np.frombuffer(whole, np.uint8, n, first)
+        powers.reach(n)
+        word = WORD[raw]
+        before, after = np.empty(n, bool), np.empty(n, bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        border = edge[edge < n]
+        before[border] = False
+        after[edge[edge > 0] - 1] = False
+        start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=total[1:])
+        h = mix((total[end] - total[start]) * powers.down[start])
+        for i in np.flatnonzero(end - start > LONG):
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes())
+        yield from np.split(h, np.searchsorted(start, edge[1:-1]))
+
+
 def chosen(half: np.ndarray, run: int) -> np.ndarray:
     """For each window, the index of the smallest of its `run` half windows (the leftmost of equal ones)."""
     n = len(half) - run + 1
@@ -87,10 +143,9 @@ def seed_counts(docs: DataFrame, window: int, repeated: list[BitFilter]) -> Data
     out = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        powers, held, size = Powers(), [], 0
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                w = hashes.of(words(t))
+            for w in word_hashes(b.column(0), powers):
                 alive = survivors(w, window, shared.value)
                 if len(alive):
                     h = mix(runs(w, k))
@@ -130,12 +185,11 @@ def places(docs: DataFrame, window: int, repeated: list[BitFilter], ranges: int)
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
+        powers, task, number = Powers(), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in slices(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = hashes.of(words(t))
+            for d, w in zip(b.column(0).to_pylist(), word_hashes(b.column(1), powers)):
                 go = survivors(w, window, shared.value)
                 if len(go):
                     check = mix(runs(w, window, SECOND)[go]) >> np.uint64(32)
@@ -299,9 +353,9 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast(BitFilter.of(seed_counts(rows, 2 * length, []).where("n > 1").select("h")))
 
         def alive(batches: Iterator[pa.RecordBatch], length: int = length, known=known) -> Iterator[pa.RecordBatch]:
-            hashes = Hashes()
+            powers = Powers()
             for b in batches:
-                yield b.filter(pa.array([len(survivors(hashes.of(words(t)), 2 * length, [known.value])) > 0 for t in b.column(1).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([len(survivors(w, 2 * length, [known.value])) > 0 for w in word_hashes(b.column(1), powers)], pa.bool_()))
 
         rows = cut(rows.mapInArrow(alive, rows.schema), "survivors")
         length *= 2
