@@ -105,3 +105,19 @@ def test_patches_are_read_once_and_many_small_tiles_share_a_task(spark):
     assert len(got) == 1000 * 10
     for i in (0, 999):
         assert got[i, 0, 1] == (4.0 * i, 1) and got[i, 2, 0] == (4 * i + 1.5, 2) and got[i, 4, 1] == (4 * i + 3.0, 1)
+
+
+def test_what_is_shown_is_drawn_once(spark):
+    """A map that is scaled by its own ends is read twice; its tiles must not be drawn twice."""
+    read = spark.sparkContext.accumulator(0)
+    kind = "image_id long, px int, py int, value double, coverage long"
+
+    def counted(parts):
+        for p in parts:
+            read.add(len(p))
+            yield p
+
+    pixels = spark.createDataFrame([(i // 5, i % 5, 0, float(i), 1) for i in range(500)], kind).mapInPandas(counted, kind)
+    got = {(r.image_id, r.px): r.shown for r in reference.display(pixels).collect()}
+    assert read.value == 500
+    assert len(got) == 500 and all(v == px / 4 for (_, px), v in got.items())

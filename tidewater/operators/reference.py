@@ -67,6 +67,7 @@ def spatial_map(patches: DataFrame, within: str = "mean", across: str = "max") -
 
 def display(pixels: DataFrame) -> DataFrame:
     """value scaled to 0..1 in each image as `shown`; constant images give 0. Maps as tiles have rasters.display."""
+    pixels = cut(pixels, "pixels")  # read twice, and drawn once
     ends = pixels.groupBy("image_id").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
     return pixels.join(ends, "image_id").withColumn("shown", F.round(F.coalesce((F.col("value") - F.col("_low")) / span, F.lit(0.0)), 6)).drop("_low", "_high")
