@@ -121,3 +121,12 @@ def test_what_is_shown_is_drawn_once(spark):
     got = {(r.image_id, r.px): r.shown for r in reference.display(pixels).collect()}
     assert read.value == 500
     assert len(got) == 500 and all(v == px / 4 for (_, px), v in got.items())
+
+
+def test_coverage_is_summed_up_in_one_pass(spark):
+    """map_coverage draws its tiles once: one pass of Python over the boxes, and no join of what is drawn."""
+    from tests.conftest import DATA
+    from tidewater.plans import catalog
+
+    plan = catalog.queries()["map_coverage"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
@@ -209,7 +209,9 @@ def smooth(tiles: DataFrame, sigma: float, tile: int = TILE) -> DataFrame:
 
 
 def display(tiles: DataFrame) -> DataFrame:
-    """The map with values scaled to 0..1 in each image and 0 where no patch lies; constant images give 0."""
+    """The map with values scaled to 0..1 in each image and 0 where no patch lies; constant images give 0.
+
+    Tiles are read twice: give a stored table, or they are drawn twice."""
     number = lambda x: ~F.isnan(x)
     ends = tiles.groupBy("image_id").agg(F.min(F.array_min(F.filter("value", number))).alias("_low"), F.max(F.array_max(F.filter("value", number))).alias("_high"))
     span = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
@@ -217,10 +219,15 @@ def display(tiles: DataFrame) -> DataFrame:
     return tiles.join(ends, "image_id").withColumn("value", shown).drop("_low", "_high")
 
 
+def share() -> Column:
+    """The share of an image's pixels that a patch covers: an aggregate over the image's tiles, beside others."""
+    n = F.sum(F.size(F.filter("coverage", lambda c: c > 0)))
+    return n / (F.first("width").cast("double") * F.first("height"))
+
+
 def coverage_share(tiles: DataFrame) -> DataFrame:
     """image_id, covered: the share of an image's pixels that a patch covers."""
-    n = F.sum(F.size(F.filter("coverage", lambda c: c > 0)))
-    return tiles.groupBy("image_id").agg((n / (F.first("width").cast("double") * F.first("height"))).alias("covered"))
+    return tiles.groupBy("image_id").agg(share().alias("covered"))
 
 
 def pixels(tiles: DataFrame, tile: int = TILE, covered: bool = True) -> DataFrame:
