@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -114,6 +115,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that are words' and not white space's, and the base of their polynomial, which is odd and so has an inverse.
+WORD = np.ones(256, bool)
+WORD[[0x20, *range(0x09, 0x0E)]] = False
+BASE, LONG = 0xD6E8FEB86659FD93, 64
+#: Bytes with A to Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+class Powers:
+    """Powers of BASE and of its inverse, as many as the longest stretch of texts needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up, self.down = (np.full(n, b, np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+            for x in (self.up, self.down):
+                x[0] = 1
+                np.cumprod(x, out=x)
+
+
+def word_hashes(texts: pa.Array, powers: Powers, most: int = 1 << 20, lower: bool = False) -> Iterator[np.ndarray]:
+    """For each text the hashes of its runs of characters other than ASCII white space, read from the bytes of some texts at a time, without an object for each word.
+
+    A polynomial in a word's bytes, mixed; words of more than LONG bytes, where such polynomials have collisions that can
+    be written down, go through xxHash.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole, low = texts.buffers()[2], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offset, offset[low] + most, "right")) - 1)
+        edge = offset[low : high + 1] - offset[low]
+        n = int(edge[-1])
+        low, first = high, int(offset[low])
+        if not n:
+            yield from (np.zeros(0, np.uint64) for _ in edge[1:])
+            continue
+        raw = np.frombuffer(whole, np.uint8, n, first)
+        if lower:
+            raw = LOWER[raw]
+        powers.reach(n)
+        word = WORD[raw]
+        before, after = np.empty(n, bool), np.empty(n, bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        border = edge[edge < n]
+        before[border] = False
+        after[edge[edge > 0] - 1] = False
+        start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=total[1:])
+        h = mix((total[end] - total[start]) * powers.down[start])
+        for i in np.flatnonzero(end - start > LONG):
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes())
+        yield from np.split(h, np.searchsorted(start, edge[1:-1]))
+
+
 def grams(w: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k word hashes."""
     if len(w) < k:

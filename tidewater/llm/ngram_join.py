@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, slices, spread, squeeze, unpack
+from .common import Powers, components, cut, grams, hash_ranges, mix, pack, parts_of, sized, slices, spread, squeeze, unpack, word_hashes
 
 
 SHINGLE = 5
@@ -51,20 +51,28 @@ SHARED = [("h", "<u8"), ("who", "<u4"), ("df", "<u8")]
 SEVERAL = 0xFFFFFFFF
 
 
-def shingles(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    w = hashes.of((text or "").encode(errors="surrogatepass").lower().split())
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text, from the hashes of its words."""
     if not len(w):
         return w
     h = grams(w, SHINGLE) if len(w) >= SHINGLE else mix(grams(w, len(w)) + np.uint64(len(w)))
-    return np.unique(h >> np.uint64(64 - BITS))
+    h = np.sort(h >> np.uint64(64 - BITS))
+    return h[starts_of(h)]
 
 
-def links(n: int, m: int, overlap: int) -> bool:
+def starts_of(h: np.ndarray) -> np.ndarray:
+    """Where another value begins in sorted values."""
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return first
+
+
+def links(n, m, overlap):
+    """Whether sets of n and m link, of whole numbers or arrays of them."""
     return DOWN * overlap >= UP * (n + m - overlap)
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n):
     """Overlap that a set of n needs with any set."""
     return -(-UP * n // DOWN)
 
@@ -76,13 +84,13 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
     """(range, flush, blob): the hashes of a task's documents by range; and, with a negative range, the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, task, number = Hashes(), TaskContext.get().partitionId(), 0
+        powers, task, number = Powers(), TaskContext.get().partitionId(), 0
         ids, keys, sets, size = [], [], [], 0
         for b in slices(batches):
-            for d, k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist()):
+            for d, k, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), word_hashes(b.column(1), powers, 1 << 16, lower=True)):
                 ids.append(d)
                 keys.append(k)
-                sets.append(shingles(t, hashes))
+                sets.append(shingles(w))
                 size += len(sets[-1])
                 if size > FLUSH:
                     yield from sent(ids, keys, sets, task << 24 | number)
@@ -103,7 +111,7 @@ def packed_sets(docs: DataFrame, ranges: int) -> DataFrame:
         who = np.repeat(np.flatnonzero(first), n[first]).astype(np.uint32)
         o = np.argsort(h, kind="stable")
         h, who = h[o], who[o]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        start = np.flatnonzero(starts_of(h))
         count = np.diff(np.append(start, len(h)))
         several = np.repeat(count > 1, count)
         rows = [(-1 - flush % ranges, flush, sized(sink.getvalue().to_pybytes(), pack(h[several]), squeeze(who[several])))]
@@ -138,7 +146,7 @@ def shared_hashes(sets: DataFrame) -> DataFrame:
         h, sent = np.concatenate(hs), np.concatenate([spread(x, SENT) for _, x in both])
         o = np.argsort(h, kind="stable")
         h, who, flush = h[o], sent["who"][o], flush[o]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        start = np.flatnonzero(starts_of(h))
         df = np.repeat(np.add.reduceat(sent["n"][o].astype(np.int64), start), np.diff(np.append(start, len(h))))
         keep = np.flatnonzero(df > 1)
         keep = keep[np.argsort(flush[keep], kind="stable")]
@@ -165,16 +173,20 @@ def documents_of(shared: DataFrame) -> DataFrame:
         tables = [spread(b, SHARED) for b in p.blob[p.kind == 1]]
         hashes = [None] * len(n)
         if tables:
-            t = np.concatenate(tables)
+            # a range's table is in order, so is one after the other
+            t = np.concatenate(sorted(tables, key=lambda x: x["h"][0]))
             one = t["who"] != SEVERAL
-            found = np.sort(t[~one], order="h")
+            found = t[~one]
             own = np.empty(len(several := unpack(several)), SHARED)
             own["h"], own["who"] = several, spread(holders, "<u4")
             own["df"] = found["df"][np.searchsorted(found["h"], several)]
             t = np.concatenate([t[one], own])
-            t = t[np.lexsort((t["h"], t["df"], t["who"]))]
+            live = (np.bincount(t["who"], minlength=len(n)) >= least_overlap(n)) & (n > 0)
+            t = t[live[t["who"]]]
+            t = t[np.argsort(t["h"], kind="stable")]
+            t = t[np.argsort(t["who"].astype(np.uint64) << np.uint64(40) | t["df"], kind="stable")]
             edge = np.searchsorted(t["who"], np.arange(len(n) + 1))
-            for i in np.flatnonzero((np.diff(edge) >= -(-UP * n // DOWN)) & (n > 0)):
+            for i in np.flatnonzero(live):
                 hashes[i] = t["h"][edge[i] : edge[i + 1]].tobytes()
         ids = head.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
         return pd.DataFrame({"doc_id": ids, "key": head.column("key").to_numpy(), "n": n, "digest": head.column("digest").to_pylist(), "hashes": hashes})
@@ -187,52 +199,81 @@ def merge_short(lists: list[np.ndarray], least: int) -> list[int]:
     return [d for d, g in groupby(heapq.merge(*[x.tolist() for x in lists])) if sum(1 for _ in g) >= least]
 
 
+#: Places that are looked up at a time.
+PROBES = 1_000_000
+
+
 class Index:
-    """Inverted lists of sets: hash -> sorted positions."""
+    """Inverted lists of sets: hash -> sorted positions. Of lists that hold an eighth of the sets or more, every set has a bit."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = len(sets)
         size = np.array([len(s) for s in sets], np.int64)
         h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         o = np.argsort(h, kind="stable")
-        self.hashes, start = np.unique(h[o], return_index=True)
-        self.start = np.append(start, len(h))
+        h = h[o]
+        start = np.flatnonzero(starts_of(h))
+        self.hashes, self.start = h[start], np.append(start, len(h))
         self.members = np.repeat(np.arange(self.n), size)[o]
-
-    def lists(self, s: np.ndarray) -> list[np.ndarray]:
+        self.length = np.diff(self.start)
+        #: number of the list and position in one, in order: what probes look for
+        self.places = np.repeat(np.arange(len(start)) * self.n, self.length) + self.members
+        long = self.length * 8 >= self.n
+        self.bit = np.where(long, np.cumsum(long) - 1, -1)
+        here = np.repeat(long, self.length)
+        flags = np.zeros((self.n, -(-int(long.sum()) // 64) * 64), np.uint8)
+        flags[self.members[here], np.repeat(self.bit, self.length)[here]] = 1
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+
+    def lists(self, s: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of s, short ones first."""
         if not len(self.hashes):
-            return []
+            return np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
         at = at[self.hashes[at] == s]
-        return [self.members[self.start[i] : self.start[i + 1]] for i in at]
+        return at[np.argsort(self.length[at], kind="stable")]
 
-    def candidates(self, s: np.ndarray, least: int, mu: float = 0.01, heap: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+    def candidates(self, s: np.ndarray, least: int, mu: float = 0.01, heap: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """DivideSkip: positions found often enough in the short lists to share `least` hashes with s; and all lists.
 
         Short lists of more than `heap` entries in all are counted in an array instead of through the heap.
         """
-        lists = sorted(self.lists(s), key=len)
+        lists = self.lists(s)
         if len(lists) < least:
             return np.empty(0, np.int64), lists
-        aside = min(least - 1, int(least / (mu * np.log2(max(len(lists[-1]), 2)) + 1)))
+        aside = min(least - 1, int(least / (mu * np.log2(max(self.length[lists[-1]], 2)) + 1)))
         short = lists[: len(lists) - aside]
-        if sum(map(len, short)) <= heap:
-            return np.array(merge_short(short, least - aside), np.int64), lists
-        return np.flatnonzero(np.bincount(np.concatenate(short), minlength=self.n) >= least - aside), lists
-
-    @staticmethod
-    def probe(lists: list[np.ndarray], found: np.ndarray) -> np.ndarray:
-        """How many of the lists hold each position, by binary search."""
-        count = np.zeros(len(found), np.int64)
-        for x in lists:
-            count += x[np.minimum(np.searchsorted(x, found), len(x) - 1)] == found
-        return count
-
-
-def connect(i: int, own: int, found: np.ndarray, lists: list, n: np.ndarray, n_own: int, labels: np.ndarray, out: list, batch: int = 32) -> int:
+        length = self.length[short]
+        if length.sum() <= heap:
+            return np.array(merge_short([self.members[self.start[i] : self.start[i + 1]] for i in short], least - aside), np.int64), lists
+        return np.flatnonzero(self.counted(short) >= least - aside), lists
+
+    def counted(self, lists: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each position, from all their entries."""
+        length = self.length[lists]
+        entries = self.members[np.repeat(self.start[lists] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        return np.bincount(entries, minlength=self.n)
+
+    def probe(self, lists: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """How many of the lists hold each position: by bits; of shorter lists by binary search, or all entries if they are few."""
+        bit = self.bit[lists]
+        own = np.zeros(self.bits.shape[1] * 64, np.uint8)
+        own[bit[bit >= 0]] = 1
+        count = np.bitwise_count(self.bits[found] & np.packbits(own).view(np.uint64)).sum(1, dtype=np.int64)
+        lists = lists[bit < 0]
+        if not len(lists):
+            return count
+        if self.length[lists].sum() <= 8 * len(lists) * len(found):
+            return count + self.counted(lists)[found]
+        places = (lists[:, None] * self.n + found).ravel()
+        there = self.places[np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)] == places
+        return count + there.reshape(len(lists), len(found)).sum(0)
+
+
+def connect(i: int, own: int, found: np.ndarray, index: Index, lists: np.ndarray, n: np.ndarray, n_own: int, labels: np.ndarray, out: list, batch: int = 32) -> int:
     """Link set i (label `own`) with one candidate at least of every component that holds a partner; its new label.
 
-    Candidates are probed in batches, one of each component first; those of a component just linked need no probe.
+    Candidates are probed in batches that grow, one of each component first; those of a component just linked need no probe.
     """
     while True:
         found = found[labels[found] != own]
@@ -240,13 +281,16 @@ def connect(i: int, own: int, found: np.ndarray, lists: list, n: np.ndarray, n_o
             return own
         _, lead = np.unique(labels[found], return_index=True)
         lead = np.unique(np.concatenate([lead[:batch], np.arange(max(0, min(batch - len(lead), len(found))))]))
-        for j, c in zip(found[lead].tolist(), Index.probe(lists, found[lead]).tolist()):
-            if labels[j] != own and links(n_own, int(n[j]), c):
+        some = found[lead]
+        count = index.probe(lists, some)
+        for j in some[links(n_own, n[some], count)].tolist():
+            if labels[j] != own:
                 out.append((i, j))
                 low, high = min(own, labels[j]), max(own, labels[j])
                 labels[labels == high] = low
                 own = int(low)
         found = np.delete(found, lead)
+        batch = max(batch, min(4 * batch, PROBES // len(lists)))
 
 
 def links_within(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -256,7 +300,7 @@ def links_within(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> list
     index, labels, out = Index(sets), np.arange(len(ids)), []
     for i in range(1, len(ids)):
         found, lists = index.candidates(sets[i], least_overlap(int(n[i])))
-        connect(i, i, found[(found < i) & (n[found] * DOWN >= UP * n[i])], lists, n, int(n[i]), labels, out)
+        connect(i, i, found[(found < i) & (n[found] * DOWN >= UP * n[i])], index, lists, n, int(n[i]), labels, out)
     return [(int(ids[i]), int(ids[j])) for i, j in out]
 
 
@@ -270,7 +314,7 @@ def links_between(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], labels
         got: list[tuple[int, int]] = []
         found, lists = index.candidates(sets[i], least_overlap(int(n[i])))
         own, old = int(labels[i]), there.copy()
-        connect(i, own, found, lists, n[base], int(n[i]), there, got)
+        connect(i, own, found, index, lists, n[base], int(n[i]), there, got)
         for was in np.unique(old[old != there]) if got else ():  # the asking sets' labels follow
             labels[labels == was] = there[old == was][0]
         if got:
@@ -282,6 +326,13 @@ def links_between(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], labels
 
 
 EDGES = "a long, b long"
+#: Hashes of small clusters that one group searches, and those that a block's sets have on average at most.
+TOGETHER, EACH = 262_144, 1024
+
+
+def in_blocks(block: int) -> Column:
+    """How many blocks a group of sets makes: of `block` sets, fewer where sets are large."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("weight") / F.lit(block * EACH))).cast("int")
 
 
 def as_sets(p: pd.DataFrame) -> list[np.ndarray]:
@@ -294,27 +345,36 @@ def as_edges(found: list[tuple[int, int]]) -> pd.DataFrame:
 
 def cluster_labels(members: DataFrame, block: int) -> DataFrame:
     """(node, component) of the (cluster, rep, n, hashes) rows that similarity connects with others."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    rows = cut(members.join(sizes, "cluster"), "clusters")
+    rows = members.withColumn("weight", F.octet_length("hashes") / 8)
+    sizes = rows.groupBy("cluster").agg(in_blocks(block).alias("blocks"))
+    rows = cut(rows.join(sizes, "cluster"), "clusters")
+    is_big = F.col("blocks") > 1
+    weight, any_big = rows.agg(F.sum(F.when(~is_big, F.col("weight"))), F.max(is_big)).first()
 
     def within(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates("rep")
-        return as_edges(links_within(p.rep.to_numpy(), p.n.to_numpy(), as_sets(p)))
-
-    big = rows.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # every block with the pivot block; a small cluster is one block
-    to = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("block"))
-    columns = ["cluster", "to", "rep", "n", "hashes"]
-    dealt = rows.where(F.col("size") <= block).withColumn("to", F.lit(0)).select(columns).union(big.withColumn("to", F.explode(to)).select(columns))
-    label = components(dealt.groupBy("cluster", "to").applyInPandas(within, EDGES), thin=False)
-    if not big.limit(1).count():
+        p = p.drop_duplicates("rep").sort_values("cluster", kind="stable")
+        ids, n, sets, found = p.rep.to_numpy(), p.n.to_numpy(), as_sets(p), []
+        edge = np.append(np.flatnonzero(starts_of(p.cluster.to_numpy())), len(p))
+        for low, high in zip(edge[:-1], edge[1:]):
+            found += links_within(ids[low:high], n[low:high], sets[low:high])
+        return as_edges(found)
+
+    big = rows.where(is_big).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # every block with the pivot block; small clusters go to a group with others
+    to = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
+    several = F.lit(max(1, -(-int(weight or 0) // TOGETHER))).cast("long")
+    columns = ["number", "to", "cluster", "rep", "n", "hashes"]
+    dealt = rows.where(~is_big).withColumn("number", F.pmod(F.xxhash64("cluster"), several)).withColumn("to", F.lit(0)).select(columns)
+    dealt = dealt.union(big.withColumn("number", F.col("cluster")).withColumn("to", F.explode(to)).select(columns))
+    label = components(dealt.groupBy("number", "to").applyInPandas(within, EDGES), thin=False)
+    if not any_big:
         return label
     known = cut(big.join(label.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
     main = known.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    known = known.join(main, "cluster").select("cluster", "rep", "n", "hashes", "blocks", "block", "label", "main")
+    known = known.join(main, "cluster").select("cluster", "rep", "n", "hashes", "weight", "blocks", "block", "label", "main")
     rest = cut(known.where(F.col("label") != F.col("main")), "rest")
     # what is not in the main component meets every block, in parts of a block's size
-    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    parts = rest.groupBy("cluster").agg(in_blocks(block).alias("parts"))
     asking = rest.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     asked = known.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
@@ -331,7 +391,7 @@ def cluster_labels(members: DataFrame, block: int) -> DataFrame:
     return label.join(later, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(joined).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def groups(docs: DataFrame, block: int = 128) -> DataFrame:
+def groups(docs: DataFrame, block: int = 1024) -> DataFrame:
     """doc_id, key, n, component, name for every row of docs with shingles, and nulls as component and name for the others.
 
     key names the row's text; component is one number for all rows of a component, name its smallest doc_id.
@@ -378,7 +438,7 @@ def groups(docs: DataFrame, block: int = 128) -> DataFrame:
     return linked.union(rows.where("n = 0").select("doc_id", "key", "n", nothing, nothing))
 
 
-def near_duplicates(docs: DataFrame, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     return groups(docs, block).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
